@@ -170,7 +170,7 @@ def record(names: list[str], arrays: list) -> pa.RecordBatch:
 
 def with_key(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, text_key, text): only the columns in use; text_key tells apart rows that repeat a doc_id with another text."""
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(F.col(text_col)).alias("text_key"), F.col(text_col).alias("text"))
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.hash(F.col(text_col)).alias("text_key"), F.col(text_col).alias("text"))
 
 
 def components(edges: DataFrame, name: str = "components") -> DataFrame:
