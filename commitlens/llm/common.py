@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import hashlib
 import tempfile
 import uuid
@@ -35,10 +36,13 @@ def new_path(spark: SparkSession, name: str) -> str:
 
 def saved(df: DataFrame, name: str) -> DataFrame:
     """Cuts lineage: writes the rows as Parquet in the shared folder and reads them back."""
-    spark = df.sparkSession
+    spark, schema = df.sparkSession, df.schema
     path = new_path(spark, name)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    del df
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()  # lets Spark's cleaner drop the shuffle files of what is now written
+    return spark.read.schema(schema).parquet(path)
 
 
 def partitions(spark: SparkSession) -> int:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, sharding, substring_dedup, warc
+from . import decontaminate, jaccard_join, sharding, substring_dedup, warc
 from .common import new_path
 
 
@@ -32,6 +32,10 @@ def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op9_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.link(table(spark, sf_dir, "documents"), words=4, num=85, den=100).select("doc_id", "n_shingles", "component_id")
+
+
 def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = new_path(spark, "warc")
     warc.write(table(spark, sf_dir, "pages"), path)
@@ -42,6 +46,7 @@ QUERIES = {
     "op2_sharding": op2_sharding,
     "op4_substring_dedup": op4_substring_dedup,
     "op6_decontamination": op6_decontamination,
+    "op9_jaccard_join": op9_jaccard_join,
     "op10_warc": op10_warc,
 }
 

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import NOT_SPACE, mix, partitions, range_hashes, sha256_hex, spans_of_bytes, text_bytes, with_key, word_hashes, word_spans
+from .common import NOT_SPACE, mix, partitions, range_hashes, saved, sha256_hex, spans_of_bytes, text_bytes, with_key, word_hashes, word_spans
 
 LAST_ID = (1 << 63) - 1
 WINDOW_BASE, BUCKET_SALT = 0xD6E8FEB86659FD93, np.uint64(0xA0761D6478BD642F)
@@ -149,7 +149,7 @@ def remove_repeats(df: DataFrame, width: int = 50, id_col: str = "doc_id", text_
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), schema.types, strict=True)], schema=schema)
 
     docs = with_key(df, id_col, text_col)
-    marks = marked_windows(docs, width).withColumnRenamed("doc_id", "key_id")
+    marks = saved(marked_windows(docs, width), "windows").withColumnRenamed("doc_id", "key_id")
     both = docs.join(marks, (F.coalesce("doc_id", F.lit(LAST_ID)) == F.col("key_id")) & (docs["text_key"] == marks["text_key"]), "left")
     out = "doc_id long, n_words long, n_removed long, kept string, kept_sha256 string, intervals array<array<long>>"
     return both.select("doc_id", "text", "starts").mapInArrow(cut, out)
