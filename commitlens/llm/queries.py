@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, jaccard_join, sharding, substring_dedup, warc
+from . import byte_bpe, decontaminate, jaccard_join, sharding, substring_dedup, warc
 from .common import new_path
 
 
@@ -32,6 +33,11 @@ def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op8_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ranks = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
+    return byte_bpe.encode(table(spark, sf_dir, "documents"), ranks, public_tokenizers.PATTERN, with_ids=False).drop("ids", "decoded")
+
+
 def op9_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join.link(table(spark, sf_dir, "documents"), words=4, num=85, den=100).select("doc_id", "n_shingles", "component_id")
 
@@ -46,6 +52,7 @@ QUERIES = {
     "op2_sharding": op2_sharding,
     "op4_substring_dedup": op4_substring_dedup,
     "op6_decontamination": op6_decontamination,
+    "op8_byte_bpe": op8_byte_bpe,
     "op9_jaccard_join": op9_jaccard_join,
     "op10_warc": op10_warc,
 }
