@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import byte_bpe, decontaminate, html_extract, jaccard_join, sharding, substring_dedup, toxicity, warc
+from . import byte_bpe, decontaminate, html_extract, jaccard_join, pii, sharding, substring_dedup, toxicity, warc
 from .common import new_path
 
 
@@ -21,6 +21,13 @@ def op2_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op3_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = pii.find(table(spark, sf_dir, "documents"))
+    counts = [F.expr(f"cast(size(filter(spans, s -> s.rank = {rank})) as long)").alias(f"n_{kind}") for rank, kind in enumerate(pii.KINDS)]
+    base = pii.joined(f"filter(spans, s -> s.rank < {len(pii.KINDS)})")
+    return found.select("doc_id", *counts, F.expr(f"sha2(cast({base} as binary), 256)").alias("base_sha256"), F.expr(pii.joined("spans")).alias("spans"))
+
+
 def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup.remove_repeats(table(spark, sf_dir, "documents"), 50).select("doc_id", "n_words", "n_removed", "kept_sha256")
 
@@ -60,6 +67,7 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op2_sharding": op2_sharding,
+    "op3_pii": op3_pii,
     "op4_substring_dedup": op4_substring_dedup,
     "op5_toxicity": op5_toxicity,
     "op6_decontamination": op6_decontamination,
