@@ -6,12 +6,18 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import byte_bpe, decontaminate, html_extract, jaccard_join, pii, sharding, substring_dedup, toxicity, warc
+from ..ship import ship
+from . import ann, byte_bpe, decontaminate, html_extract, jaccard_join, pii, sharding, substring_dedup, toxicity, warc
 from .common import new_path
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return ship(spark).read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def op1_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings")
+    return ann.nearest(vectors, vectors.where("vec_id % 20 = 0"), 20)
 
 
 def op2_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -66,6 +72,7 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_ann": op1_ann,
     "op2_sharding": op2_sharding,
     "op3_pii": op3_pii,
     "op4_substring_dedup": op4_substring_dedup,
