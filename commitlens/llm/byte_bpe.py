@@ -167,7 +167,7 @@ def gather(offsets: np.ndarray, which: np.ndarray) -> np.ndarray:
     return np.arange(int(end[-1]) if len(end) else 0) + np.repeat(offsets[which] - (end - n), n)
 
 
-def _assemble(table_bytes: np.ndarray, table_at: np.ndarray, with_ids: bool):
+def _assemble(table_bytes: np.ndarray, table_at: np.ndarray, with_ids: bool, with_decoded: bool):
     schema = pa.schema([("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("ids_sha256", pa.string()), ("decoded_sha256", pa.string()), ("ids", pa.list_(pa.int32())), ("decoded", pa.binary())])
 
     def assemble(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -189,8 +189,8 @@ def _assemble(table_bytes: np.ndarray, table_at: np.ndarray, with_ids: bool):
                 for doc_id, s, e in zip(doc_ids, (ends - counts).tolist(), ends.tolist(), strict=True):
                     mine = ids[gather(at, words[s:e])]
                     decoded = table_bytes[gather(table_at, mine.astype(np.int64))].tobytes()
-                    out.append((doc_id, len(mine), hashlib.sha256(mine.astype("<u4").tobytes()).hexdigest(), hashlib.sha256(decoded).hexdigest(), mine.astype(np.int32) if with_ids else None, decoded if with_ids else None))
-                    held += len(decoded) if with_ids else 200
+                    out.append((doc_id, len(mine), hashlib.sha256(mine.astype("<u4").tobytes()).hexdigest(), hashlib.sha256(decoded).hexdigest(), mine.astype(np.int32) if with_ids else None, decoded if with_decoded else None))
+                    held += 200 + len(decoded) * (2 * with_ids + with_decoded)
                     if held > 8 << 20:
                         yield _batch(out, schema)
                         out, held = [], 0
@@ -204,7 +204,7 @@ def _batch(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), schema.types, strict=True)], schema=schema)
 
 
-def encode(df: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = True) -> DataFrame:
+def encode(df: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = True, with_decoded: bool = True) -> DataFrame:
     """Per input row: doc_id, n_tokens, ids_sha256, decoded_sha256 and, if asked for, ids and decoded (the bytes that the ids stand for).
 
     ``ranks_path`` must be readable on every executor; ``pattern`` splits texts into pre-tokens.
@@ -222,4 +222,4 @@ def encode(df: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id",
         size[rank + 1] = len(token)
     table = np.frombuffer(b"".join(token for _, token in by_id), np.uint8)
     out = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string, ids array<int>, decoded binary"
-    return whole.select("doc_ids", "n_words", "positions", "parts").mapInArrow(_assemble(table, np.cumsum(size), with_ids), out)
+    return whole.select("doc_ids", "n_words", "positions", "parts").mapInArrow(_assemble(table, np.cumsum(size), with_ids, with_decoded), out)

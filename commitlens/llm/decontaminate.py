@@ -154,7 +154,14 @@ def find(docs: DataFrame, benchmark: DataFrame, width: int = 10, id_col: str = "
         F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"),
         F.lit(0).cast("long").alias("n_words"), F.expr("cast(array() as array<array<long>>)").alias("spans"), F.expr("cast(array() as array<string>)").alias("items"),
     )
-    parts: list[list] = [[]]
+    for part in item_parts(benchmark, item_col, item_text_col):  # one after the other in the same pass over the rows
+        rows = rows.mapInArrow(_search(spark.sparkContext.broadcast(Windows(part, width))), rows.schema)
+    return rows
+
+
+def item_parts(benchmark: DataFrame, item_col: str = "item_id", item_text_col: str = "text") -> list[list[tuple[str, str]]]:
+    """The distinct test items in parts of at most PART_WORDS words each."""
+    parts: list[list[tuple[str, str]]] = [[]]
     held = 0
     items = benchmark.select(F.col(item_col).cast("string").alias("item"), F.col(item_text_col).alias("text")).where("item is not null and text is not null").distinct()
     for item in items.toLocalIterator():
@@ -164,28 +171,39 @@ def find(docs: DataFrame, benchmark: DataFrame, width: int = 10, id_col: str = "
             held = 0
         parts[-1].append((item["item"], item["text"]))
         held += n
-    for part in parts:  # one after the other in the same pass over the rows
-        rows = rows.mapInArrow(_search(spark.sparkContext.broadcast(Windows(part, width))), rows.schema)
-    return rows
+    return parts
 
 
-def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in batches:
-        raw, offsets = text_bytes(b.column("text"))
-        spans, out = b.column("spans").to_pylist(), []
-        for i, j in spans_of_bytes(offsets):
-            part, off = raw[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i]
-            starts, ends, word_at = word_spans(LOWER[part], off, LETTER_OR_DIGIT)
-            for k in range(j - i):
-                text, at = part[off[k] : off[k + 1]].tobytes(), 0
-                left = []
-                for s, e in spans[i + k]:
-                    left.append(text[at : starts[word_at[k] + s] - off[k]])
-                    at = ends[word_at[k] + e - 1] - off[k]
-                out.append((b"".join(left) + text[at:]).decode())
-        yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(out, pa.string())], names=["doc_id", "text"])
-
-
-def remove(found: DataFrame) -> DataFrame:
-    """(doc_id, text) with the spans that ``find`` gave cut out of the texts, from the first hit word to the last of each span."""
-    return found.select("doc_id", "text", "spans").mapInArrow(_cut, "doc_id long, text string")
+def clean(docs: DataFrame, benchmark: DataFrame, width: int = 10, text_col: str = "text") -> DataFrame:
+    """The rows of ``docs``, all columns, with hit spans cut out of the text, from the first hit word to the last of each span."""
+    spark = docs.sparkSession
+    rows = docs if text_col == "text" else docs.withColumnRenamed(text_col, "text")
+    for part in item_parts(benchmark):
+        rows = rows.mapInArrow(_cut(spark.sparkContext.broadcast(Windows(part, width))), rows.schema)
+    return rows if text_col == "text" else rows.withColumnRenamed("text", text_col)
+
+
+def _cut(windows):
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        w: Windows = windows.value
+        for b in batches:
+            raw, offsets = text_bytes(b.column("text"))
+            texts = b.column("text").to_pylist()
+            for i, j in spans_of_bytes(offsets, SHARD_BYTES):
+                part, off = raw[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i]
+                lower = LOWER[part]
+                starts, ends, word_at = word_spans(lower, off, LETTER_OR_DIGIT)
+                found, which = shard_hits(lower, starts, ends, word_at, w)
+                ranges: dict[int, list] = {}
+                for p, n in zip(found.tolist(), w.lengths[which].tolist(), strict=True):
+                    ranges.setdefault(int(np.searchsorted(word_at, p, "right")) - 1, []).append((p, p + n))
+                for k, spans in ranges.items():
+                    text, at, left = part[off[k] : off[k + 1]].tobytes(), 0, []
+                    for s, e in merge(spans):
+                        left.append(text[at : starts[s] - off[k]])
+                        at = ends[e - 1] - off[k]
+                    texts[i + k] = (b"".join(left) + text[at:]).decode()
+            place = b.schema.get_field_index("text")
+            yield b.set_column(place, b.schema.field(place), pa.array(texts, b.schema.field(place).type))
+
+    return cut

@@ -22,6 +22,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import LETTER_OR_DIGIT, LOWER, mix, range_hashes, spans_of_bytes, text_bytes, word_hashes, word_spans
 
@@ -195,8 +196,7 @@ def scores(docs: DataFrame, model: Model | None, text_col: str = "text") -> Data
         out = rows.withColumn("score", F.lit(0.0))
     else:
         table = docs.sparkSession.sparkContext.broadcast(model.collapsed())
-        schema = rows.schema.add("score", "double")
-        out = rows.mapInArrow(_score(table), schema)
+        out = rows.mapInArrow(_score(table), T.StructType([*rows.schema.fields, T.StructField("score", T.DoubleType())]))
     if text_col != "text":
         out = out.withColumnRenamed("text", text_col)
     return out.withColumn("predicted", (F.col("score") >= 0.7).cast("int"))
