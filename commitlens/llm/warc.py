@@ -33,6 +33,8 @@ MAGIC = b"\x1f\x8b\x08"
 MEMBER_BYTES = (1 << 24) - 1
 #: Compressed bytes fetched at once while reading.
 READ_BYTES = 1 << 20
+#: Bytes searched at once for the next magic.
+SEARCH_BYTES = 1 << 16
 HEAD = re.compile(rb"WARC/1\.[01]\r\n")
 FIELDS = "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long, url string, payload binary"
 
@@ -127,14 +129,15 @@ class _Source:
 
 def _member(source: _Source, position: int, head_only: bytes | None = None) -> tuple[bytes, int] | None:
     """The content of the gzip member at ``position`` and the position behind it; None if there is no valid member."""
-    d, out, p = zlib.decompressobj(31), [], position
+    d, out, p, size = zlib.decompressobj(31), [], position, 1 << 12
     try:
         while not d.eof:
-            piece = source.read(p, min(1 << 16, source.size - p))
+            piece = source.read(p, min(size, source.size - p))
             if not piece:
                 return None
             out.append(d.decompress(piece))
             p += len(piece)
+            size = min(2 * size, 1 << 18)
             if head_only is not None and sum(map(len, out)) >= len(head_only) and not b"".join(out).startswith(head_only):
                 return None
     except zlib.error:
@@ -145,8 +148,10 @@ def _member(source: _Source, position: int, head_only: bytes | None = None) -> t
 def _records(uri: str, start: int, end: int) -> Iterator[bytes]:
     """Whole records whose first member starts in [start, end)."""
     source, p = _Source(uri), start
+    end = min(end, source.size)
     while p < end:
-        window = source.read(p, min(READ_BYTES, source.size - p))
+        near = source.read(p, min(len(MAGIC), source.size - p))  # records follow one another, so this is the common case
+        window = near if near == MAGIC else source.read(p, min(SEARCH_BYTES, source.size - p))
         i = window.find(MAGIC)
         if i < 0:
             p += max(1, len(window) - len(MAGIC) + 1)
