@@ -5,18 +5,22 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """The rows, written as Parquet below ``spark.checkpoint.dir`` and read back; a temporary folder is taken only where none is set."""
-    spark = df.sparkSession
+def new_path(spark: SparkSession, name: str) -> str:
+    """A new folder below ``spark.checkpoint.dir``; a temporary one is taken only where none is set."""
     kept = spark.sparkContext._jsc.sc().getCheckpointDir()
     folder = spark.conf.get("spark.checkpoint.dir", None) or (kept.get() if kept.isDefined() else None)
     if folder is None:
         folder = "file://" + tempfile.mkdtemp(prefix="spark-")
         spark.sparkContext.setCheckpointDir(folder)
-    path = f"{folder.rstrip('/')}/cut-{uuid.uuid4().hex}"
-    schema = df.schema
+    return f"{folder.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """The rows, written as Parquet in the shared folder and read back."""
+    spark, schema = df.sparkSession, df.schema
+    path = new_path(spark, "cut")
     df.write.parquet(path)
     return spark.read.schema(schema).parquet(path)

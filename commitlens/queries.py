@@ -10,6 +10,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .checkpoint import new_path
 from .functions import predicates as P
 from .functions import scalars as X
 from .operators import coupling as C
@@ -22,6 +23,7 @@ from .operators import tree
 from .plans import analyses as A
 from .plans.testdata import Tables, with_views
 from .schemas import DELETE, EDIT, RENAME
+from .sources import files, logs
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -614,3 +616,182 @@ def f20_bug_items(t: Tables) -> DataFrame:
 def e17_comment_terms(t: Tables) -> DataFrame:
     """Terms of documents taken as comments; the stop-word list has no SQL form."""
     return A.comment_terms(t.base("documents").select(F.col("doc_id").alias("changeset_id"), F.col("text").alias("comment")))
+
+# Sources and sinks: tables are written in each format by Spark and read back ------------------------------------------------------
+
+
+def _out(t: Tables, name: str) -> str:
+    return new_path(t.spark, name)
+
+
+def _documents(rows: DataFrame, root: str, files_: int = 8) -> DataFrame:
+    """(file, value): XML documents of the elements in ``value``; written by file, each is a document of its own."""
+    grouped = rows.groupBy(F.pmod(F.hash("value"), F.lit(files_)).alias("file")).agg(F.array_join(F.collect_list("value"), "\n").alias("value"))
+    return grouped.select("file", F.concat(F.lit(f"<{root}>"), "value", F.lit(f"</{root}>")).alias("value"))
+
+
+def small(t: Tables) -> tuple[DataFrame, DataFrame]:
+    """Changesets and items as the log formats hold them."""
+    items = t.change_item.withColumn("kind", F.when((F.col("kind") == RENAME) & F.col("from_server_path").isNull(), EDIT).otherwise(F.col("kind")))
+    return t.change_set, items
+
+
+def _git_dump(t: Tables, path: str) -> None:
+    s, items = small(t)
+    status = F.when(F.col("kind") == RENAME, F.concat_ws("\t", F.lit("R100"), "from_server_path", "server_path")).otherwise(F.concat_ws("\t", F.element_at(F.create_map(F.lit(2), F.lit("A"), F.lit(4), F.lit("M"), F.lit(32), F.lit("D")), F.col("kind")), "server_path"))
+    lines = items.groupBy("changeset_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("item_idx", status.alias("line")))), lambda x: x["line"]), "\n").alias("lines"))
+    parents = t.commit_edge.groupBy(F.col("child").alias("changeset_id")).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("parent_idx", "parent"))), lambda x: x["parent"].cast("string")), " ").alias("parents"))
+    rows = s.join(lines, "changeset_id", "left").join(parents, "changeset_id", "left")
+    text = F.concat_ws("\n", F.lit("START_HEADER"), F.col("changeset_id").cast("string"), "committer", F.concat(F.date_format("date", "yyyy-MM-dd'T'HH:mm:ss"), F.lit("+00:00")), F.coalesce("parents", F.lit("")), "comment", F.lit("END_HEADER"), F.lit(""), F.coalesce("lines", F.lit("")))
+    rows.select(text.alias("value")).write.text(path)
+
+
+def _git(t: Tables) -> tuple[DataFrame, DataFrame, DataFrame]:
+    path = _out(t, "gitlog")
+    _git_dump(t, path)
+    return logs.git_log(t.spark, path, "main", TICKET)
+
+
+@query("select changeset_id::varchar as changeset_id, committer, date, comment, [regexp_extract(comment, 'PROJ-[0-9]+')] as work_items from change_set", "change_set")
+def s1_git_log_changesets(t: Tables) -> DataFrame:
+    return _git(t)[0].select("changeset_id", "committer", "date", "comment", "work_items")
+
+
+ITEMS = "select changeset_id::varchar as changeset_id, (item_idx - 1)::int as item_idx, kind, server_path, from_server_path from change_item"
+
+
+@query(ITEMS, "file", "change_item")
+def s1_git_log_items(t: Tables) -> DataFrame:
+    return _git(t)[1].drop("repo_id")
+
+
+@query("select child::varchar as child, parent::varchar as parent, row_number() over (partition by child order by parent_idx)::int - 1 as parent_idx from commit_edge", "commit_edge")
+def s1_git_log_edges(t: Tables) -> DataFrame:
+    return _git(t)[2].drop("repo_id")
+
+
+@query(ITEMS, "file", "change_item")
+def s3_svn_log(t: Tables) -> DataFrame:
+    s, items = small(t)
+    action = F.element_at(F.create_map(F.lit(2), F.lit("A"), F.lit(4), F.lit("M"), F.lit(32), F.lit("D"), F.lit(16), F.lit("R")), F.col("kind"))
+    source = F.when(F.col("from_server_path").isNotNull(), F.concat(F.lit(' copyfrom-path="'), "from_server_path", F.lit('" copyfrom-rev="1"'))).otherwise("")
+    entry = F.concat(F.lit('<path kind="file" action="'), action, F.lit('"'), source, F.lit(">"), "server_path", F.lit("</path>"))
+    paths = items.groupBy("changeset_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("item_idx", entry.alias("x")))), lambda x: x["x"]), "").alias("paths"))
+    rows = s.join(paths, "changeset_id").select(F.concat(F.lit('<logentry revision="'), F.col("changeset_id").cast("string"), F.lit('"><author>'), "committer", F.lit("</author><date>"), F.date_format("date", "yyyy-MM-dd'T'HH:mm:ss'Z'"), F.lit("</date><paths>"), "paths", F.lit("</paths><msg>"), "comment", F.lit("</msg></logentry>")).alias("value"))
+    path = _out(t, "svnlog")
+    _documents(rows, "log").write.partitionBy("file").text(path)
+    return logs.svn_log(t.spark, path, "main")[1].drop("repo_id")
+
+
+@query("select changeset_id::varchar as changeset_id, (item_idx - 1)::int as item_idx, file_id::varchar as file_id, kind, server_path from change_item", "file", "change_item")
+def s4_history_json(t: Tables) -> DataFrame:
+    s, items = small(t)
+    item = F.struct(F.col("file_id").cast("string").alias("Id"), F.col("kind").alias("Kind"), F.col("server_path").alias("ServerPath"))
+    lists = items.groupBy("changeset_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("item_idx", item.alias("i")))), lambda x: x["i"]).alias("Items"))
+    one = F.struct(F.col("changeset_id").cast("string").alias("Id"), F.col("committer").alias("Committer"), F.date_format("date", "yyyy-MM-dd'T'HH:mm:ss'Z'").alias("Date"), F.col("comment").alias("Comment"), "Items")
+    docs = s.join(lists, "changeset_id").groupBy(F.pmod("changeset_id", F.lit(8)).alias("file")).agg(F.collect_list(one).alias("ChangeSets"))
+    path = _out(t, "history")
+    docs.write.partitionBy("file").json(path)
+    return files.history_json(t.spark, path, "main")[1].select("changeset_id", "item_idx", "file_id", "kind", "server_path")
+
+
+@query("select path_key, developer, lines from contribution", "contribution")
+def s5_contribution_json(t: Tables) -> DataFrame:
+    one = t.contribution.groupBy("path_key").agg(F.map_from_entries(F.collect_list(F.struct("developer", "lines"))).alias("m")).select(F.create_map(F.upper("path_key"), F.struct(F.col("m").alias("DeveloperToContribution"))).alias("d"))
+    path = _out(t, "contribution")
+    one.select(F.to_json("d").alias("value")).repartition(8).write.option("lineSep", "\n").text(path)
+    return files.contribution_json(t.spark, path, "main", whole=False).drop("repo_id")
+
+
+@query("select path_key, blanks, comments, code from loc", "loc")
+def s6_metrics_json(t: Tables) -> DataFrame:
+    rows = t.loc.select(F.to_json(F.create_map("path_key", F.struct(F.col("blanks").alias("Blanks"), F.col("code").alias("Code"), F.col("comments").alias("Comments")))).alias("value"))
+    path = _out(t, "metrics")
+    rows.write.text(path)
+    return files.metrics_json(t.spark, path, "main", whole=False).drop("repo_id")
+
+
+@query("select path_key, blanks, comments, code from loc", "loc")
+def s7_line_count_csv(t: Tables) -> DataFrame:
+    path = _out(t, "cloc")
+    rows = t.loc.select(F.lit("C#").alias("language"), F.upper("path_key").alias("filename"), "blanks", "comments", "code")
+    rows.union(t.loc.groupBy().agg(F.lit("SUM").alias("a"), F.lit(None).cast("string").alias("b"), F.sum("blanks").cast("int").alias("c"), F.sum("comments").cast("int").alias("d"), F.sum("code").cast("int").alias("e"))).write.csv(path)
+    return files.line_count_csv(t.spark, path, "main").drop("repo_id")
+
+
+BLAMED = "select lower(f.server_path) as path_key, {dev} as developer, count(*) as lines from lineitem join file f on f.file_id = l_partkey join supplier on s_suppkey = l_suppkey group by 1, 2"
+
+
+def _blame(t: Tables, text: F.Column, pattern: str) -> DataFrame:
+    lines = t.base("lineitem").join(t.base("supplier"), F.col("l_suppkey") == F.col("s_suppkey")).join(t.file, F.col("l_partkey") == F.col("file_id"))
+    return K.work_by_developer(logs.blamed_lines(lines.select("repo_id", F.lower("server_path").alias("path_key"), text.alias("line")), pattern)).drop("repo_id")
+
+
+@query(BLAMED.format(dev="s_name"), "file")
+def s8_annotate(t: Tables) -> DataFrame:
+    return _blame(t, F.concat(F.hex("l_orderkey"), F.lit("\t(  "), "s_name", F.lit("\t2020-01-01 10:00:00 +0100\t1)int x;")), logs.ANNOTATE)
+
+
+@query(BLAMED.format(dev="s_name"), "file")
+def s9_blame(t: Tables) -> DataFrame:
+    return _blame(t, F.concat(F.lit("   "), F.col("l_orderkey").cast("string"), F.lit("   "), "s_name", F.lit(" int x;")), logs.BLAME)
+
+
+@query("select distinct server_path from change_item", "file", "change_item")
+def s10_tracked_files(t: Tables) -> DataFrame:
+    path = _out(t, "tracked")
+    t.change_item.select(F.concat(F.lit('"'), "server_path", F.lit('"'))).write.text(path)
+    return logs.tracked_files(t.spark, path, "main").drop("repo_id")
+
+
+@query("select name, alias from committer_alias", "committer_alias")
+def s13_alias_file(t: Tables) -> DataFrame:
+    path = _out(t, "alias")
+    t.committer_alias.select(F.concat("name", F.lit(" >> "), "alias")).union(t.committer_alias.select(F.concat(F.lit("# "), "name", F.lit(" >> x")))).write.text(path)
+    return files.alias_file(t.spark, path)
+
+
+@query("select distinct concat('src/', lower(replace(p_brand, '#', '_')), '/') as key, p_brand as value from part")
+def s14_component_map(t: Tables) -> DataFrame:
+    path = _out(t, "components")
+    rows = component_mapping(t).where("value <> 'economy'").select(F.concat(F.lit('<Mapping key="'), "key", F.lit('" value="'), "value", F.lit('"/>')).alias("value"))
+    _documents(rows, "Mappings").write.partitionBy("file").text(path)
+    return files.component_map(t.spark, path, lower_case=True)
+
+
+@query()
+def s15_summary_csv(t: Tables) -> DataFrame:
+    path = _out(t, "summary")
+    files.write_csv(A.hotspots(t.change_item, sets(t), t.loc).select(F.col("server_path").alias("LocalPath"), F.col("commits").alias("Commits"), F.col("hotspot").alias("Hotspot")), path, digits=6)
+    return files.summary_csv(t.spark, path)
+
+
+register_sql("s15_summary_csv", PLAIN, "select server_path as local_path, round(hotspot, 6) as hotspot from hot where code >= 1 and commits >= 3", "file", "change_set", "change_item", "loc")
+
+
+@query("select doc_id, text as content from documents where doc_id % 2 = 0 and length(trim(text)) > 0")
+def s12_source_tree(t: Tables) -> DataFrame:
+    """Files of one directory per document; only those with the extension come back."""
+    path = _out(t, "tree")
+    docs = t.base("documents").where("length(trim(text)) > 0").select("text", F.concat("doc_id", F.when(F.col("doc_id") % 2 == 0, F.lit(".cs")).otherwise(F.lit(".bin"))).alias("name"))
+    docs.write.partitionBy("name").option("lineSep", "\u0000").text(path)
+    found = files.source_tree(t.spark, path, extensions=None, name=F.regexp_extract("path", r"name=([^/]+)", 1))
+    return found.select(F.regexp_extract("path", "^[0-9]+", 0).cast("long").alias("doc_id"), F.regexp_replace("content", "\u0000$", "").alias("content"))
+
+
+@query()
+def k4_csv_export(t: Tables) -> DataFrame:
+    """A written summary, read back as text."""
+    path = _out(t, "csv")
+    files.write_csv(A.summary(t.change_item, sets(t), t.loc, as_of()).drop("repo_id"), path)
+    return t.spark.read.option("header", True).csv(path).select("server_path", "commits", "hotspot")
+
+
+register_sql("k4_csv_export", PLAIN, "select server_path, commits::varchar as commits, printf('%.3f', hotspot) as hotspot from hot", "file", "change_set", "change_item", "loc")
+
+
+@query("select file_id, server_path, code from file", "file")
+def k1_canonical_table(t: Tables) -> DataFrame:
+    path = _out(t, "table")
+    files.write_table(t.file, path)
+    return t.spark.read.parquet(path).where("repo_id = 'main'").select("file_id", "server_path", "code")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.predicates import has_extension
@@ -19,16 +19,16 @@ def history_json(spark: SparkSession, path: str, repo_id: str) -> tuple[DataFram
     return out, items.select("repo_id", "changeset_id", "item_idx", F.col("i.Id").alias("file_id"), F.col("i.Kind").alias("kind"), F.col("i.ServerPath").alias("server_path"), F.col("i.FromServerPath").alias("from_server_path"))
 
 
-def contribution_json(spark: SparkSession, path: str, repo_id: str) -> DataFrame:
-    """{path: {DeveloperToContribution: {developer: lines}}}; of paths that differ in case only, the smallest is kept."""
-    raw = spark.read.option("wholetext", True).text(path).select(F.explode(F.from_json("value", "map<string,struct<DeveloperToContribution:map<string,bigint>>>")).alias("path", "d"))
+def contribution_json(spark: SparkSession, path: str, repo_id: str, whole: bool = True) -> DataFrame:
+    """An object a file (``whole``) or a line: {path: {DeveloperToContribution: {developer: lines}}}; of paths that differ in case only, the smallest is kept."""
+    raw = spark.read.text(path, wholetext=whole).select(F.explode(F.from_json("value", "map<string,struct<DeveloperToContribution:map<string,bigint>>>")).alias("path", "d"))
     first = raw.groupBy(path_key(F.col("path")).alias("path_key")).agg(F.min_by("d", "path").alias("d"))
     return first.select(F.lit(repo_id).alias("repo_id"), "path_key", F.explode("d.DeveloperToContribution").alias("developer", "lines"))
 
 
-def metrics_json(spark: SparkSession, path: str, repo_id: str) -> DataFrame:
-    """{path: {Blanks, Code, Comments}}."""
-    raw = spark.read.option("wholetext", True).text(path).select(F.explode(F.from_json("value", "map<string,struct<Blanks:int,Code:int,Comments:int>>")).alias("path", "m"))
+def metrics_json(spark: SparkSession, path: str, repo_id: str, whole: bool = True) -> DataFrame:
+    """An object a file (``whole``) or a line: {path: {Blanks, Code, Comments}}."""
+    raw = spark.read.text(path, wholetext=whole).select(F.explode(F.from_json("value", "map<string,struct<Blanks:int,Code:int,Comments:int>>")).alias("path", "m"))
     return raw.select(F.lit(repo_id).alias("repo_id"), path_key(F.col("path")).alias("path_key"), F.col("m.Blanks").alias("blanks"), F.col("m.Comments").alias("comments"), F.col("m.Code").alias("code"))
 
 
@@ -61,13 +61,14 @@ def summary_csv(spark: SparkSession, path: str) -> DataFrame:
     return df.groupBy(F.col("LocalPath").alias("local_path")).agg(F.max(F.col("Hotspot").cast("double")).alias("hotspot"))
 
 
-def source_tree(spark: SparkSession, root: str, extensions: list[str] | None = None) -> DataFrame:
-    """(path, content) of all files below the root with one of the extensions."""
+def source_tree(spark: SparkSession, root: str, extensions: list[str] | None = None, name: Column | None = None) -> DataFrame:
+    """(path, content) of all files below the root with one of the extensions. ``name`` gives the file's name from ``path`` where that is not its end."""
     extensions = list(LANGUAGES) if extensions is None else extensions
     if unknown := [e for e in extensions if e.lower() not in LANGUAGES]:
         raise ValueError(f"extensions without a language: {', '.join(unknown)}")
-    df = spark.read.option("recursiveFileLookup", True).option("wholetext", True).text(root)
-    return df.select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("content")).where(has_extension(F.col("path"), extensions))
+    df = spark.read.option("recursiveFileLookup", True).text(root, wholetext=True)
+    df = df.select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("content"))
+    return (df if name is None else df.withColumn("path", name)).where(has_extension(F.col("path"), extensions))
 
 
 def write_table(df: DataFrame, path: str) -> None:
