@@ -5,7 +5,8 @@
    A task packs the windows of a few MB of text that go to one bucket into one binary row: 8 bytes of hash and 3 or 4 of place.
 2. Count: per bucket, the least doc_id of each hash is found; windows whose hash starts in a smaller doc_id are marked.
    A window that millions of documents share costs its bucket 12 bytes an occurrence at most and no pair is ever formed.
-3. Merge: a document's marked windows are joined back by its key, merged into maximal intervals and cut out.
+3. Merge: the marked windows go to their documents' group, packed too, and become one row of maximal intervals a document. Those rows
+   are joined to the texts by the document's key, and the intervals are cut out.
 
 The number of buckets is the number of shuffle partitions, so a bucket's share stays constant when that grows with the input.
 
@@ -76,8 +77,29 @@ def _scan(width: int, buckets: int):
     return scan
 
 
-def _count(table: pa.Table) -> pa.Table:
-    """Of one bucket: (doc_id, text_key, starts) of the windows that also start in a smaller doc_id."""
+def _count(groups: int):
+    schema = pa.schema([("grp", pa.int32()), ("doc_id", pa.binary()), ("text_key", pa.binary()), ("count", pa.binary()), ("starts", pa.binary())])
+
+    def count(table: pa.Table) -> pa.Table:
+        """Of one bucket: the windows that also start in a smaller doc_id, packed by group of documents."""
+        ids, keys, doc, at = _marked(table)
+        if not len(doc):
+            return schema.empty_table()
+        grp = (mix(ids.astype(np.uint64)) % np.uint64(groups)).astype(np.int64)
+        order = np.lexsort((doc, grp[doc]))
+        doc, at = doc[order], at[order]
+        cuts = np.flatnonzero(np.concatenate(([True], np.diff(grp[doc]) != 0)))
+        rows = []
+        for mine, starts in zip(np.split(doc, cuts[1:]), np.split(at, cuts[1:]), strict=True):
+            used, n = np.unique(mine, return_counts=True)
+            rows.append({"grp": int(grp[used[0]]), "doc_id": ids[used].tobytes(), "text_key": keys[used].tobytes(), "count": n.astype("<u4").tobytes(), "starts": starts.tobytes()})
+        return pa.Table.from_pylist(rows, schema)
+
+    return count
+
+
+def _marked(table: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Of one bucket: doc_ids, their text_keys, and (number in these, first word) of each marked window."""
     hashes, docs, ids, keys, starts = [], [], [], [], []
     n = 0
     for doc_id, text_key, count, h, place in zip(*(table.column(c).to_pylist() for c in ("doc_id", "text_key", "count", "hash", "place")), strict=True):
@@ -90,7 +112,6 @@ def _count(table: pa.Table) -> pa.Table:
         keys.append(np.frombuffer(text_key, "<i4"))
         docs.append(np.repeat(np.arange(n, n + len(ids[-1]), dtype=np.int32), np.frombuffer(count, "<u4")))
         n += len(ids[-1])
-    schema = pa.schema([("doc_id", pa.int64()), ("text_key", pa.int32()), ("starts", pa.binary())])
     h, doc, at = np.concatenate(hashes), np.concatenate(docs), np.concatenate(starts).astype("<u4")
     del hashes, docs, starts
     ids, keys = np.concatenate(ids), np.concatenate(keys)
@@ -98,34 +119,46 @@ def _count(table: pa.Table) -> pa.Table:
     edge = np.flatnonzero(np.concatenate(([True], h[order][1:] != h[order][:-1])))
     least = np.minimum.reduceat(ids[doc[order]], edge)
     marked = order[ids[doc[order]] > np.repeat(least, np.diff(np.append(edge, len(order))))]
-    if not len(marked):
-        return schema.empty_table()
-    marked = marked[np.argsort(doc[marked], kind="stable")]
-    of, cut = np.unique(doc[marked], return_index=True)
-    blobs = [x.tobytes() for x in np.split(at[marked], cut[1:])]
-    return pa.table([pa.array(ids[of]), pa.array(keys[of]), pa.array(blobs, pa.binary())], schema=schema)
-
-
-def marked_windows(docs: DataFrame, width: int) -> DataFrame:
-    """(doc_id, text_key, starts): for each document with removals, the word numbers at which removed windows start.
+    return ids, keys, doc[marked], at[marked]
+
+
+def _merge(width: int):
+    schema = pa.schema([("doc_id", pa.int64()), ("text_key", pa.int32()), ("intervals", pa.binary())])
+
+    def merge(table: pa.Table) -> pa.Table:
+        """Of one group of documents: each document's windows merged into maximal [from, to) intervals."""
+        ids, keys, doc, at = [], [], [], []
+        n = 0
+        for doc_id, text_key, count, starts in zip(*(table.column(c).to_pylist() for c in ("doc_id", "text_key", "count", "starts")), strict=True):
+            ids.append(np.frombuffer(doc_id, "<i8"))
+            keys.append(np.frombuffer(text_key, "<i4"))
+            doc.append(np.repeat(np.arange(n, n + len(ids[-1])), np.frombuffer(count, "<u4")))
+            at.append(np.frombuffer(starts, "<u4").astype(np.int64))
+            n += len(ids[-1])
+        ids, keys, doc, at = map(np.concatenate, (ids, keys, doc, at))
+        order = np.lexsort((at, keys[doc], ids[doc]))
+        doc, at = doc[order], at[order]
+        other = np.concatenate(([True], (np.diff(ids[doc]) != 0) | (np.diff(keys[doc]) != 0)))
+        gap = other | np.concatenate(([True], at[1:] > at[:-1] + width))
+        begin, end = at[gap], at[np.append(np.flatnonzero(gap)[1:], len(at)) - 1] + width
+        of = np.cumsum(other)[gap] - 1
+        cuts = np.searchsorted(of, np.arange(of[-1] + 2))
+        both = np.stack((begin, end), 1).astype("<u4")
+        blobs = [both[x:y].tobytes() for x, y in zip(cuts[:-1], cuts[1:], strict=True)]
+        return pa.table([ids[doc[other]], keys[doc[other]], pa.array(blobs, pa.binary())], schema=schema)
+
+    return merge
+
+
+def removal_intervals(docs: DataFrame, width: int) -> DataFrame:
+    """(doc_id, text_key, intervals): one row for each document with removals, its [from, to) word ranges as pairs of 32-bit numbers.
 
     ``docs`` as ``with_key`` gives it; doc_id is LAST_ID here where it is null.
     """
     n = partitions(docs.sparkSession)
     windows = docs.mapInArrow(_scan(width, n), "bucket int, doc_id binary, text_key binary, count binary, hash binary, place binary")
-    found = windows.groupBy("bucket").applyInArrow(_count, "doc_id long, text_key int, starts binary")
-    # one row per bucket and document, so a document's list is bounded by its own length
-    return found.groupBy("doc_id", "text_key").agg(F.collect_list("starts").alias("starts"))
-
-
-def covered(n_words: int, starts: list[bytes] | None, width: int) -> np.ndarray:
-    """Which words the windows cover: intervals merged by a running sum."""
-    step = np.zeros(n_words + 1, np.int32)
-    if starts:
-        at = np.unique(np.frombuffer(b"".join(starts), "<u4"))
-        step[at] += 1
-        step[at + width] -= 1
-    return np.cumsum(step[:-1]) > 0
+    found = windows.groupBy("bucket").applyInArrow(_count(n), "grp int, doc_id binary, text_key binary, count binary, starts binary")
+    return found.groupBy("grp").applyInArrow(_merge(width), "doc_id long, text_key int, intervals binary")
 
 
 def remove_repeats(df: DataFrame, width: int = 50, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -134,7 +167,7 @@ def remove_repeats(df: DataFrame, width: int = 50, id_col: str = "doc_id", text_
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         schema = pa.schema([("doc_id", pa.int64()), ("n_words", pa.int64()), ("n_removed", pa.int64()), ("kept", pa.string()), ("kept_sha256", pa.string()), ("intervals", pa.list_(pa.list_(pa.int64())))])
         for b in batches:
-            ids, marks = b.column("doc_id"), b.column("starts")
+            ids, marks = b.column("doc_id"), b.column("intervals")
             raw, offsets = text_bytes(b.column("text"))
             for i, j in spans_of_bytes(offsets):
                 part, off = raw[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i]
@@ -142,14 +175,16 @@ def remove_repeats(df: DataFrame, width: int = 50, id_col: str = "doc_id", text_
                 rows = []
                 for k in range(i, j):
                     s, e = starts[word_at[k - i] : word_at[k - i + 1]], ends[word_at[k - i] : word_at[k - i + 1]]
-                    gone = covered(len(s), marks[k].as_py(), width)
+                    ranges = np.frombuffer(marks[k].as_py() or b"", "<u4").reshape(-1, 2).tolist()
+                    gone = np.zeros(len(s), bool)
+                    for x, y in ranges:
+                        gone[x:y] = True
                     kept = b" ".join([part[x:y].tobytes() for x, y in zip(s[~gone].tolist(), e[~gone].tolist(), strict=True)])
-                    edges = np.flatnonzero(np.diff(np.concatenate(([0], gone.view(np.int8), [0]))))
-                    rows.append((ids[k].as_py(), len(s), int(gone.sum()), kept.decode("utf-8", "replace"), sha256_hex(kept), edges.reshape(-1, 2).tolist()))
+                    rows.append((ids[k].as_py(), len(s), int(gone.sum()), kept.decode("utf-8", "replace"), sha256_hex(kept), ranges))
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), schema.types, strict=True)], schema=schema)
 
     docs = with_key(df, id_col, text_col)
-    marks = saved(marked_windows(docs, width), "windows").withColumnRenamed("doc_id", "key_id")
+    marks = saved(removal_intervals(docs, width), "intervals").withColumnRenamed("doc_id", "key_id")
     both = docs.join(marks, (F.coalesce("doc_id", F.lit(LAST_ID)) == F.col("key_id")) & (docs["text_key"] == marks["text_key"]), "left")
     out = "doc_id long, n_words long, n_removed long, kept string, kept_sha256 string, intervals array<array<long>>"
-    return both.select("doc_id", "text", "starts").mapInArrow(cut, out)
+    return both.select("doc_id", "text", "intervals").mapInArrow(cut, out)
