@@ -184,7 +184,8 @@ def remove_repeats(df: DataFrame, width: int = 50, id_col: str = "doc_id", text_
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), schema.types, strict=True)], schema=schema)
 
     docs = with_key(df, id_col, text_col)
+    # the intervals grow with the input: they are never to be broadcast, however small they are now
     marks = saved(removal_intervals(docs, width), "intervals").withColumnRenamed("doc_id", "key_id")
-    both = docs.join(marks, (F.coalesce("doc_id", F.lit(LAST_ID)) == F.col("key_id")) & (docs["text_key"] == marks["text_key"]), "left")
+    both = docs.join(marks.hint("merge"), (F.coalesce("doc_id", F.lit(LAST_ID)) == F.col("key_id")) & (docs["text_key"] == marks["text_key"]), "left")
     out = "doc_id long, n_words long, n_removed long, kept string, kept_sha256 string, intervals array<array<long>>"
     return both.select("doc_id", "text", "intervals").mapInArrow(cut, out)
