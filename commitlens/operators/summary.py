@@ -76,3 +76,16 @@ def shared_paths(items: DataFrame) -> DataFrame:
     """Items whose path stands more than once in its changeset under different ids."""
     w = W.partitionBy(*CHANGESET, "server_path")
     return items.withColumn("_a", F.min("file_id").over(w)).withColumn("_b", F.max("file_id").over(w)).where("_a <> _b").drop("_a", "_b")
+
+
+def reconcile(files: DataFrame, tracked: DataFrame) -> DataFrame:
+    """repo_id, server_path, problem: paths that only the history (``not tracked``) or only the snapshot (``not in history``) knows."""
+    a = files.select("repo_id", "server_path").distinct().withColumn("_a", F.lit(True))
+    b = tracked.select("repo_id", "server_path").distinct().withColumn("_b", F.lit(True))
+    problem = F.when(F.col("_b").isNull(), "not tracked").when(F.col("_a").isNull(), "not in history")
+    return a.join(b, ["repo_id", "server_path"], "full").select("repo_id", "server_path", problem.alias("problem")).where("problem is not null")
+
+
+def existing(files: DataFrame, tracked: DataFrame) -> DataFrame:
+    """Files whose latest path is in the snapshot; an id whose latest path is gone is dropped with all its history."""
+    return files.join(tracked, ["repo_id", "server_path"], "left_semi")

@@ -21,6 +21,7 @@ from .operators import summary as S
 from .operators import teams as T
 from .operators import tree
 from .plans import analyses as A
+from .plans.sync import sync_git
 from .plans.testdata import Tables, with_views
 from .schemas import DELETE, EDIT, RENAME
 from .sources import files, logs
@@ -795,3 +796,44 @@ def k1_canonical_table(t: Tables) -> DataFrame:
     path = _out(t, "table")
     files.write_table(t.file, path)
     return t.spark.read.parquet(path).where("repo_id = 'main'").select("file_id", "server_path", "code")
+
+
+@query("select path, depth::int as depth, area from (" + "select path, depth, sum(area) as area from (select array_to_string(p[1:d], '/') as path, d as depth, area from (select *, unnest(range(0, len(p) + 1)) as d from (select string_split(server_path, '/') as p, code::double as area from file where code > 20))) group by 1, 2)", "file")
+def k8_saved_tree(t: Tables) -> DataFrame:
+    """A tree that was written and is loaded again."""
+    path = _out(t, "tree")
+    files.write_table(tree.build(t.file.where("code > 20"), F.col("code"), F.col("code")), path)
+    return t.spark.read.parquet(path).select("path", "depth", "area")
+
+
+@query("select coalesce(a.server_path, b.server_path) as server_path, case when b.server_path is null then 'not tracked' else 'not in history' end as problem from (select distinct server_path from change_item) a full join (select server_path from file where code > 5 union all select concat('new/', server_path) from file where code > 48) b on a.server_path = b.server_path where a.server_path is null or b.server_path is null", "file", "change_item")
+def j15_reconcile(t: Tables) -> DataFrame:
+    snapshot = t.file.where("code > 5").select("repo_id", "server_path").union(t.file.where("code > 48").select("repo_id", F.concat(F.lit("new/"), "server_path")))
+    return S.reconcile(t.change_item, snapshot).drop("repo_id")
+
+
+@query()
+def a18_resets(t: Tables) -> DataFrame:
+    """Identity resets by kind; compared with a replay in the tests."""
+    return I.with_identity(moved(t), t.change_set)[1].groupBy("kind").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("select changeset_id, item_idx, 'rename without source' as message from change_item where kind = 16 and file_id % 4 = 0", "file", "change_item")
+def i5_invalid_items(t: Tables) -> DataFrame:
+    broken = t.change_item.withColumn("from_server_path", F.when(F.col("file_id") % 4 != 0, F.col("from_server_path")))
+    return I.invalid(broken).select("changeset_id", "item_idx", "message")
+
+
+@query("select file_id from (select file_id, concat(server_path, case when file_id % 2 = 0 then '.UnitTest_x.cs' else '.unittest.cs' end) as p from file) where p like '%UnitTest%' and p like '%\\_%' escape '\\' and p like '%.cs'", "file")
+def f8_unit_tests(t: Tables) -> DataFrame:
+    path = F.concat("server_path", F.when(F.col("file_id") % 2 == 0, F.lit(".UnitTest_x.cs")).otherwise(F.lit(".unittest.cs")))
+    return t.file.where(P.is_unit_test(path)).select("file_id")
+
+
+@query()
+def e18_sync(t: Tables) -> DataFrame:
+    """Dump to tables: items of files that are still tracked, with their ids."""
+    path = _out(t, "gitlog")
+    _git_dump(t, path)
+    tables = sync_git(t.spark, path, "main", _out(t, "sync"), t.file.where("code > 10"), TICKET)
+    return tables["change_item"].select("changeset_id", "item_idx", "kind", "server_path", "file_id")
