@@ -29,7 +29,7 @@ import tiktoken
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import partitions, plain_string_array, spans_of_bytes, text_bytes
+from .common import pack, partitions, plain_string_array, spans_of_bytes, text_bytes, unpack
 
 #: Text of one block.
 BLOCK_BYTES = 12 << 20
@@ -45,32 +45,6 @@ def word_encoder(ranks: dict[bytes, int]) -> tiktoken.Encoding:
     return tiktoken.Encoding("words", pat_str=r"[\s\S]+", mergeable_ranks=ranks, special_tokens={})
 
 
-def pack(places: np.ndarray) -> bytes:
-    """Unsigned numbers below 2**28 as 7-bit groups, low group first, the high bit on all but a number's last byte."""
-    size = 1 + (places >= 1 << 7).astype(np.int64) + (places >= 1 << 14) + (places >= 1 << 21)
-    end = np.cumsum(size)
-    out = np.zeros(int(end[-1]) if len(end) else 0, np.uint8)
-    for k in range(4):
-        has = size > k
-        more = (size > k + 1).astype(np.int64) << 7
-        out[(end - size + k)[has]] = (((places >> (7 * k)) & 127) | more)[has]
-    return out.tobytes()
-
-
-def unpack(data: bytes) -> np.ndarray:
-    raw = np.frombuffer(data, np.uint8)
-    if not len(raw):
-        return np.zeros(0, np.int64)
-    last = raw < 128
-    end = np.flatnonzero(last)
-    start = np.append(0, end[:-1] + 1)
-    out = np.zeros(len(end), np.int64)
-    for k in range(4):
-        has = start + k <= end
-        out[has] |= (raw[(start + k)[has]].astype(np.int64) & 127) << (7 * k)
-    return out
-
-
 def _read_blocks(batches: Iterator[pa.RecordBatch], pattern: str) -> Iterator[tuple[int, list, np.ndarray, np.ndarray, list[str]]]:
     """Blocks as (name, doc_ids, tokens of each document, place of each position, words by place)."""
     split = regex.compile(pattern).findall
@@ -120,7 +94,7 @@ def _words(pattern: str, buckets: int):
             for k in np.flatnonzero(np.diff(cuts)):
                 mine = order[cuts[k] : cuts[k + 1]]
                 some = [raw[i] for i in mine.tolist()]
-                rows.append({"bucket": int(k), "block": name, "places": mine.astype("<u4").tobytes(), "lengths": np.array([len(w) for w in some], "<u4").tobytes(), "words": b"".join(some)})
+                rows.append({"bucket": int(k), "block": name, "places": pack(np.diff(mine, prepend=0)), "lengths": pack(np.array([len(w) for w in some])), "words": b"".join(some)})
             yield pa.RecordBatch.from_pylist(rows, schema)
 
     return words
@@ -132,18 +106,19 @@ def _encode(ranks_path: str):
     def encode(table: pa.Table) -> pa.Table:
         """Of one bucket of words: each distinct word's ids, once; then the ids of each block's words."""
         one = word_encoder(load_ranks(ranks_path)).encode_ordinary
-        known: dict[bytes, bytes] = {}
+        known: dict[bytes, tuple[int, bytes]] = {}
         rows = []
         for block, places, lengths, words in zip(*(table.column(c).to_pylist() for c in ("block", "places", "lengths", "words")), strict=True):
             at, out = 0, []
-            for n in np.frombuffer(lengths, "<u4").tolist():
+            for n in unpack(lengths).tolist():
                 w = words[at : at + n]
                 at += n
                 ids = known.get(w)
                 if ids is None:
-                    ids = known[w] = np.array(one(w.decode()), "<u4").tobytes()
+                    found = one(w.decode())
+                    ids = known[w] = (len(found), pack(np.array(found)))
                 out.append(ids)
-            rows.append({"block": block, "places": places, "counts": (np.array([len(x) for x in out]) // 4).astype("<u4").tobytes(), "ids": b"".join(out)})
+            rows.append({"block": block, "places": places, "counts": pack(np.array([n for n, _ in out])), "ids": b"".join([x for _, x in out])})
         return pa.Table.from_pylist(rows, schema)
 
     return encode
@@ -174,10 +149,10 @@ def _assemble(table_bytes: np.ndarray, table_at: np.ndarray, with_ids: bool, wit
         for b in batches:
             for row in range(b.num_rows):
                 doc_ids, n_words, positions, parts = (b.column(c)[row].as_py() for c in ("doc_ids", "n_words", "positions", "parts"))
-                parts = parts or []
-                place = np.concatenate([np.zeros(0, "<u4"), *(np.frombuffer(p["places"], "<u4") for p in parts)]).astype(np.int64)
-                count = np.concatenate([np.zeros(0, "<u4"), *(np.frombuffer(p["counts"], "<u4") for p in parts)]).astype(np.int64)
-                ids = np.concatenate([np.zeros(0, "<u4"), *(np.frombuffer(p["ids"], "<u4") for p in parts)])
+                none = np.zeros(0, np.int64)
+                place = np.concatenate([none, *(np.cumsum(unpack(p["places"])) for p in parts or [])])
+                count = np.concatenate([none, *(unpack(p["counts"]) for p in parts or [])])
+                ids = np.concatenate([none, *(unpack(p["ids"]) for p in parts or [])])
                 begin = np.cumsum(count) - count
                 order = np.argsort(place)
                 ids = ids[gather(np.append(begin, len(ids)), order)] if len(order) else ids  # by place

@@ -164,6 +164,32 @@ LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
 
 
+def pack(numbers: np.ndarray) -> bytes:
+    """Unsigned numbers below 2**28 as 7-bit groups, low group first, the high bit on all but a number's last byte."""
+    size = 1 + (numbers >= 1 << 7).astype(np.int64) + (numbers >= 1 << 14) + (numbers >= 1 << 21)
+    end = np.cumsum(size)
+    out = np.zeros(int(end[-1]) if len(end) else 0, np.uint8)
+    for k in range(4):
+        has = size > k
+        more = (size > k + 1).astype(np.int64) << 7
+        out[(end - size + k)[has]] = (((numbers >> (7 * k)) & 127) | more)[has]
+    return out.tobytes()
+
+
+def unpack(data: bytes) -> np.ndarray:
+    raw = np.frombuffer(data, np.uint8)
+    if not len(raw):
+        return np.zeros(0, np.int64)
+    last = raw < 128
+    end = np.flatnonzero(last)
+    start = np.append(0, end[:-1] + 1)
+    out = np.zeros(len(end), np.int64)
+    for k in range(4):
+        has = start + k <= end
+        out[has] |= (raw[(start + k)[has]].astype(np.int64) & 127) << (7 * k)
+    return out
+
+
 def sha256_hex(b: bytes) -> str:
     return hashlib.sha256(b).hexdigest()
 
