@@ -28,7 +28,9 @@ from .common import LETTER_OR_DIGIT, LOWER, mix, range_hashes, spans_of_bytes, t
 
 BUCKETS = 1 << 17
 DIMENSIONS = 8
-SEGMENT = 12
+SEGMENT = 4
+#: Segments in one step of the training, and the most occurrences of words held for it at once.
+STEP = 2048
 NGRAMS = (3, 4, 5, 6)
 BORDER = 0x20
 
@@ -76,9 +78,25 @@ def read_words(raw: np.ndarray, offsets: np.ndarray) -> Words:
     return Words(bucket, at, word, segment, np.repeat(np.arange(texts), segments), texts)
 
 
+def together(parts: list[Words]) -> Words:
+    """The words of several runs of texts as those of one."""
+    base = np.cumsum([0, *(len(p.at) - 1 for p in parts)])
+    grams = np.cumsum([0, *(len(p.bucket) for p in parts)])
+    segments = np.cumsum([0, *(len(p.segment_text) for p in parts)])
+    texts = np.cumsum([0, *(p.texts for p in parts)])
+    return Words(
+        np.concatenate([p.bucket for p in parts]),
+        np.concatenate([*(p.at[:-1] + g for p, g in zip(parts, grams[:-1], strict=True)), grams[-1:]]),
+        np.concatenate([(p.word + b).astype(np.int32) for p, b in zip(parts, base[:-1], strict=True)]),
+        np.concatenate([(p.segment + b).astype(np.int32) for p, b in zip(parts, segments[:-1], strict=True)]),
+        np.concatenate([(p.segment_text + b).astype(np.int32) for p, b in zip(parts, texts[:-1], strict=True)]),
+        int(texts[-1]),
+    )
+
+
 def means(values: np.ndarray, at: np.ndarray) -> np.ndarray:
-    total = np.concatenate(([0.0], np.cumsum(values, dtype=np.float64)))
-    return (total[at[1:]] - total[at[:-1]]) / np.maximum(np.diff(at), 1)
+    """Of the runs [at[i], at[i+1]), none of which is empty."""
+    return np.add.reduceat(values, at[:-1]) / np.diff(at) if len(values) else np.zeros(0)
 
 
 def segment_values(w: Words, gram_value: np.ndarray) -> np.ndarray:
@@ -109,25 +127,38 @@ class Model:
         return (self.vectors @ (self.classes[:, 1] - self.classes[:, 0])).astype(np.float32), float(self.bias[1] - self.bias[0])
 
 
-def fit(w: Words, label: np.ndarray, epochs: int = 18, batches: int = 8, rate: float = 6.0, seed: int = 7) -> Model:
-    """Joint AdaGrad steps on vectors, classes and bias; the two classes weigh the same."""
+def surplus(w: Words, label: np.ndarray) -> np.ndarray:
+    """For each n-gram bucket: by how many standard errors it is found in more (or fewer) texts of label 1 than its frequency would have."""
+    found = np.zeros((2, BUCKETS))
+    text = w.segment_text[w.segment]
+    for t in range(w.texts):
+        lo, hi = np.searchsorted(text, (t, t + 1))
+        words = np.unique(w.word[lo:hi])
+        k = w.at[words + 1] - w.at[words]
+        index = np.arange(int(k.sum())) - np.repeat(np.cumsum(k) - k, k) + np.repeat(w.at[words], k)
+        found[label[t]][np.unique(w.bucket[index])] += 1
+    expected = found.sum(0) * (label == 1).mean()
+    return (found[1] - expected) / np.sqrt(expected + 1)
+
+
+def fit(w: Words, label: np.ndarray, epochs: int = 12, batches: int = 8, rate: float = 3.0, seed: int = 7) -> Model:
+    """Joint AdaGrad steps on vectors, classes and bias; the two classes weigh the same.
+
+    The first coordinate starts as the n-gram's surplus in texts of label 1, which lets the first epochs find the segments that
+    matter; all coordinates are then trained together.
+    """
     rng = np.random.default_rng(seed)
-    m = Model(rng.normal(0, 0.1, (BUCKETS, DIMENSIONS)), rng.normal(0, 0.5, (DIMENSIONS, 2)), np.zeros(2))
+    m = Model(rng.normal(0, 0.1, (BUCKETS, DIMENSIONS)), rng.normal(0, 0.3, (DIMENSIONS, 2)), np.array([0.5, -0.5]))
+    m.vectors[:, 0], m.classes[0] = surplus(w, label), (-0.5, 0.5)
     seen_v, seen_c, seen_b = np.full((BUCKETS, DIMENSIONS), 1e-6), np.full((DIMENSIONS, 2), 1e-6), np.full(2, 1e-6)
     weight = np.where(label == 1, 0.5 / max(1, (label == 1).sum()), 0.5 / max(1, (label == 0).sum()))
     per_segment = np.bincount(w.segment, minlength=len(w.segment_text))
     starts = np.searchsorted(w.segment, np.arange(len(w.segment_text) + 1))
     grams = np.diff(w.at)
-    for epoch in range(epochs):
-        value, bias = m.collapsed()
-        _, best = text_scores(w, value, bias)
-        if epoch == 0:  # nothing is known yet: every segment
-            use = np.arange(len(w.segment_text))
-            weigh = weight[w.segment_text] / np.maximum(np.bincount(w.segment_text, minlength=w.texts), 1)[w.segment_text]
-        else:
-            use = best[best >= 0]
-            weigh = weight[best >= 0]
-        for batch in np.array_split(rng.permutation(len(use)), 1 if epoch == 0 else batches):
+    for _ in range(epochs):
+        _, best = text_scores(w, *m.collapsed())
+        use, weigh = best[best >= 0], weight[best >= 0]
+        for batch in np.array_split(rng.permutation(len(use)), max(batches, -(-len(use) // STEP))):
             some, scale = use[batch], weigh[batch] / weigh[batch].sum()
             # the chosen segments' words, and those words' n-grams, each with its share in the segment's average
             n = per_segment[some]
@@ -141,26 +172,25 @@ def fit(w: Words, label: np.ndarray, epochs: int = 18, batches: int = 8, rate: f
             logits = bag @ m.classes + m.bias
             p = np.exp(logits - logits.max(1, keepdims=True))
             p /= p.sum(1, keepdims=True)
-            grad = p
-            grad[np.arange(len(some)), label[w.segment_text[some]]] -= 1
-            grad *= scale[:, None]
+            p[np.arange(len(some)), label[w.segment_text[some]]] -= 1
+            grad = p * scale[:, None]
             g_classes, g_bias, g_bag = bag.T @ grad, grad.sum(0), grad @ m.classes.T
             used, place = np.unique(bucket, return_inverse=True)
             g = np.stack([np.bincount(place, share * g_bag[gram_owner, d], len(used)) for d in range(DIMENSIONS)], 1)
             seen_v[used] += g * g
             m.vectors[used] -= rate * g / np.sqrt(seen_v[used])
             seen_c += g_classes**2
-            m.classes -= rate * 0.2 * g_classes / np.sqrt(seen_c)
+            m.classes -= 0.1 * g_classes / np.sqrt(seen_c)
             seen_b += g_bias**2
-            m.bias -= rate * 0.2 * g_bias / np.sqrt(seen_b)
+            m.bias -= 0.1 * g_bias / np.sqrt(seen_b)
     return m
 
 
 def held_out(doc_id) -> F.Column:
-    return F.pmod(F.crc32(doc_id.cast("string").cast("binary")), F.lit(3)) == 1
+    return F.coalesce(F.pmod(F.crc32(doc_id.cast("string").cast("binary")), F.lit(3)) == 1, F.lit(False))
 
 
-def train(docs: DataFrame, labels: DataFrame, per_class: int = 4000, id_col: str = "doc_id", text_col: str = "text") -> Model | None:
+def train(docs: DataFrame, labels: DataFrame, per_class: int = 1500, id_col: str = "doc_id", text_col: str = "text") -> Model | None:
     """Fits on at most per_class documents of each class whose id is not held out."""
     known = labels.where("toxic is not null and doc_id is not null").where(~held_out(F.col("doc_id"))).groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
     ids = docs.where(F.col(id_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
@@ -170,11 +200,11 @@ def train(docs: DataFrame, labels: DataFrame, per_class: int = 4000, id_col: str
     label = sample.column("toxic").to_numpy().astype(np.int64)
     if len(np.unique(label)) < 2:
         return None
-    text = [x.as_py().encode() for x in sample.column("text")]
-    return fit(read_words(np.frombuffer(b"".join(text), np.uint8), np.concatenate(([0], np.cumsum([len(t) for t in text])))), label)
+    raw, offsets = text_bytes(sample.column("text"))
+    return fit(together([read_words(raw[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i]) for i, j in spans_of_bytes(offsets, 1 << 20)]), label)
 
 
-def _score(table):
+def _score(table, name: str):
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         value, bias = table.value
         for b in batches:
@@ -182,21 +212,17 @@ def _score(table):
             for i, j in spans_of_bytes(offsets):
                 s, _ = text_scores(read_words(raw[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i]), value, bias)
                 rows = [b.column(k).slice(i, j - i) for k in range(b.num_columns)]
-                yield pa.RecordBatch.from_arrays([*rows, pa.array(s)], names=[*b.schema.names, "score"])
+                yield pa.RecordBatch.from_arrays([*rows, pa.array(s)], names=[*b.schema.names, name])
 
     return score
 
 
-def scores(docs: DataFrame, model: Model | None, text_col: str = "text") -> DataFrame:
-    """The rows with ``score`` (0 to 1) and ``predicted`` (1 from 0.7 on); columns of those names are replaced."""
-    rows = docs.drop("score", "predicted")
-    if text_col != "text":
-        rows = rows.withColumnRenamed(text_col, "text")
+def scores(docs: DataFrame, model: Model | None, score: str = "score", predicted: str = "predicted") -> DataFrame:
+    """The rows with two more columns: the score of column ``text`` (0 to 1) and the prediction (1 from 0.7 on). Columns of those names are replaced."""
+    rows = docs.drop(score, predicted)
     if model is None:
-        out = rows.withColumn("score", F.lit(0.0))
+        out = rows.withColumn(score, F.lit(0.0))
     else:
         table = docs.sparkSession.sparkContext.broadcast(model.collapsed())
-        out = rows.mapInArrow(_score(table), T.StructType([*rows.schema.fields, T.StructField("score", T.DoubleType())]))
-    if text_col != "text":
-        out = out.withColumnRenamed("text", text_col)
-    return out.withColumn("predicted", (F.col("score") >= 0.7).cast("int"))
+        out = rows.mapInArrow(_score(table, score), T.StructType([*rows.schema.fields, T.StructField(score, T.DoubleType())]))
+    return out.withColumn(predicted, (F.col(score) >= 0.7).cast("int"))
