@@ -23,17 +23,21 @@ def _with_text(docs: DataFrame, texts: DataFrame) -> DataFrame:
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier rejects go."""
     model = toxicity.train(docs, ship(spark).read.parquet(f"{sf_dir}/labels.parquet"))
-    return toxicity.scores(docs, model).where("predicted = 0").select(*docs.columns)
+    return toxicity.scores(docs, model, "_score", "_predicted").where("_predicted = 0").select(*docs.columns)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of documents linked by a Jaccard similarity of 0.8 on five-word shingles, directly or over others, the one with the smallest id stays."""
+    """Of documents linked by a Jaccard similarity of 0.8 on five-word shingles, directly or over others, the one with the smallest id stays.
+
+    Rows without an id go if they are linked to one that has one; rows that repeat both id and text count once.
+    """
     ship(spark)
     linked = jaccard_join.link(docs, words=5, num=80, den=100)
-    gone = saved(linked.where("component_id < doc_id").select("doc_id", "text_key").distinct(), "duplicates")
-    rest = docs.withColumn("text_key", F.hash(F.col("text"))).join(gone.hint("merge"), ["doc_id", "text_key"], "left_anti")
-    # rows that repeat the id and the text of one that stays
-    return rest.dropDuplicates(["doc_id", "text_key"]).select(*docs.columns)
+    gone = linked.where("component_id < doc_id or (doc_id is null and component_id is not null)")
+    gone = saved(gone.select(F.col("doc_id").alias("_id"), F.col("text_key").alias("_gone_key")).distinct(), "duplicates").hint("merge")
+    rows = docs.withColumn("_text_key", F.hash("text"))
+    rest = rows.join(gone, F.col("doc_id").cast("long").eqNullSafe(F.col("_id")) & (F.col("_text_key") == F.col("_gone_key")), "left_anti")
+    return rest.dropDuplicates(["doc_id", "_text_key"]).select(*docs.columns)
 
 
 def remove_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -51,7 +55,7 @@ def tokenise(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, n_tokens, ids, ids_sha256, decoded_sha256."""
     ship(spark)
     ranks = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
-    return byte_bpe.encode(docs, ranks, public_tokenizers.PATTERN, with_decoded=False).drop("decoded")
+    return byte_bpe.encode(docs, ranks, public_tokenizers.PATTERN, units=byte_bpe.UNITS, with_decoded=False).drop("decoded")
 
 
 STAGES = [
