@@ -2,9 +2,9 @@
 
 1. Scan: every window of ``width`` consecutive words gets a Rabin-Karp hash from one prefix sum over the document's word hashes.
    A second, independent hash deals the windows to buckets, so the two together tell windows apart (64 bits and the bucket's).
-   A task packs the windows of a few MB of text that go to one bucket into one binary row: 8 bytes of hash and 3 or 4 of place.
+   A task packs the windows of a few MB of text that go to one bucket into one binary row: 8 bytes of hash and mostly one of place, as the gap to the document's window before.
 2. Count: per bucket, the least doc_id of each hash is found; windows whose hash starts in a smaller doc_id are marked.
-   A window that millions of documents share costs its bucket 12 bytes an occurrence at most and no pair is ever formed.
+   A window that millions of documents share costs its bucket about 10 bytes an occurrence and no pair is ever formed.
 3. Merge: the marked windows go to their documents' group, packed too, and become one row of maximal intervals a document. Those rows
    are joined to the texts by the document's key, and the intervals are cut out.
 
@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import NOT_SPACE, mix, partitions, range_hashes, saved, sha256_hex, spans_of_bytes, text_bytes, with_key, word_hashes, word_spans
+from .common import NOT_SPACE, mix, pack, partitions, range_hashes, saved, sha256_hex, spans_of_bytes, text_bytes, unpack, with_key, word_hashes, word_spans
 
 LAST_ID = (1 << 63) - 1
 WINDOW_BASE, BUCKET_SALT = 0xD6E8FEB86659FD93, np.uint64(0xA0761D6478BD642F)
@@ -62,15 +62,16 @@ def _scan(width: int, buckets: int):
                 bucket = (second % np.uint64(buckets)).astype(np.int64)
                 order = np.argsort(bucket, kind="stable")
                 cuts = np.searchsorted(bucket[order], np.arange(buckets + 1))
-                place = (at - word_at[text]).astype("<u4")  # the window's first word within its document
-                size = 3 if len(at) < 1 << 24 else 4
+                place = at - word_at[text]  # the window's first word within its document
                 rows = []
                 for k in np.flatnonzero(np.diff(cuts)):
                     mine = order[cuts[k] : cuts[k + 1]]
-                    used, count = np.unique(text[mine], return_counts=True)
+                    used, at_first, count = np.unique(text[mine], return_index=True, return_counts=True)
+                    gaps = np.diff(place[mine], prepend=0)
+                    gaps[at_first] = place[mine[at_first]]
                     rows.append({
                         "bucket": int(k), "doc_id": ids[i:j][used].astype("<i8").tobytes(), "text_key": keys[i:j][used].astype("<i4").tobytes(), "count": count.astype("<u4").tobytes(),
-                        "hash": first[mine].astype("<u8").tobytes(), "place": place[mine].view(np.uint8).reshape(-1, 4)[:, :size].tobytes(),
+                        "hash": first[mine].astype("<u8").tobytes(), "place": pack(gaps),
                     })
                 yield pa.RecordBatch.from_pylist(rows, schema)
 
@@ -104,13 +105,12 @@ def _marked(table: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.nda
     n = 0
     for doc_id, text_key, count, h, place in zip(*(table.column(c).to_pylist() for c in ("doc_id", "text_key", "count", "hash", "place")), strict=True):
         hashes.append(np.frombuffer(h, "<u8"))
-        size = len(place) // len(hashes[-1])
-        wide = np.zeros((len(hashes[-1]), 4), np.uint8)
-        wide[:, :size] = np.frombuffer(place, np.uint8).reshape(-1, size)
-        starts.append(wide.view("<u4").ravel())
+        count = np.frombuffer(count, "<u4")
+        upto = np.cumsum(unpack(place))  # places are kept as the gaps between a document's windows
+        starts.append(upto - np.repeat(np.concatenate(([0], upto))[np.cumsum(count) - count], count))
         ids.append(np.frombuffer(doc_id, "<i8"))
         keys.append(np.frombuffer(text_key, "<i4"))
-        docs.append(np.repeat(np.arange(n, n + len(ids[-1]), dtype=np.int32), np.frombuffer(count, "<u4")))
+        docs.append(np.repeat(np.arange(n, n + len(ids[-1]), dtype=np.int32), count))
         n += len(ids[-1])
     h, doc, at = np.concatenate(hashes), np.concatenate(docs), np.concatenate(starts).astype("<u4")
     del hashes, docs, starts
