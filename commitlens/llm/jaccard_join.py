@@ -268,7 +268,7 @@ def verified(edges: DataFrame, nodes: DataFrame, docs: DataFrame, words: int, nu
     texts = docs.select(F.coalesce("doc_id", F.lit(LAST_ID)).alias("id"), "text_key", "text")
     # only texts that stand for a node in question are dealt on
     used = need.join(where, "a")
-    rows = texts.join(used, ["id", "text_key"])  # rows that repeat id and text give the same answer twice
+    rows = texts.join(used.hint("merge"), ["id", "text_key"])  # rows that repeat id and text give the same answer twice
     n = partitions(docs.sparkSession)
     rows = rows.select("a", "b", "part", "text").repartition(n, "b", "part").sortWithinPartitions("b", "part", F.col("a") != F.col("b"))
     return rows.select("a", "b", "text").mapInArrow(_verify(words, num, den), "a long, b long")
