@@ -19,6 +19,7 @@ from __future__ import annotations
 
 import base64
 import hashlib
+import re
 import zlib
 from collections.abc import Iterator
 
@@ -45,27 +46,49 @@ def word_encoder(ranks: dict[bytes, int]) -> tiktoken.Encoding:
     return tiktoken.Encoding("words", pat_str=r"[\s\S]+", mergeable_ranks=ranks, special_tokens={})
 
 
-def _read_blocks(batches: Iterator[pa.RecordBatch], pattern: str) -> Iterator[tuple[int, list, np.ndarray, np.ndarray, list[str]]]:
+class Numbers(dict):
+    """Numbers what is looked up, in order of first sight."""
+
+    def __missing__(self, key):
+        self[key] = n = len(self)
+        return n
+
+
+#: White space as Unicode's property has it.
+SPACE = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
+#: Units of the public pattern: a run without white space with the one space before it, or white space as the pattern takes it.
+#: No pre-token crosses their borders, so a text's pre-tokens are those of its units, and each distinct unit is split once a block.
+UNITS = rf" ?[^{SPACE}]+|[{SPACE}]+(?![^{SPACE}])|[{SPACE}]+"
+
+
+def _read_blocks(batches: Iterator[pa.RecordBatch], pattern: str, units: str | None) -> Iterator[tuple[int, list, np.ndarray, np.ndarray, list[str]]]:
     """Blocks as (name, doc_ids, tokens of each document, place of each position, words by place)."""
     split = regex.compile(pattern).findall
+    find = re.compile(units).findall if units else split
 
     def block(parts: list[tuple[list, list[str]]]):
-        seen: dict[str, int] = {}
-        numbers, counts, ids = [], [], []
+        unit, word = Numbers(), Numbers()
+        numbers, ids = [], []
         name = hashlib.blake2b(digest_size=8)
         for doc_ids, texts in parts:
             for doc_id, text in zip(doc_ids, texts, strict=True):
-                words = split(text)
-                numbers.append(np.fromiter((seen.setdefault(w, len(seen)) for w in words), np.int32, len(words)))
-                counts.append(len(words))
+                found = find(text)
+                numbers.append(np.fromiter(map(unit.__getitem__, found), np.int32, len(found)))
                 ids.append(doc_id)
                 name.update(f"{doc_id}:{len(text)}:".encode() + text.encode())
+        words_of = [split(u) for u in unit] if units else [(u,) for u in unit]
+        unit_words = np.fromiter((word[w] for words in words_of for w in words), np.int32)
+        size = np.fromiter(map(len, words_of), np.int64, len(words_of))
+        unit_at = np.concatenate(([0], np.cumsum(size)))
         flat = np.concatenate(numbers)
-        often = np.argsort(-np.bincount(flat, minlength=len(seen)), kind="stable")
-        place = np.empty(len(seen), np.int32)
-        place[often] = np.arange(len(seen))
-        names = list(seen)
-        return int.from_bytes(name.digest(), "little", signed=True), ids, np.array(counts, "<u4"), place[flat], [names[k] for k in often.tolist()]
+        ends = np.concatenate(([0], np.cumsum(size[flat])))[np.cumsum([len(n) for n in numbers])]
+        # positions a part at a time, as their numbers are wider than what is kept
+        flat = np.concatenate([np.zeros(0, np.int32), *(unit_words[gather(unit_at, flat[k : k + (1 << 19)])] for k in range(0, len(flat), 1 << 19))])
+        often = np.argsort(-np.bincount(flat, minlength=len(word)), kind="stable")
+        place = np.empty(len(word), np.int32)
+        place[often] = np.arange(len(word))
+        names = list(word)
+        return int.from_bytes(name.digest(), "little", signed=True), ids, np.diff(ends, prepend=0).astype("<u4"), place[flat], [names[k] for k in often.tolist()]
 
     held, size = [], 0
     for b in batches:
@@ -81,11 +104,11 @@ def _read_blocks(batches: Iterator[pa.RecordBatch], pattern: str) -> Iterator[tu
         yield block(held)
 
 
-def _words(pattern: str, buckets: int):
+def _words(pattern: str, units: str | None, buckets: int):
     schema = pa.schema([("bucket", pa.int32()), ("block", pa.int64()), ("places", pa.binary()), ("lengths", pa.binary()), ("words", pa.binary())])
 
     def words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for name, _, _, _, words in _read_blocks(batches, pattern):
+        for name, _, _, _, words in _read_blocks(batches, pattern, units):
             raw = [w.encode() for w in words]
             bucket = np.fromiter((zlib.crc32(w) % buckets for w in raw), np.int64, len(raw))
             order = np.argsort(bucket, kind="stable")
@@ -106,29 +129,29 @@ def _encode(ranks_path: str):
     def encode(table: pa.Table) -> pa.Table:
         """Of one bucket of words: each distinct word's ids, once; then the ids of each block's words."""
         one = word_encoder(load_ranks(ranks_path)).encode_ordinary
-        known: dict[bytes, tuple[int, bytes]] = {}
+        known: dict[bytes, list[int]] = {}
         rows = []
         for block, places, lengths, words in zip(*(table.column(c).to_pylist() for c in ("block", "places", "lengths", "words")), strict=True):
-            at, out = 0, []
+            at, counts, out = 0, [], []
             for n in unpack(lengths).tolist():
                 w = words[at : at + n]
                 at += n
                 ids = known.get(w)
                 if ids is None:
-                    found = one(w.decode())
-                    ids = known[w] = (len(found), pack(np.array(found)))
-                out.append(ids)
-            rows.append({"block": block, "places": places, "counts": pack(np.array([n for n, _ in out])), "ids": b"".join([x for _, x in out])})
+                    ids = known[w] = one(w.decode())
+                counts.append(len(ids))
+                out += ids
+            rows.append({"block": block, "places": places, "counts": pack(np.array(counts)), "ids": pack(np.array(out))})
         return pa.Table.from_pylist(rows, schema)
 
     return encode
 
 
-def _documents(pattern: str):
+def _documents(pattern: str, units: str | None):
     schema = pa.schema([("block", pa.int64()), ("doc_ids", pa.list_(pa.int64())), ("n_words", pa.binary()), ("positions", pa.binary())])
 
     def documents(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for name, ids, counts, places, _ in _read_blocks(batches, pattern):
+        for name, ids, counts, places, _ in _read_blocks(batches, pattern, units):
             packed = b"".join(pack(places[k : k + (1 << 19)]) for k in range(0, len(places), 1 << 19))
             yield pa.RecordBatch.from_pylist([{"block": name, "doc_ids": ids, "n_words": counts.tobytes(), "positions": packed}], schema)
 
@@ -179,17 +202,18 @@ def _batch(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), schema.types, strict=True)], schema=schema)
 
 
-def encode(df: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = True, with_decoded: bool = True) -> DataFrame:
+def encode(df: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text", units: str | None = None, with_ids: bool = True, with_decoded: bool = True) -> DataFrame:
     """Per input row: doc_id, n_tokens, ids_sha256, decoded_sha256 and, if asked for, ids and decoded (the bytes that the ids stand for).
 
-    ``ranks_path`` must be readable on every executor; ``pattern`` splits texts into pre-tokens.
+    ``ranks_path`` must be readable on every executor; ``pattern`` splits texts into pre-tokens; ``units``, if given, is a
+    coarser pattern whose matches cover a text and hold its pre-tokens whole (UNITS for the public pattern).
     """
     n = partitions(df.sparkSession)
     docs = df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    words = docs.mapInArrow(_words(pattern, n), "bucket int, block long, places binary, lengths binary, words binary")
+    words = docs.mapInArrow(_words(pattern, units, n), "bucket int, block long, places binary, lengths binary, words binary")
     encoded = words.groupBy("bucket").applyInArrow(_encode(ranks_path), "block long, places binary, counts binary, ids binary")
     lists = encoded.groupBy("block").agg(F.collect_list(F.struct("places", "counts", "ids")).alias("parts"))  # one entry a bucket
-    whole = docs.mapInArrow(_documents(pattern), "block long, doc_ids array<long>, n_words binary, positions binary").join(lists, "block", "left")
+    whole = docs.mapInArrow(_documents(pattern, units), "block long, doc_ids array<long>, n_words binary, positions binary").join(lists, "block", "left")
     ranks = load_ranks(ranks_path)
     by_id = sorted((rank, token) for token, rank in ranks.items())
     size = np.zeros(by_id[-1][0] + 2, np.int64)

@@ -58,7 +58,7 @@ def op7_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op8_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     ranks = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
-    return byte_bpe.encode(table(spark, sf_dir, "documents"), ranks, public_tokenizers.PATTERN, with_ids=False, with_decoded=False).drop("ids", "decoded")
+    return byte_bpe.encode(table(spark, sf_dir, "documents"), ranks, public_tokenizers.PATTERN, units=byte_bpe.UNITS, with_ids=False, with_decoded=False).drop("ids", "decoded")
 
 
 def op9_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:

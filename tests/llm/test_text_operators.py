@@ -181,7 +181,7 @@ def test_byte_bpe(docs, rows):
     path = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
     ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, open(path, "rb"))}
     own = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
-    got = {r["doc_id"]: r for r in byte_bpe.encode(docs, path, public_tokenizers.PATTERN).collect()}
+    got = {r["doc_id"]: r for r in byte_bpe.encode(docs, path, public_tokenizers.PATTERN, units=byte_bpe.UNITS).collect()}
     assert len(got) == len(rows)
     for d, t in rows:
         ids = own.encode_ordinary(t or "")
@@ -189,6 +189,19 @@ def test_byte_bpe(docs, rows):
         assert got[d]["ids_sha256"] == hashlib.sha256(np.array(ids, "<u4").tobytes()).hexdigest()
 
 
+def test_units_hold_pre_tokens_whole():
+    import re
+
+    import regex
+
+    rng = random.Random(8)
+    split, units = regex.compile(public_tokenizers.PATTERN).findall, re.compile(byte_bpe.UNITS).findall
+    for _ in range(3000):
+        t = "".join(rng.choice(["a", "Bé", "1", "²", " ", "  ", "\n", "\t", "\u00a0", "\u2003", "\x1c", "\x85", "'", "'s", "'ll", ".", "!?", "_", "́", "日", "🙂"]) for _ in range(rng.randint(0, 14)))
+        assert "".join(units(t)) == t
+        assert [w for u in units(t) for w in split(u)] == split(t)
+
+
 def test_packed_numbers():
     x = np.array([0, 127, 128, 16383, 16384, 2**21 - 1, 2**21, 2**28 - 1])
     assert unpack(pack(x)).tolist() == x.tolist()
