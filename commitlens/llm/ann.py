@@ -34,7 +34,9 @@ LISTS = 4096
 #: neighbours are nearer than in a sample, so it finds no smaller share there.
 RECALL, TUNING = 0.95, 256
 #: Vectors in a block; queries in one row.
-BLOCK_ROWS, QUERY_ROWS = 4096, 512
+BLOCK_ROWS, QUERY_ROWS = 2048, 512
+#: Entries that a task combines before it passes them on.
+HELD_ROWS = 400_000
 #: Coordinates of a column block, and e of the test: a true neighbour is abandoned with probability below about 2 exp(-e^2 / 2).
 COLUMNS, CONFIDENCE = 16, 2.1
 
@@ -135,36 +137,62 @@ def _probe(index):
     return probe
 
 
-def scan(q: np.ndarray, q_lifted: np.ndarray, query_id: int, ids: np.ndarray, x: np.ndarray, columns: list[np.ndarray], k: int) -> tuple[np.ndarray, np.ndarray]:
-    """The k best (row, score) of one block for one query; ties go to the smaller id."""
-    alive = np.flatnonzero(ids != query_id)
-    if len(alive) > k:
-        dims = sum(c.shape[1] for c in columns)
-        partial, done, limit = np.zeros(len(ids)), 0, np.inf
+def best_of(query: np.ndarray, vec: np.ndarray, score: np.ndarray, k: int) -> np.ndarray:
+    """Places of each query's k best entries; ties go to the smaller id."""
+    order = np.lexsort((vec, -score, query))
+    sorted_query = query[order]
+    start = np.flatnonzero(np.concatenate(([True], sorted_query[1:] != sorted_query[:-1]))) if len(order) else np.zeros(0, np.int64)
+    rank = np.arange(len(order)) - np.repeat(start, np.diff(np.append(start, len(order))))
+    return order[rank < k]
+
+
+def scan(q: np.ndarray, q_lifted: np.ndarray, query_ids: np.ndarray, ids: np.ndarray, x: np.ndarray, columns: list[np.ndarray], k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(query, row, score) of one block for some queries: at least each query's k best rows that the test lets through.
+
+    Partial distances of all queries grow column block by column block; rows that no query needs any more drop out.
+    """
+    open_ = ids[:, None] != query_ids
+    if len(ids) > k + 1:
+        dims, rows, done = sum(c.shape[1] for c in columns), np.arange(len(ids)), 0
+        partial, limit = np.where(open_, 0.0, np.inf), None
         for c in columns:
-            partial[alive] += ((c[alive] - q_lifted[done : done + c.shape[1]]) ** 2).sum(1)
+            part, ask = c[rows], q_lifted[:, done : done + c.shape[1]]
+            partial += (part**2).sum(1)[:, None] - 2 * part @ ask.T + (ask**2).sum(1)
             done += c.shape[1]
-            if limit == np.inf:
-                # the k that look best so far are measured in full and give the limit
-                some = alive[np.argpartition(partial[alive], k - 1)[:k]]
-                at, full = done, partial[some].copy()
+            if limit is None:
+                # for each query, the k that look best so far are measured in full and give the limit
+                some = np.argpartition(partial, k - 1, 0)[:k]
+                full = np.take_along_axis(partial, some, 0)
+                at = done
                 for rest in columns[1:]:
-                    full += ((rest[some] - q_lifted[at : at + rest.shape[1]]) ** 2).sum(1)
+                    full += ((rest[some] - q_lifted[:, at : at + rest.shape[1]]) ** 2).sum(2)
                     at += rest.shape[1]
-                limit = full.max() * (1 + 1e-9) + 1e-12
-            bound = limit * (1 if done == dims else done / dims * (1 + CONFIDENCE / np.sqrt(done)) ** 2)
-            alive = alive[partial[alive] <= bound]
-    score = x[alive] @ q
-    best = np.lexsort((ids[alive], -score))[:k]
-    return alive[best], score[best]
+                limit = full.max(0) * (1 + 1e-9) + 1e-9
+            keep = partial <= limit * (1 if done == dims else done / dims * (1 + CONFIDENCE / np.sqrt(done)) ** 2)
+            partial = np.where(keep, partial, np.inf)
+            used = keep.any(1)
+            rows, partial = rows[used], partial[used]
+        place, query = np.nonzero(np.isfinite(partial))
+        row = rows[place]
+    else:
+        row, query = np.nonzero(open_)
+    return query, row, np.einsum("ij,ij->i", x[row], q[query])
 
 
 def _search(index, k: int):
-    schema = pa.schema([("query_id", pa.int64()), ("vec_id", pa.int64()), ("score", pa.float64())])
-
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ix: Index = index.value
         last, kept = None, None
+        held: list[tuple[np.ndarray, ...]] = []
+
+        def reduced() -> tuple[np.ndarray, ...]:
+            query, vec, score = (np.concatenate(c) for c in zip(*held, strict=True))
+            best = best_of(query, vec, score, k)
+            return query[best], vec[best], score[best]
+
+        def batch(columns):
+            return pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["query_id", "vec_id", "score"])
+
         for b in batches:
             for row in range(b.num_rows):
                 ids, vectors, query_ids, queries = (b.column(c)[row].as_py() for c in ("ids", "vectors", "query_ids", "queries"))
@@ -172,12 +200,17 @@ def _search(index, k: int):
                     x = np.frombuffer(vectors, "<f8").reshape(-1, ix.dim)
                     lifted = ix.lift(x)
                     last, kept = vectors, (np.frombuffer(ids, "<i8"), x, [np.ascontiguousarray(lifted[:, i : i + COLUMNS]) for i in range(0, lifted.shape[1], COLUMNS)])
-                q = np.frombuffer(queries, "<f8").reshape(-1, ix.dim)
-                lifted_q = ix.lift_query(q)
-                out: list[tuple] = [scan(q[i], lifted_q[i], n, *kept, k) for i, n in enumerate(np.frombuffer(query_ids, "<i8").tolist())]
-                size = [len(r) for r, _ in out]
-                rows = np.concatenate([r for r, _ in out])
-                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(np.frombuffer(query_ids, "<i8"), size)), pa.array(kept[0][rows]), pa.array(np.concatenate([s for _, s in out]))], schema=schema)
+                q, asked = np.frombuffer(queries, "<f8").reshape(-1, ix.dim), np.frombuffer(query_ids, "<i8")
+                query, found, score = scan(q, ix.lift_query(q), asked, *kept, k)
+                best = best_of(query, kept[0][found], score, k)
+                held.append((asked[query[best]], kept[0][found[best]], score[best]))
+                if sum(len(h[0]) for h in held) > HELD_ROWS:  # one task's entries of a query are combined before they are dealt on
+                    held = [reduced()]
+                    if len(held[0][0]) > HELD_ROWS // 2:
+                        yield batch(held[0])
+                        held = []
+        if held:
+            yield batch(reduced())
 
     return search
 
