@@ -127,11 +127,18 @@ def _encode(ranks_path: str):
     schema = pa.schema([("block", pa.int64()), ("places", pa.binary()), ("counts", pa.binary()), ("ids", pa.binary())])
 
     def encode(table: pa.Table) -> pa.Table:
-        """Of one bucket of words: each distinct word's ids, once; then the ids of each block's words."""
+        """Of one bucket of words: each distinct word's ids, once; then the ids of each block's words.
+
+        Blocks of one name are equal and so are their words; one row stands for all of them, or each place would occur twice.
+        """
         one = word_encoder(load_ranks(ranks_path)).encode_ordinary
         known: dict[bytes, list[int]] = {}
+        seen: set[int] = set()
         rows = []
         for block, places, lengths, words in zip(*(table.column(c).to_pylist() for c in ("block", "places", "lengths", "words")), strict=True):
+            if block in seen:
+                continue
+            seen.add(block)
             at, counts, out = 0, [], []
             for n in unpack(lengths).tolist():
                 w = words[at : at + n]
@@ -212,7 +219,7 @@ def encode(df: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id",
     docs = df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     words = docs.mapInArrow(_words(pattern, units, n), "bucket int, block long, places binary, lengths binary, words binary")
     encoded = words.groupBy("bucket").applyInArrow(_encode(ranks_path), "block long, places binary, counts binary, ids binary")
-    lists = encoded.groupBy("block").agg(F.collect_list(F.struct("places", "counts", "ids")).alias("parts"))  # one entry a bucket
+    lists = encoded.groupBy("block").agg(F.collect_list(F.struct("places", "counts", "ids")).alias("parts"))  # one entry a bucket, also for equal blocks
     whole = docs.mapInArrow(_documents(pattern, units), "block long, doc_ids array<long>, n_words binary, positions binary").join(lists, "block", "left")
     ranks = load_ranks(ranks_path)
     by_id = sorted((rank, token) for token, rank in ranks.items())

@@ -189,6 +189,20 @@ def test_byte_bpe(docs, rows):
         assert got[d]["ids_sha256"] == hashlib.sha256(np.array(ids, "<u4").tobytes()).hexdigest()
 
 
+def test_byte_bpe_of_rows_repeated_in_other_partitions(spark):
+    path = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
+    ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, open(path, "rb"))}
+    own = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    texts = {1: "a b", 2: "some other words, then a and b again", 3: ""}
+    df = spark.createDataFrame(spark.sparkContext.parallelize([*texts.items()] * 3, 3), EMPTY)  # equal rows in each of three tasks
+    got = byte_bpe.encode(df, path, public_tokenizers.PATTERN, units=byte_bpe.UNITS).collect()
+    assert sorted(r["doc_id"] for r in got) == sorted([*texts] * 3)
+    for r in got:
+        ids = own.encode_ordinary(texts[r["doc_id"]])
+        assert r["ids"] == ids and r["n_tokens"] == len(ids) and bytes(r["decoded"]) == texts[r["doc_id"]].encode()
+        assert r["ids_sha256"] == hashlib.sha256(np.array(ids, "<u4").tobytes()).hexdigest()
+
+
 def test_units_hold_pre_tokens_whole():
     import re
 
