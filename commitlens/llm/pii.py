@@ -4,14 +4,17 @@ Base spans. Each kind's pattern is matched leftmost and without overlaps over th
 gaps, and the running lengths of gaps and matches are the spans' code points. Texts without the character a kind needs skip its pattern.
 Matches that fail the kind's test (number range, digits, Luhn) are dropped.
 
-Sanitisation after Sanchez and Batet: a protected entity is one value of a kind. For each term that stands close to it (CONTEXT
-characters on either side), the corpus tells in how many documents both occur together, and how many hold the entity and the term at
-all. disclosure = PMI(term, entity) / information content of the entity: 1 if the term occurs only beside the entity, so whoever
-reads the term knows the entity; 0 if it tells nothing. Terms with enough support are removed from ``remove_at`` on (kind ``term``)
-and generalised from ``generalise_at`` on (kind ``broad``), in the documents where they stand beside the entity.
+Sanitisation after Sanchez and Batet: a protected entity is one value of a kind. For each term of the documents that hold it, the
+corpus tells in how many documents both occur, anywhere in the text, and how many hold the entity and the term at all.
+disclosure = PMI(term, entity) / information content of the entity: 1 if the term occurs only in documents with the entity, so whoever
+reads the term knows the entity; 0 if it tells nothing. Terms are removed from ``remove_at`` on (kind ``term``) and generalised from
+``generalise_at`` on (kind ``broad``), at all their places outside base spans in the documents that hold the entity. A pair counts
+from ``min_support`` common documents on: of an entity found in fewer, each word that is found once would tell all. So entities in
+fewer documents have no terms, and documents without the entity keep theirs.
 
 Counts are taken over all documents by aggregations that combine before they shuffle; a hot entity or term is one row of a
-partial sum per task. Joins are by term, by entity and by document; nothing is broadcast or collected.
+partial sum per task. Pairs are formed only where the counts of entity and term alone do not yet rule a disclosure out: PMI is at
+most the term's information content. Joins are by term, by entity and by document; nothing is collected.
 
 Defined results: null texts are empty; a null id is kept and never joins another; rows that repeat an id with another text are
 told apart; repeated rows count as one document and get the same spans; an empty table gives no rows.
@@ -26,8 +29,6 @@ from .common import saved
 
 KINDS = ("email", "ip", "card", "phone")
 EXTRA = ("term", "broad")
-#: Characters beside an entity in which terms are looked for.
-CONTEXT = 48
 #: Equal in matches to the contract's patterns. Possessive repeats and the look at the character before only save the regex engine
 #: from trying each place of a long run again: a run that fails from its start fails from all its later places.
 PATTERNS = {
@@ -39,7 +40,8 @@ PATTERNS = {
 #: Cheap tests that every text with a match passes.
 NEEDS = {"email": "instr(text, '@') > 0", "ip": r"instr(text, '.') > 0 and text rlike '[0-9]\\.[0-9]'", "card": r"text rlike '[0-9][ -]?[0-9]'", "phone": "instr(text, '+') > 0"}
 TERM = r"(?<!\p{L})\p{L}{4,}+"
-SPAN = "array<struct<start:int,rank:int,end:int,value:string,before:string,after:string>>"
+SPAN = "array<struct<start:int,rank:int,end:int,value:string>>"
+MARK = "array<struct<start:int,rank:int,end:int>>"
 
 
 def quoted(pattern: str) -> str:
@@ -47,14 +49,14 @@ def quoted(pattern: str) -> str:
 
 
 def placed(text: str, pattern: str, element: str, kind: str) -> str:
-    """SQL for an array built from all matches: ``element`` may use m (match), b and e (its code points), g and h (gaps before and after)."""
+    """SQL for an array built from all matches: ``element`` may use m (match), b and e (its code points)."""
     p = quoted(pattern)
     return f"""aggregate(
-        arrays_zip(regexp_extract_all({text}, {p}, 0), split({text}, {p}, -1), slice(split({text}, {p}, -1), 2, 1000000000)),
+        arrays_zip(regexp_extract_all({text}, {p}, 0), split({text}, {p}, -1)),
         named_struct('at', 0, 'out', cast(array() as {kind})),
         (acc, z) -> if(z['0'] is null, acc, named_struct(
             'at', acc.at + length(z['1']) + length(z['0']),
-            'out', concat(acc.out, transform(array(named_struct('m', z['0'], 'b', acc.at + length(z['1']), 'e', acc.at + length(z['1']) + length(z['0']), 'g', z['1'], 'h', z['2'])), s -> {element})))),
+            'out', concat(acc.out, transform(array(named_struct('m', z['0'], 'b', acc.at + length(z['1']), 'e', acc.at + length(z['1']) + length(z['0']))), s -> {element})))),
         acc -> acc.out)"""
 
 
@@ -74,15 +76,33 @@ def valid(kind: str) -> str:
 
 
 def base_spans() -> Column:
-    """Spans of all kinds in column ``text``, by start and kind, with the text close by."""
+    """Spans of all kinds in column ``text``, by start and kind."""
     found = []
     for rank, kind in enumerate(KINDS):
-        element = f"named_struct('start', s.b, 'rank', {rank}, 'end', s.e, 'value', s.m, 'before', substring(s.g, -{CONTEXT + 1}, {CONTEXT + 1}), 'after', substring(s.h, 1, {CONTEXT + 1}))"
+        element = f"named_struct('start', s.b, 'rank', {rank}, 'end', s.e, 'value', s.m)"
         spans = placed("text", PATTERNS[kind], element, SPAN)
         found.append(f"case when {NEEDS[kind]} then filter({spans}, s -> {valid(kind)}) else cast(array() as {SPAN}) end")
     return F.expr(f"array_sort(concat({', '.join(found)}))")
 
 
+def terms_of(text: str) -> str:
+    """SQL: the distinct terms of a text."""
+    return f"array_distinct(transform(regexp_extract_all({text}, {quoted(TERM)}, 0), m -> lower(m)))"
+
+
+def marked(text: str) -> str:
+    """SQL: all places in the text, outside its ``spans``, of the terms in the map ``marks`` from a term to its rank."""
+    p = quoted(TERM)
+    begin, end = "acc.at + length(z['1'])", "acc.at + length(z['1']) + length(z['0'])"
+    return f"""aggregate(
+        arrays_zip(regexp_extract_all({text}, {p}, 0), split({text}, {p}, -1)),
+        named_struct('at', 0, 'out', cast(array() as {MARK})),
+        (acc, z) -> if(z['0'] is null, acc, named_struct('at', {end}, 'out',
+            if(try_element_at(marks, lower(z['0'])) is null or exists(spans, s -> s.start < {end} and {begin} < s.end), acc.out,
+                concat(acc.out, array(named_struct('start', {begin}, 'rank', try_element_at(marks, lower(z['0'])), 'end', {end})))))),
+        acc -> acc.out)"""
+
+
 def joined(spans: str, names: tuple[str, ...] = KINDS + EXTRA) -> str:
     """SQL: kind:start:end of an array of spans, comma-joined."""
     kinds = ", ".join(f"'{k}'" for k in names)
@@ -93,46 +113,45 @@ def find(df: DataFrame, min_support: int = 3, generalise_at: float = 0.7, remove
     """Per input row: doc_id, text_key and spans, an array of (start, rank, end); ranks index KINDS + EXTRA."""
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     docs = df.select(F.col(id_col).cast("long").alias("doc_id"), text.alias("text")).withColumn("text_key", F.xxhash64("text"))
-    base = saved(docs.select("doc_id", "text_key", base_spans().alias("spans")), "spans")
-
-    # terms beside an entity, with their places; one cut off by the window's edge is left out
-    word = "named_struct('term', lower(s.m), 'start', {at} + s.b, 'end', {at} + s.e, 'cut', {cut})"
-    near = "array<struct<term:string,start:int,end:int,cut:boolean>>"
-    before = placed("before", TERM, word.format(at="(start - length(before))", cut=f"s.b = 0 and length(before) > {CONTEXT}"), near)
-    after = placed("after", TERM, word.format(at="end", cut=f"s.e > {CONTEXT}"), near)
-    entities = base.where("size(spans) > 0").dropDuplicates(["doc_id", "text_key"]).select("doc_id", "text_key", "spans", F.explode("spans").alias("x")).select("doc_id", "text_key", "spans", "x.*")
-    terms = (
-        entities.select("doc_id", "text_key", "spans", "rank", F.lower("value").alias("value"), F.explode(F.concat(F.expr(before), F.expr(after))).alias("w"))
-        .where("not w.cut and not exists(spans, s -> s.start < w.end and w.start < s.end)")
-        .select("doc_id", "text_key", "rank", "value", "w.term", "w.start", "w.end")
-    )
-    terms = saved(terms, "terms")
-    together = terms.select("doc_id", "text_key", "rank", "value", "term").distinct().groupBy("rank", "value", "term").agg(F.count(F.lit(1)).alias("n_both")).where(F.col("n_both") >= min_support)
-    together = saved(together, "together")
-    with_entity = entities.select("doc_id", "text_key", "rank", F.lower("value").alias("value")).distinct().groupBy("rank", "value").agg(F.count(F.lit(1)).alias("n_entity"))
-    with_term = docs.select(F.explode(F.expr(f"array_distinct(regexp_extract_all(lower(text), {quoted(TERM)}, 0))")).alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("n_term"))
-    n = df.count()
+    # the text stays with its spans where there are any
+    base = saved(docs.withColumn("spans", base_spans()).withColumn("held", F.expr("if(size(spans) > 0, text, null)")).drop("text"), "spans")
+    once = ["doc_id", "text_key"]
+    doc = F.struct(*once).alias("doc")
+    n = base.select(*once).distinct().count()
+    log_n = F.ln(F.lit(float(max(n, 1))))
+
+    holding = base.where("held is not null").dropDuplicates(once).select(doc, "spans", "held")
+    entities = saved(holding.select("doc", F.explode("spans").alias("x")).select("doc", "x.rank", F.lower("x.value").alias("value")).distinct(), "entities")
+    with_entity = entities.groupBy("rank", "value").agg(F.count(F.lit(1)).alias("n_entity")).where(F.col("n_entity").between(min_support, n - 1))
+    entities = saved(entities.join(with_entity, ["rank", "value"]), "frequent")
+    with_term = docs.dropDuplicates(once).select(F.explode(F.expr(terms_of("text"))).alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("n_term")).where(F.col("n_term") >= min_support)
+
+    # distinct pairs of each document, but for those whose own counts rule them out (with room for rounding)
+    open_to = lambda n_entity: log_n - F.ln("n_term") >= generalise_at * (log_n - F.ln(n_entity)) - 1e-9
+    most = entities.groupBy("doc").agg(F.max("n_entity").alias("most"))
+    words = holding.join(most, "doc").select("doc", "most", F.explode(F.expr(terms_of("held"))).alias("term"))
+    words = words.join(with_term, "term").where(open_to("most")).drop("most")
+    pairs = saved(words.join(entities, "doc").where(open_to("n_entity")).select("doc", "rank", "value", "term", "n_entity", "n_term"), "pairs")
+
+    together = pairs.groupBy("rank", "value", "term", "n_entity", "n_term").agg(F.count(F.lit(1)).alias("n_both")).where(F.col("n_both") >= min_support)
     pmi = F.ln(F.col("n_both") * F.lit(float(max(n, 1))) / (F.col("n_entity") * F.col("n_term")))
     content = F.ln(F.lit(float(max(n, 1))) / F.col("n_entity"))
     telling = (
-        together.join(with_entity, ["rank", "value"])
-        .join(with_term, "term")
-        .where(F.col("n_entity") < n)
-        .withColumn("disclosure", pmi / content)
+        together.withColumn("disclosure", pmi / content)
         .where(F.col("disclosure") >= generalise_at)
         .select("rank", "value", "term", F.when(F.col("disclosure") >= remove_at, len(KINDS)).otherwise(len(KINDS) + 1).alias("action"))
     )
-    extra = (
-        terms.join(saved(telling, "telling"), ["rank", "value", "term"])
-        .groupBy("doc_id", "text_key", "start", "end")
-        .agg(F.min("action").alias("rank"))
-        .groupBy("doc_id", "text_key")
-        .agg(F.collect_list(F.struct(F.col("start").cast("int").alias("start"), F.col("rank").cast("int").alias("rank"), F.col("end").cast("int").alias("end"))).alias("extra"))  # bounded by the text's length
-        .withColumnsRenamed({"doc_id": "id", "text_key": "key"})
+    marks = (
+        pairs.join(saved(telling, "telling"), ["rank", "value", "term"])
+        .groupBy("doc", "term")
+        .agg(F.min("action").alias("action"))
+        .groupBy("doc")
+        .agg(F.map_from_entries(F.collect_list(F.struct("term", "action"))).alias("marks"))  # bounded by the text's length
     )
+    extra = holding.join(marks, "doc").select(F.col("doc.doc_id").alias("id"), F.col("doc.text_key").alias("key"), F.expr(marked("held")).alias("extra"))
     plain = F.expr("transform(spans, s -> named_struct('start', s.start, 'rank', s.rank, 'end', s.end))")
-    both = base.join(saved(extra, "extra"), F.col("doc_id").eqNullSafe(F.col("id")) & (F.col("text_key") == F.col("key")), "left")
-    return both.select("doc_id", "text_key", F.array_sort(F.concat(plain, F.coalesce("extra", F.expr("cast(array() as array<struct<start:int,rank:int,end:int>>)")))).alias("spans"))
+    both = base.drop("held").join(saved(extra, "extra"), F.col("doc_id").eqNullSafe(F.col("id")) & (F.col("text_key") == F.col("key")), "left")
+    return both.select("doc_id", "text_key", F.array_sort(F.concat(plain, F.coalesce("extra", F.expr(f"cast(array() as {MARK})")))).alias("spans"))
 
 
 def sanitise(df: DataFrame, found: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

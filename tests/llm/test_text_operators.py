@@ -177,6 +177,60 @@ def test_disclosing_terms(spark):
     assert clean[0] == "Our   writes  [EMAIL] about itema" and clean[9] == texts[9]
 
 
+def disclosing(docs, min_support=3, generalise_at=0.7, remove_at=0.9):
+    """(doc_id, text) -> sorted (start, rank, end) of all places of disclosing terms; docs: distinct (doc_id, text)."""
+    import math
+    import re
+
+    found = [[(m[0].lower(), *m.span()) for m in re.finditer("(?<![a-zA-Z])[a-zA-Z]{4,}", t)] for _, t in docs]
+    terms = [{w for w, _, _ in x} for x in found]
+    spans = [brute.base_pii(t) for _, t in docs]
+    entities = [{(rank, t[s:e].lower()) for s, rank, e in x} for x, (_, t) in zip(spans, docs, strict=True)]
+    action = {}
+    for x in set().union(*entities):
+        having = [k for k, e in enumerate(entities) if x in e]
+        for w in set().union(*(terms[k] for k in having)):
+            n_both, n_term = sum(w in terms[k] for k in having), sum(w in t for t in terms)
+            if n_both >= min_support and len(having) < len(docs):
+                d = math.log(n_both * len(docs) / (len(having) * n_term)) / math.log(len(docs) / len(having))
+                if d >= generalise_at:
+                    action[x, w] = 4 if d >= remove_at else 5
+    out = {}
+    for k, d in enumerate(docs):
+        best = {w: min(action[x, w] for x in entities[k] if (x, w) in action) for w in terms[k] if any((x, w) in action for x in entities[k])}
+        out[d] = sorted((s, best[w], e) for w, s, e in found[k] if w in best and not any(a < e and s < b for a, _, b in spans[k]))
+    return out
+
+
+def test_disclosing_terms_anywhere_in_the_documents(spark):
+    rng = random.Random(6)
+    common = ["garden", "winter", "letter", "window", "yellow", "market", "system", "paper"]
+    people = {f"p{i}@mail.example.com": (name, place) for i, (name, place) in enumerate([("Montgomery", "Utrecht"), ("Okonkwo", "Ravenna"), ("Thorvald", "Leipzig")])}
+    rows = []
+    for k in range(120):
+        filler = lambda: " ".join(rng.choice(common) for _ in range(rng.randint(12, 30)))
+        parts = [filler()]
+        if k % 4 == 0:
+            email = rng.choice(list(people))
+            name, place = people[email]
+            near = rng.random() < 0.5  # half of the time beside the address, else sentences away
+            parts += [f"{name} {email}" if near else email, filler(), f"{name} again.", filler(), place if rng.random() < 0.8 else "", name.upper()]
+        elif k % 15 == 1:
+            parts += [rng.choice(list(people.values()))[1], filler()]  # a place without the address
+        rows.append((k if k else None, ". ".join(parts)))
+    rows += [(200, "Unique Hapaxword only.one@example.org"), (201, "Nothing")]
+    df = spark.createDataFrame([*rows, rows[0], rows[4], rows[4]], EMPTY)  # repeated rows count once
+    want = disclosing(rows)
+    assert {k for x in want.values() for _, k, _ in x} == {4, 5}
+    texts = {(d, r["text_key"]): t for (d, t), r in zip(rows, spark.createDataFrame(rows, EMPTY).select(F.xxhash64("text").alias("text_key")).collect(), strict=True)}
+    got = pii.find(df).collect()
+    assert len(got) == len(rows) + 3
+    for r in got:
+        t = texts[r["doc_id"], r["text_key"]]
+        assert [tuple(s) for s in r["spans"] if s["rank"] >= 4] == want[r["doc_id"], t], t
+        assert [tuple(s) for s in r["spans"] if s["rank"] < 4] == brute.base_pii(t)
+
+
 def test_byte_bpe(docs, rows):
     path = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
     ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, open(path, "rb"))}
