@@ -155,11 +155,14 @@ def find(df: DataFrame, min_support: int = 3, generalise_at: float = 0.7, remove
 
 
 def sanitise(df: DataFrame, found: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``df`` with the spans of ``find`` replaced in the text: kinds by their name in brackets, ``term`` by nothing, ``broad`` by [WORD]."""
+    """The rows of ``df`` with the spans of ``find`` replaced in the text: kinds by their name in brackets, ``term`` by nothing, ``broad`` by [WORD].
+
+    A span within the one before it goes with it; one that ends later is cut on to its own end.
+    """
     marks = found.where("size(spans) > 0").select(F.col("doc_id").alias("_id"), F.col("text_key").alias("_key"), F.col("spans").alias("_spans")).dropDuplicates(["_id", "_key"])
     names = ", ".join(f"'{x}'" for x in [*(f"[{k.upper()}]" for k in KINDS), "", "[WORD]"])
     rows = df.join(marks, F.col(id_col).cast("long").eqNullSafe(F.col("_id")) & (F.xxhash64(F.coalesce(F.col(text_col).cast("string"), F.lit(""))) == F.col("_key")), "left")
-    new = F.expr(f"""aggregate(_spans, named_struct('at', 0, 'out', ''), (acc, s) -> if(s.start < acc.at, acc, named_struct(
-        'at', s.end, 'out', concat(acc.out, substring(`{text_col}`, acc.at + 1, s.start - acc.at), element_at(array({names}), s.rank + 1)))),
+    new = F.expr(f"""aggregate(_spans, named_struct('at', 0, 'out', ''), (acc, s) -> if(s.end <= acc.at, acc, named_struct(
+        'at', s.end, 'out', concat(acc.out, substring(`{text_col}`, acc.at + 1, greatest(s.start - acc.at, 0)), element_at(array({names}), s.rank + 1)))),
         acc -> concat(acc.out, substring(`{text_col}`, acc.at + 1, length(`{text_col}`))))""")
     return rows.withColumn(text_col, F.when(F.col("_spans").isNull(), F.col(text_col)).otherwise(new)).select(*df.columns)

@@ -177,6 +177,17 @@ def test_disclosing_terms(spark):
     assert clean[0] == "Our   writes  [EMAIL] about itema" and clean[9] == texts[9]
 
 
+def test_overlapping_personal_data_is_cut_to_its_end(spark):
+    texts = {
+        "pay 4111 1111 1111 1111foo@x.com today": "pay [CARD][EMAIL] today",
+        "call +49 30 1234567.ann@x.com now": "call [PHONE][EMAIL] now",
+        "in 4111111111111111@x.com only": "in [EMAIL] only",
+        "a@x.com b": "[EMAIL] b",
+    }
+    df = spark.createDataFrame(list(enumerate(texts)), EMPTY)
+    assert [r["text"] for r in pii.sanitise(df, pii.find(df)).orderBy("doc_id").collect()] == list(texts.values())
+
+
 def disclosing(docs, min_support=3, generalise_at=0.7, remove_at=0.9):
     """(doc_id, text) -> sorted (start, rank, end) of all places of disclosing terms; docs: distinct (doc_id, text)."""
     import math
