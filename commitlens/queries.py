@@ -7,7 +7,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .checkpoint import new_path
@@ -625,9 +625,13 @@ def _out(t: Tables, name: str) -> str:
     return new_path(t.spark, name)
 
 
-def _documents(rows: DataFrame, root: str, files_: int = 8) -> DataFrame:
-    """(file, value): XML documents of the elements in ``value``; written by file, each is a document of its own."""
-    grouped = rows.groupBy(F.pmod(F.hash("value"), F.lit(files_)).alias("file")).agg(F.array_join(F.collect_list("value"), "\n").alias("value"))
+#: Changesets of one written document at most, so that documents grow in number and not in size.
+PER_DOCUMENT = 1000
+
+
+def _documents(rows: DataFrame, root: str, file: Column | None = None, files_: int = 8) -> DataFrame:
+    """(file, value): XML documents of the elements in ``value``, by ``file`` or spread over ``files_``; written by file, each is a document of its own."""
+    grouped = rows.groupBy((F.pmod(F.hash("value"), F.lit(files_)) if file is None else file).alias("file")).agg(F.array_join(F.collect_list("value"), "\n").alias("value"))
     return grouped.select("file", F.concat(F.lit(f"<{root}>"), "value", F.lit(f"</{root}>")).alias("value"))
 
 
@@ -678,9 +682,9 @@ def s3_svn_log(t: Tables) -> DataFrame:
     source = F.when(F.col("from_server_path").isNotNull(), F.concat(F.lit(' copyfrom-path="'), "from_server_path", F.lit('" copyfrom-rev="1"'))).otherwise("")
     entry = F.concat(F.lit('<path kind="file" action="'), action, F.lit('"'), source, F.lit(">"), "server_path", F.lit("</path>"))
     paths = items.groupBy("changeset_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("item_idx", entry.alias("x")))), lambda x: x["x"]), "").alias("paths"))
-    rows = s.join(paths, "changeset_id").select(F.concat(F.lit('<logentry revision="'), F.col("changeset_id").cast("string"), F.lit('"><author>'), "committer", F.lit("</author><date>"), F.date_format("date", "yyyy-MM-dd'T'HH:mm:ss'Z'"), F.lit("</date><paths>"), "paths", F.lit("</paths><msg>"), "comment", F.lit("</msg></logentry>")).alias("value"))
+    rows = s.join(paths, "changeset_id").select("changeset_id", F.concat(F.lit('<logentry revision="'), F.col("changeset_id").cast("string"), F.lit('"><author>'), "committer", F.lit("</author><date>"), F.date_format("date", "yyyy-MM-dd'T'HH:mm:ss'Z'"), F.lit("</date><paths>"), "paths", F.lit("</paths><msg>"), "comment", F.lit("</msg></logentry>")).alias("value"))
     path = _out(t, "svnlog")
-    _documents(rows, "log").write.partitionBy("file").text(path)
+    _documents(rows, "log", F.expr(f"changeset_id div {PER_DOCUMENT}")).write.partitionBy("file").text(path)
     return logs.svn_log(t.spark, path, "main")[1].drop("repo_id")
 
 
@@ -690,7 +694,7 @@ def s4_history_json(t: Tables) -> DataFrame:
     item = F.struct(F.col("file_id").cast("string").alias("Id"), F.col("kind").alias("Kind"), F.col("server_path").alias("ServerPath"))
     lists = items.groupBy("changeset_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("item_idx", item.alias("i")))), lambda x: x["i"]).alias("Items"))
     one = F.struct(F.col("changeset_id").cast("string").alias("Id"), F.col("committer").alias("Committer"), F.date_format("date", "yyyy-MM-dd'T'HH:mm:ss'Z'").alias("Date"), F.col("comment").alias("Comment"), "Items")
-    docs = s.join(lists, "changeset_id").groupBy(F.pmod("changeset_id", F.lit(8)).alias("file")).agg(F.collect_list(one).alias("ChangeSets"))
+    docs = s.join(lists, "changeset_id").groupBy(F.expr(f"changeset_id div {PER_DOCUMENT}").alias("file")).agg(F.collect_list(one).alias("ChangeSets"))
     path = _out(t, "history")
     docs.write.partitionBy("file").json(path)
     return files.history_json(t.spark, path, "main")[1].select("changeset_id", "item_idx", "file_id", "kind", "server_path")

@@ -176,3 +176,15 @@ def test_team_by_date(spark):
     t = spark.createDataFrame([("A", "x", None, "2020-06-01"), ("A", "y", "2020-06-01", None)], "developer string, team string, valid_from string, valid_to string")
     got = {r["changeset_id"]: r["team"] for r in teams.with_team(sets, t).collect()}
     assert got == {"1": "x", "2": "y", "3": teams.NOT_CLASSIFIED}
+
+
+@pytest.mark.parametrize(("name", "mark"), [("s3_svn_log", "<logentry "), ("s4_history_json", '"Committer":')])
+def test_written_histories_hold_a_bounded_number_of_changesets(spark, monkeypatch, name, mark):
+    from commitlens import queries
+
+    paths, out = [], queries._out
+    monkeypatch.setattr(queries, "_out", lambda t, n: paths.append(out(t, n)) or paths[-1])
+    queries.QUERIES[name](spark, "/root/testdata/sf0.01")
+    held = [r["value"].count(mark) for r in spark.read.text(paths[0], wholetext=True).collect()]
+    written = spark.read.parquet("/root/testdata/sf0.01/lineitem.parquet").select("l_orderkey").distinct().count()
+    assert sum(held) == written and max(held) <= 1000
