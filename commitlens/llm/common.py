@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import gc
 import hashlib
 import tempfile
 import uuid
@@ -10,22 +9,21 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 #: Bytes of text that one vectorised step holds at once; a single longer text is handled alone.
 CHUNK_BYTES = 4 << 20
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: ``spark.checkpoint.dir``, or a temporary one where none is set (tests)."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
+    """The folder all executors share: ``spark.checkpoint.dir``, or the context's. A temporary folder only where everything runs on one machine."""
+    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not found:
-        kept = spark.sparkContext._jsc.sc().getCheckpointDir()
-        if kept.isDefined():
-            return kept.get()
+        if not spark.conf.get("spark.master", "").startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         found = "file://" + tempfile.mkdtemp(prefix="spark-")
-    if not spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
         spark.sparkContext.setCheckpointDir(found)
     return found
 
@@ -34,15 +32,30 @@ def new_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
+class Scratch:
+    """Tables in the shared folder that cut the lineage of a job of several steps. Spent ones are emptied before the job goes on."""
+
+    def __init__(self, spark: SparkSession):
+        self.spark = spark
+        self.paths: dict[str, tuple[str, StructType]] = {}
+
+    def save(self, df: DataFrame, name: str) -> DataFrame:
+        """Writes the rows as Parquet and reads them back. A name that is used again stands for the newer table."""
+        schema, path = df.schema, new_path(self.spark, name)
+        df.write.parquet(path)
+        self.paths[name] = path, schema
+        return self.spark.read.schema(schema).parquet(path)
+
+    def drop(self, *names: str) -> None:
+        """Overwrites tables that nothing reads any more with no rows; their files go."""
+        for name in names:
+            path, schema = self.paths.pop(name)
+            self.spark.createDataFrame([], schema).write.mode("overwrite").parquet(path)
+
+
 def saved(df: DataFrame, name: str) -> DataFrame:
     """Cuts lineage: writes the rows as Parquet in the shared folder and reads them back."""
-    spark, schema = df.sparkSession, df.schema
-    path = new_path(spark, name)
-    df.write.parquet(path)
-    del df
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()  # lets Spark's cleaner drop the shuffle files of what is now written
-    return spark.read.schema(schema).parquet(path)
+    return Scratch(df.sparkSession).save(df, name)
 
 
 def partitions(spark: SparkSession) -> int:
@@ -144,9 +157,16 @@ def range_hashes(values: np.ndarray, starts: np.ndarray, ends: np.ndarray, base:
         return (prefix[ends] - prefix[starts]) * down[starts]
 
 
+#: Longer words are hashed by themselves: modulo 2**64 any base has long structured words that collide.
+LONG_WORD = 256
+
+
 def word_hashes(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
     with np.errstate(over="ignore"):
-        return mix(range_hashes(raw, starts, ends) + (ends - starts).astype(np.uint64))
+        h = mix(range_hashes(raw, starts, ends) + (ends - starts).astype(np.uint64))
+    for k in np.flatnonzero(ends - starts > LONG_WORD).tolist():
+        h[k] = int.from_bytes(hashlib.blake2b(raw[starts[k] : ends[k]].tobytes(), digest_size=8).digest(), "little")
+    return h
 
 
 def byte_table(pattern_bytes: set[int], inside: bool) -> np.ndarray:
@@ -198,19 +218,25 @@ def record(names: list[str], arrays: list) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays(arrays, names=names)
 
 
+def text_key(text: str = "text") -> Column:
+    """Tells apart rows that repeat an id, or have none, with another text."""
+    return F.xxhash64(F.col(text))
+
+
 def with_key(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, text_key, text): only the columns in use; text_key tells apart rows that repeat a doc_id with another text."""
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.hash(F.col(text_col)).alias("text_key"), F.col(text_col).alias("text"))
+    """(doc_id, text_key, text): only the columns in use."""
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), text_key(text_col).alias("text_key"), F.col(text_col).alias("text"))
 
 
-def components(edges: DataFrame, name: str = "components") -> DataFrame:
+def components(edges: DataFrame, scratch: Scratch, name: str = "components") -> DataFrame:
     """(node, root): the smallest node reachable over the edges (a, b), for every node on an edge.
 
     Alternates large-star and small-star rounds (Kiveris et al., 2014) until nothing changes, so the number of rounds grows
     with the logarithm of the longest path. Each round aggregates neighbours to their minimum before they are joined again, and is
-    written to the shared folder.
+    written to the shared folder; the round before it goes.
     """
-    e = saved(edges.select("a", "b").where("a <> b").distinct(), name)
+    e = scratch.save(edges.select("a", "b").where("a <> b").distinct(), f"{name}-0")
+    round_ = 0
     while True:
         # large-star: each larger neighbour of u links to the least of u's neighbourhood
         both = e.select(F.col("a").alias("u"), F.col("b").alias("v")).union(e.select(F.col("b").alias("u"), F.col("a").alias("v")))
@@ -219,11 +245,12 @@ def components(edges: DataFrame, name: str = "components") -> DataFrame:
         # small-star: u and its smaller neighbours link to the least of them
         least = large.groupBy("u").agg(F.min("m").alias("r"))
         small = large.join(least, "u").select(F.explode(F.array_distinct(F.array("u", "m"))).alias("a"), F.col("r").alias("b")).where("a <> b").distinct()
-        n = saved(small, name)
+        n = scratch.save(small, f"{name}-{round_ + 1}")
+        scratch.drop(f"{name}-{round_}")
+        e, round_ = n, round_ + 1
         # a star forest: every node has one parent and no parent has one
-        bad = n.groupBy("a").agg(F.count(F.lit(1)).alias("k")).where("k > 1").limit(1).count() or n.join(n.select(F.col("a").alias("b")), "b", "left_semi").limit(1).count()
-        e = n
-        if not bad:
+        several = n.groupBy("a").agg(F.count(F.lit(1)).alias("k")).where("k > 1").limit(1).count()
+        if not several and not n.join(n.select(F.col("a").alias("b")), "b", "left_semi").limit(1).count():
             break
     roots = e.select("b").distinct()
     return e.select(F.col("a").alias("node"), F.col("b").alias("root")).union(roots.select(F.col("b").alias("node"), F.col("b").alias("root")))

@@ -7,13 +7,19 @@ Signatures. Sizes fall into bands whose ends have the ratio of the threshold, so
 neighbours; every set signs for its own band and the next. In band j at most k_j elements can differ. The hashed feature domain is cut
 into n1 = k_j/2 + 1 (+ slack) partitions of three cells each. Some partition holds at most one difference, so one of its three
 2-subsets of cells is equal in both sets: each 2-subset gives one signature. A signature over empty cells says nothing and is left
-out, unless a set has so many of them (more than the slack) that the argument needs them; pairs of two such sets still meet.
+out. A set with so many empty cells that the argument fails (in more partitions than the slack), and every set of a band where a set has at
+most FEW elements that the other lacks, is partitioned down to single elements instead: the signatures are all TAKEN-subsets of its first
+elements in hash order, as many of these as the first TAKEN common elements can lie among.
 
 Candidates. Signatures are packed per task and bucket (4 bytes each) and grouped per bucket. Groups with the same members are one.
-First every member is compared with one hub of its group (the member that shares most signatures) and verified edges make components. Then only
-groups that still hold several components are looked at again: pairs of different components whose cell counts do not rule them out
-(the L1 distance of the counts never exceeds the number of differing elements). So no link between different components is lost, and a
-group of copies costs one comparison per member.
+First every member is compared with one hub of its group (the member that shares most signatures) and verified edges make components. Groups
+that still hold several components are looked at twice more: first the best pair of each component, which is one row a component at most, then
+all pairs of components that are still different. So no link between different components is lost, and a group of copies costs one
+comparison per member.
+
+A pair is a candidate only if its sketches allow it. A sketch counts a set's elements in cells, one cell for every one or two elements (up to
+MOST_CELLS); the L1 distance of two sketches never exceeds the number of differing elements and stays close to it, so what remains are links and
+pairs just below the threshold.
 
 Verification recomputes both sets from the whole texts and counts the intersection.
 
@@ -27,18 +33,26 @@ an empty table gives no rows.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import lru_cache
+from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import LOWER, NOT_SPACE, components, mix, partitions, range_hashes, saved, spans_of_bytes, text_bytes, with_key, word_hashes, word_spans
+from .common import LOWER, NOT_SPACE, Scratch, components, mix, partitions, range_hashes, spans_of_bytes, text_bytes, with_key, word_hashes, word_spans
 
 LAST_ID = (1 << 63) - 1
 SHINGLE_BASE = 0xC2B2AE3D27D4EB4F
-#: Counters of the sketch that rules pairs out.
-COUNTERS = 64
+#: Cells of a sketch: the power of two from half the set's size on, within these bounds.
+LEAST_CELLS, MOST_CELLS = 64, 4096
+#: Elements of a subset of single elements, and up to how many missing elements a band uses only these.
+TAKEN, FEW = 4, 2
+#: Members of a group that one task compares with one another.
+GROUP_ROWS = 1024
+#: Shingles whose signatures go to one bucket, about.
+BUCKET_SHINGLES = 3_000_000
 #: Members compared with one hub in one group of rows.
 HUB_ROWS = 256
 
@@ -90,13 +104,20 @@ class Bands:
         self.low, self.high = np.array(low), np.array(high)
         self.differ = 2 * self.high * (den - num) // (den + num)
         base = self.differ // 2 + 1
-        self.slack = 1 + base // 16
+        self.slack = 1 + np.minimum(base // 4, 3) + base // 16
         self.parts = base + self.slack
+        self.missing = self.high * (den - num) // den
+        self.taken = np.minimum(TAKEN, -(-self.low * num // den))
 
     def of(self, sizes: np.ndarray) -> np.ndarray:
         return np.searchsorted(self.high, sizes, "left")
 
 
+@lru_cache
+def subsets(n: int, k: int) -> np.ndarray:
+    return np.array(list(combinations(range(n), k)), np.int64)
+
+
 def signatures(h: np.ndarray, at: np.ndarray, num: int, den: int) -> tuple[np.ndarray, np.ndarray]:
     """(set number, signature) of all sets; sets so small that similar ones are equal have none."""
     sizes = np.diff(at)
@@ -107,7 +128,9 @@ def signatures(h: np.ndarray, at: np.ndarray, num: int, den: int) -> tuple[np.nd
     with np.errstate(over="ignore"):
         for step in (0, 1):
             band = bands.of(sizes) + step
-            parts = np.where((bands.differ[band] > 0) & (sizes > 0), bands.parts[band], 0)
+            signs = (bands.differ[band] > 0) & (sizes > 0)
+            few = signs & (bands.missing[band] <= FEW)
+            parts = np.where(signs & ~few, bands.parts[band], 0)
             use = parts[owner] > 0
             cells = 3 * parts
             base = np.cumsum(cells) - cells
@@ -116,18 +139,41 @@ def signatures(h: np.ndarray, at: np.ndarray, num: int, den: int) -> tuple[np.nd
             total, filled = sums(value[use], cell, n).reshape(-1, 3), np.bincount(cell, minlength=n).reshape(-1, 3) > 0
             of = np.repeat(np.arange(len(sizes)), parts)
             number = np.arange(len(of)) - (np.cumsum(parts) - parts)[of]
-            poor = np.bincount(of, filled.sum(1) < 2, len(sizes)) > bands.slack[band]
             for left_out, (a, b) in enumerate(((1, 2), (0, 2), (0, 1))):
-                keep = filled[:, a] | filled[:, b] | poor[of]
-                place = ((band[of] * 3 + left_out).astype(np.uint64) << np.uint64(32)) + number.astype(np.uint64)
+                keep = filled[:, a] | filled[:, b]
+                place = ((band[of] * 4 + left_out).astype(np.uint64) << np.uint64(32)) + number.astype(np.uint64)
                 sig = mix(mix(total[:, a] + place * np.uint64(0x9E3779B97F4A7C15)) + total[:, b])
                 owner_out.append(of[keep])
                 sig_out.append(sig[keep])
+            poor = np.bincount(of, filled.sum(1) < 2, len(sizes)) > bands.slack[band]
+            for k in np.flatnonzero(few | (poor & (parts > 0))).tolist():
+                taken = int(bands.taken[band[k]])
+                first = value[at[k] : min(at[k + 1], at[k] + taken + int(bands.missing[band[k]]))]
+                if len(first) >= taken:
+                    sig = mix(first[subsets(len(first), taken)].sum(1, dtype=np.uint64) + np.uint64(int(band[k]) * 4 + 3) * np.uint64(0x9E3779B97F4A7C15))
+                    owner_out.append(np.full(len(sig), k))
+                    sig_out.append(sig)
     return np.concatenate(owner_out), np.concatenate(sig_out)
 
 
+def sketches(h: np.ndarray, at: np.ndarray) -> list[bytes]:
+    """For each set the number of its elements in each cell, as 16-bit numbers."""
+    n = np.diff(at)
+    cells = 1 << np.ceil(np.log2(np.clip(n, 2 * LEAST_CELLS, 2 * MOST_CELLS) / 2)).astype(np.int64)
+    base = np.concatenate(([0], np.cumsum(cells)))
+    owner = np.repeat(np.arange(len(n)), n)
+    cell = (mix(h ^ np.uint64(0xD1B54A32D192ED03)) & (cells[owner] - 1).astype(np.uint64)).astype(np.int64)
+    count = np.minimum(np.bincount(base[owner] + cell, minlength=base[-1]), 65535).astype("<u2")
+    return [count[i:j].tobytes() for i, j in zip(base[:-1].tolist(), base[1:].tolist(), strict=True)]
+
+
+def folded(sketch: bytes, cells: int) -> np.ndarray:
+    """The sketch in fewer cells: those that agree in their low bits are one."""
+    return np.frombuffer(sketch, "<u2").astype(np.int32).reshape(-1, cells).sum(0)
+
+
 def _features(words: int):
-    schema = pa.schema([("doc_id", pa.int64()), ("text_key", pa.int32()), ("node", pa.int64()), ("n_shingles", pa.int64()), ("sketch", pa.binary())])
+    schema = pa.schema([("doc_id", pa.int64()), ("text_key", pa.int64()), ("node", pa.int64()), ("n_shingles", pa.int64()), ("sketch", pa.binary())])
 
     def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -135,20 +181,8 @@ def _features(words: int):
             for i, j in spans_of_bytes(offsets):
                 h, at = shingle_sets(raw[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i], words)
                 n = np.diff(at)
-                owner = np.repeat(np.arange(j - i), n)
-                counter = (mix(h ^ np.uint64(0xD1B54A32D192ED03)) % np.uint64(COUNTERS)).astype(np.int64)
-                sketch = np.minimum(np.bincount(owner * COUNTERS + counter, minlength=(j - i) * COUNTERS), 65535).astype("<u2").tobytes()
-                width = 2 * COUNTERS
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        b.column("doc_id").slice(i, j - i),
-                        b.column("text_key").slice(i, j - i),
-                        pa.array(fingerprints(h, at), mask=n == 0),
-                        pa.array(n),
-                        pa.array([sketch[k * width : (k + 1) * width] for k in range(j - i)], pa.binary()),
-                    ],
-                    schema=schema,
-                )
+                keys = [b.column(c).slice(i, j - i) for c in ("doc_id", "text_key")]
+                yield pa.RecordBatch.from_arrays([*keys, pa.array(fingerprints(h, at), mask=n == 0), pa.array(n), pa.array(sketches(h, at), pa.binary())], schema=schema)
 
     return features
 
@@ -210,23 +244,107 @@ def _groups(table: pa.Table) -> pa.Table:
     return pa.table([np.repeat(key[one].view(np.int64), size[one]), node[index], np.repeat(times, size[one])], schema=schema)
 
 
-def _pairs(num: int, den: int):
-    def pairs(table: pa.Table) -> pa.Table:
-        """Of one group: pairs of different components that sizes and cell counts do not rule out; pairs with the hub are known."""
-        node, comp, size = (table.column(c).to_numpy() for c in ("node", "comp", "n_shingles"))
-        free = node != table.column("hub").to_numpy()
-        order = np.flatnonzero(free)[np.argsort(size[free], kind="stable")]
-        node, comp, size = node[order], comp[order], size[order]
-        sketch = np.frombuffer(b"".join(table.column("sketch").take(pa.array(order)).to_pylist()), "<u2").reshape(-1, COUNTERS).astype(np.int32)
-        a, b = [], []
-        for i in range(len(node)):
-            end = np.searchsorted(size, size[i] * den // num, "right")
-            j = np.arange(i + 1, end)
-            j = j[comp[j] != comp[i]]
-            j = j[np.abs(sketch[j] - sketch[i]).sum(1) * (den + num) <= (size[j] + size[i]) * (den - num)]
-            a.append(np.minimum(node[i], node[j]))
-            b.append(np.maximum(node[i], node[j]))
-        return pa.table({"a": np.concatenate(a) if a else np.zeros(0, np.int64), "b": np.concatenate(b) if b else np.zeros(0, np.int64)})
+def _apart(num: int, den: int):
+    """Drops pairs whose sketches rule them out."""
+
+    def apart(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keep = np.zeros(batch.num_rows, bool)
+            total = batch.column("n_a").to_numpy() + batch.column("n_b").to_numpy()
+            for k, (a, b) in enumerate(zip(batch.column("sketch_a"), batch.column("sketch_b"), strict=True)):
+                a, b = a.as_py(), b.as_py()
+                cells = min(len(a), len(b)) // 2
+                keep[k] = np.abs(folded(a, cells) - folded(b, cells)).sum() * (den + num) <= total[k] * (den - num)
+            yield batch.select(["a", "b"]).filter(pa.array(keep))
+
+    return apart
+
+
+def possible(pairs: DataFrame, nodes: DataFrame, num: int, den: int) -> DataFrame:
+    """The pairs (a, b) of nodes that sizes and sketches do not rule out."""
+    side = lambda s: nodes.select(F.col("node").alias(s), F.col("n_shingles").alias(f"n_{s}"), F.col("sketch").alias(f"sketch_{s}"))
+    sized = pairs.join(side("a").drop("sketch_a"), "a").join(side("b").drop("sketch_b"), "b").where(F.least("n_a", "n_b") * den >= F.greatest("n_a", "n_b") * num)
+    both = sized.join(side("a").drop("n_a"), "a").join(side("b").drop("n_b"), "b")
+    return both.select("a", "b", "n_a", "n_b", "sketch_a", "sketch_b").mapInArrow(_apart(num, den), "a long, b long")
+
+
+def whole_runs(batches: Iterator[pa.RecordBatch], key: str) -> Iterator[pa.Table]:
+    """Tables of whole runs of equal keys, from rows that come sorted by the key."""
+    held: list[pa.RecordBatch] = []
+    for b in batches:
+        if not b.num_rows:
+            continue
+        keys = b.column(key).to_numpy()
+        if held and held[-1].column(key)[-1].as_py() != keys[0]:
+            yield pa.Table.from_batches(held)
+            held = []
+        last = int(np.searchsorted(-(keys != keys[-1]).astype(np.int8), 0))  # where the last run begins
+        if last:
+            yield pa.Table.from_batches([*held, b.slice(0, last)])
+            held = []
+        held.append(b.slice(last))
+    if held:
+        yield pa.Table.from_batches(held)
+
+
+def _pairs(num: int, den: int, best: bool):
+    """Of each group: pairs of different components that sizes and sketches do not rule out; pairs with the hub are known.
+
+    ``best``: of each component only the pair whose sketches are nearest.
+    """
+    none = np.zeros(0, np.int64)
+
+    def of_group(comp: np.ndarray, size: np.ndarray, part: np.ndarray, sketch: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """Rows come by size. Of the rows of two parts only pairs across them are looked at."""
+        fine = min(map(len, sketch)) // 2
+        coarse = np.stack([folded(s, LEAST_CELLS) for s in sketch])
+        across = part.min() != part.max()
+        first, second, apart = [none], [none], [np.zeros(0)]
+        for x in range(0, len(comp), 64):
+            rows = slice(x, x + 64)
+            open_ = (comp[rows, None] != comp) & (np.arange(len(comp)) > np.arange(len(comp))[rows, None]) & (size * num <= size[rows, None] * den)
+            if across:
+                open_ &= part[rows, None] != part
+            i, j = np.nonzero(open_)
+            i += x
+            for cells in dict.fromkeys((LEAST_CELLS, fine)):
+                if not len(i):
+                    break
+                if cells == LEAST_CELLS:
+                    a, b, counts = i, j, coarse
+                else:
+                    used, place = np.unique(np.concatenate((i, j)), return_inverse=True)
+                    a, b, counts = place[: len(i)], place[len(i) :], np.stack([folded(sketch[k], cells) for k in used.tolist()])
+                far = np.concatenate([np.abs(counts[a[k : k + 2048]] - counts[b[k : k + 2048]]).sum(1) for k in range(0, len(a), 2048)])
+                near = far * (den + num) <= (size[i] + size[j]) * (den - num)
+                i, j, far = i[near], j[near], far[near]
+            if len(i):
+                first.append(i)
+                second.append(j)
+                apart.append(far / (size[i] + size[j]))
+        i, j, apart = np.concatenate(first), np.concatenate(second), np.concatenate(apart)
+        if best and len(i):
+            of, place = np.concatenate((comp[i], comp[j])), np.tile(np.arange(len(i)), 2)
+            by = np.lexsort((apart[place], of))
+            take = np.unique(place[by][np.concatenate(([True], of[by][1:] != of[by][:-1]))])
+            i, j = i[take], j[take]
+        return i, j
+
+    def pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table in whole_runs(batches, "block"):
+            block, node, hub, comp, size, part = (table.column(c).to_numpy() for c in ("block", "node", "hub", "comp", "n_shingles", "part"))
+            sketch = table.column("sketch").to_pylist()
+            order = np.lexsort((size, block))
+            order = order[node[order] != hub[order]]
+            cuts = np.flatnonzero(np.concatenate(([True], np.diff(block[order]) != 0, [True]))) if len(order) else none
+            a, b = [none], [none]
+            for x, y in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
+                mine = order[x:y]
+                i, j = of_group(comp[mine], size[mine], part[mine], [sketch[k] for k in mine.tolist()])
+                a.append(node[mine[i]])
+                b.append(node[mine[j]])
+            a, b = np.concatenate(a), np.concatenate(b)
+            yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], names=["a", "b"])
 
     return pairs
 
@@ -274,36 +392,55 @@ def verified(edges: DataFrame, nodes: DataFrame, docs: DataFrame, words: int, nu
     return rows.select("a", "b", "text").mapInArrow(_verify(words, num, den), "a long, b long")
 
 
+def in_blocks(rows: DataFrame) -> DataFrame:
+    """Rows of a group, dealt to ``parts`` parts, meet in one block for each two parts; a part is with itself in its own block."""
+    part = rows.withColumn("part", F.pmod(F.hash("node"), F.col("parts")))
+    met = part.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    return met.withColumn("block", F.xxhash64("grp", F.least("part", "other"), F.greatest("part", "other"))).select("block", "node", "hub", "comp", "part")
+
+
 def link(df: DataFrame, words: int = 5, num: int = 80, den: int = 100, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per input row: doc_id, text_key, n_shingles, component_id. Documents link when den * intersection >= num * union."""
     docs = with_key(df, id_col, text_col)
     spark = docs.sparkSession
-    n = partitions(spark)
-    features = saved(docs.mapInArrow(_features(words), "doc_id long, text_key int, node long, n_shingles long, sketch binary"), "features")
+    scratch = Scratch(spark)
+    features = scratch.save(docs.mapInArrow(_features(words), "doc_id long, text_key long, node long, n_shingles long, sketch binary"), "features")
     first = F.min(F.struct(F.coalesce("doc_id", F.lit(LAST_ID)).alias("id"), "text_key", "n_shingles", "sketch"))
-    nodes = saved(features.where("node is not null").groupBy("node").agg(first.alias("r")).select("node", "r.*"), "nodes")
+    nodes = scratch.save(features.where("node is not null").groupBy("node").agg(first.alias("r")).select("node", "r.*"), "nodes")
 
-    blobs = docs.mapInArrow(_sign(words, num, den, n), "bucket int, node binary, count binary, sig binary")
+    shingles = features.agg(F.sum("n_shingles")).first()[0] or 0
+    buckets = max(partitions(spark), -(-shingles // BUCKET_SHINGLES))  # so that a bucket's size does not grow with the input
+    blobs = docs.mapInArrow(_sign(words, num, den, buckets), "bucket int, node binary, count binary, sig binary")
     shared = blobs.groupBy("bucket").applyInArrow(_groups, "grp long, node long, sigs long")
-    groups = saved(shared.groupBy("grp", "node").agg(F.sum("sigs").alias("sigs")), "groups")
+    groups = scratch.save(shared.groupBy("grp", "node").agg(F.sum("sigs").alias("sigs")), "groups")
 
     weight = groups.groupBy("node").agg(F.sum("sigs").alias("weight"))
     hubs = groups.join(weight, "node").groupBy("grp").agg(F.max(F.struct("weight", "node")).alias("h"), F.count(F.lit(1)).alias("members")).select("grp", F.col("h.node").alias("hub"), "members")
-    hubs = saved(hubs, "hubs")
+    hubs = scratch.save(hubs, "hubs")
     stars = groups.join(hubs, "grp").where("node <> hub").select(F.col("node").alias("a"), F.col("hub").alias("b")).distinct()
-    links = saved(verified(stars, nodes, docs, words, num, den), "links")
-
-    roots = components(links)
-    of = groups.join(roots, "node", "left").select("grp", "node", F.coalesce("root", "node").alias("comp"))
-    open_ = of.groupBy("grp").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).where("x <> y").join(hubs.where("members > 2"), "grp").select("grp", "hub")
-    rest = saved(of.join(open_, "grp").join(nodes.select("node", "n_shingles", "sketch"), "node"), "open")
-    more = saved(rest.groupBy("grp").applyInArrow(_pairs(num, den), "a long, b long").distinct(), "pairs")
-    if more.limit(1).count():
-        links = links.union(saved(verified(more, nodes, docs, words, num, den), "links"))
-        roots = components(links)
+    stars = scratch.save(possible(stars, nodes, num, den), "stars")
+    links = scratch.save(verified(stars, nodes, docs, words, num, den), "links")
+    scratch.drop("stars")
+
+    groups = groups.join(hubs.where("members > 2"), "grp").select("grp", "node", "hub")  # pairs with the hub are settled
+    roots = components(links, scratch)
+    for best in (True, False):
+        of = groups.join(roots, "node", "left").select("grp", "node", "hub", F.coalesce("root", "node").alias("comp"))
+        several = of.groupBy("grp").agg(F.min("comp").alias("x"), F.max("comp").alias("y"), F.count(F.lit(1)).alias("m")).where("x <> y")
+        rest = in_blocks(of.join(several.select("grp", F.ceil(F.col("m") / GROUP_ROWS).cast("int").alias("parts")), "grp")).join(nodes.select("node", "n_shingles", "sketch"), "node")
+        rest = rest.repartition(partitions(spark), "block").sortWithinPartitions("block")
+        more = scratch.save(rest.mapInArrow(_pairs(num, den, best), "a long, b long").distinct(), "pairs")
+        if not more.limit(1).count():
+            break
+        found = scratch.save(verified(more, nodes, docs, words, num, den), f"links-{best}")
+        scratch.drop("pairs")
+        if found.limit(1).count():
+            links = links.union(found)
+            roots = components(links, scratch, f"components-{best}")
 
     ids = nodes.select("node", F.when(F.col("id") != LAST_ID, F.col("id")).alias("id"))
     rooted = ids.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     least = rooted.groupBy("root").agg(F.min("id").alias("component_id"))
-    member = saved(rooted.join(least, "root").select("node", "component_id"), "members")
+    member = scratch.save(rooted.join(least, "root").select("node", "component_id"), "members")
+    scratch.drop("groups", "hubs", "nodes")
     return features.join(member, "node", "left").select("doc_id", "text_key", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))

@@ -70,7 +70,7 @@ def _scan(width: int, buckets: int):
                     gaps = np.diff(place[mine], prepend=0)
                     gaps[at_first] = place[mine[at_first]]
                     rows.append({
-                        "bucket": int(k), "doc_id": ids[i:j][used].astype("<i8").tobytes(), "text_key": keys[i:j][used].astype("<i4").tobytes(), "count": count.astype("<u4").tobytes(),
+                        "bucket": int(k), "doc_id": ids[i:j][used].astype("<i8").tobytes(), "text_key": keys[i:j][used].astype("<i8").tobytes(), "count": count.astype("<u4").tobytes(),
                         "hash": first[mine].astype("<u8").tobytes(), "place": pack(gaps),
                     })
                 yield pa.RecordBatch.from_pylist(rows, schema)
@@ -109,7 +109,7 @@ def _marked(table: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.nda
         upto = np.cumsum(unpack(place))  # places are kept as the gaps between a document's windows
         starts.append(upto - np.repeat(np.concatenate(([0], upto))[np.cumsum(count) - count], count))
         ids.append(np.frombuffer(doc_id, "<i8"))
-        keys.append(np.frombuffer(text_key, "<i4"))
+        keys.append(np.frombuffer(text_key, "<i8"))
         docs.append(np.repeat(np.arange(n, n + len(ids[-1]), dtype=np.int32), count))
         n += len(ids[-1])
     h, doc, at = np.concatenate(hashes), np.concatenate(docs), np.concatenate(starts).astype("<u4")
@@ -123,7 +123,7 @@ def _marked(table: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.nda
 
 
 def _merge(width: int):
-    schema = pa.schema([("doc_id", pa.int64()), ("text_key", pa.int32()), ("intervals", pa.binary())])
+    schema = pa.schema([("doc_id", pa.int64()), ("text_key", pa.int64()), ("intervals", pa.binary())])
 
     def merge(table: pa.Table) -> pa.Table:
         """Of one group of documents: each document's windows merged into maximal [from, to) intervals."""
@@ -131,7 +131,7 @@ def _merge(width: int):
         n = 0
         for doc_id, text_key, count, starts in zip(*(table.column(c).to_pylist() for c in ("doc_id", "text_key", "count", "starts")), strict=True):
             ids.append(np.frombuffer(doc_id, "<i8"))
-            keys.append(np.frombuffer(text_key, "<i4"))
+            keys.append(np.frombuffer(text_key, "<i8"))
             doc.append(np.repeat(np.arange(n, n + len(ids[-1])), np.frombuffer(count, "<u4")))
             at.append(np.frombuffer(starts, "<u4").astype(np.int64))
             n += len(ids[-1])
@@ -158,7 +158,7 @@ def removal_intervals(docs: DataFrame, width: int) -> DataFrame:
     n = partitions(docs.sparkSession)
     windows = docs.mapInArrow(_scan(width, n), "bucket int, doc_id binary, text_key binary, count binary, hash binary, place binary")
     found = windows.groupBy("bucket").applyInArrow(_count(n), "grp int, doc_id binary, text_key binary, count binary, starts binary")
-    return found.groupBy("grp").applyInArrow(_merge(width), "doc_id long, text_key int, intervals binary")
+    return found.groupBy("grp").applyInArrow(_merge(width), "doc_id long, text_key long, intervals binary")
 
 
 def remove_repeats(df: DataFrame, width: int = 50, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

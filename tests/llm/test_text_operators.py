@@ -90,10 +90,26 @@ def test_jaccard_join_finds_all_links_at_the_threshold(spark):
     assert got == brute.linked(docs, 3, 80, 100)
 
 
+def test_jaccard_join_of_short_texts_and_split_groups(spark, monkeypatch):
+    monkeypatch.setattr(jaccard_join, "GROUP_ROWS", 4)
+    rng = random.Random(4)
+    docs = []
+    for _ in range(40):
+        words = [str(rng.randrange(60)) for _ in range(rng.randint(5, 22))]
+        for _ in range(5):
+            w = list(words)
+            for _ in range(rng.randint(0, 2)):
+                w.insert(rng.choice([0, len(w)]), str(rng.randrange(60)))
+            docs.append((len(docs), " ".join(w)))
+    for words, num in ((2, 80), (4, 85), (1, 85)):
+        got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in jaccard_join.link(spark.createDataFrame(docs, EMPTY), words, num, 100).collect()}
+        assert got == brute.linked(docs, words, num, 100)
+
+
 def test_signatures_share_one_for_every_similar_pair():
     rng = np.random.default_rng(2)
-    for size in (7, 12, 40, 300):
-        for _ in range(40):
+    for size in (7, 8, 12, 15, 20, 28, 40, 60, 300):
+        for _ in range(60):
             a = np.sort(rng.integers(0, 2**63, size, dtype=np.uint64))
             most = size * 15 // 100
             drop, add = rng.integers(0, most // 2 + 1), rng.integers(0, most // 2 + 1)
@@ -167,7 +183,7 @@ def test_base_pii(spark):
 
 def test_disclosing_terms(spark):
     texts = [f"Our colleague Montgomery writes from boss@corp.example.com about item{'abcdefghij'[i]}" for i in range(5)]
-    texts += [f"Nothing about colleagues here, writes somebody about item{'abcdefghij'[i]}" for i in range(30)]
+    texts += [f"Nothing about colleagues here, writes somebody about item{'abcdefghij'[i % 10]}" for i in range(30)]
     df = spark.createDataFrame(list(enumerate(texts)), EMPTY)
     found = pii.find(df)
     for r in found.collect():
