@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from commitlens.llm import byte_bpe, decontaminate, jaccard_join, pii, toxicity
-from commitlens.llm.common import saved
+from commitlens.llm.common import saved, text_key
 from commitlens.ship import ship
 
 
@@ -35,9 +35,9 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     linked = jaccard_join.link(docs, words=5, num=80, den=100)
     gone = linked.where("component_id < doc_id or (doc_id is null and component_id is not null)")
     gone = saved(gone.select(F.col("doc_id").alias("_id"), F.col("text_key").alias("_gone_key")).distinct(), "duplicates").hint("merge")
-    rows = docs.withColumn("_text_key", F.hash("text"))
+    rows = docs.withColumn("_text_key", text_key()).withColumn("_size", F.octet_length("text")).withColumn("_crc", F.crc32(F.col("text").cast("binary")))
     rest = rows.join(gone, F.col("doc_id").cast("long").eqNullSafe(F.col("_id")) & (F.col("_text_key") == F.col("_gone_key")), "left_anti")
-    return rest.dropDuplicates(["doc_id", "_text_key"]).select(*docs.columns)
+    return rest.dropDuplicates(["doc_id", "_text_key", "_size", "_crc"]).select(*docs.columns)
 
 
 def remove_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
