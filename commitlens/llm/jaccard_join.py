@@ -7,9 +7,10 @@ Signatures. Sizes fall into bands whose ends have the ratio of the threshold, so
 neighbours; every set signs for its own band and the next. In band j at most k_j elements can differ. The hashed feature domain is cut
 into n1 = k_j/2 + 1 (+ slack) partitions of three cells each. Some partition holds at most one difference, so one of its three
 2-subsets of cells is equal in both sets: each 2-subset gives one signature. A signature over empty cells says nothing and is left
-out. A set with so many empty cells that the argument fails (in more partitions than the slack), and every set of a band where a set has at
-most FEW elements that the other lacks, is partitioned down to single elements instead: the signatures are all TAKEN-subsets of its first
-elements in hash order, as many of these as the first TAKEN common elements can lie among.
+out. A set with so many empty cells that the argument fails (in more partitions than the slack) signs again by another partitioning, up to
+SEEDS of them: two similar sets that both fail the first meet in the second, and so on. Sets that fail all, and every set of a band where a
+set has at most FEW elements that the other lacks, are partitioned down to single elements: their signatures are all TAKEN-subsets of their
+first elements in hash order, as many of these as the first TAKEN common elements can lie among.
 
 Candidates. Signatures are packed per task and bucket (4 bytes each) and grouped per bucket. Groups with the same members are one.
 First every member is compared with one hub of its group (the member that shares most signatures) and verified edges make components. Groups
@@ -21,6 +22,9 @@ A pair is a candidate only if its sketches allow it. A sketch counts a set's ele
 MOST_CELLS); the L1 distance of two sketches never exceeds the number of differing elements and stays close to it, so what remains are links and
 pairs just below the threshold.
 
+A pair is looked at in the least of its common groups only, as far as the first LISTED open groups of both tell; a pair that shares none of
+these is looked at in each.
+
 Verification recomputes both sets from the whole texts and counts the intersection.
 
 Hashes have 64 bits; sets are told apart by a 64-bit sum of their elements' hashes.
@@ -48,9 +52,11 @@ SHINGLE_BASE = 0xC2B2AE3D27D4EB4F
 #: Cells of a sketch: the power of two from half the set's size on, within these bounds.
 LEAST_CELLS, MOST_CELLS = 64, 4096
 #: Elements of a subset of single elements, and up to how many missing elements a band uses only these.
-TAKEN, FEW = 4, 2
+TAKEN, FEW, SEEDS = 4, 2, 8
 #: Members of a group that one task compares with one another.
 GROUP_ROWS = 1024
+#: The least open groups that a member carries with it.
+LISTED = 32
 #: Shingles whose signatures go to one bucket, about.
 BUCKET_SHINGLES = 3_000_000
 #: Members compared with one hub in one group of rows.
@@ -104,7 +110,7 @@ class Bands:
         self.low, self.high = np.array(low), np.array(high)
         self.differ = 2 * self.high * (den - num) // (den + num)
         base = self.differ // 2 + 1
-        self.slack = 1 + np.minimum(base // 4, 3) + base // 16
+        self.slack = 1 + base // 16
         self.parts = base + self.slack
         self.missing = self.high * (den - num) // den
         self.taken = np.minimum(TAKEN, -(-self.low * num // den))
@@ -123,37 +129,43 @@ def signatures(h: np.ndarray, at: np.ndarray, num: int, den: int) -> tuple[np.nd
     sizes = np.diff(at)
     bands = Bands(num, den, int(sizes.max(initial=1)))
     owner_out, sig_out = [], []
-    owner = np.repeat(np.arange(len(sizes)), sizes)
-    spread, value = mix(h ^ np.uint64(0x9FB21C651E98DF25)), mix(h ^ np.uint64(0x8CB92BA72F3D8DD7))
+    value = mix(h ^ np.uint64(0x8CB92BA72F3D8DD7))
     with np.errstate(over="ignore"):
         for step in (0, 1):
             band = bands.of(sizes) + step
             signs = (bands.differ[band] > 0) & (sizes > 0)
             few = signs & (bands.missing[band] <= FEW)
-            parts = np.where(signs & ~few, bands.parts[band], 0)
-            use = parts[owner] > 0
-            cells = 3 * parts
-            base = np.cumsum(cells) - cells
-            cell = base[owner[use]] + (spread[use] % cells[owner[use]].astype(np.uint64)).astype(np.int64)
-            n = int(cells.sum())
-            total, filled = sums(value[use], cell, n).reshape(-1, 3), np.bincount(cell, minlength=n).reshape(-1, 3) > 0
-            of = np.repeat(np.arange(len(sizes)), parts)
-            number = np.arange(len(of)) - (np.cumsum(parts) - parts)[of]
-            for left_out, (a, b) in enumerate(((1, 2), (0, 2), (0, 1))):
-                keep = filled[:, a] | filled[:, b]
-                place = ((band[of] * 4 + left_out).astype(np.uint64) << np.uint64(32)) + number.astype(np.uint64)
-                sig = mix(mix(total[:, a] + place * np.uint64(0x9E3779B97F4A7C15)) + total[:, b])
-                owner_out.append(of[keep])
-                sig_out.append(sig[keep])
-            poor = np.bincount(of, filled.sum(1) < 2, len(sizes)) > bands.slack[band]
-            for k in np.flatnonzero(few | (poor & (parts > 0))).tolist():
+            open_ = np.flatnonzero(signs & ~few)
+            for seed in range(SEEDS):
+                if not len(open_):
+                    break
+                # the sets that are still open, numbered anew
+                size, parts, in_band = sizes[open_], bands.parts[band[open_]], band[open_]
+                element = np.arange(int(size.sum())) + np.repeat(at[open_] - np.cumsum(size) + size, size)
+                cells = 3 * parts
+                base = np.cumsum(cells) - cells
+                spread = mix(h[element] ^ np.uint64((0x9FB21C651E98DF25 + 2 * seed * 0x9E3779B97F4A7C15) % (1 << 64)))
+                owner = np.repeat(np.arange(len(open_)), size)
+                cell = base[owner] + (spread % cells[owner].astype(np.uint64)).astype(np.int64)
+                n = int(cells.sum())
+                total, filled = sums(value[element], cell, n).reshape(-1, 3), np.bincount(cell, minlength=n).reshape(-1, 3) > 0
+                of = np.repeat(np.arange(len(open_)), parts)
+                number = np.arange(len(of)) - (np.cumsum(parts) - parts)[of]
+                for left_out, (a, b) in enumerate(((1, 2), (0, 2), (0, 1))):
+                    keep = filled[:, a] | filled[:, b]
+                    place = (((in_band[of] * SEEDS + seed) * 4 + left_out).astype(np.uint64) << np.uint64(32)) + number.astype(np.uint64)
+                    sig = mix(mix(total[:, a] + place * np.uint64(0x9E3779B97F4A7C15)) + total[:, b])
+                    owner_out.append(open_[of[keep]])
+                    sig_out.append(sig[keep])
+                open_ = open_[np.bincount(of, filled.sum(1) < 2, len(open_)) > bands.slack[in_band]]
+            for k in np.concatenate((np.flatnonzero(few), open_)).tolist():
                 taken = int(bands.taken[band[k]])
                 first = value[at[k] : min(at[k + 1], at[k] + taken + int(bands.missing[band[k]]))]
                 if len(first) >= taken:
                     sig = mix(first[subsets(len(first), taken)].sum(1, dtype=np.uint64) + np.uint64(int(band[k]) * 4 + 3) * np.uint64(0x9E3779B97F4A7C15))
                     owner_out.append(np.full(len(sig), k))
                     sig_out.append(sig)
-    return np.concatenate(owner_out), np.concatenate(sig_out)
+    return np.concatenate(owner_out) if owner_out else np.zeros(0, np.int64), np.concatenate(sig_out) if sig_out else np.zeros(0, np.uint64)
 
 
 def sketches(h: np.ndarray, at: np.ndarray) -> list[bytes]:
@@ -294,8 +306,24 @@ def _pairs(num: int, den: int, best: bool):
     """
     none = np.zeros(0, np.int64)
 
-    def of_group(comp: np.ndarray, size: np.ndarray, part: np.ndarray, sketch: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    def elsewhere(lists: list[np.ndarray]) -> np.ndarray | None:
+        """Which members share one of their groups in ``lists``."""
+        group = np.concatenate(lists)
+        if not len(group):
+            return None
+        _, number, times = np.unique(group, return_inverse=True, return_counts=True)
+        shared = times[number] > 1
+        if not shared.any():
+            return None
+        member = np.repeat(np.arange(len(lists)), [len(x) for x in lists])[shared]
+        _, number = np.unique(number[shared], return_inverse=True)
+        found = np.zeros((len(lists), int(number.max()) + 1), np.float32)
+        found[member, number] = 1
+        return found @ found.T > 0
+
+    def of_group(comp: np.ndarray, size: np.ndarray, part: np.ndarray, sketch: list[bytes], lists: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
         """Rows come by size. Of the rows of two parts only pairs across them are looked at."""
+        settled = elsewhere(lists)
         fine = min(map(len, sketch)) // 2
         coarse = np.stack([folded(s, LEAST_CELLS) for s in sketch])
         across = part.min() != part.max()
@@ -305,6 +333,8 @@ def _pairs(num: int, den: int, best: bool):
             open_ = (comp[rows, None] != comp) & (np.arange(len(comp)) > np.arange(len(comp))[rows, None]) & (size * num <= size[rows, None] * den)
             if across:
                 open_ &= part[rows, None] != part
+            if settled is not None:
+                open_ &= ~settled[rows]
             i, j = np.nonzero(open_)
             i += x
             for cells in dict.fromkeys((LEAST_CELLS, fine)):
@@ -332,15 +362,18 @@ def _pairs(num: int, den: int, best: bool):
 
     def pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in whole_runs(batches, "block"):
-            block, node, hub, comp, size, part = (table.column(c).to_numpy() for c in ("block", "node", "hub", "comp", "n_shingles", "part"))
+            block, grp, node, hub, comp, size, part = (table.column(c).to_numpy() for c in ("block", "grp", "node", "hub", "comp", "n_shingles", "part"))
             sketch = table.column("sketch").to_pylist()
+            least = table.column("least").combine_chunks()
+            ids, at = least.flatten().to_numpy(), np.concatenate(([0], np.cumsum(least.value_lengths().to_numpy())))
             order = np.lexsort((size, block))
             order = order[node[order] != hub[order]]
             cuts = np.flatnonzero(np.concatenate(([True], np.diff(block[order]) != 0, [True]))) if len(order) else none
             a, b = [none], [none]
             for x, y in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
                 mine = order[x:y]
-                i, j = of_group(comp[mine], size[mine], part[mine], [sketch[k] for k in mine.tolist()])
+                lists = [ids[at[k] : at[k + 1]] for k in mine.tolist()]
+                i, j = of_group(comp[mine], size[mine], part[mine], [sketch[k] for k in mine.tolist()], [x[x < grp[mine[0]]] for x in lists])
                 a.append(node[mine[i]])
                 b.append(node[mine[j]])
             a, b = np.concatenate(a), np.concatenate(b)
@@ -396,7 +429,7 @@ def in_blocks(rows: DataFrame) -> DataFrame:
     """Rows of a group, dealt to ``parts`` parts, meet in one block for each two parts; a part is with itself in its own block."""
     part = rows.withColumn("part", F.pmod(F.hash("node"), F.col("parts")))
     met = part.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-    return met.withColumn("block", F.xxhash64("grp", F.least("part", "other"), F.greatest("part", "other"))).select("block", "node", "hub", "comp", "part")
+    return met.withColumn("block", F.xxhash64("grp", F.least("part", "other"), F.greatest("part", "other"))).select("block", "grp", "node", "hub", "comp", "part")
 
 
 def link(df: DataFrame, words: int = 5, num: int = 80, den: int = 100, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -427,13 +460,15 @@ def link(df: DataFrame, words: int = 5, num: int = 80, den: int = 100, id_col: s
     for best in (True, False):
         of = groups.join(roots, "node", "left").select("grp", "node", "hub", F.coalesce("root", "node").alias("comp"))
         several = of.groupBy("grp").agg(F.min("comp").alias("x"), F.max("comp").alias("y"), F.count(F.lit(1)).alias("m")).where("x <> y")
-        rest = in_blocks(of.join(several.select("grp", F.ceil(F.col("m") / GROUP_ROWS).cast("int").alias("parts")), "grp")).join(nodes.select("node", "n_shingles", "sketch"), "node")
+        rest = scratch.save(of.join(several.select("grp", F.ceil(F.col("m") / GROUP_ROWS).cast("int").alias("parts")), "grp"), f"open-{best}")
+        least = rest.groupBy("node").agg(F.slice(F.array_sort(F.collect_list("grp")), 1, LISTED).alias("least"))  # no more groups than the text has signatures
+        rest = in_blocks(rest).join(nodes.select("node", "n_shingles", "sketch").join(least, "node"), "node")
         rest = rest.repartition(partitions(spark), "block").sortWithinPartitions("block")
         more = scratch.save(rest.mapInArrow(_pairs(num, den, best), "a long, b long").distinct(), "pairs")
         if not more.limit(1).count():
             break
         found = scratch.save(verified(more, nodes, docs, words, num, den), f"links-{best}")
-        scratch.drop("pairs")
+        scratch.drop("pairs", f"open-{best}")
         if found.limit(1).count():
             links = links.union(found)
             roots = components(links, scratch, f"components-{best}")
