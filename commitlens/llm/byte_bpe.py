@@ -1,15 +1,15 @@
 """Byte-level BPE by a global shuffle of distinct words.
 
-1. Explode: a task splits the whole texts of a few MB of documents (a block) into pre-tokens. The block keeps its documents as the
-   sequence of each position's place in the block's word list, most frequent words first, one to four bytes a position; each distinct word of
-   the block goes on once, with its place.
+1. Explode: a task splits the whole texts of a few MB of documents (a block) into pre-tokens, once. The block keeps its documents as the
+   sequence of each position's place in the block's word list, most frequent words first, one to four bytes a position, and each distinct
+   word of the block with its place. Blocks are written to the shared folder under a new random name, so whatever reads them later sees the
+   same blocks, also when the rows come in another order or a lost task runs again.
 2. Encode: words are shuffled by their hash, so equal words of all blocks meet and each distinct word of the corpus is encoded once.
 3. Join back: the ids return to their blocks with the places; a block's documents are reassembled by position.
-4. Decode: ids are looked up in the token-byte table (one entry a rank, so its size is fixed by the vocabulary).
+4. Decode: ids are joined to the token-byte table, which is broadcast: it has one entry a rank, so its size is fixed by the vocabulary.
 
 Words and ids travel packed, one row per block and bucket of words. A word that occurs everywhere adds one entry per block, never one per
-occurrence. A block holds about BLOCK_BYTES of text, or one longer text. Blocks are named by what they hold, so the two passes
-over the texts agree on them, also when a lost task runs again.
+occurrence. A block holds about BLOCK_BYTES of text, or one longer text. The number of buckets follows the bytes of all texts.
 
 Defined results: null and empty texts have no tokens; a repeated row is encoded again; an empty table gives no rows; texts of
 any length are encoded whole.
@@ -20,30 +20,34 @@ from __future__ import annotations
 import base64
 import hashlib
 import re
+import uuid
 import zlib
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 import regex
 import tiktoken
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import pack, partitions, plain_string_array, spans_of_bytes, text_bytes, unpack
+from .common import Scratch, buckets_for, pack, plain_string_array, spans_of_bytes, text_bytes, unpack
 
-#: Text of one block.
-BLOCK_BYTES = 12 << 20
+#: Text of one block, and the text whose distinct words make one bucket.
+BLOCK_BYTES, BUCKET_BYTES = 12 << 20, 16 << 20
 
 
-def load_ranks(path: str) -> dict[bytes, int]:
-    with open(path, "rb") as f:
-        return {base64.b64decode(token): int(rank) for token, rank in (line.split() for line in f if line.strip())}
+def parsed(table: bytes) -> dict[bytes, int]:
+    """Ranks of tokens, from lines of a token in base64 and its rank."""
+    return {base64.b64decode(token): int(rank) for token, rank in (line.split() for line in table.splitlines() if line.strip())}
 
 
-def word_encoder(ranks: dict[bytes, int]) -> tiktoken.Encoding:
-    """Encodes its whole input as one pre-token."""
-    return tiktoken.Encoding("words", pat_str=r"[\s\S]+", mergeable_ranks=ranks, special_tokens={})
+@lru_cache(maxsize=2)
+def word_encoder(table: bytes) -> tiktoken.Encoding:
+    """Encodes its whole input as one pre-token; kept for a worker's later groups."""
+    return tiktoken.Encoding("words", pat_str=r"[\s\S]+", mergeable_ranks=parsed(table), special_tokens={})
 
 
 class Numbers(dict):
@@ -61,21 +65,19 @@ SPACE = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 UNITS = rf" ?[^{SPACE}]+|[{SPACE}]+(?![^{SPACE}])|[{SPACE}]+"
 
 
-def _read_blocks(batches: Iterator[pa.RecordBatch], pattern: str, units: str | None) -> Iterator[tuple[int, list, np.ndarray, np.ndarray, list[str]]]:
-    """Blocks as (name, doc_ids, tokens of each document, place of each position, words by place)."""
+def _read_blocks(batches: Iterator[pa.RecordBatch], pattern: str, units: str | None) -> Iterator[tuple[list, np.ndarray, np.ndarray, list[str]]]:
+    """Blocks as (doc_ids, pre-tokens of each document, place of each position, words by place)."""
     split = regex.compile(pattern).findall
     find = re.compile(units).findall if units else split
 
     def block(parts: list[tuple[list, list[str]]]):
         unit, word = Numbers(), Numbers()
         numbers, ids = [], []
-        name = hashlib.blake2b(digest_size=8)
         for doc_ids, texts in parts:
-            for doc_id, text in zip(doc_ids, texts, strict=True):
+            for text in texts:
                 found = find(text)
                 numbers.append(np.fromiter(map(unit.__getitem__, found), np.int32, len(found)))
-                ids.append(doc_id)
-                name.update(f"{doc_id}:{len(text)}:".encode() + text.encode())
+            ids += doc_ids
         words_of = [split(u) for u in unit] if units else [(u,) for u in unit]
         unit_words = np.fromiter((word[w] for words in words_of for w in words), np.int32)
         size = np.fromiter(map(len, words_of), np.int64, len(words_of))
@@ -88,7 +90,7 @@ def _read_blocks(batches: Iterator[pa.RecordBatch], pattern: str, units: str | N
         place = np.empty(len(word), np.int32)
         place[often] = np.arange(len(word))
         names = list(word)
-        return int.from_bytes(name.digest(), "little", signed=True), ids, np.diff(ends, prepend=0).astype("<u4"), place[flat], [names[k] for k in often.tolist()]
+        return ids, np.diff(ends, prepend=0).astype("<u4"), place[flat], [names[k] for k in often.tolist()]
 
     held, size = [], 0
     for b in batches:
@@ -104,41 +106,42 @@ def _read_blocks(batches: Iterator[pa.RecordBatch], pattern: str, units: str | N
         yield block(held)
 
 
-def _words(pattern: str, units: str | None, buckets: int):
-    schema = pa.schema([("bucket", pa.int32()), ("block", pa.int64()), ("places", pa.binary()), ("lengths", pa.binary()), ("words", pa.binary())])
+WORDS = "array<struct<bucket:int,places:binary,lengths:binary,words:binary>>"
 
-    def words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for name, _, _, _, words in _read_blocks(batches, pattern, units):
+
+def _blocks(pattern: str, units: str | None, buckets: int):
+    one = pa.struct([("bucket", pa.int32()), ("places", pa.binary()), ("lengths", pa.binary()), ("words", pa.binary())])
+    schema = pa.schema([("block", pa.binary()), ("doc_ids", pa.list_(pa.int64())), ("n_words", pa.binary()), ("positions", pa.binary()), ("words", pa.list_(one))])
+
+    def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        squeeze = zstandard.ZstdCompressor(level=3).compress
+        for ids, counts, places, words in _read_blocks(batches, pattern, units):
             raw = [w.encode() for w in words]
             bucket = np.fromiter((zlib.crc32(w) % buckets for w in raw), np.int64, len(raw))
             order = np.argsort(bucket, kind="stable")
-            cuts = np.searchsorted(bucket[order], np.arange(buckets + 1))
-            rows = []
-            for k in np.flatnonzero(np.diff(cuts)):
-                mine = order[cuts[k] : cuts[k + 1]]
+            cuts = np.flatnonzero(np.concatenate(([True], np.diff(bucket[order]) != 0, [True]))) if len(raw) else np.zeros(0, np.int64)
+            parts = []
+            for x, y in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
+                mine = order[x:y]
                 some = [raw[i] for i in mine.tolist()]
-                rows.append({"bucket": int(k), "block": name, "places": pack(np.diff(mine, prepend=0)), "lengths": pack(np.array([len(w) for w in some])), "words": b"".join(some)})
-            yield pa.RecordBatch.from_pylist(rows, schema)
-
-    return words
+                parts.append({"bucket": int(bucket[mine[0]]), "places": pack(np.diff(mine, prepend=0)), "lengths": pack(np.array([len(w) for w in some])), "words": squeeze(b"".join(some))})
+            packed = b"".join(pack(places[k : k + (1 << 19)]) for k in range(0, len(places), 1 << 19))
+            yield pa.RecordBatch.from_pylist([{"block": uuid.uuid4().bytes, "doc_ids": ids, "n_words": counts.tobytes(), "positions": squeeze(packed), "words": parts}], schema)
 
+    return blocks
 
-def _encode(ranks_path: str):
-    schema = pa.schema([("block", pa.int64()), ("places", pa.binary()), ("counts", pa.binary()), ("ids", pa.binary())])
 
-    def encode(table: pa.Table) -> pa.Table:
-        """Of one bucket of words: each distinct word's ids, once; then the ids of each block's words.
+def _encode(table):
+    schema = pa.schema([("block", pa.binary()), ("places", pa.binary()), ("counts", pa.binary()), ("ids", pa.binary())])
 
-        Blocks of one name are equal and so are their words; one row stands for all of them, or each place would occur twice.
-        """
-        one = word_encoder(load_ranks(ranks_path)).encode_ordinary
+    def encode(rows: pa.Table) -> pa.Table:
+        """Of one bucket of words: each distinct word's ids, once; then the ids of each block's words."""
+        one = word_encoder(table.value).encode_ordinary
+        expand = zstandard.ZstdDecompressor().decompress
         known: dict[bytes, list[int]] = {}
-        seen: set[int] = set()
-        rows = []
-        for block, places, lengths, words in zip(*(table.column(c).to_pylist() for c in ("block", "places", "lengths", "words")), strict=True):
-            if block in seen:
-                continue
-            seen.add(block)
+        out_rows = []
+        for block, places, lengths, words in zip(*(rows.column(c).to_pylist() for c in ("block", "places", "lengths", "words")), strict=True):
+            words = expand(words)
             at, counts, out = 0, [], []
             for n in unpack(lengths).tolist():
                 w = words[at : at + n]
@@ -148,23 +151,12 @@ def _encode(ranks_path: str):
                     ids = known[w] = one(w.decode())
                 counts.append(len(ids))
                 out += ids
-            rows.append({"block": block, "places": places, "counts": pack(np.array(counts)), "ids": pack(np.array(out))})
-        return pa.Table.from_pylist(rows, schema)
+            out_rows.append({"block": block, "places": places, "counts": pack(np.array(counts)), "ids": pack(np.array(out))})
+        return pa.Table.from_pylist(out_rows, schema)
 
     return encode
 
 
-def _documents(pattern: str, units: str | None):
-    schema = pa.schema([("block", pa.int64()), ("doc_ids", pa.list_(pa.int64())), ("n_words", pa.binary()), ("positions", pa.binary())])
-
-    def documents(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for name, ids, counts, places, _ in _read_blocks(batches, pattern, units):
-            packed = b"".join(pack(places[k : k + (1 << 19)]) for k in range(0, len(places), 1 << 19))
-            yield pa.RecordBatch.from_pylist([{"block": name, "doc_ids": ids, "n_words": counts.tobytes(), "positions": packed}], schema)
-
-    return documents
-
-
 def gather(offsets: np.ndarray, which: np.ndarray) -> np.ndarray:
     """Numbers of all elements of the runs [offsets[w], offsets[w+1]) for each w of ``which``, one after the other."""
     n = offsets[which + 1] - offsets[which]
@@ -172,10 +164,22 @@ def gather(offsets: np.ndarray, which: np.ndarray) -> np.ndarray:
     return np.arange(int(end[-1]) if len(end) else 0) + np.repeat(offsets[which] - (end - n), n)
 
 
-def _assemble(table_bytes: np.ndarray, table_at: np.ndarray, with_ids: bool, with_decoded: bool):
+@lru_cache(maxsize=2)
+def token_bytes(table: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """The token-byte table: all tokens' bytes, end to end by rank, and each rank's offset in them (len+1); ranks may have gaps."""
+    by_rank = sorted((rank, token) for token, rank in parsed(table).items())
+    size = np.zeros(by_rank[-1][0] + 2, np.int64)
+    for rank, token in by_rank:
+        size[rank + 1] = len(token)
+    return np.frombuffer(b"".join(token for _, token in by_rank), np.uint8), np.cumsum(size)
+
+
+def _assemble(table, with_ids: bool, with_decoded: bool):
     schema = pa.schema([("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("ids_sha256", pa.string()), ("decoded_sha256", pa.string()), ("ids", pa.list_(pa.int32())), ("decoded", pa.binary())])
 
     def assemble(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table_bytes, table_at = token_bytes(table.value)
+        expand = zstandard.ZstdDecompressor().decompress
         for b in batches:
             for row in range(b.num_rows):
                 doc_ids, n_words, positions, parts = (b.column(c)[row].as_py() for c in ("doc_ids", "n_words", "positions", "parts"))
@@ -187,7 +191,7 @@ def _assemble(table_bytes: np.ndarray, table_at: np.ndarray, with_ids: bool, wit
                 order = np.argsort(place)
                 ids = ids[gather(np.append(begin, len(ids)), order)] if len(order) else ids  # by place
                 at = np.concatenate(([0], np.cumsum(count[order])))
-                words = unpack(positions)
+                words = unpack(expand(positions))
                 counts = np.frombuffer(n_words, "<u4").astype(np.int64)
                 ends = np.cumsum(counts)
                 out, held = [], 0
@@ -212,20 +216,19 @@ def _batch(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
 def encode(df: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text", units: str | None = None, with_ids: bool = True, with_decoded: bool = True) -> DataFrame:
     """Per input row: doc_id, n_tokens, ids_sha256, decoded_sha256 and, if asked for, ids and decoded (the bytes that the ids stand for).
 
-    ``ranks_path`` must be readable on every executor; ``pattern`` splits texts into pre-tokens; ``units``, if given, is a
+    ``ranks_path`` is read on the driver and broadcast; ``pattern`` splits texts into pre-tokens; ``units``, if given, is a
     coarser pattern whose matches cover a text and hold its pre-tokens whole (UNITS for the public pattern).
     """
-    n = partitions(df.sparkSession)
+    spark = df.sparkSession
+    scratch = Scratch(spark)
+    with open(ranks_path, "rb") as f:
+        table = spark.sparkContext.broadcast(f.read())
     docs = df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    words = docs.mapInArrow(_words(pattern, units, n), "bucket int, block long, places binary, lengths binary, words binary")
-    encoded = words.groupBy("bucket").applyInArrow(_encode(ranks_path), "block long, places binary, counts binary, ids binary")
-    lists = encoded.groupBy("block").agg(F.collect_list(F.struct("places", "counts", "ids")).alias("parts"))  # one entry a bucket, also for equal blocks
-    whole = docs.mapInArrow(_documents(pattern, units), "block long, doc_ids array<long>, n_words binary, positions binary").join(lists, "block", "left")
-    ranks = load_ranks(ranks_path)
-    by_id = sorted((rank, token) for token, rank in ranks.items())
-    size = np.zeros(by_id[-1][0] + 2, np.int64)
-    for rank, token in by_id:
-        size[rank + 1] = len(token)
-    table = np.frombuffer(b"".join(token for _, token in by_id), np.uint8)
+    n = buckets_for(docs, BUCKET_BYTES)
+    blocks = scratch.save(docs.mapInArrow(_blocks(pattern, units, n), f"block binary, doc_ids array<long>, n_words binary, positions binary, words {WORDS}"), "blocks")
+    words = blocks.select("block", F.explode("words").alias("w")).select("w.bucket", "block", "w.places", "w.lengths", "w.words")
+    encoded = words.groupBy("bucket").applyInArrow(_encode(table), "block binary, places binary, counts binary, ids binary")
+    lists = encoded.groupBy("block").agg(F.collect_list(F.struct("places", "counts", "ids")).alias("parts"))  # one entry a bucket
+    whole = blocks.select("block", "doc_ids", "n_words", "positions").join(lists, "block", "left")
     out = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string, ids array<int>, decoded binary"
-    return whole.select("doc_ids", "n_words", "positions", "parts").mapInArrow(_assemble(table, np.cumsum(size), with_ids, with_decoded), out)
+    return whole.select("doc_ids", "n_words", "positions", "parts").mapInArrow(_assemble(table, with_ids, with_decoded), out)

@@ -62,6 +62,12 @@ def partitions(spark: SparkSession) -> int:
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
 
 
+def buckets_for(docs: DataFrame, most: int, text: str = "text") -> int:
+    """So many buckets that each one's share of all texts is about ``most`` bytes; as many as shuffle partitions at least."""
+    size = docs.agg(F.sum(F.octet_length(text))).first()[0] or 0
+    return max(partitions(docs.sparkSession), -(-size // most))
+
+
 def plain_string_array(column) -> pa.Array:
     """One contiguous string array with 32-bit offsets; nulls become empty strings."""
     if isinstance(column, pa.ChunkedArray):

@@ -284,6 +284,15 @@ def test_byte_bpe_of_rows_repeated_in_other_partitions(spark):
         assert r["ids_sha256"] == hashlib.sha256(np.array(ids, "<u4").tobytes()).hexdigest()
 
 
+def test_byte_bpe_of_rows_in_another_order_each_time(spark, docs, rows):
+    path = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
+    ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, open(path, "rb"))}
+    own = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    twice = docs.union(docs).repartition(3).orderBy(F.rand())
+    got = byte_bpe.encode(twice, path, public_tokenizers.PATTERN, units=byte_bpe.UNITS).collect()
+    assert sorted((r["doc_id"], r["ids"], bytes(r["decoded"])) for r in got) == sorted(2 * [(d, own.encode_ordinary(t or ""), (t or "").encode()) for d, t in rows])
+
+
 def test_units_hold_pre_tokens_whole():
     import re
 
