@@ -52,7 +52,7 @@ SHINGLE_BASE = 0xC2B2AE3D27D4EB4F
 #: Cells of a sketch: the power of two from half the set's size on, within these bounds.
 LEAST_CELLS, MOST_CELLS = 64, 4096
 #: Elements of a subset of single elements, and up to how many missing elements a band uses only these.
-TAKEN, FEW, SEEDS = 4, 2, 8
+TAKEN, FEW, SEEDS = 4, 2, 64
 #: Members of a group that one task compares with one another.
 GROUP_ROWS = 1024
 #: The least open groups that a member carries with it.
@@ -110,11 +110,22 @@ class Bands:
         self.low, self.high = np.array(low), np.array(high)
         self.differ = 2 * self.high * (den - num) // (den + num)
         base = self.differ // 2 + 1
-        self.slack = 1 + base // 16
+        self.slack = self.slack_for(base)
         self.parts = base + self.slack
         self.missing = self.high * (den - num) // den
         self.taken = np.minimum(TAKEN, -(-self.low * num // den))
 
+    def slack_for(self, base: np.ndarray) -> np.ndarray:
+        """So many more partitions that few sets of a band, down to the smallest that signs for it, have more of them with empty cells."""
+        smallest, slack, best = self.low * self.num / self.den, np.ones(len(base), np.int64), np.full(len(base), np.inf)
+        for part in np.linspace(0, 0.5, 41):
+            more = 1 + (base * part).astype(np.int64)
+            empty = np.exp(-smallest / (base + more) / 3)
+            bad = (base + more) * (empty**3 + 3 * (1 - empty) * empty**2)
+            lacking = np.maximum(bad + 2.5 * np.sqrt(bad) - more, 0)
+            slack, best = np.where(lacking < best, more, slack), np.minimum(lacking, best)
+        return slack
+
     def of(self, sizes: np.ndarray) -> np.ndarray:
         return np.searchsorted(self.high, sizes, "left")
 
@@ -136,7 +147,12 @@ def signatures(h: np.ndarray, at: np.ndarray, num: int, den: int) -> tuple[np.nd
             signs = (bands.differ[band] > 0) & (sizes > 0)
             few = signs & (bands.missing[band] <= FEW)
             open_ = np.flatnonzero(signs & ~few)
+            left = [np.flatnonzero(few)]
             for seed in range(SEEDS):
+                if seed == SEEDS // 8:  # of small sets the subsets are few
+                    small = bands.missing[band[open_]] <= 4 * TAKEN
+                    left.append(open_[small])
+                    open_ = open_[~small]
                 if not len(open_):
                     break
                 # the sets that are still open, numbered anew
@@ -158,7 +174,7 @@ def signatures(h: np.ndarray, at: np.ndarray, num: int, den: int) -> tuple[np.nd
                     owner_out.append(open_[of[keep]])
                     sig_out.append(sig[keep])
                 open_ = open_[np.bincount(of, filled.sum(1) < 2, len(open_)) > bands.slack[in_band]]
-            for k in np.concatenate((np.flatnonzero(few), open_)).tolist():
+            for k in np.concatenate((*left, open_)).tolist():
                 taken = int(bands.taken[band[k]])
                 first = value[at[k] : min(at[k + 1], at[k] + taken + int(bands.missing[band[k]]))]
                 if len(first) >= taken:
