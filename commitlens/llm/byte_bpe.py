@@ -2,8 +2,8 @@
 
 1. Explode: a task splits the whole texts of a few MB of documents (a block) into pre-tokens, once. The block keeps its documents as the
    sequence of each position's place in the block's word list, most frequent words first, one to four bytes a position, and each distinct
-   word of the block with its place. Blocks are written to the shared folder under a new random name, so whatever reads them later sees the
-   same blocks, also when the rows come in another order or a lost task runs again.
+   word of the block with its place. Blocks are written to the shared folder under a new random name, as a table bucketed by it, so whatever
+   reads them later sees the same blocks, also when the rows come in another order or a lost task runs again.
 2. Encode: words are shuffled by their hash, so equal words of all blocks meet and each distinct word of the corpus is encoded once.
 3. Join back: the ids return to their blocks with the places; a block's documents are reassembled by position.
 4. Decode: ids are joined to the token-byte table, which is broadcast: it has one entry a rank, so its size is fixed by the vocabulary.
@@ -33,7 +33,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, buckets_for, pack, plain_string_array, spans_of_bytes, text_bytes, unpack
+from .common import bucketed, buckets_for, pack, plain_string_array, spans_of_bytes, text_bytes, unpack
 
 #: Text of one block, and the text whose distinct words make one bucket.
 BLOCK_BYTES, BUCKET_BYTES = 12 << 20, 16 << 20
@@ -111,7 +111,7 @@ WORDS = "array<struct<bucket:int,places:binary,lengths:binary,words:binary>>"
 
 def _blocks(pattern: str, units: str | None, buckets: int):
     one = pa.struct([("bucket", pa.int32()), ("places", pa.binary()), ("lengths", pa.binary()), ("words", pa.binary())])
-    schema = pa.schema([("block", pa.binary()), ("doc_ids", pa.list_(pa.int64())), ("n_words", pa.binary()), ("positions", pa.binary()), ("words", pa.list_(one))])
+    schema = pa.schema([("block", pa.int64()), ("doc_ids", pa.list_(pa.int64())), ("n_words", pa.binary()), ("positions", pa.binary()), ("words", pa.list_(one))])
 
     def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         squeeze = zstandard.ZstdCompressor(level=3).compress
@@ -126,13 +126,13 @@ def _blocks(pattern: str, units: str | None, buckets: int):
                 some = [raw[i] for i in mine.tolist()]
                 parts.append({"bucket": int(bucket[mine[0]]), "places": pack(np.diff(mine, prepend=0)), "lengths": pack(np.array([len(w) for w in some])), "words": squeeze(b"".join(some))})
             packed = b"".join(pack(places[k : k + (1 << 19)]) for k in range(0, len(places), 1 << 19))
-            yield pa.RecordBatch.from_pylist([{"block": uuid.uuid4().bytes, "doc_ids": ids, "n_words": counts.tobytes(), "positions": squeeze(packed), "words": parts}], schema)
+            yield pa.RecordBatch.from_pylist([{"block": uuid.uuid4().int >> 65, "doc_ids": ids, "n_words": counts.tobytes(), "positions": squeeze(packed), "words": parts}], schema)
 
     return blocks
 
 
 def _encode(table):
-    schema = pa.schema([("block", pa.binary()), ("places", pa.binary()), ("counts", pa.binary()), ("ids", pa.binary())])
+    schema = pa.schema([("block", pa.int64()), ("places", pa.binary()), ("counts", pa.binary()), ("ids", pa.binary())])
 
     def encode(rows: pa.Table) -> pa.Table:
         """Of one bucket of words: each distinct word's ids, once; then the ids of each block's words."""
@@ -220,14 +220,14 @@ def encode(df: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id",
     coarser pattern whose matches cover a text and hold its pre-tokens whole (UNITS for the public pattern).
     """
     spark = df.sparkSession
-    scratch = Scratch(spark)
     with open(ranks_path, "rb") as f:
         table = spark.sparkContext.broadcast(f.read())
     docs = df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     n = buckets_for(docs, BUCKET_BYTES)
-    blocks = scratch.save(docs.mapInArrow(_blocks(pattern, units, n), f"block binary, doc_ids array<long>, n_words binary, positions binary, words {WORDS}"), "blocks")
+    blocks = docs.mapInArrow(_blocks(pattern, units, n), f"block long, doc_ids array<long>, n_words binary, positions binary, words {WORDS}")
+    blocks = bucketed(blocks, "block", "blocks")  # so that the positions are not shuffled to meet the ids
     words = blocks.select("block", F.explode("words").alias("w")).select("w.bucket", "block", "w.places", "w.lengths", "w.words")
-    encoded = words.groupBy("bucket").applyInArrow(_encode(table), "block binary, places binary, counts binary, ids binary")
+    encoded = words.groupBy("bucket").applyInArrow(_encode(table), "block long, places binary, counts binary, ids binary")
     lists = encoded.groupBy("block").agg(F.collect_list(F.struct("places", "counts", "ids")).alias("parts"))  # one entry a bucket
     whole = blocks.select("block", "doc_ids", "n_words", "positions").join(lists, "block", "left")
     out = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string, ids array<int>, decoded binary"

@@ -58,6 +58,15 @@ def saved(df: DataFrame, name: str) -> DataFrame:
     return Scratch(df.sparkSession).save(df, name)
 
 
+def bucketed(df: DataFrame, key: str, name: str) -> DataFrame:
+    """As ``saved``, bucketed by ``key`` into as many buckets as shuffle partitions: a join by the key does not shuffle these rows again."""
+    spark = df.sparkSession
+    path = new_path(spark, name)
+    table = path.rsplit("/", 1)[-1].replace("-", "_")
+    df.write.bucketBy(partitions(spark), key).option("path", path).saveAsTable(table)
+    return spark.table(table)
+
+
 def partitions(spark: SparkSession) -> int:
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
 
