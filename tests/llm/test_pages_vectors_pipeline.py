@@ -93,6 +93,26 @@ def test_nearest(spark):
     assert hits >= 0.9 * 10 * len(got)
 
 
+def test_nearest_with_repeated_rows(spark):
+    rng = np.random.default_rng(2)
+    x = rng.normal(size=(300, 8))
+    rows = [(i, v.tolist(), "x", 0.5) for i, v in enumerate(x)]
+    df = spark.createDataFrame([*rows, *rows[:60], *rows[:60], (7, x[9].tolist(), "x", 0.5)], "vec_id long, embedding array<double>, list string, score double").repartition(5)
+    got = {}
+    for r in ann.nearest(df, df.where("vec_id % 20 = 0"), 20).orderBy("query_id", "rank").collect():
+        got.setdefault(r["query_id"], []).append((r["rank"], r["vec_id"], r["score"]))
+    assert set(got) == set(range(0, 300, 20))
+    hits = 0
+    for q, found in got.items():
+        score = x @ x[q]
+        score[7] = max(score[7], score[9])
+        assert [r for r, _, _ in found] == list(range(1, 21)) and len({v for _, v, _ in found}) == 20
+        assert all(abs(score[v] - s) < 1e-9 and v != q for _, v, s in found)
+        score[q] = -np.inf
+        hits += len(set(np.argsort(-score)[:20].tolist()) & {v for _, v, _ in found})
+    assert hits >= 0.9 * 20 * len(got)
+
+
 def test_nearest_of_few(spark):
     df = spark.createDataFrame([(1, [1.0, 0.0]), (2, [0.5, 0.5]), (3, [0.0, 1.0])], "vec_id long, embedding array<double>")
     assert [(r["query_id"], r["vec_id"]) for r in ann.nearest(df, df.where("vec_id = 1"), 20).orderBy("rank").collect()] == [(1, 2), (1, 3)]
