@@ -36,7 +36,7 @@ from pyspark.sql import functions as F
 from .common import bucketed, buckets_for, pack, plain_string_array, spans_of_bytes, text_bytes, unpack
 
 #: Text of one block, and the text whose distinct words make one bucket.
-BLOCK_BYTES, BUCKET_BYTES = 12 << 20, 16 << 20
+BLOCK_BYTES, BUCKET_BYTES = 8 << 20, 16 << 20
 
 
 def parsed(table: bytes) -> dict[bytes, int]:

@@ -57,6 +57,8 @@ TAKEN, FEW, SEEDS = 4, 2, 64
 GROUP_ROWS = 1024
 #: The least open groups that a member carries with it.
 LISTED = 32
+#: Text whose sets, and elements whose signatures, are made at once.
+STEP_BYTES, STEP_ELEMENTS = 2 << 20, 1 << 18
 #: Shingles whose signatures go to one bucket, about.
 BUCKET_SHINGLES = 3_000_000
 #: Members compared with one hub in one group of rows.
@@ -206,7 +208,7 @@ def _features(words: int):
     def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             raw, offsets = text_bytes(b.column("text"))
-            for i, j in spans_of_bytes(offsets):
+            for i, j in spans_of_bytes(offsets, STEP_BYTES):
                 h, at = shingle_sets(raw[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i], words)
                 n = np.diff(at)
                 keys = [b.column(c).slice(i, j - i) for c in ("doc_id", "text_key")]
@@ -221,14 +223,15 @@ def _sign(words: int, num: int, den: int, buckets: int):
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             raw, offsets = text_bytes(b.column("text"))
-            for i, j in spans_of_bytes(offsets):
+            for i, j in spans_of_bytes(offsets, STEP_BYTES):
                 h, at = shingle_sets(raw[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i], words)
                 if not len(h):
                     continue
                 node, one = np.unique(fingerprints(h, at), return_index=True)  # copies in the chunk sign once
                 take = np.zeros(len(at) - 1, bool)
                 take[one] = True
-                of, sig = signatures(h, at, num, den)
+                parts = [(x, *signatures(h[at[x] : at[y]], at[x : y + 1] - at[x], num, den)) for x, y in spans_of_bytes(at, STEP_ELEMENTS)]
+                of, sig = np.concatenate([x + o for x, o, _ in parts]), np.concatenate([s for *_, s in parts])
                 of, sig = of[take[of]], sig[take[of]]
                 nodes = fingerprints(h, at)
                 order = np.argsort(of, kind="stable")
@@ -407,7 +410,7 @@ def _verify(words: int, num: int, den: int):
             hubs, nodes, raw_offsets = batch.column("b").to_numpy(), batch.column("a").to_numpy(), text_bytes(batch.column("text"))
             raw, offsets = raw_offsets
             a, b = [], []
-            for i, j in spans_of_bytes(offsets):
+            for i, j in spans_of_bytes(offsets, STEP_BYTES):
                 h, at = shingle_sets(raw[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i], words)
                 for k in range(i, j):
                     mine = h[at[k - i] : at[k - i + 1]]

@@ -31,6 +31,8 @@ DIMENSIONS = 8
 SEGMENT = 4
 #: Segments in one step of the training, and the most occurrences of words held for it at once.
 STEP = 2048
+#: Text that is read at once.
+STEP_BYTES = 1 << 20
 NGRAMS = (3, 4, 5, 6)
 BORDER = 0x20
 
@@ -201,7 +203,7 @@ def train(docs: DataFrame, labels: DataFrame, per_class: int = 1500, id_col: str
     if len(np.unique(label)) < 2:
         return None
     raw, offsets = text_bytes(sample.column("text"))
-    return fit(together([read_words(raw[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i]) for i, j in spans_of_bytes(offsets, 1 << 20)]), label)
+    return fit(together([read_words(raw[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i]) for i, j in spans_of_bytes(offsets, STEP_BYTES)]), label)
 
 
 def _score(table, name: str):
@@ -209,7 +211,7 @@ def _score(table, name: str):
         value, bias = table.value
         for b in batches:
             raw, offsets = text_bytes(b.column("text"))
-            for i, j in spans_of_bytes(offsets):
+            for i, j in spans_of_bytes(offsets, STEP_BYTES):
                 s, _ = text_scores(read_words(raw[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i]), value, bias)
                 rows = [b.column(k).slice(i, j - i) for k in range(b.num_columns)]
                 yield pa.RecordBatch.from_arrays([*rows, pa.array(s)], names=[*b.schema.names, name])
