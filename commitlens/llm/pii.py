@@ -25,7 +25,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import saved
+from .common import Scratch
 
 KINDS = ("email", "ip", "card", "phone")
 EXTRA = ("term", "broad")
@@ -40,24 +40,46 @@ PATTERNS = {
 #: Cheap tests that every text with a match passes.
 NEEDS = {"email": "instr(text, '@') > 0", "ip": r"instr(text, '.') > 0 and text rlike '[0-9]\\.[0-9]'", "card": r"text rlike '[0-9][ -]?[0-9]'", "phone": "instr(text, '+') > 0"}
 TERM = r"(?<!\p{L})\p{L}{4,}+"
+WORD, WORDS = "named_struct('start', s.b, 'end', s.e, 'value', s.m)", "array<struct<start:int,end:int,value:string>>"
 SPAN = "array<struct<start:int,rank:int,end:int,value:string>>"
 MARK = "array<struct<start:int,rank:int,end:int>>"
+#: Code points of the pieces that a long text is cut into, so that a substring does not count from its start.
+PIECE = 1024
 
 
 def quoted(pattern: str) -> str:
     return "'" + pattern.replace("\\", "\\\\").replace("'", "\\'") + "'"
 
 
+def let(name: str, value: str, body: str) -> str:
+    """SQL: ``body``, in which ``name`` stands for the value, worked out once."""
+    return f"element_at(transform(array({value}), {name} -> {body}), 1)"
+
+
+def running(items: str, first: str, merge: str, one: str, out: str, kind: str) -> str:
+    """SQL for an array built from an array in one pass, with a running value: linear in all but the number of blocks.
+
+    Arrays that grow item by item are copied each time, so items are taken in blocks of the root of their number: the running value at each
+    block's start comes from a pass over the blocks, and only a block's own results grow. ``first`` is the value before all items,
+    ``merge`` gives the value ``acc.at`` after item ``x``, ``one`` the same for a whole block ``b`` (from ``at``), and ``out`` the results (an array) of
+    item ``x`` at ``acc.at``.
+    """
+    blocks = "transform(sequence(0, (size(items) - 1) div width), i -> slice(items, i * width + 1, width))"
+    starts = f"""aggregate(blocks, named_struct('at', {first}, 'out', cast(array() as array<int>)), (acc, b) -> named_struct('at', {one}, 'out', concat(acc.out, array(acc.at))), acc -> acc.out)"""
+    block = f"""aggregate(z['blocks'], named_struct('at', z['1'], 'out', cast(array() as {kind})), (acc, x) -> named_struct('at', {merge}, 'out', concat(acc.out, {out})), acc -> acc.out)"""
+    whole = let("blocks", blocks, f"flatten(transform(arrays_zip(blocks, {starts}), z -> {block}))")
+    whole = let("width", "cast(ceil(sqrt(size(items))) as int)", whole)
+    return let("items", items, f"if(size(items) = 0, cast(array() as {kind}), {whole})")
+
+
 def placed(text: str, pattern: str, element: str, kind: str) -> str:
-    """SQL for an array built from all matches: ``element`` may use m (match), b and e (its code points)."""
+    """SQL for an array built from all matches: ``element`` may use s.m (match), s.b and s.e (its code points)."""
     p = quoted(pattern)
-    return f"""aggregate(
-        arrays_zip(regexp_extract_all({text}, {p}, 0), split({text}, {p}, -1)),
-        named_struct('at', 0, 'out', cast(array() as {kind})),
-        (acc, z) -> if(z['0'] is null, acc, named_struct(
-            'at', acc.at + length(z['1']) + length(z['0']),
-            'out', concat(acc.out, transform(array(named_struct('m', z['0'], 'b', acc.at + length(z['1']), 'e', acc.at + length(z['1']) + length(z['0']))), s -> {element})))),
-        acc -> acc.out)"""
+    items = f"filter(arrays_zip(regexp_extract_all({text}, {p}, 0), split({text}, {p}, -1)), z -> z['0'] is not null)"
+    after = "length(x['1']) + length(x['0'])"
+    one = f"aggregate(b, acc.at, (n, x) -> n + {after})"
+    s = f"transform(array(named_struct('m', x['0'], 'b', acc.at + length(x['1']), 'e', acc.at + {after})), s -> {element})"
+    return running(items, "0", f"acc.at + {after}", one, s, kind)
 
 
 def luhn(digits: str) -> str:
@@ -90,19 +112,6 @@ def terms_of(text: str) -> str:
     return f"array_distinct(transform(regexp_extract_all({text}, {quoted(TERM)}, 0), m -> lower(m)))"
 
 
-def marked(text: str) -> str:
-    """SQL: all places in the text, outside its ``spans``, of the terms in the map ``marks`` from a term to its rank."""
-    p = quoted(TERM)
-    begin, end = "acc.at + length(z['1'])", "acc.at + length(z['1']) + length(z['0'])"
-    return f"""aggregate(
-        arrays_zip(regexp_extract_all({text}, {p}, 0), split({text}, {p}, -1)),
-        named_struct('at', 0, 'out', cast(array() as {MARK})),
-        (acc, z) -> if(z['0'] is null, acc, named_struct('at', {end}, 'out',
-            if(try_element_at(marks, lower(z['0'])) is null or exists(spans, s -> s.start < {end} and {begin} < s.end), acc.out,
-                concat(acc.out, array(named_struct('start', {begin}, 'rank', try_element_at(marks, lower(z['0'])), 'end', {end})))))),
-        acc -> acc.out)"""
-
-
 def joined(spans: str, names: tuple[str, ...] = KINDS + EXTRA) -> str:
     """SQL: kind:start:end of an array of spans, comma-joined."""
     kinds = ", ".join(f"'{k}'" for k in names)
@@ -111,19 +120,20 @@ def joined(spans: str, names: tuple[str, ...] = KINDS + EXTRA) -> str:
 
 def find(df: DataFrame, min_support: int = 3, generalise_at: float = 0.7, remove_at: float = 0.9, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per input row: doc_id, text_key and spans, an array of (start, rank, end); ranks index KINDS + EXTRA."""
+    scratch = Scratch(df.sparkSession)
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     docs = df.select(F.col(id_col).cast("long").alias("doc_id"), text.alias("text")).withColumn("text_key", F.xxhash64("text"))
     # the text stays with its spans where there are any
-    base = saved(docs.withColumn("spans", base_spans()).withColumn("held", F.expr("if(size(spans) > 0, text, null)")).drop("text"), "spans")
+    base = scratch.save(docs.withColumn("spans", base_spans()).withColumn("held", F.expr("if(size(spans) > 0, text, null)")).drop("text"), "spans")
     once = ["doc_id", "text_key"]
     doc = F.struct(*once).alias("doc")
     n = base.select(*once).distinct().count()
     log_n = F.ln(F.lit(float(max(n, 1))))
 
     holding = base.where("held is not null").dropDuplicates(once).select(doc, "spans", "held")
-    entities = saved(holding.select("doc", F.explode("spans").alias("x")).select("doc", "x.rank", F.lower("x.value").alias("value")).distinct(), "entities")
+    entities = scratch.save(holding.select("doc", F.explode("spans").alias("x")).select("doc", "x.rank", F.lower("x.value").alias("value")).distinct(), "entities")
     with_entity = entities.groupBy("rank", "value").agg(F.count(F.lit(1)).alias("n_entity")).where(F.col("n_entity").between(min_support, n - 1))
-    entities = saved(entities.join(with_entity, ["rank", "value"]), "frequent")
+    entities = scratch.save(entities.join(with_entity, ["rank", "value"]), "frequent")
     with_term = docs.dropDuplicates(once).select(F.explode(F.expr(terms_of("text"))).alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("n_term")).where(F.col("n_term") >= min_support)
 
     # distinct pairs of each document, but for those whose own counts rule them out (with room for rounding)
@@ -131,7 +141,7 @@ def find(df: DataFrame, min_support: int = 3, generalise_at: float = 0.7, remove
     most = entities.groupBy("doc").agg(F.max("n_entity").alias("most"))
     words = holding.join(most, "doc").select("doc", "most", F.explode(F.expr(terms_of("held"))).alias("term"))
     words = words.join(with_term, "term").where(open_to("most")).drop("most")
-    pairs = saved(words.join(entities, "doc").where(open_to("n_entity")).select("doc", "rank", "value", "term", "n_entity", "n_term"), "pairs")
+    pairs = scratch.save(words.join(entities, "doc").where(open_to("n_entity")).select("doc", "rank", "value", "term", "n_entity", "n_term"), "pairs")
 
     together = pairs.groupBy("rank", "value", "term", "n_entity", "n_term").agg(F.count(F.lit(1)).alias("n_both")).where(F.col("n_both") >= min_support)
     pmi = F.ln(F.col("n_both") * F.lit(float(max(n, 1))) / (F.col("n_entity") * F.col("n_term")))
@@ -141,19 +151,27 @@ def find(df: DataFrame, min_support: int = 3, generalise_at: float = 0.7, remove
         .where(F.col("disclosure") >= generalise_at)
         .select("rank", "value", "term", F.when(F.col("disclosure") >= remove_at, len(KINDS)).otherwise(len(KINDS) + 1).alias("action"))
     )
-    marks = (
-        pairs.join(saved(telling, "telling"), ["rank", "value", "term"])
-        .groupBy("doc", "term")
-        .agg(F.min("action").alias("action"))
-        .groupBy("doc")
-        .agg(F.map_from_entries(F.collect_list(F.struct("term", "action"))).alias("marks"))  # bounded by the text's length
-    )
-    extra = holding.join(marks, "doc").select(F.col("doc.doc_id").alias("id"), F.col("doc.text_key").alias("key"), F.expr(marked("held")).alias("extra"))
+    # all places of the telling terms in the documents that hold the entity, outside base spans
+    marks = scratch.save(pairs.join(scratch.save(telling, "telling"), ["rank", "value", "term"]).groupBy("doc", "term").agg(F.min("action").alias("action")), "marks")
+    found = holding.join(marks.select("doc").distinct(), "doc").select("doc", "spans", F.explode(F.expr(placed("held", TERM, WORD, WORDS))).alias("w"))
+    found = found.select("doc", "spans", "w.start", "w.end", F.lower("w.value").alias("term")).join(marks, ["doc", "term"])
+    outside = found.where(~F.exists("spans", lambda s: (s["start"] < F.col("end")) & (F.col("start") < s["end"])))
+    extra = outside.groupBy("doc").agg(F.collect_list(F.struct("start", F.col("action").cast("int").alias("rank"), "end")).alias("extra"))  # bounded by the text's length
+    extra = extra.select(F.col("doc.doc_id").alias("id"), F.col("doc.text_key").alias("key"), "extra")
     plain = F.expr("transform(spans, s -> named_struct('start', s.start, 'rank', s.rank, 'end', s.end))")
-    both = base.drop("held").join(saved(extra, "extra"), F.col("doc_id").eqNullSafe(F.col("id")) & (F.col("text_key") == F.col("key")), "left")
+    both = base.drop("held").join(scratch.save(extra, "extra").hint("merge"), F.col("doc_id").eqNullSafe(F.col("id")) & (F.col("text_key") == F.col("key")), "left")
     return both.select("doc_id", "text_key", F.array_sort(F.concat(plain, F.coalesce("extra", F.expr(f"cast(array() as {MARK})")))).alias("spans"))
 
 
+def between(pieces: str, a: str, b: str) -> str:
+    """SQL: the code points [a, b) of a text that is cut into pieces of PIECE code points; a < b."""
+    p, q = f"cast(({a}) div {PIECE} as int)", f"cast((({b}) - 1) div {PIECE} as int)"
+    one = f"substring(element_at({pieces}, p + 1), ({a}) % {PIECE} + 1, ({b}) - ({a}))"
+    head, tail = f"substring(element_at({pieces}, p + 1), ({a}) % {PIECE} + 1, {PIECE})", f"substring(element_at({pieces}, q + 1), 1, ({b}) - q * {PIECE})"
+    more = f"concat({head}, array_join(slice({pieces}, p + 2, q - p - 1), ''), {tail})"
+    return let("p", p, let("q", q, f"if(p = q, {one}, {more})"))
+
+
 def sanitise(df: DataFrame, found: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of ``df`` with the spans of ``find`` replaced in the text: kinds by their name in brackets, ``term`` by nothing, ``broad`` by [WORD].
 
@@ -162,7 +180,10 @@ def sanitise(df: DataFrame, found: DataFrame, id_col: str = "doc_id", text_col:
     marks = found.where("size(spans) > 0").select(F.col("doc_id").alias("_id"), F.col("text_key").alias("_key"), F.col("spans").alias("_spans")).dropDuplicates(["_id", "_key"])
     names = ", ".join(f"'{x}'" for x in [*(f"[{k.upper()}]" for k in KINDS), "", "[WORD]"])
     rows = df.join(marks, F.col(id_col).cast("long").eqNullSafe(F.col("_id")) & (F.xxhash64(F.coalesce(F.col(text_col).cast("string"), F.lit(""))) == F.col("_key")), "left")
-    new = F.expr(f"""aggregate(_spans, named_struct('at', 0, 'out', ''), (acc, s) -> if(s.end <= acc.at, acc, named_struct(
-        'at', s.end, 'out', concat(acc.out, substring(`{text_col}`, acc.at + 1, greatest(s.start - acc.at, 0)), element_at(array({names}), s.rank + 1)))),
-        acc -> concat(acc.out, substring(`{text_col}`, acc.at + 1, length(`{text_col}`))))""")
+    part = let("k", "acc.at", f"if(x.start > k, {between('_pieces', 'k', 'x.start')}, '')")
+    out = f"if(x.end <= acc.at, cast(array() as array<string>), array({part}, element_at(array({names}), x.rank + 1)))"
+    cut = running("_spans", "0", "greatest(acc.at, x.end)", "greatest(acc.at, array_max(transform(b, x -> x.end)))", out, "array<string>")
+    last = let("k", "array_max(transform(_spans, x -> x.end))", f"if(k < length(`{text_col}`), {between('_pieces', 'k', f'length(`{text_col}`)')}, '')")
+    rows = rows.withColumn("_pieces", F.when(F.size("_spans") > 0, F.regexp_extract_all(F.col(text_col), F.lit(f"(?s).{{1,{PIECE}}}"), F.lit(0))))
+    new = F.expr(f"concat(array_join({cut}, ''), {last})")
     return rows.withColumn(text_col, F.when(F.col("_spans").isNull(), F.col(text_col)).otherwise(new)).select(*df.columns)

@@ -193,6 +193,15 @@ def test_disclosing_terms(spark):
     assert clean[0] == "Our   writes  [EMAIL] about itema" and clean[9] == texts[9]
 
 
+def test_many_matches_in_one_text(spark):
+    texts = ["1.2.3.4 " * 60_000, "née a@b.cd, " * 20_000 + "x" * 3000 + " a@b.cd " + "y " * 2000, " ".join(f"+49 30 {i:07d}.q{i}@x.org" for i in range(10_000))]
+    df = spark.createDataFrame(list(enumerate(texts)), EMPTY)
+    found = pii.find(df)
+    assert {r["doc_id"]: [tuple(s) for s in r["spans"]] for r in found.collect()} == {i: brute.base_pii(t) for i, t in enumerate(texts)}
+    clean = [r["text"] for r in pii.sanitise(df, found).orderBy("doc_id").collect()]
+    assert clean == ["[IP] " * 60_000, texts[1].replace("a@b.cd", "[EMAIL]"), " ".join(["[PHONE][EMAIL]"] * 10_000)]
+
+
 def test_overlapping_personal_data_is_cut_to_its_end(spark):
     texts = {
         "pay 4111 1111 1111 1111foo@x.com today": "pay [CARD][EMAIL] today",
