@@ -173,12 +173,18 @@ def range_hashes(values: np.ndarray, starts: np.ndarray, ends: np.ndarray, base:
 
 
 #: Longer words are hashed by themselves: modulo 2**64 any base has long structured words that collide.
-LONG_WORD = 256
+LONG_WORD, PIECE_BYTES = 256, 1 << 18
 
 
 def word_hashes(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    h, i = np.empty(len(starts), np.uint64), 0
+    while i < len(starts):  # some bytes at a time, as their hashes are eight times as wide
+        j = max(i + 1, int(np.searchsorted(ends, starts[i] + PIECE_BYTES, "right")))
+        a = starts[i]
+        h[i:j] = range_hashes(raw[a : ends[j - 1]], starts[i:j] - a, ends[i:j] - a)
+        i = j
     with np.errstate(over="ignore"):
-        h = mix(range_hashes(raw, starts, ends) + (ends - starts).astype(np.uint64))
+        h = mix(h + (ends - starts).astype(np.uint64))
     for k in np.flatnonzero(ends - starts > LONG_WORD).tolist():
         h[k] = int.from_bytes(hashlib.blake2b(raw[starts[k] : ends[k]].tobytes(), digest_size=8).digest(), "little")
     return h

@@ -26,7 +26,7 @@ from .common import LETTER_OR_DIGIT, LOWER, sha256_hex, spans_of_bytes, text_byt
 from .fm_index import FMIndex
 
 #: Text of one shard.
-SHARD_BYTES = 8 << 20
+SHARD_BYTES = 4 << 20
 #: Words of test items searched at once; more items go in further parts.
 PART_WORDS = 2_000_000
 WORD = re.compile(rb"[0-9a-z\x80-\xff]+")

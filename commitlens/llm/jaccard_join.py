@@ -58,22 +58,23 @@ GROUP_ROWS = 1024
 #: The least open groups that a member carries with it.
 LISTED = 32
 #: Text whose sets, and elements whose signatures, are made at once.
-STEP_BYTES, STEP_ELEMENTS = 2 << 20, 1 << 18
+STEP_BYTES, STEP_ELEMENTS = 1 << 20, 1 << 17
 #: Shingles whose signatures go to one bucket, about.
-BUCKET_SHINGLES = 3_000_000
+BUCKET_SHINGLES = 1_000_000
 #: Members compared with one hub in one group of rows.
 HUB_ROWS = 256
 
 
 def shingle_sets(part: np.ndarray, off: np.ndarray, words: int) -> tuple[np.ndarray, np.ndarray]:
     """All texts' sorted distinct shingle hashes, end to end, and the len+1 offsets of the texts' sets."""
-    starts, ends, word_at = word_spans(LOWER[part], off, NOT_SPACE)
+    part = LOWER[part]
+    starts, ends, word_at = word_spans(part, off, NOT_SPACE)
     count = np.diff(word_at)
     number = np.where(count > 0, np.maximum(count - words + 1, 1), 0)
     text = np.repeat(np.arange(len(number)), number)
     first = np.arange(number.sum()) - np.repeat(np.cumsum(number) - number, number) + word_at[:-1][text]
     length = np.minimum(count, words)[text]
-    h = range_hashes(word_hashes(LOWER[part], starts, ends), first, first + length, SHINGLE_BASE)
+    h = range_hashes(word_hashes(part, starts, ends), first, first + length, SHINGLE_BASE)
     with np.errstate(over="ignore"):
         h = mix(h + length.astype(np.uint64))
     at = np.concatenate(([0], np.cumsum(number)))
