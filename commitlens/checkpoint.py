@@ -9,10 +9,11 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def new_path(spark: SparkSession, name: str) -> str:
-    """A new folder below ``spark.checkpoint.dir``; a temporary one is taken only where none is set."""
-    kept = spark.sparkContext._jsc.sc().getCheckpointDir()
-    folder = spark.conf.get("spark.checkpoint.dir", None) or (kept.get() if kept.isDefined() else None)
-    if folder is None:
+    """A new folder below ``spark.checkpoint.dir`` (or the context's); a temporary one only where everything runs on one machine."""
+    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not folder:
+        if not spark.conf.get("spark.master", "").startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         folder = "file://" + tempfile.mkdtemp(prefix="spark-")
         spark.sparkContext.setCheckpointDir(folder)
     return f"{folder.rstrip('/')}/{name}-{uuid.uuid4().hex}"

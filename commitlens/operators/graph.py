@@ -34,18 +34,17 @@ def _jumps(edges: DataFrame, longest: bool) -> DataFrame:
     return j
 
 
-def distances(edges: DataFrame, seeds: DataFrame, longest: bool = False) -> DataFrame:
-    """(repo_id, seed, node, depth): all ancestors of the seeds, themselves at 0, with their least (or largest) distance.
+def _walk(jumps: DataFrame, known: DataFrame, key: list[str], longest: bool) -> DataFrame:
+    """``known`` (key, depth) and all it leads to over the jumps, with the least (or largest) depth of each key.
 
-    Semi-naive: only nodes whose distance changed in the last round go on, and each round covers several edges.
+    Semi-naive: only keys whose depth changed in the last round go on, and each round covers several edges.
     """
     best, better = (F.max, "depth > old") if longest else (F.min, "depth < old")
-    key = ["repo_id", "seed", "node"]
-    jumps = _jumps(edges, longest).withColumnRenamed("child", "node")
-    known = cut(seeds.select("repo_id", "seed", F.col("seed").alias("node"), F.lit(0).alias("depth")))
+    jumps = jumps.withColumnRenamed("child", "node")
+    known = cut(known)
     front = known
     while True:
-        step = front.join(jumps, ["repo_id", "node"]).select("repo_id", "seed", F.col("parent").alias("node"), (F.col("depth") + F.col("steps")).alias("depth"))
+        step = front.join(jumps, ["repo_id", "node"]).withColumn("node", F.col("parent")).withColumn("depth", F.col("depth") + F.col("steps"))
         new = step.groupBy(*key).agg(best("depth").alias("depth"))
         front = cut(new.join(known.withColumnRenamed("depth", "old"), key, "left").where(f"old is null or {better}").select(*key, "depth"))
         if not front.limit(1).count():
@@ -53,23 +52,36 @@ def distances(edges: DataFrame, seeds: DataFrame, longest: bool = False) -> Data
         known = cut(known.union(front).groupBy(*key).agg(best("depth").alias("depth")))
 
 
+def distances(edges: DataFrame, seeds: DataFrame, longest: bool = False) -> DataFrame:
+    """(repo_id, seed, node, depth): all ancestors of the seeds, themselves at 0, with their least (or largest) distance."""
+    start = seeds.select("repo_id", "seed", F.col("seed").alias("node"), F.lit(0).alias("depth"))
+    return _walk(_jumps(edges, longest), start, ["repo_id", "seed", "node"], longest)
+
+
+def reached(edges: DataFrame, seeds: DataFrame, longest: bool = False) -> DataFrame:
+    """(repo_id, node, depth): as ``distances``, from whichever seed is best; one row a node however many seeds there are."""
+    start = seeds.select("repo_id", F.col("seed").alias("node"), F.lit(0).alias("depth")).distinct()
+    return _walk(_jumps(edges, longest), start, ["repo_id", "node"], longest)
+
+
 def ancestors(edges: DataFrame, seeds: DataFrame) -> DataFrame:
     """(repo_id, node): everything that leads to the seeds, with them."""
-    return distances(edges, seeds).select("repo_id", "node").distinct()
+    return reached(edges, seeds).select("repo_id", "node")
+
+
+def _from_roots(commits: DataFrame, edges: DataFrame, longest: bool) -> DataFrame:
+    down = edges.select("repo_id", F.col("parent").alias("child"), F.col("child").alias("parent"))
+    return reached(down, roots(commits, edges).select("repo_id", F.col("changeset_id").alias("seed")), longest)
 
 
 def levels(commits: DataFrame, edges: DataFrame) -> DataFrame:
     """(repo_id, node, level): length of the longest way from a root, so parents come before children."""
-    first = roots(commits, edges).select("repo_id", F.col("changeset_id").alias("seed"))
-    down = edges.select("repo_id", F.col("parent").alias("child"), F.col("child").alias("parent"))
-    return distances(down, first, longest=True).groupBy("repo_id", "node").agg(F.max("depth").alias("level"))
+    return _from_roots(commits, edges, True).withColumnRenamed("depth", "level")
 
 
 def breadth_first(commits: DataFrame, edges: DataFrame) -> DataFrame:
     """(repo_id, node, depth): least number of edges from a root."""
-    first = roots(commits, edges).select("repo_id", F.col("changeset_id").alias("seed"))
-    down = edges.select("repo_id", F.col("parent").alias("child"), F.col("child").alias("parent"))
-    return distances(down, first).groupBy("repo_id", "node").agg(F.min("depth").alias("depth"))
+    return _from_roots(commits, edges, False)
 
 
 def common_ancestors(edges: DataFrame, pairs: DataFrame) -> DataFrame:

@@ -26,8 +26,8 @@ VIEWS = {
     "committer_alias": "select c_name as name, n_name as alias from customer join nation on c_nationkey = n_nationkey where c_custkey % 3 <> 0",
     "team": """select c_name as developer, r_name as team, timestamp '1994-01-01 00:00:00' as valid_from, cast(null as timestamp) as valid_to
         from customer join nation on c_nationkey = n_nationkey join region on n_regionkey = r_regionkey where c_custkey % 11 <> 0""",
-    "commit_edge": """select 'main' as repo_id, o_orderkey as child, o_orderkey - 1 as parent, 0 as parent_idx from orders where o_orderkey % 100 > 0 and o_orderkey < 400
-        union all select 'main', o_orderkey, o_orderkey - 3, 1 from orders where o_orderkey % 100 > 3 and o_orderkey % 7 = 0 and o_orderkey < 400""",
+    "commit_edge": """select 'main' as repo_id, o_orderkey as child, o_orderkey - 1 as parent, 0 as parent_idx from orders where o_orderkey % 100 > 0
+        union all select 'main', o_orderkey, o_orderkey - 3, 1 from orders where o_orderkey % 100 > 3 and o_orderkey % 7 = 0""",
 }
 
 

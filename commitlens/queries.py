@@ -493,10 +493,10 @@ ORACLES["g5_distances"] = reach(SEEDS, "select seed, node, min(depth) as depth f
 
 
 def commits(t: Tables) -> DataFrame:
-    return t.base("orders").where("o_orderkey < 400").select(F.lit("main").alias("repo_id"), F.col("o_orderkey").alias("changeset_id"))
+    return t.base("orders").select(F.lit("main").alias("repo_id"), F.col("o_orderkey").alias("changeset_id"))
 
 
-DOWN = reach("select o_orderkey as seed from orders where o_orderkey < 400 and o_orderkey not in (select child from commit_edge)", "select node, {f}(depth) as {n} from up group by 1").replace("e.parent", "e.child").replace("e.child = u.node", "e.parent = u.node")
+DOWN = reach("select o_orderkey as seed from orders where o_orderkey not in (select child from commit_edge)", "select node, {f}(depth) as {n} from up group by 1").replace("e.parent", "e.child").replace("e.child = u.node", "e.parent = u.node")
 
 
 @query()
@@ -522,7 +522,7 @@ def g6_common_ancestor(t: Tables) -> DataFrame:
 
 
 ORACLES["g6_common_ancestor"] = reach(
-    "select unnest([o_orderkey, o_orderkey - 7]) as seed from orders where o_orderkey < 400 and o_orderkey % 100 > 90",
+    "select unnest([o_orderkey, o_orderkey - 7]) as seed from orders where o_orderkey % 100 > 90",
     ", best as (select seed, node, min(depth) as depth from up group by 1, 2) select x.seed as a, y.seed as b, arg_min(x.node, (x.depth + y.depth, x.node)) as ancestor from best x join best y on y.seed = x.seed - 7 and y.node = x.node and x.seed % 100 > 90 group by 1, 2",
 )
 
@@ -538,22 +538,22 @@ def g2_edges_from_parent_lists(t: Tables) -> DataFrame:
     return G.edges_of(lists).select(F.col("child"), F.col("parent").cast("long").alias("parent"), "parent_idx")
 
 
-@query("select commit, path, case when k = n then 'commit' else 'merged' end as origin from (select l_orderkey as commit, l_partkey as path, count(distinct l_linenumber % 2) as k, bool_or(l_linenumber % 2 = 0) as first_ from lineitem where l_orderkey < 400 group by 1, 2) d join (select child, count(distinct parent_idx) as n from commit_edge group by 1) e on e.child = d.commit where k = n or first_", "commit_edge")
+@query("select commit, path, case when k = n then 'commit' else 'merged' end as origin from (select l_orderkey as commit, l_partkey as path, count(distinct l_linenumber % 2) as k, bool_or(l_linenumber % 2 = 0) as first_ from lineitem group by 1, 2) d join (select child, count(distinct parent_idx) as n from commit_edge group by 1) e on e.child = d.commit where k = n or first_", "commit_edge")
 def g3_change_origin(t: Tables) -> DataFrame:
-    diff = t.base("lineitem").where("l_orderkey < 400").select(F.lit("main").alias("repo_id"), F.col("l_orderkey").alias("commit"), (F.col("l_linenumber") % 2).alias("parent_idx"), F.col("l_partkey").alias("path"))
+    diff = t.base("lineitem").select(F.lit("main").alias("repo_id"), F.col("l_orderkey").alias("commit"), (F.col("l_linenumber") % 2).alias("parent_idx"), F.col("l_partkey").alias("path"))
     return G.classified(diff, t.commit_edge).drop("repo_id")
 
 
 @query()
 def i7_shared_history_cut(t: Tables) -> DataFrame:
-    items = t.change_item.where("changeset_id < 400")
+    items = t.change_item
     return I.without_shared_history(items, items.where("changeset_id % 50 = 49"), t.commit_edge).select("changeset_id", "item_idx", "file_id")
 
 
 ORACLES["i7_shared_history_cut"] = (
     "with recursive " + with_views("", "file", "change_item", "commit_edge").rstrip()[5:]
-    + ", up as (select distinct changeset_id as seed, changeset_id as node from change_item where changeset_id < 400 and changeset_id % 50 = 49 union select u.seed, e.parent from up u join commit_edge e on e.child = u.node)"
-    + " select changeset_id, item_idx, file_id from change_item c where changeset_id < 400 and not exists (select 1 from up join change_item s on s.changeset_id = up.seed and s.file_id = c.file_id where up.node = c.changeset_id)"
+    + ", up as (select distinct changeset_id as seed, changeset_id as node from change_item where changeset_id % 50 = 49 union select u.seed, e.parent from up u join commit_edge e on e.child = u.node)"
+    + " select changeset_id, item_idx, file_id from change_item c where not exists (select 1 from up join change_item s on s.changeset_id = up.seed and s.file_id = c.file_id where up.node = c.changeset_id)"
 )
 
 # Scalars and filters ---------------------------------------------------------------------------------------------------------
@@ -575,14 +575,14 @@ def p_paths(t: Tables) -> DataFrame:
     return rows.select("p_partkey", X.local_path(F.col("server_path"), "c:\\work", "src").alias("local_path"), X.basename(F.col("server_path")).alias("name"), X.language(F.col("server_path")).alias("language"), F.array_sort(X.normalise_extensions(text)).alias("extensions"))
 
 
-@query("select doc_id, text as path from documents where length(text) < 400")
+@query("select doc_id, text as path from documents")
 def p2_octal_paths(t: Tables) -> DataFrame:
     """Texts with every byte beyond ASCII written as an octal escape, decoded again."""
     raw = F.regexp_extract_all(F.hex(F.col("text").cast("binary")), F.lit(".."), F.lit(0))
     byte = lambda h: F.conv(h, 16, 10).cast("int")
     octal = lambda h: F.concat(F.lit("\\"), F.lpad(F.conv(h, 16, 8), 3, "0"))
     escaped = F.array_join(F.transform(raw, lambda h: F.when((byte(h) >= 128) | (byte(h) == 92) | (byte(h) == 34), octal(h)).otherwise(F.chr(byte(h)))), "")
-    return t.base("documents").where(F.length("text") < 400).select("doc_id", X.decode_octal_path(escaped).alias("path"))
+    return t.base("documents").select("doc_id", X.decode_octal_path(escaped).alias("path"))
 
 
 @query("select file_id, server_path from file where (lower(server_path) like '%.cs' or lower(server_path) like '%.xml') and not contains(lower(server_path), 'brand_3/') and (contains(lower(server_path), 'economy') or contains(lower(server_path), 'promo')) and starts_with(lower(server_path), 'src/')", "file")
