@@ -2,11 +2,13 @@
 
 Each page is read into its text nodes, each with the path of tags from the root to it. Text length and punctuation are aggregated per
 path and set in ratio to the path's number of nodes; the ratios are smoothed over the page in reading order, fused with the raw ones
-and cut at a threshold taken from the page itself. The nodes that remain point to the smallest container that holds them all; its
-blocks are the article, without the parts whose tags, roles, classes or ids name them as menus, headers, footers, sidebars, notices,
-adverts, forms or reader comments.
+and cut at a threshold taken from the page itself. The nodes that remain point to the smallest container that holds them all. Of its blocks
+those stay that tags and roles do not name as menus, headers, footers, sidebars, notices, adverts, forms or reader comments. Classes and ids
+are one feature beside the ratios: a name made of nothing but such words counts as a tag does; a name that only holds one makes a block
+doubtful, which goes if it is mostly links and its path stays below the threshold. So does, outside an article element, a block made of links.
 
-One page is worked on at a time inside an Arrow batch; pages never meet, so there is no shuffle.
+One page is worked on at a time inside an Arrow batch; pages never meet, so there is no shuffle. Paths are numbers (of the parent's path and
+the tag), and elements are walked once, so time and memory are linear in the page, also when it nests deeply.
 
 Defined results: null and empty pages and pages without text give an empty text; repeated rows are judged alone; an empty table gives
 no rows; unclosed and stray tags are closed as browsers do for paragraphs, list items and table cells, or at the end of their parent.
@@ -16,6 +18,7 @@ from __future__ import annotations
 
 import html
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -35,7 +38,7 @@ PUNCTUATION = re.compile(r"[.,;:!?。，、；：！？…]")
 
 # Element names of HTML by their kind.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style noscript template iframe textarea title svg math object canvas video audio select xmp noembed noframes".split())
+RAW = frozenset("script style noscript template iframe textarea title svg object canvas video audio select xmp noembed noframes annotation annotation-xml".split())
 BLOCK = frozenset(
     "address article aside blockquote body center dd details dialog dir div dl dt fieldset figcaption figure footer form frameset h1 h2 h3 h4 h5 h6 "
     "header hgroup hr html legend li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul caption optgroup option".split()
@@ -50,6 +53,13 @@ BOILERPLATE_NAMES = frozenset(
     "subscribe subscription newsletter signup login share sharing social related recommended recommendations comment comments commentlist disqus reply replies "
     "respond discussion form search widget toolbar pagination pager skip".split()
 )
+#: Words that say nothing about a part but its form or place.
+NEUTRAL_NAMES = frozenset(
+    "area articles bar block bottom box button buttons col column container content entries entry field fields global group header holder icon inner items item "
+    "js layout left link links list local main module outer page panel post posts primary right row secondary section site slot small stories text title top "
+    "unit wrap wrapper zone".split()
+)
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 #: An open element of the key is closed by the start of one of the values.
 CLOSED_BY = {
     "p": BLOCK - {"body", "html", "option", "optgroup"},
@@ -62,31 +72,38 @@ CLOSED_BY = {
     "option": frozenset({"option", "optgroup"}),
     "head": frozenset({"body"}),
 }
+#: The open elements that a start tag closes.
+CLOSES = {tag: [e for e, by in CLOSED_BY.items() if tag in by] for tag in frozenset().union(*CLOSED_BY.values())}
 #: Elements past which a start tag closes nothing.
 SCOPE = frozenset("article main section div table ul ol dl body html nav aside header footer form blockquote td th".split())
 
 
 class Element:
-    __slots__ = ("attrs", "boilerplate", "depth", "in_article", "label", "parent", "path", "tag")
+    __slots__ = ("boilerplate", "depth", "doubtful", "in_article", "link", "parent", "path", "tag")
 
-    def __init__(self, tag: str, attrs: str, parent: Element | None):
+    def __init__(self, tag: str, attrs: str, parent: Element | None, paths: dict[tuple[int, str], int]):
         self.tag, self.parent = tag, parent
         names: set[str] = set()
-        hidden, role, label = False, "", tag
+        hidden, role, label, only, some = False, "", tag, False, False
         if attrs and not attrs.isspace():
             for name, a, b, c in ATTRIBUTE.findall(attrs):
                 name, value = name.lower(), a or b or c
                 if name in ("class", "id"):
-                    names.update(x.lower() for x in NAME_PART.findall(value))
+                    for token in value.split() if name == "class" or tag not in HEADINGS else ():  # a heading's id repeats its text
+                        parts = {x.lower() for x in NAME_PART.findall(token)}
+                        names |= parts
+                        if not parts.isdisjoint(BOILERPLATE_NAMES):
+                            rest = {x for x in parts - BOILERPLATE_NAMES - NEUTRAL_NAMES if not x.isdigit()}
+                            only, some = only or not rest, some or bool(rest)
                     if name == "class" and value:
                         label = f"{tag}.{' '.join(sorted(value.split()))}"
                 elif name == "role":
                     role = value.lower()
                 elif name == "hidden" or (name == "aria-hidden" and value.lower() == "true") or (name == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value, re.I)):
                     hidden = True
-        self.label = label
-        self.path = f"{parent.path}/{label}" if parent else label
+        self.path = paths.setdefault((parent.path if parent else -1, label), len(paths))
         self.depth = parent.depth + 1 if parent else 0
+        self.link = tag == "a" or (parent.link if parent and tag not in BLOCK else False)
         self.in_article = (parent.in_article if parent else False) or tag in ARTICLE_NAMES or role in ("main", "article")
         whole = tag in ("html", "body") or tag in ARTICLE_NAMES  # their class names speak of the page's kind
         self.boilerplate = (
@@ -95,16 +112,28 @@ class Element:
             or tag in BOILERPLATE_TAGS
             or role in BOILERPLATE_ROLES
             or (tag == "header" and not (parent and parent.in_article))
-            or (not whole and not names.isdisjoint(BOILERPLATE_NAMES))
+            or (not whole and only)
             or (tag == "article" and not names.isdisjoint({"comment", "comments", "reply", "ad", "advert", "advertisement"}))
             or (not whole and {"site", "header"} <= names or {"page", "header"} <= names)
         )
+        self.doubtful = (parent.doubtful if parent else False) or (not whole and some)
 
 
 def text_nodes(page: str) -> list[tuple[Element, str, int]]:
     """(element, raw text, block number) of all text nodes in page order; text between two block borders shares a number."""
-    root = Element("html", "", None)
+    paths: dict[tuple[int, str], int] = {}
+    root = Element("html", "", None, paths)
     top, nodes, block, at = root, [], 0, 0
+    open_ = Counter({"html": 1})  # elements by tag between the root and the top
+
+    def leave(e: Element | None) -> Element:
+        """Closes elements down to ``e``."""
+        nonlocal top
+        while top is not e and top.parent is not None:
+            open_[top.tag] -= 1
+            top = top.parent
+        return top
+
     find = TOKEN.search
     while True:
         m = find(page, at)
@@ -119,14 +148,14 @@ def text_nodes(page: str) -> list[tuple[Element, str, int]]:
             continue
         tag = tag.lower()
         if m["end"]:
-            e = top
+            e = top if open_[tag] > 0 else None
             while e is not None and e.tag != tag:
                 if e.tag in SCOPE and tag not in SCOPE:
                     e = None  # a stray end tag does not leave its container
                     break
                 e = e.parent
             if e is not None and e.parent is not None:
-                top = e.parent
+                leave(e.parent)
             if tag in BLOCK:
                 block += 1
             continue
@@ -139,10 +168,10 @@ def text_nodes(page: str) -> list[tuple[Element, str, int]]:
             block += 1
         if tag in VOID:
             continue
-        e = top
+        e = top if any(open_[x] > 0 for x in CLOSES.get(tag, ())) else None
         while e is not None:
             if tag in CLOSED_BY.get(e.tag, ()):
-                top = e.parent or root
+                leave(e.parent or root)
                 break
             if e.tag in SCOPE and e.tag not in CLOSED_BY:
                 break
@@ -154,12 +183,13 @@ def text_nodes(page: str) -> list[tuple[Element, str, int]]:
             end = re.compile(rf"</{re.escape(tag)}(?=[\s/>])[^>]*>?|\Z", re.I).search(page, at)
             at = end.end()
             continue
-        top = Element(tag, attrs, top)
+        top = Element(tag, attrs, top, paths)
+        open_[tag] += 1
 
 
 def path_scores(nodes: list[tuple[Element, str]]) -> np.ndarray:
     """The fused ratio of each text node: (characters + punctuation, per node of its path), raw times smoothed over the page."""
-    totals: dict[str, list[float]] = {}
+    totals: dict[int, list[float]] = {}
     for e, text in nodes:
         t = totals.setdefault(e.path, [0, 0, 0])
         t[0] += len(text)
@@ -182,49 +212,58 @@ def main_text(page: str | None) -> str:
     score = path_scores(solid)
     threshold = min(float(score.mean()), float(score.std()) or float(score.mean()))
     chosen = [e for (e, _), s in zip(solid, score.tolist(), strict=True) if s >= threshold]
-    # the smallest container that holds all chosen nodes
-    root = chosen[0]
+    best: dict[int, float] = {}  # of each path
+    for (e, _), s in zip(solid, score.tolist(), strict=True):
+        best[e.path] = max(best.get(e.path, 0.0), s)
+    # the smallest container that holds all chosen nodes; elements below it are walked once
+    root, below = chosen[0], {id(chosen[0])}
     for e in chosen[1:]:
-        a, b = root, e
-        while a is not b:
-            if a.depth >= b.depth and a.parent is not None:
-                a = a.parent
+        walked = []
+        while id(e) not in below and e is not root:
+            walked.append(id(e))
+            if e.depth > root.depth:
+                e = e.parent
             else:
-                b = b.parent
-        root = a
+                below.add(id(root))
+                root = root.parent
+        below.update(walked)
     while root.parent is not None and root.tag not in CONTAINER:
         root = root.parent
     if root.in_article:
         while root.tag not in ARTICLE_NAMES and root.parent is not None and root.parent.in_article:
             root = root.parent
 
-    def inside(e: Element | None) -> bool:
-        while e is not None and e.depth > root.depth:
+    known: dict[int, bool] = {id(root): True}
+
+    def inside(e: Element) -> bool:
+        walked = []
+        while id(e) not in known and e.depth > root.depth:
+            walked.append(id(e))
             e = e.parent
-        return e is root
+        ok = known.get(id(e), False)
+        known.update((k, ok) for k in walked)
+        return ok
 
     blocks: dict[int, list[str]] = {}
-    linked: dict[int, int] = {}
-    known: dict[int, bool] = {}
+    linked: Counter = Counter()
+    doubtful: set[int] = set()
+    strong: set[int] = set()
     for e, text, block in nodes:
-        ok = known.get(id(e))
-        if ok is None:
-            ok = known[id(e)] = inside(e)
-        if not ok:
+        if not inside(e):
             continue
         text = html.unescape(text)
         blocks.setdefault(block, []).append(text)
-        if not root.in_article:
-            a = e
-            while a is not None and a.tag != "a" and a.tag not in BLOCK:
-                a = a.parent
-            if a is not None and a.tag == "a":
-                linked[block] = linked.get(block, 0) + len(text.strip())
+        if e.link:
+            linked[block] += len(text.strip())
+        if e.doubtful:
+            doubtful.add(block)
+        if best.get(e.path, 0.0) >= threshold and text.strip():
+            strong.add(block)
     out = []
     for block, texts in blocks.items():
         line = " ".join("".join(texts).split())
-        # outside an article element, blocks made of links only are menus
-        if line and not linked.get(block, 0) >= 0.9 * len(line):
+        most = 0.5 if block in doubtful else 2 if root.in_article else 0.9
+        if line and (block in strong or linked[block] < most * len(line)):
             out.append(line)
     return "\n".join(out)
 

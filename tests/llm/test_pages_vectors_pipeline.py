@@ -59,6 +59,24 @@ def test_main_text(article):
     assert html_extract.main_text(page) == "Title & more\nFirst paragraph, with bold text. And more, of it. Next line.\nSecond paragraph <here>; it is long enough, surely. Yes.\nOne item, listed.\nTwo.\nQuoted words, said once."
 
 
+def test_text_of_the_article_is_not_dropped_by_a_name():
+    page = """<body><nav><a href=1>x</a></nav><{0}><h1>T</h1><p>Energy <math><mi>E</mi></math> is here, said one. More text here, surely.</p>
+    <div class='related-work'><p>Others did things, too. See them there.</p></div><h2 id='search-results'>Search results</h2><p>We found many, of all kinds. Good.</p>
+    <div class='related-stories'><a href=1>One more story</a></div><div class='related-reading'><a href=1>More</a></div></{0}><footer>f</footer></body>"""
+    kept = "T\nEnergy E is here, said one. More text here, surely.\nOthers did things, too. See them there.\nSearch results\nWe found many, of all kinds. Good."
+    assert html_extract.main_text(page.format("article")) == kept and html_extract.main_text(page.format("div")) == kept
+    link = "<div><p>Some text here, said one. And more of it, too.</p><p><a href=x>A paragraph that is one long link, all of it.</a></p></div>"
+    assert html_extract.main_text(link) == "Some text here, said one. And more of it, too.\nA paragraph that is one long link, all of it."
+
+
+@pytest.mark.parametrize(("page", "text"), [
+    ("<div>" * 100_000 + "hello, there. Good.", "hello, there. Good."),
+    ("<span>" * 50_000 + "a, b." + "</b>" * 50_000 + "<p>x, y. z</p>" * 100, "a, b." + "\nx, y. z" * 100),
+])
+def test_deeply_nested_pages(page, text):
+    assert html_extract.main_text(page) == text
+
+
 @pytest.mark.parametrize("page", [None, "", "<html></html>", "<script>x</script>", "<", "<p", "<!-- open", "</p></div>", "<a href='x"])
 def test_odd_pages(page):
     assert html_extract.main_text(page) == ("<" if page == "<" else "")  # a lone bracket is text
