@@ -2,13 +2,16 @@
 
 1. Scan: every window of ``width`` consecutive words gets a Rabin-Karp hash from one prefix sum over the document's word hashes.
    A second, independent hash deals the windows to buckets, so the two together tell windows apart (64 bits and the bucket's).
-   A task packs the windows of a few MB of text that go to one bucket into one binary row: 8 bytes of hash and mostly one of place, as the gap to the document's window before.
+   Equal windows of a few MB of text are combined before they are dealt on: those of larger doc_ids than the least are marked at once, and only those
+   of the least go to the bucket. So a window that a third of all documents share is a few entries for each task. A task packs the
+   windows of one bucket into one binary row: 8 bytes of hash and mostly one of place, as the gap to the document's window before.
 2. Count: per bucket, the least doc_id of each hash is found; windows whose hash starts in a smaller doc_id are marked.
-   A window that millions of documents share costs its bucket about 10 bytes an occurrence and no pair is ever formed.
+   No pair is ever formed.
 3. Merge: the marked windows go to their documents' group, packed too, and become one row of maximal intervals a document. Those rows
    are joined to the texts by the document's key, and the intervals are cut out.
 
-The number of buckets is the number of shuffle partitions, so a bucket's share stays constant when that grows with the input.
+The number of buckets follows the bytes of all texts, so a bucket's share stays constant. Windows are compared by their hashes, not word by
+word: among N windows about N * N / 2**65 / buckets are taken for another one's.
 
 Defined results: null and short texts have no windows; a null doc_id counts as larger than all others; rows that repeat a doc_id
 never count as earlier than one another; an empty table gives no rows.
@@ -23,9 +26,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import NOT_SPACE, mix, pack, partitions, range_hashes, saved, sha256_hex, spans_of_bytes, text_bytes, unpack, with_key, word_hashes, word_spans
+from .common import NOT_SPACE, buckets_for, mix, pack, range_hashes, saved, sha256_hex, spans_of_bytes, text_bytes, unpack, with_key, word_hashes, word_spans
 
 LAST_ID = (1 << 63) - 1
+#: Text whose windows make one bucket, about.
+BUCKET_BYTES = 8 << 20
 WINDOW_BASE, BUCKET_SALT = 0xD6E8FEB86659FD93, np.uint64(0xA0761D6478BD642F)
 
 
@@ -44,8 +49,55 @@ def window_starts(word_at: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarr
     return np.arange(counts.sum()) - np.repeat(np.cumsum(counts) - counts, counts) + word_at[:-1][text], text
 
 
+def earlier_here(first: np.ndarray, second: np.ndarray, ids: np.ndarray) -> np.ndarray:
+    """Which windows also start, among these, in a smaller doc_id."""
+    order = np.argsort(first, kind="stable")
+    edge = np.flatnonzero(np.concatenate(([True], first[order][1:] != first[order][:-1])))
+    size = np.diff(np.append(edge, len(order)))
+    marked = ids[order] > np.repeat(np.minimum.reduceat(ids[order], edge), size)
+    marked &= np.repeat(np.minimum.reduceat(second[order], edge) == np.maximum.reduceat(second[order], edge), size)
+    out = np.zeros(len(first), bool)
+    out[order] = marked
+    return out
+
+
+def packed_places(doc: np.ndarray, place: np.ndarray) -> tuple[np.ndarray, np.ndarray, bytes]:
+    """Of windows by document and place: the documents, their numbers of windows, and the places as gaps."""
+    used, at, count = np.unique(doc, return_index=True, return_counts=True)
+    gaps = np.diff(place, prepend=0)
+    gaps[at] = place[at]
+    return used, count, pack(gaps)
+
+
+def placed(count: np.ndarray, packed: bytes) -> np.ndarray:
+    upto = np.cumsum(unpack(packed))
+    return upto - np.repeat(np.concatenate(([0], upto))[np.cumsum(count) - count], count)
+
+
+def read_rows(table: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """doc_ids, text_keys, and (number in these, place) of each window of packed rows."""
+    ids, keys, doc, at = [], [], [], []
+    n = 0
+    for doc_id, text_key, count, place in zip(*(table.column(c).to_pylist() for c in ("doc_id", "text_key", "count", "place")), strict=True):
+        count = np.frombuffer(count, "<u4")
+        ids.append(np.frombuffer(doc_id, "<i8"))
+        keys.append(np.frombuffer(text_key, "<i8"))
+        doc.append(np.repeat(np.arange(n, n + len(count), dtype=np.int32), count))
+        at.append(placed(count, place))
+        n += len(count)
+    return np.concatenate(ids), np.concatenate(keys), np.concatenate(doc), np.concatenate(at)
+
+
+ROW = pa.schema([("bucket", pa.int32()), ("doc_id", pa.binary()), ("text_key", pa.binary()), ("count", pa.binary()), ("hash", pa.binary()), ("place", pa.binary())])
+MARKED = pa.schema([("grp", pa.int32()), ("doc_id", pa.binary()), ("text_key", pa.binary()), ("count", pa.binary()), ("place", pa.binary())])
+
+
+def groups_of(ids: np.ndarray, groups: int) -> np.ndarray:
+    return (mix(ids.astype(np.uint64)) % np.uint64(groups)).astype(np.int64)
+
+
 def _scan(width: int, buckets: int):
-    schema = pa.schema([("bucket", pa.int32()), ("doc_id", pa.binary()), ("text_key", pa.binary()), ("count", pa.binary()), ("hash", pa.binary()), ("place", pa.binary())])
+    """Rows of open windows by bucket; marked ones go by group of documents, numbered after the buckets."""
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -59,83 +111,55 @@ def _scan(width: int, buckets: int):
                 if not len(at):
                     continue
                 first, second = window_hashes(word_hashes(part, starts, ends), at, width)
-                bucket = (second % np.uint64(buckets)).astype(np.int64)
+                here = earlier_here(first, second, ids[i:j][text])
+                bucket = np.where(here, buckets + groups_of(ids[i:j], buckets)[text], (second % np.uint64(buckets)).astype(np.int64))
                 order = np.argsort(bucket, kind="stable")
-                cuts = np.searchsorted(bucket[order], np.arange(buckets + 1))
+                cuts = np.flatnonzero(np.concatenate(([True], np.diff(bucket[order]) != 0, [True])))
                 place = at - word_at[text]  # the window's first word within its document
                 rows = []
-                for k in np.flatnonzero(np.diff(cuts)):
-                    mine = order[cuts[k] : cuts[k + 1]]
-                    used, at_first, count = np.unique(text[mine], return_index=True, return_counts=True)
-                    gaps = np.diff(place[mine], prepend=0)
-                    gaps[at_first] = place[mine[at_first]]
-                    rows.append({
-                        "bucket": int(k), "doc_id": ids[i:j][used].astype("<i8").tobytes(), "text_key": keys[i:j][used].astype("<i8").tobytes(), "count": count.astype("<u4").tobytes(),
-                        "hash": first[mine].astype("<u8").tobytes(), "place": pack(gaps),
-                    })
-                yield pa.RecordBatch.from_pylist(rows, schema)
+                for x, y in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
+                    mine = order[x:y]
+                    used, count, packed = packed_places(text[mine], place[mine])
+                    hashes = b"" if here[mine[0]] else first[mine].astype("<u8").tobytes()
+                    rows.append({"bucket": int(bucket[mine[0]]), "doc_id": ids[i:j][used].astype("<i8").tobytes(), "text_key": keys[i:j][used].astype("<i8").tobytes(), "count": count.astype("<u4").tobytes(), "hash": hashes, "place": packed})
+                yield pa.RecordBatch.from_pylist(rows, ROW)
 
     return scan
 
 
-def _count(groups: int):
-    schema = pa.schema([("grp", pa.int32()), ("doc_id", pa.binary()), ("text_key", pa.binary()), ("count", pa.binary()), ("starts", pa.binary())])
-
+def _count(buckets: int):
     def count(table: pa.Table) -> pa.Table:
         """Of one bucket: the windows that also start in a smaller doc_id, packed by group of documents."""
-        ids, keys, doc, at = _marked(table)
-        if not len(doc):
-            return schema.empty_table()
-        grp = (mix(ids.astype(np.uint64)) % np.uint64(groups)).astype(np.int64)
-        order = np.lexsort((doc, grp[doc]))
+        if (bucket := table.column("bucket")[0].as_py()) >= buckets:  # marked by the scan
+            grp = pa.array(np.full(len(table), bucket - buckets, np.int32))
+            return pa.table([grp, *(table.column(c) for c in MARKED.names[1:])], schema=MARKED)
+        ids, keys, doc, at = read_rows(table)
+        h = np.concatenate([np.frombuffer(x, "<u8") for x in table.column("hash").to_pylist()])
+        order = np.argsort(h)
+        edge = np.flatnonzero(np.concatenate(([True], h[order][1:] != h[order][:-1])))
+        least = np.minimum.reduceat(ids[doc[order]], edge)
+        marked = order[ids[doc[order]] > np.repeat(least, np.diff(np.append(edge, len(order))))]
+        if not len(marked):
+            return MARKED.empty_table()
+        doc, at, grp = doc[marked], at[marked], groups_of(ids, buckets)
+        order = np.lexsort((at, doc, grp[doc]))
         doc, at = doc[order], at[order]
         cuts = np.flatnonzero(np.concatenate(([True], np.diff(grp[doc]) != 0)))
         rows = []
-        for mine, starts in zip(np.split(doc, cuts[1:]), np.split(at, cuts[1:]), strict=True):
-            used, n = np.unique(mine, return_counts=True)
-            rows.append({"grp": int(grp[used[0]]), "doc_id": ids[used].tobytes(), "text_key": keys[used].tobytes(), "count": n.astype("<u4").tobytes(), "starts": starts.tobytes()})
-        return pa.Table.from_pylist(rows, schema)
+        for mine, places in zip(np.split(doc, cuts[1:]), np.split(at, cuts[1:]), strict=True):
+            used, n, packed = packed_places(mine, places)
+            rows.append({"grp": int(grp[used[0]]), "doc_id": ids[used].tobytes(), "text_key": keys[used].tobytes(), "count": n.astype("<u4").tobytes(), "place": packed})
+        return pa.Table.from_pylist(rows, MARKED)
 
     return count
 
 
-def _marked(table: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Of one bucket: doc_ids, their text_keys, and (number in these, first word) of each marked window."""
-    hashes, docs, ids, keys, starts = [], [], [], [], []
-    n = 0
-    for doc_id, text_key, count, h, place in zip(*(table.column(c).to_pylist() for c in ("doc_id", "text_key", "count", "hash", "place")), strict=True):
-        hashes.append(np.frombuffer(h, "<u8"))
-        count = np.frombuffer(count, "<u4")
-        upto = np.cumsum(unpack(place))  # places are kept as the gaps between a document's windows
-        starts.append(upto - np.repeat(np.concatenate(([0], upto))[np.cumsum(count) - count], count))
-        ids.append(np.frombuffer(doc_id, "<i8"))
-        keys.append(np.frombuffer(text_key, "<i8"))
-        docs.append(np.repeat(np.arange(n, n + len(ids[-1]), dtype=np.int32), count))
-        n += len(ids[-1])
-    h, doc, at = np.concatenate(hashes), np.concatenate(docs), np.concatenate(starts).astype("<u4")
-    del hashes, docs, starts
-    ids, keys = np.concatenate(ids), np.concatenate(keys)
-    order = np.argsort(h)
-    edge = np.flatnonzero(np.concatenate(([True], h[order][1:] != h[order][:-1])))
-    least = np.minimum.reduceat(ids[doc[order]], edge)
-    marked = order[ids[doc[order]] > np.repeat(least, np.diff(np.append(edge, len(order))))]
-    return ids, keys, doc[marked], at[marked]
-
-
 def _merge(width: int):
     schema = pa.schema([("doc_id", pa.int64()), ("text_key", pa.int64()), ("intervals", pa.binary())])
 
     def merge(table: pa.Table) -> pa.Table:
         """Of one group of documents: each document's windows merged into maximal [from, to) intervals."""
-        ids, keys, doc, at = [], [], [], []
-        n = 0
-        for doc_id, text_key, count, starts in zip(*(table.column(c).to_pylist() for c in ("doc_id", "text_key", "count", "starts")), strict=True):
-            ids.append(np.frombuffer(doc_id, "<i8"))
-            keys.append(np.frombuffer(text_key, "<i8"))
-            doc.append(np.repeat(np.arange(n, n + len(ids[-1])), np.frombuffer(count, "<u4")))
-            at.append(np.frombuffer(starts, "<u4").astype(np.int64))
-            n += len(ids[-1])
-        ids, keys, doc, at = map(np.concatenate, (ids, keys, doc, at))
+        ids, keys, doc, at = read_rows(table)
         order = np.lexsort((at, keys[doc], ids[doc]))
         doc, at = doc[order], at[order]
         other = np.concatenate(([True], (np.diff(ids[doc]) != 0) | (np.diff(keys[doc]) != 0)))
@@ -155,9 +179,9 @@ def removal_intervals(docs: DataFrame, width: int) -> DataFrame:
 
     ``docs`` as ``with_key`` gives it; doc_id is LAST_ID here where it is null.
     """
-    n = partitions(docs.sparkSession)
+    n = buckets_for(docs, BUCKET_BYTES)
     windows = docs.mapInArrow(_scan(width, n), "bucket int, doc_id binary, text_key binary, count binary, hash binary, place binary")
-    found = windows.groupBy("bucket").applyInArrow(_count(n), "grp int, doc_id binary, text_key binary, count binary, starts binary")
+    found = windows.groupBy("bucket").applyInArrow(_count(n), "grp int, doc_id binary, text_key binary, count binary, place binary")
     return found.groupBy("grp").applyInArrow(_merge(width), "doc_id long, text_key long, intervals binary")
 
 

@@ -64,6 +64,17 @@ def test_substring_dedup(docs, rows):
     assert sum(v[1] > 0 for v in got.values()) >= 4
 
 
+def test_substring_dedup_of_a_passage_in_most_documents(spark):
+    rng = random.Random(12)
+    passage = text(rng, 75)
+    rows = [(rng.randrange(10**6), f"{text(rng, rng.randint(0, 60))} {passage if rng.random() < 0.8 else ''} {text(rng, rng.randint(0, 60))}") for _ in range(300)]
+    rows = list({d: (d, t) for d, t in rows}.values())
+    rows.append((10**7, passage + " " + passage + " ja" * 300))
+    df = spark.createDataFrame(rows, EMPTY).repartition(7)
+    got = {r["doc_id"]: (r["n_words"], r["n_removed"], r["kept_sha256"]) for r in substring_dedup.remove_repeats(df, 50).collect()}
+    assert got == brute.repeats(rows)
+
+
 def test_substring_dedup_null_and_repeated_ids(spark):
     t = " ".join(map(str, range(60)))
     df = spark.createDataFrame([(None, t), (5, t), (5, t), (7, t), (7, "else")], EMPTY)
