@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..checkpoint import cut
+from ..functions.scalars import kind_of_tree_diff
 
 #: Doublings of the edges before the first round: rounds then advance up to 2**DOUBLINGS edges.
 DOUBLINGS = 3
@@ -109,3 +111,20 @@ def classified(diff: DataFrame, edges: DataFrame) -> DataFrame:
     seen = diff.groupBy("repo_id", "commit", "path").agg(F.countDistinct("parent_idx").alias("k"), F.max(F.col("parent_idx") == 0).alias("first"))
     origin = F.when(F.col("k") == F.col("n"), "commit").when(F.col("first"), "merged")
     return seen.join(n, ["repo_id", "commit"]).withColumn("origin", origin).where(F.col("origin").isNotNull()).select("repo_id", "commit", "path", "origin")
+
+
+def own_changes(diff: DataFrame, edges: DataFrame) -> DataFrame:
+    """Change items (repo_id, changeset_id, item_idx, kind, server_path, from_server_path) of what a commit itself changed.
+
+    ``diff`` holds each commit's tree against that of each parent (repo_id, commit, parent_idx, status, path, from_path); a root has one
+    diff, against nothing. What differs from the first parent only came in by a merge and belongs to the commits of the merged branch.
+    """
+    once = diff.select("repo_id", "commit", "parent_idx", "path").distinct()
+    own = classified(once, edges).where("origin = 'commit'").select("repo_id", "commit", "path")
+    first = once.join(edges.select("repo_id", F.col("child").alias("commit")), ["repo_id", "commit"], "left_anti").select("repo_id", "commit", "path")
+    rows = diff.where("parent_idx = 0").join(own.union(first), ["repo_id", "commit", "path"], "left_semi")
+    place = W.partitionBy("repo_id", "commit").orderBy("path", "status")
+    return rows.select(
+        "repo_id", F.col("commit").alias("changeset_id"), (F.row_number().over(place) - 1).alias("item_idx"),
+        kind_of_tree_diff(F.col("status")).alias("kind"), F.col("path").alias("server_path"), F.col("from_path").alias("from_server_path"),
+    )

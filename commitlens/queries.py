@@ -17,6 +17,7 @@ from .operators import coupling as C
 from .operators import graph as G
 from .operators import identity as I
 from .operators import knowledge as K
+from .operators import linemetrics
 from .operators import summary as S
 from .operators import teams as T
 from .operators import tree
@@ -544,6 +545,26 @@ def g3_change_origin(t: Tables) -> DataFrame:
     return G.classified(diff, t.commit_edge).drop("repo_id")
 
 
+TWO_PARENTS = "l_orderkey % 100 > 3 and l_orderkey % 7 = 0"
+
+
+@query(
+    f"""select changeset_id, row_number() over (partition by changeset_id order by server_path)::int - 1 as item_idx, kind, server_path from (
+      select c as changeset_id, case status when 'A' then 2 when 'N' then 4 else 32 end as kind, concat('d/', p) as server_path from (
+        select l_orderkey as c, l_partkey % 5 as p, count(distinct case when {TWO_PARENTS} then l_linenumber % 2 else 0 end) as k,
+          min(l_returnflag) filter (where not ({TWO_PARENTS}) or l_linenumber % 2 = 0) as status from lineitem group by 1, 2) d
+      left join (select child, count(distinct parent_idx) as n from commit_edge group by 1) e on e.child = d.c where k = coalesce(n, 1) and status is not null or n is null)""",
+    "commit_edge",
+)
+def i8_own_changes(t: Tables) -> DataFrame:
+    """Items of commits and merges from the diffs to each parent."""
+    parent = F.when(F.expr(TWO_PARENTS), F.col("l_linenumber") % 2).otherwise(0)
+    lines = t.base("lineitem").select(F.col("l_orderkey").alias("commit"), parent.alias("parent_idx"), F.concat(F.lit("d/"), (F.col("l_partkey") % 5).cast("string")).alias("path"), "l_returnflag")
+    status = F.element_at(F.create_map(F.lit("A"), F.lit("Added"), F.lit("N"), F.lit("Modified"), F.lit("R"), F.lit("Deleted")), F.min("l_returnflag"))
+    diff = lines.groupBy("commit", "parent_idx", "path").agg(status.alias("status")).select(F.lit("main").alias("repo_id"), "*", F.lit(None).cast("string").alias("from_path"))
+    return G.own_changes(diff, t.commit_edge).select("changeset_id", "item_idx", "kind", "server_path")
+
+
 @query()
 def i7_shared_history_cut(t: Tables) -> DataFrame:
     items = t.change_item
@@ -784,6 +805,35 @@ def s12_source_tree(t: Tables) -> DataFrame:
     return found.select(F.regexp_extract("path", "^[0-9]+", 0).cast("long").alias("doc_id"), F.regexp_replace("content", "\u0000$", "").alias("content"))
 
 
+@query("select concat('f', doc_id % 3, '.cs') as path, doc_id::varchar as revision, text as content from documents where doc_id % 4 <> 0 and length(trim(text)) > 0 and doc_id in (select o_orderkey from orders)")
+def s11_file_revisions(t: Tables) -> DataFrame:
+    """Exported revisions of a few files, read back without those that are deletes."""
+    path = _out(t, "revisions")
+    docs = t.base("documents").where("length(trim(text)) > 0").select("doc_id", "text", F.concat(F.lit("f"), (F.col("doc_id") % 3).cast("string"), F.lit(".cs")).alias("name"))
+    docs.select("text", F.col("doc_id").alias("revision"), "name").write.partitionBy("revision", "name").option("lineSep", "\u0000").text(path)
+    items = docs.select(F.lit("main").alias("repo_id"), F.col("doc_id").alias("changeset_id"), F.when(F.col("doc_id") % 4 == 0, DELETE).otherwise(EDIT).alias("kind"), F.col("name").alias("server_path"))
+    dates = t.base("orders").select(F.lit("main").alias("repo_id"), F.col("o_orderkey").alias("changeset_id"), F.col("o_orderdate").alias("date"))
+    found = files.file_revisions(t.spark, path, items, dates, F.regexp_extract("path", "revision=([^/]+)", 1), F.regexp_extract("path", "name=([^/]+)", 1))
+    return found.select("path", "revision", F.regexp_replace("content", "\u0000$", "").alias("content"))
+
+
+#: Texts with block comments over several lines, as both engines make them.
+COMMENTED = "replace(replace(text, '. ', '.\n/* '), ', ', ' */\n')"
+
+
+@query(
+    f"""select doc_id, sum(blank)::int as blanks, sum(comment)::int as comments, sum(1 - blank - comment)::int as code from (
+      select doc_id, blank, case when blank = 0 and (above > 0 or starts_with(ltrim(line), '//') or starts_with(ltrim(line), '/*')) then 1 else 0 end as comment from (
+        select doc_id, line, regexp_matches(line, '^[ \t\n\v\f\r]*$')::int as blank, coalesce(sum(step) over (partition by doc_id order by i rows between unbounded preceding and 1 preceding), 0) as above from (
+          select doc_id, i, line, (length(line) - length(replace(line, '/*', ''))) // 2 - (length(line) - length(replace(line, '*/', ''))) // 2 as step from (
+            select doc_id, unnest(range(len(x))) as i, unnest(x) as line from (select doc_id, string_split(regexp_replace({COMMENTED}, '\r\n?', chr(10), 'g'), chr(10)) as x from documents))))) group by 1"""
+)
+def m1_line_counts(t: Tables) -> DataFrame:
+    """Blank, comment and code lines of texts taken as C#."""
+    docs = t.base("documents").select("doc_id", F.expr(COMMENTED).alias("content"))
+    return linemetrics.count_lines(docs, ["doc_id"], F.lit("C#"))
+
+
 @query()
 def k4_csv_export(t: Tables) -> DataFrame:
     """A written summary, read back as text."""

@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.predicates import has_extension
+from ..functions.predicates import has_extension, is_kind
 from ..functions.scalars import LANGUAGES, path_key
+from ..schemas import DELETE
 
 HISTORY = "ChangeSets array<struct<Id:string,Committer:string,Date:timestamp,Comment:string,Items:array<struct<Id:string,Kind:int,ServerPath:string,FromServerPath:string,LocalPath:string>>,WorkItems:array<struct<Id:string,Title:string,WorkItemTypeName:string>>>>"
 
@@ -83,3 +86,22 @@ def csv_ready(df: DataFrame, digits: int = 3) -> DataFrame:
 
 def write_csv(df: DataFrame, path: str, header: bool = True, digits: int = 3) -> None:
     csv_ready(df, digits).write.mode("overwrite").option("header", header).csv(path)
+
+
+def file_revisions(spark: SparkSession, path: str, change_item: DataFrame, change_set: DataFrame, revision: Column | None = None, name: Column | None = None) -> DataFrame:
+    """(repo_id, path, revision, date, content): the exported revisions of files that are not deletes, for the trend.
+
+    Contents lie below ``path`` as revision/server path; ``revision`` and ``name`` find both in the relative path otherwise. A file is one
+    row, as a source file is read whole; items without an exported file are left out.
+    """
+    inner = F.regexp_extract(F.col("_metadata.file_path"), re.escape(path.rstrip("/").rsplit("/", 1)[-1]) + "/(.*)$", 1)
+    found = spark.read.option("recursiveFileLookup", True).text(path, wholetext=True).select(F.url_decode(inner).alias("path"), F.col("value").alias("content"))
+    found = found.select(
+        (F.substring_index("path", "/", 1) if revision is None else revision).alias("changeset_id"),
+        (F.regexp_replace("path", "^[^/]*/", "") if name is None else name).alias("server_path"),
+        "content",
+    )
+    items = change_item.where(~is_kind(F.col("kind"), DELETE)).select("repo_id", F.col("changeset_id").cast("string").alias("changeset_id"), "server_path").distinct()
+    dates = change_set.select("repo_id", F.col("changeset_id").cast("string").alias("changeset_id"), "date")
+    rows = found.join(items, ["changeset_id", "server_path"]).join(dates, ["repo_id", "changeset_id"])
+    return rows.select("repo_id", F.col("server_path").alias("path"), F.col("changeset_id").alias("revision"), "date", "content")

@@ -137,6 +137,17 @@ def test_graph(spark):
     assert {(r["a"], r["b"]): r["ancestor"] for r in graph.common_ancestors(edges, pairs).collect()} == {("n9", "n8"): "n8", ("n5", "n4"): "n1", ("n3", "n1"): "n1"}
 
 
+def test_items_of_a_merge(spark):
+    edges = spark.createDataFrame([("r", "2", "1", 0), ("r", "3", "1", 0), ("r", "4", "2", 0), ("r", "4", "3", 1)], "repo_id string, child string, parent string, parent_idx int")
+    rows = [("1", 0, "Added", "f"), ("2", 0, "Modified", "f"), ("3", 0, "Added", "g"), ("4", 0, "Added", "g"), ("4", 0, "Modified", "f"), ("4", 1, "Modified", "f")]
+    diff = spark.createDataFrame([("r", c, k, s, p, None) for c, k, s, p in rows], "repo_id string, commit string, parent_idx int, status string, path string, from_path string")
+    items = graph.own_changes(diff, edges)
+    assert sorted((r["changeset_id"], r["kind"], r["server_path"]) for r in items.collect()) == [("1", ADD, "f"), ("2", EDIT, "f"), ("3", ADD, "g"), ("4", EDIT, "f")]
+    sets = spark.createDataFrame([("r", str(i), i) for i in range(1, 5)], "repo_id string, changeset_id string, cs_ord long")
+    ids = {(r["changeset_id"], r["server_path"]): r["file_id"] for r in identity.with_identity(items, sets)[0].collect()}
+    assert ids["1", "f"] == ids["2", "f"] == ids["4", "f"] != ids["3", "g"] and len(ids) == 4
+
+
 def test_shared_history_is_cut(spark):
     edges = spark.createDataFrame([("r", "2", "1", 0)], "repo_id string, child string, parent string, parent_idx int")
     items = spark.createDataFrame([("r", c, k, "p", f) for c in ("1", "2") for k, f in enumerate(("a", "b"))], "repo_id string, changeset_id string, item_idx int, server_path string, file_id string")
