@@ -5,8 +5,8 @@ are separators, and runs between separators that are too short for any window ar
 the shard's FM-index is built; all test windows are searched backwards at once through wavelet-tree ranks, their occurrences located by
 sampled suffix positions, compared word by word with the training text, and merged to removal spans per document.
 
-The training table is read once and never shuffled. The test windows go to the tasks in parts of at most PART_WORDS words, so what is
-sent at once is bounded however large the benchmark grows; each part's hits are merged per document afterwards.
+The training table is read once and never shuffled. The test windows go to the tasks in parts of at most PART_WORDS words, all in the same
+pass, so an executor holds the windows of the whole benchmark: it has to be a small table, of some MB.
 
 Defined results: null and empty texts have no words and no hits; null test items are skipped; repeated item ids count once; repeated
 rows are each judged alone; with no test items nothing is hit.
