@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from ..ship import ship
 from . import ann, byte_bpe, decontaminate, html_extract, jaccard_join, pii, sharding, substring_dedup, toxicity, warc
 from .common import new_path
+from .oracles import ORACLES
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -84,5 +85,4 @@ QUERIES = {
     "op10_warc": op10_warc,
 }
 
-#: crc32 has no DuckDB counterpart, so the sharding query is tested against a brute-force version instead.
-ORACLES: dict[str, str] = {}
+__all__ = ["ORACLES", "QUERIES"]
