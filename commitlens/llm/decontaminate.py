@@ -5,8 +5,10 @@ are separators, and runs between separators that are too short for any window ar
 the shard's FM-index is built; all test windows are searched backwards at once through wavelet-tree ranks, their occurrences located by
 sampled suffix positions, compared word by word with the training text, and merged to removal spans per document.
 
-The training table is read once and never shuffled. The test windows go to the tasks in parts of at most PART_WORDS words, all in the same
-pass, so an executor holds the windows of the whole benchmark: it has to be a small table, of some MB.
+The test items come in parts of at most PART_WORDS words. A benchmark of one part is searched in a single pass over the training table, which
+is never shuffled. A larger one takes a pass for each part; the hits of a part are written, one row for each distinct text that has any, before
+the next part is sent, and the hits of all parts are joined to the rows in the end. So driver and executors hold one part at a time, however
+large the benchmark is. All parts are searched in the input texts, not in what another part left.
 
 Defined results: null and empty texts have no words and no hits; null test items are skipped; repeated item ids count once; repeated
 rows are each judged alone; with no test items nothing is hit.
@@ -16,22 +18,32 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from functools import reduce
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import LETTER_OR_DIGIT, LOWER, sha256_hex, spans_of_bytes, text_bytes, word_hashes, word_spans
+from .common import LETTER_OR_DIGIT, LOWER, saved, spans_of_bytes, text_bytes, word_hashes, word_spans
 from .fm_index import FMIndex
 
 #: Text of one shard.
 SHARD_BYTES = 4 << 20
 #: Words of test items searched at once; more items go in further parts.
 PART_WORDS = 2_000_000
+#: What tells texts apart where the hits of several parts meet: two hashes and the size.
+KEY_NAMES = ("_xxhash", "_crc", "_size")
+HITS = {"spans": "array<array<long>>", "items": "array<string>"}
+SPANS = "_benchmark_spans"
 WORD = re.compile(rb"[0-9a-z\x80-\xff]+")
 
 
+def text_keys(text: Column) -> list[Column]:
+    return [F.xxhash64(text), F.crc32(text.cast("binary")), F.octet_length(text)]
+
+
 def words_of(text: str | None) -> list[bytes]:
     """Lower-cases A-Z; words are runs of characters other than ASCII without letters and digits."""
     return WORD.findall((text or "").encode().lower())
@@ -62,17 +74,16 @@ class Windows:
         raw = np.frombuffer(joined, np.uint8)
         starts, ends, _ = word_spans(raw, np.array([0, len(raw)]), LETTER_OR_DIGIT)
         h = word_hashes(raw, starts, ends) if len(raw) else np.zeros(0, np.uint64)
-        order = np.argsort(h)
-        self.hashes, self.codes = h[order], order + 1
-        if len(np.unique(h)) != len(h):
-            raise ValueError("two test words share a 64-bit hash")
+        # symbols stand for hashes: words that share one share a symbol, and the comparison of found words tells them apart
+        self.hashes, symbol = np.unique(h, return_inverse=True)
+        self.symbols = np.concatenate(([0], symbol + 1))[self.patterns]
 
     def encode(self, hashes: np.ndarray) -> np.ndarray:
-        """Codes of words by their hashes; 0 for words of no test item."""
+        """Symbols of words by their hashes; 0 for words of no test item."""
         if not len(self.hashes):
             return np.zeros(len(hashes), np.int64)
         at = np.minimum(np.searchsorted(self.hashes, hashes), len(self.hashes) - 1)
-        return np.where(self.hashes[at] == hashes, self.codes[at], 0)
+        return np.where(self.hashes[at] == hashes, at + 1, 0)
 
 
 def shard_hits(part: np.ndarray, starts: np.ndarray, ends: np.ndarray, word_at: np.ndarray, w: Windows) -> tuple[np.ndarray, np.ndarray]:
@@ -98,7 +109,7 @@ def shard_hits(part: np.ndarray, starts: np.ndarray, ends: np.ndarray, word_at:
     text[at], number[at] = codes[known], known
 
     index = FMIndex(text, w.levels)
-    lo, hi = index.search(w.patterns, w.lengths)
+    lo, hi = index.search(w.symbols, w.lengths)
     count = np.maximum(hi - lo, 0)
     which = np.repeat(np.arange(len(count)), count)
     places = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count) + lo[which]
@@ -129,7 +140,7 @@ def _search(windows):
         w: Windows = windows.value
         for b in batches:
             raw, offsets = text_bytes(b.column("text"))
-            old_spans, old_items = b.column("spans").to_pylist(), b.column("items").to_pylist()
+            old_spans, old_items = ([x or [] for x in b.column(c).to_pylist()] for c in ("spans", "items"))
             for i, j in spans_of_bytes(offsets, SHARD_BYTES):
                 part, off = LOWER[raw[offsets[i] : offsets[j]]], offsets[i : j + 1] - offsets[i]
                 starts, ends, word_at = word_spans(part, off, LETTER_OR_DIGIT)
@@ -152,57 +163,99 @@ def find(docs: DataFrame, benchmark: DataFrame, width: int = 10, id_col: str = "
     spark = docs.sparkSession
     rows = docs.select(
         F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"),
-        F.lit(0).cast("long").alias("n_words"), F.expr("cast(array() as array<array<long>>)").alias("spans"), F.expr("cast(array() as array<string>)").alias("items"),
+        F.lit(0).cast("long").alias("n_words"), *(F.expr(f"cast(array() as {t})").alias(c) for c, t in HITS.items()),
     )
-    for part in item_parts(benchmark, item_col, item_text_col):  # one after the other in the same pass over the rows
-        rows = rows.mapInArrow(_search(spark.sparkContext.broadcast(Windows(part, width))), rows.schema)
-    return rows
-
-
-def item_parts(benchmark: DataFrame, item_col: str = "item_id", item_text_col: str = "text") -> list[list[tuple[str, str]]]:
-    """The distinct test items in parts of at most PART_WORDS words each."""
-    parts: list[list[tuple[str, str]]] = [[]]
+    parts = item_parts(benchmark, item_col, item_text_col)
+    part, more = next(parts, []), next(parts, None)
+    if more is None:
+        return rows.mapInArrow(_search(spark.sparkContext.broadcast(Windows(part, width))), rows.schema)
+    hits = part_hits(rows, chain([part, more], parts), width)
+    both = with_hits(rows.drop("spans", "items"), hits, spans="spans", items="items")
+    return both.mapInArrow(_search(spark.sparkContext.broadcast(Windows([], width))), rows.schema)  # counts words and merges spans
+
+
+def part_hits(rows: DataFrame, parts: Iterator[list[tuple[str, str]]], width: int) -> DataFrame:
+    """(KEY_NAMES, spans, items): one row for each distinct text with hits; one pass over ``rows`` for each part."""
+    spark = rows.sparkSession
+    tables = []
+    for part in parts:
+        windows = spark.sparkContext.broadcast(Windows(part, width))
+        found = rows.mapInArrow(_search(windows), rows.schema).where(F.size("items") > 0)
+        tables.append(saved(found.select(*(k.alias(n) for k, n in zip(text_keys(F.col("text")), KEY_NAMES, strict=True)), "spans", "items").dropDuplicates(list(KEY_NAMES)), "hits"))
+        windows.destroy()
+    # a text has at most one row in each table, so a group is as large as one text's hits
+    lists = [F.flatten(F.collect_list(c)).alias(c) for c in ("spans", "items")]
+    return saved(reduce(DataFrame.union, tables).groupBy(*KEY_NAMES).agg(*lists), "hits")
+
+
+def with_hits(rows: DataFrame, hits: DataFrame, **names: str) -> DataFrame:
+    """``rows`` and columns of the hits of their texts, under new names; null without any. Hits grow with the input: they are not broadcast."""
+    side = hits.hint("merge")
+    same = reduce(Column.__and__, [k == side[n] for k, n in zip(text_keys(rows["text"]), KEY_NAMES, strict=True)])
+    return rows.join(side, same, "left").select(*(rows[c] for c in rows.columns), *(side[c].alias(n) for c, n in names.items()))
+
+
+def item_parts(benchmark: DataFrame, item_col: str = "item_id", item_text_col: str = "text") -> Iterator[list[tuple[str, str]]]:
+    """The distinct test items in parts of at most PART_WORDS words each (a longer item is a part); fetched partition by partition."""
+    part: list[tuple[str, str]] = []
     held = 0
     items = benchmark.select(F.col(item_col).cast("string").alias("item"), F.col(item_text_col).alias("text")).where("item is not null and text is not null").distinct()
     for item in items.toLocalIterator():
         n = len(item["text"]) // 2 + 1
-        if held + n > PART_WORDS and parts[-1]:
-            parts.append([])
-            held = 0
-        parts[-1].append((item["item"], item["text"]))
+        if held + n > PART_WORDS and part:
+            yield part
+            part, held = [], 0
+        part.append((item["item"], item["text"]))
         held += n
-    return parts
+    yield part
 
 
 def clean(docs: DataFrame, benchmark: DataFrame, width: int = 10, text_col: str = "text") -> DataFrame:
     """The rows of ``docs``, all columns, with hit spans cut out of the text, from the first hit word to the last of each span."""
     spark = docs.sparkSession
     rows = docs if text_col == "text" else docs.withColumnRenamed(text_col, "text")
-    for part in item_parts(benchmark):
-        rows = rows.mapInArrow(_cut(spark.sparkContext.broadcast(Windows(part, width))), rows.schema)
-    return rows if text_col == "text" else rows.withColumnRenamed("text", text_col)
+    parts = item_parts(benchmark)
+    part, more = next(parts, []), next(parts, None)
+    if more is None:
+        cut = rows.mapInArrow(_cut(spark.sparkContext.broadcast(Windows(part, width))), rows.schema)
+    else:
+        plain = rows.select(F.lit(None).cast("long").alias("doc_id"), "text", F.lit(0).cast("long").alias("n_words"), *(F.expr(f"cast(array() as {t})").alias(c) for c, t in HITS.items()))
+        hits = part_hits(plain, chain([part, more], parts), width)
+        marked = with_hits(rows, hits, spans=SPANS)
+        cut = marked.mapInArrow(_cut(None), rows.schema)
+    return cut if text_col == "text" else cut.withColumnRenamed("text", text_col)
 
 
 def _cut(windows):
+    """Cuts the hits of ``windows`` out, or, without them, the word ranges in the last column, SPANS, which goes."""
+
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        w: Windows = windows.value
         for b in batches:
             raw, offsets = text_bytes(b.column("text"))
             texts = b.column("text").to_pylist()
+            given = None if windows else b.column(SPANS).to_pylist()
             for i, j in spans_of_bytes(offsets, SHARD_BYTES):
                 part, off = raw[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i]
                 lower = LOWER[part]
                 starts, ends, word_at = word_spans(lower, off, LETTER_OR_DIGIT)
-                found, which = shard_hits(lower, starts, ends, word_at, w)
                 ranges: dict[int, list] = {}
-                for p, n in zip(found.tolist(), w.lengths[which].tolist(), strict=True):
-                    ranges.setdefault(int(np.searchsorted(word_at, p, "right")) - 1, []).append((p, p + n))
+                if windows:
+                    w: Windows = windows.value
+                    found, which = shard_hits(lower, starts, ends, word_at, w)
+                    for p, n in zip(found.tolist(), w.lengths[which].tolist(), strict=True):
+                        ranges.setdefault(int(np.searchsorted(word_at, p, "right")) - 1, []).append((p, p + n))
+                else:
+                    for k in range(j - i):
+                        if given[i + k]:
+                            ranges[k] = [(x + int(word_at[k]), y + int(word_at[k])) for x, y in given[i + k]]
                 for k, spans in ranges.items():
                     text, at, left = part[off[k] : off[k + 1]].tobytes(), 0, []
                     for s, e in merge(spans):
                         left.append(text[at : starts[s] - off[k]])
                         at = ends[e - 1] - off[k]
                     texts[i + k] = (b"".join(left) + text[at:]).decode()
+            if not windows:
+                b = b.drop_columns([SPANS])
             place = b.schema.get_field_index("text")
             yield b.set_column(place, b.schema.field(place), pa.array(texts, b.schema.field(place).type))
 

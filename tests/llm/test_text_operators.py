@@ -177,6 +177,25 @@ def test_decontamination_in_parts(spark, docs, rows, monkeypatch):
     assert sorted((r["doc_id"], sum(b - a for a, b in r["spans"]), len(r["items"])) for r in got) == sorted((x[0], x[2], x[3]) for x in brute.contamination(rows, items))
 
 
+def test_decontamination_in_parts_cuts_as_in_one(spark, docs, rows, monkeypatch):
+    items = spark.createDataFrame([(i, rows[k][1]) for i, k in enumerate((2, 3, 4))], "item_id long, text string")
+    once = decontaminate.clean(docs, items)
+    whole = sorted(map(str, once.collect()))
+    monkeypatch.setattr(decontaminate, "PART_WORDS", 30)
+    parts = decontaminate.clean(docs.union(docs), items)
+    assert parts.columns == once.columns == docs.columns
+    assert sorted(map(str, parts.collect())) == sorted(whole * 2)
+
+
+def test_decontamination_tells_words_of_one_hash_apart(monkeypatch):
+    monkeypatch.setattr(decontaminate, "word_hashes", lambda raw, starts, ends: (ends - starts).astype(np.uint64))
+    windows = decontaminate.Windows([("a", "one two three"), ("b", "two one three"), ("c", "six ten seven")], 3)
+    text = np.frombuffer(b"six two one three one two three ten six eight", np.uint8)
+    starts, ends, word_at = decontaminate.word_spans(text, np.array([0, len(text)]), decontaminate.LETTER_OR_DIGIT)
+    found, which = decontaminate.shard_hits(text, starts, ends, word_at, windows)
+    assert sorted((p, windows.items[k][0]) for p, k in zip(found.tolist(), which.tolist(), strict=True)) == [(1, "b"), (4, "a")]
+
+
 PERSONAL = [
     "mail a.b+c@x-y.example.com, then x@y.zz_foo@bar.com and a@b",
     "ip 1.2.3.4 and 256.1.1.1 and 1.2.3.4.5 and 001.002.003.255.",
