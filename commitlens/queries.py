@@ -669,9 +669,24 @@ def f20_bug_items(t: Tables) -> DataFrame:
     return t.change_set.where(P.has_bug(item)).select("changeset_id")
 
 
-@query()
+# Those of Spark's English stop words that a term can be, as it has three letters and no punctuation.
+STOP_WORDS = """
+myself our ours ourselves you your yours yourself yourselves him his himself she her hers herself its itself they them their theirs
+themselves what which who whom this that these those are was were been being have has had having does did doing the and but because until
+while for with about against between into through during before after above below from down out off over under again further then once here
+there when where why how all any both each few more most other some such nor not only own same than too very can will just don should now
+cannot could ought would
+""".split()
+E17 = r"""
+with words as (select doc_id, unnest(regexp_split_to_array(regexp_replace(lower(text), '[[:punct:]]', '', 'g'), '[ \t\n\x0B\f\r]+')) as term from documents),
+terms as (select term, count(*) as n, count(distinct doc_id) as n_comments from words where length(term) >= 3 and not list_contains(%s, term) group by term)
+select * from terms where n_comments > (select count(*) from documents) * 0.01
+"""
+
+
+@query(E17 % STOP_WORDS)
 def e17_comment_terms(t: Tables) -> DataFrame:
-    """Terms of documents taken as comments; the stop-word list has no SQL form."""
+    """Terms of documents taken as comments."""
     return A.comment_terms(t.base("documents").select(F.col("doc_id").alias("changeset_id"), F.col("text").alias("comment")))
 
 # Sources and sinks: tables are written in each format by Spark and read back ------------------------------------------------------
