@@ -10,7 +10,7 @@ Training reads at most ``per_class`` labelled documents of each class (those wit
 only bound. Scoring reads every whole text in one pass without a shuffle; the model is a table of fixed size.
 
 Defined results: null and empty texts get the score of the bias alone; labels that are null or of ids without a document are left out; several labels of
-one id count as the largest; without labelled documents of both classes every score is 0; repeated rows get equal scores.
+one id count as the largest; of several texts of one id the smallest is learnt from; without labelled documents of both classes every score is 0; repeated rows get equal scores.
 """
 
 from __future__ import annotations
@@ -198,7 +198,8 @@ def train(docs: DataFrame, labels: DataFrame, per_class: int = 1500, id_col: str
     ids = docs.where(F.col(id_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     # one top-k a class; the ids are then few enough to be sent to the scan of the texts
     picked = [known.where(F.col("toxic") == c).orderBy(F.xxhash64("doc_id"), "doc_id").limit(per_class) for c in (0, 1)]
-    sample = ids.join(F.broadcast(picked[0].union(picked[1])), "doc_id").dropDuplicates(["doc_id"]).orderBy("doc_id").select("text", "toxic").toArrow()
+    rows = ids.join(F.broadcast(picked[0].union(picked[1])), "doc_id").groupBy("doc_id", "toxic").agg(F.min("text").alias("text"))
+    sample = rows.orderBy("doc_id").select("text", "toxic").toArrow()
     label = sample.column("toxic").to_numpy().astype(np.int64)
     if len(np.unique(label)) < 2:
         return None

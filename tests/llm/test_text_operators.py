@@ -377,6 +377,15 @@ def test_toxicity_on_held_out_rows(spark):
     assert all(0 <= r["score"] <= 1 for r in got.values()) and got[900]["score"] == got[901]["score"]
 
 
+def test_toxicity_of_ids_with_several_texts(spark):
+    rows = [(i, f"vilefang word{i} here" if i % 2 else f"word{i} stands here") for i in range(60)]
+    other = [(i, t + " again") for i, t in rows]
+    labels = spark.createDataFrame([(i, i % 2) for i in range(60)], "doc_id long, toxic int")
+    a, b = spark.createDataFrame(rows, EMPTY), spark.createDataFrame(other, EMPTY)
+    score = [sorted(map(tuple, toxicity.scores(a, toxicity.train(df, labels)).select("doc_id", "score").collect())) for df in (a.union(b), b.union(a).repartition(3))]
+    assert score[0] == score[1]
+
+
 def test_no_labels(spark):
     df = spark.createDataFrame([(1, "a b")], EMPTY)
     assert toxicity.scores(df, toxicity.train(df, spark.createDataFrame([], "doc_id long, toxic int"))).collect()[0]["score"] == 0
