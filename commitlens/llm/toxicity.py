@@ -6,8 +6,8 @@ linear map of that gives its class, and a document's score is that of its most t
 text count as much as in a short one. Labels are per document: in every epoch the gradient goes through each document's
 strongest segment, so training finds out which segments bear the label.
 
-Training reads at most ``per_class`` labelled documents of each class (those with the smallest hashes of their ids) on the driver; that is the
-only bound. Scoring reads every whole text in one pass without a shuffle; the model is a table of fixed size.
+Training reads at most ``per_class`` labelled documents of each class (those with the smallest hashes of their ids) on the driver, and of those,
+in that order, as many whole texts as ``class_bytes`` hold; those are the only bounds. Scoring reads every whole text in one pass without a shuffle; the model is a table of fixed size.
 
 Defined results: null and empty texts get the score of the bias alone; labels that are null or of ids without a document are left out; several labels of
 one id count as the largest; of several texts of one id the smallest is learnt from; without labelled documents of both classes every score is 0; repeated rows get equal scores.
@@ -192,14 +192,24 @@ def held_out(doc_id) -> F.Column:
     return F.coalesce(F.pmod(F.crc32(doc_id.cast("string").cast("binary")), F.lit(3)) == 1, F.lit(False))
 
 
-def train(docs: DataFrame, labels: DataFrame, per_class: int = 1500, id_col: str = "doc_id", text_col: str = "text") -> Model | None:
-    """Fits on at most per_class documents of each class whose id is not held out."""
+def train(docs: DataFrame, labels: DataFrame, per_class: int = 1500, id_col: str = "doc_id", text_col: str = "text", class_bytes: int = 64 << 20) -> Model | None:
+    """Fits on at most per_class documents of each class whose id is not held out, and on at most class_bytes of their whole texts.
+
+    A text that does not fit in what is left of the bytes is passed over, not cut; the next ones may still fit.
+    """
     known = labels.where("toxic is not null and doc_id is not null").where(~held_out(F.col("doc_id"))).groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
     ids = docs.where(F.col(id_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     # one top-k a class; the ids are then few enough to be sent to the scan of the texts
     picked = [known.where(F.col("toxic") == c).orderBy(F.xxhash64("doc_id"), "doc_id").limit(per_class) for c in (0, 1)]
     rows = ids.join(F.broadcast(picked[0].union(picked[1])), "doc_id").groupBy("doc_id", "toxic").agg(F.min("text").alias("text"))
-    sample = rows.orderBy("doc_id").select("text", "toxic").toArrow()
+    # the lengths of so few rows are small on the driver, their texts need not be
+    sizes = rows.select(F.xxhash64("doc_id").alias("hash"), "doc_id", "toxic", F.octet_length("text").alias("size")).collect()
+    left, fits = {0: class_bytes, 1: class_bytes}, []
+    for r in sorted(sizes):
+        if r.size <= left[r.toxic]:
+            left[r.toxic] -= r.size
+            fits.append(r.doc_id)
+    sample = rows.where(F.col("doc_id").isin(fits)).orderBy("doc_id").select("text", "toxic").toArrow()
     label = sample.column("toxic").to_numpy().astype(np.int64)
     if len(np.unique(label)) < 2:
         return None

@@ -377,6 +377,18 @@ def test_toxicity_on_held_out_rows(spark):
     assert all(0 <= r["score"] <= 1 for r in got.values()) and got[900]["score"] == got[901]["score"]
 
 
+def test_toxicity_passes_over_texts_beyond_its_bytes(spark):
+    texts = [("you awful fool", 1), ("a fine day", 0)] * 20
+    rows = [(i, t, y) for i, (t, y) in enumerate(texts)]
+    huge = [(1000 + i, f"awful {'fine day ' * 2000}", i % 2) for i in range(8)]
+    labels = spark.createDataFrame([(i, y) for i, _, y in rows + huge], "doc_id long, toxic int")
+    docs = lambda r: spark.createDataFrame([(i, t) for i, t, _ in r], "doc_id long, text string")
+    bounded, without = (toxicity.train(docs(r), labels, class_bytes=1000) for r in (rows + huge, rows))
+    assert np.array_equal(bounded.vectors, without.vectors)
+    assert not np.array_equal(toxicity.train(docs(rows + huge), labels).vectors, without.vectors)
+    assert toxicity.train(docs(huge), labels, class_bytes=1000) is None
+
+
 def test_toxicity_of_ids_with_several_texts(spark):
     rows = [(i, f"vilefang word{i} here" if i % 2 else f"word{i} stands here") for i in range(60)]
     other = [(i, t + " again") for i, t in rows]
