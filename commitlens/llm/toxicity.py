@@ -6,8 +6,8 @@ linear map of that gives its class, and a document's score is that of its most t
 text count as much as in a short one. Labels are per document: in every epoch the gradient goes through each document's
 strongest segment, so training finds out which segments bear the label.
 
-Training reads at most ``per_class`` labelled documents of each class (those with the smallest hashes of their ids) on the driver, and of those,
-in that order, as many whole texts as ``class_bytes`` hold; those are the only bounds. Scoring reads every whole text in one pass without a shuffle; the model is a table of fixed size.
+Training reads at most ``per_class`` labelled documents of each class (those with the smallest hashes of their ids), and of those, in that
+order, as many whole texts as ``class_bytes`` hold; those are the only bounds. One task fits the model on them. Scoring reads every whole text in one pass without a shuffle; the model is a table of fixed size.
 
 Defined results: null and empty texts get the score of the bias alone; labels that are null or of ids without a document are left out; several labels of
 one id count as the largest; of several texts of one id the smallest is learnt from; without labelled documents of both classes every score is 0; repeated rows get equal scores.
@@ -15,7 +15,7 @@ one id count as the largest; of several texts of one id the smallest is learnt f
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import LETTER_OR_DIGIT, LOWER, mix, range_hashes, spans_of_bytes, text_bytes, word_hashes, word_spans
+from .common import LETTER_OR_DIGIT, LOWER, mix, range_hashes, record, saved, spans_of_bytes, text_bytes, word_hashes, word_spans
 
 BUCKETS = 1 << 17
 DIMENSIONS = 8
@@ -41,6 +41,7 @@ BORDER = 0x20
 class Words:
     """The words of some texts: distinct words' n-gram buckets and, for each occurrence, its distinct word."""
 
+    hash: np.ndarray  # of each distinct word
     bucket: np.ndarray  # of all n-grams of all distinct words, end to end
     at: np.ndarray  # distinct words' offsets in it, len+1
     word: np.ndarray  # distinct word of each occurrence
@@ -59,7 +60,7 @@ def read_words(raw: np.ndarray, offsets: np.ndarray) -> Words:
     starts, ends, word_at = word_spans(padded, offsets + np.arange(texts + 1), LETTER_OR_DIGIT)
     word_at[-1] = len(starts)
     h = word_hashes(padded, starts, ends)
-    _, first, word = np.unique(h, return_index=True, return_inverse=True)
+    distinct, first, word = np.unique(h, return_index=True, return_inverse=True)
     s, e = starts[first], ends[first]
     grams, owner = [mix(h[first] ^ np.uint64(0x5851F42D4C957F2D))], [np.arange(len(s))]
     for n in NGRAMS:
@@ -77,23 +78,32 @@ def read_words(raw: np.ndarray, offsets: np.ndarray) -> Words:
     segments = -(-count // SEGMENT)
     base = np.cumsum(segments) - segments
     segment = base[text] + (np.arange(len(word)) - word_at[:-1][text]) // SEGMENT
-    return Words(bucket, at, word, segment, np.repeat(np.arange(texts), segments), texts)
-
-
-def together(parts: list[Words]) -> Words:
-    """The words of several runs of texts as those of one."""
-    base = np.cumsum([0, *(len(p.at) - 1 for p in parts)])
-    grams = np.cumsum([0, *(len(p.bucket) for p in parts)])
-    segments = np.cumsum([0, *(len(p.segment_text) for p in parts)])
-    texts = np.cumsum([0, *(p.texts for p in parts)])
-    return Words(
-        np.concatenate([p.bucket for p in parts]),
-        np.concatenate([*(p.at[:-1] + g for p, g in zip(parts, grams[:-1], strict=True)), grams[-1:]]),
-        np.concatenate([(p.word + b).astype(np.int32) for p, b in zip(parts, base[:-1], strict=True)]),
-        np.concatenate([(p.segment + b).astype(np.int32) for p, b in zip(parts, segments[:-1], strict=True)]),
-        np.concatenate([(p.segment_text + b).astype(np.int32) for p, b in zip(parts, texts[:-1], strict=True)]),
-        int(texts[-1]),
-    )
+    return Words(distinct, bucket, at, word, segment, np.repeat(np.arange(texts), segments), texts)
+
+
+def together(parts: Iterable[Words]) -> Words:
+    """The words of several runs of texts as those of one. A word of several runs is kept once, so all grows with the distinct words and the occurrences."""
+    known, number = np.zeros(0, np.uint64), np.zeros(0, np.int32)  # hashes in order, and their words
+    bucket, grams, word, segment, segment_text = [], [], [], [], []
+    segments = texts = 0
+    for p in parts:
+        place, size = np.searchsorted(known, p.hash), np.diff(p.at)
+        old = place < len(known)
+        old[old] = known[place[old]] == p.hash[old]
+        of = np.empty(len(p.hash), np.int32)
+        of[old] = number[place[old]]
+        of[~old] = len(known) + np.arange((~old).sum())
+        known, number = np.insert(known, place[~old], p.hash[~old]), np.insert(number, place[~old], of[~old])
+        bucket.append(p.bucket[np.repeat(~old, size)])
+        grams.append(size[~old])
+        word.append(of[p.word])
+        segment.append((p.segment + segments).astype(np.int32))
+        segment_text.append((p.segment_text + texts).astype(np.int32))
+        segments, texts = segments + len(p.segment_text), texts + p.texts
+    ordered = np.empty_like(known)
+    ordered[number] = known
+    at = np.append(0, np.cumsum(np.concatenate(grams)))
+    return Words(ordered, np.concatenate(bucket), at, np.concatenate(word), np.concatenate(segment), np.concatenate(segment_text), texts)
 
 
 def means(values: np.ndarray, at: np.ndarray) -> np.ndarray:
@@ -202,19 +212,30 @@ def train(docs: DataFrame, labels: DataFrame, per_class: int = 1500, id_col: str
     # one top-k a class; the ids are then few enough to be sent to the scan of the texts
     picked = [known.where(F.col("toxic") == c).orderBy(F.xxhash64("doc_id"), "doc_id").limit(per_class) for c in (0, 1)]
     rows = ids.join(F.broadcast(picked[0].union(picked[1])), "doc_id").groupBy("doc_id", "toxic").agg(F.min("text").alias("text"))
+    rows = saved(rows, "labelled")
     # the lengths of so few rows are small on the driver, their texts need not be
     sizes = rows.select(F.xxhash64("doc_id").alias("hash"), "doc_id", "toxic", F.octet_length("text").alias("size")).collect()
-    left, fits = {0: class_bytes, 1: class_bytes}, []
+    left, fits, classes = {0: class_bytes, 1: class_bytes}, [], set()
     for r in sorted(sizes):
         if r.size <= left[r.toxic]:
             left[r.toxic] -= r.size
             fits.append(r.doc_id)
-    sample = rows.where(F.col("doc_id").isin(fits)).orderBy("doc_id").select("text", "toxic").toArrow()
-    label = sample.column("toxic").to_numpy().astype(np.int64)
-    if len(np.unique(label)) < 2:
+            classes.add(r.toxic)
+    if len(classes) < 2:
         return None
+    sample = rows.where(F.col("doc_id").isin(fits)).select("doc_id", "text", "toxic").coalesce(1).sortWithinPartitions("doc_id")
+    vectors, weights, bias = sample.mapInArrow(_learn, "vectors binary, classes binary, bias binary").first()
+    array = lambda b, *shape: np.frombuffer(b, np.float64).reshape(shape)
+    return Model(array(vectors, BUCKETS, DIMENSIONS), array(weights, DIMENSIONS, 2), array(bias, 2))
+
+
+def _learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """One task fits the model on the bounded sample, so the driver holds the finished model only."""
+    sample = pa.Table.from_batches(batches)
+    label = sample.column("toxic").to_numpy().astype(np.int64)
     raw, offsets = text_bytes(sample.column("text"))
-    return fit(together([read_words(raw[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i]) for i, j in spans_of_bytes(offsets, STEP_BYTES)]), label)
+    m = fit(together(read_words(raw[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i]) for i, j in spans_of_bytes(offsets, STEP_BYTES)), label)
+    yield record(["vectors", "classes", "bias"], [pa.array([a.tobytes()], pa.binary()) for a in (m.vectors, m.classes, m.bias)])
 
 
 def _score(table, name: str):
