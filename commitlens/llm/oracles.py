@@ -62,4 +62,60 @@ k as (select *, payload_bytes >= 1000 and page_id < max(page_id) over (partition
 select page_id, payload_bytes, payload_digest, case when again then 'revisit' else 'response' end as record_type, case when again then keeper end as refers_to from k
 """
 
-ORACLES = {"op4_substring_dedup": OP4, "op6_decontamination": OP6, "op9_jaccard_join": OP9, "op10_warc": OP10}
+OP11 = """
+with v as (
+  select vec_id, list_transform(embedding, lambda x: floor(256 * x::double)) as c from embeddings
+  where vec_id is not null and embedding is not null and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0),
+pair as (select q.vec_id as query_id, x.vec_id, list_inner_product(q.c, x.c)::bigint as score from v q join v x on q.vec_id % 50 = 0 and x.vec_id <> q.vec_id),
+placed as (select *, row_number() over (partition by query_id order by score desc, vec_id)::int as rank from pair)
+select query_id, rank, vec_id, score from placed where rank <= 5
+"""
+
+OP12 = rf"""
+with d as (select doc_id, coalesce(lang, '') as part, coalesce(text, '') as t, regexp_extract_all(coalesce(text, ''), '{SPACE_WORDS}') as words from documents),
+failed as (select doc_id, part, (len(words) < 100)::int + 2 * (100 * len(list_distinct(words)) < 80 * len(words))::int
+  + 4 * (100 * length(regexp_replace(t, '[^A-Z]', '', 'g')) > 10 * length(t))::int + 8 * regexp_matches(t, '[#$%&*|]')::int
+  + 16 * coalesce(doc_id > min(doc_id) over (partition by t), false)::int as bits from d),
+label as (select doc_id, max((quality = 1)::int) as good, max((toxic = 1)::int) as toxic from labels group by doc_id),
+cell as (select part, bits, count(*) as n, coalesce(sum(good), 0) as good, coalesce(sum(toxic), 0) as toxic from failed left join label using (doc_id) group by part, bits),
+letter as (select * from (values ('A', 1), ('B', 2), ('C', 4), ('D', 8), ('E', 16)) x(l, bit)),
+perm as (select a.l || b.l || c.l || d.l || e.l as o from letter a, letter b, letter c, letter d, letter e where len(list_distinct([a.l, b.l, c.l, d.l, e.l])) = 5),
+step as (select o, s::int as s, bit, coalesce(sum(bit) over (partition by o order by s rows between unbounded preceding and 1 preceding), 0)::int as before
+  from perm, range(1, 6) r(s), letter where substr(o, s::int, 1) = l),
+counted as (
+  select part, o as filter_order, s as step, bit, coalesce(sum(n) filter (where bits & (before | bit) = 0), 0)::bigint as kept,
+    coalesce(sum(n) filter (where bits & bit <> 0 and bits & before = 0), 0)::bigint as removed, coalesce(sum(n) filter (where bits & bit <> 0 and bits & before <> 0), 0)::bigint as redundant,
+    coalesce(sum(n) filter (where bits = bit), 0)::bigint as unique_fails, coalesce(sum(good) filter (where bits & bit <> 0 and bits & before = 0), 0)::bigint as good_lost,
+    coalesce(sum(toxic) filter (where bits & bit <> 0 and bits & before = 0), 0)::bigint as toxic_lost
+  from cell, step group by all)
+select * exclude (bit), (sum(removed) over (partition by part, bit))::bigint as shapley from counted
+"""
+
+LETTER_WORDS = r"[^\x00-\x40\x5B-\x60\x7B-\x7F]+"
+OP13 = rf"""
+with d as (select coalesce(lang, '') as lang, coalesce(source, '') as source, row_number() over () as r, regexp_extract_all({LOWER_SQL}, '{LETTER_WORDS}') as words from documents),
+c as (select lang, source, term, count(*) as n, count(distinct r) as docs from (select lang, source, r, unnest(words) as term from d) group by all),
+kept as (select lang, term, sum(n) as n_lang from c group by lang, term having sum(docs) >= 30),
+size as (select lang, count(*) as v, sum(n_lang) as total_lang from kept group by lang),
+total as (select lang, source, sum(n) as total from c join kept using (lang, term) group by lang, source),
+g as (select lang, source, coalesce(v, 0) as v, coalesce(total_lang, 0) as total_lang, coalesce(total, 0) as total
+  from (select distinct lang, source from d) left join size using (lang) left join total using (lang, source)),
+grid as (select g.lang, g.source, term, coalesce(c.n, 0) as n, 1 + (1000000000::hugeint * (coalesce(c.n, 0) + 5)) // (total + 5 * v) as p, 1 + (1000000000::hugeint * (n_lang + 5)) // (total_lang + 5 * v) as q
+  from g join kept using (lang) left join c using (lang, source, term)),
+pair as (select a.lang, a.source, 'pair' as part, b.source as item, coalesce(sum(abs(x.p - y.p)), 0)::bigint as value
+  from g a join g b on a.lang = b.lang and a.source <> b.source left join grid x on x.lang = a.lang and x.source = a.source
+  left join grid y on y.lang = b.lang and y.source = b.source and y.term = x.term group by all),
+term as (select lang, source, 'term' as part, term as item, (p - q)::bigint as value from grid where n > 0 and p > q),
+placed as (select *, row_number() over (partition by lang, source, part order by value desc, item)::int as rank from (select * from pair union all select * from term))
+select * from placed where part = 'pair' or rank <= 50
+"""
+
+ORACLES = {
+    "op4_substring_dedup": OP4,
+    "op6_decontamination": OP6,
+    "op9_jaccard_join": OP9,
+    "op10_warc": OP10,
+    "op11_threshold_search": OP11,
+    "op12_filter_audit": OP12,
+    "op13_source_divergence": OP13,
+}

@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..ship import ship
-from . import ann, byte_bpe, decontaminate, html_extract, jaccard_join, pii, sharding, substring_dedup, toxicity, warc
+from . import ann, byte_bpe, decontaminate, divergence, filter_audit, html_extract, jaccard_join, pii, sharding, substring_dedup, threshold_search, toxicity, warc
 from .common import new_path
 from .oracles import ORACLES
 
@@ -72,6 +72,19 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.read(spark, path, with_payload=False).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+def op11_threshold_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings")
+    return threshold_search.search(vectors, vectors.where("vec_id % 50 = 0"), 5)
+
+
+def op12_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_audit.audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op13_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.diverge(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_ann": op1_ann,
     "op2_sharding": op2_sharding,
@@ -83,6 +96,9 @@ QUERIES = {
     "op8_byte_bpe": op8_byte_bpe,
     "op9_jaccard_join": op9_jaccard_join,
     "op10_warc": op10_warc,
+    "op11_threshold_search": op11_threshold_search,
+    "op12_filter_audit": op12_filter_audit,
+    "op13_source_divergence": op13_source_divergence,
 }
 
 __all__ = ["ORACLES", "QUERIES"]
