@@ -9,6 +9,9 @@ from ..functions.scalars import basename, coupling_degree
 from ..schemas import MAX_ITEMS_PER_CHANGESET, MIN_COUPLING_DEGREE, MIN_COUPLINGS
 from .summary import CHANGESET
 
+#: Letters of the substrings under which keys of components are found.
+GRAM = 8
+
 
 def small_changesets(items: DataFrame, most: int = MAX_ITEMS_PER_CHANGESET) -> DataFrame:
     """Items of changesets with at most ``most`` items, counted before any filter. This also bounds the pairs of one changeset."""
@@ -44,13 +47,31 @@ def with_latest_paths(coupled: DataFrame, paths: DataFrame) -> DataFrame:
     return coupled.join(p(1), ["repo_id", "item1"]).join(p(2), ["repo_id", "item2"])
 
 
-def components_of(paths: DataFrame, mapping: DataFrame) -> DataFrame:
+def _grams(text: Column, length: Column | int) -> Column:
+    """The distinct substrings of a length; none of a shorter text."""
+    length = F.lit(length) if isinstance(length, int) else length
+    starts = F.when(F.length(text) >= length, F.sequence(F.lit(1), F.length(text) - length + 1)).otherwise(F.expr("cast(array() as array<int>)"))
+    return F.array_distinct(F.transform(starts, lambda i: F.substr(text, i, length)))
+
+
+def components_of(paths: DataFrame, mapping: DataFrame, gram: int = GRAM) -> DataFrame:
     """Adds ``component``: of the mapping's keys that the lower-cased path contains, the longest one's value; null without one.
 
-    Containment has no equality to join on. The mapping is a hand-written table; it is compared with distinct paths only.
+    Each key stands under one of its substrings of ``gram`` letters, the one that fewest keys have (a shorter key under itself), and is met
+    by equality with the substrings of a path; only such pairs are tested. Keys that begin alike so stand under what tells them apart.
     """
-    distinct = paths.select("server_path").distinct()
-    found = distinct.join(mapping, F.lower("server_path").contains(F.lower("key"))).groupBy("server_path").agg(F.max_by("value", F.struct(F.length("key"), "key")).alias("component"))
+    keys = mapping.where("key is not null").select("key", F.lower("key").alias("_key"), "value").distinct()
+    keys = keys.withColumn("_n", F.least(F.length("_key"), F.lit(gram)))
+    in_keys = keys.select("_key", F.explode(_grams(F.col("_key"), F.col("_n"))).alias("_gram"))
+    held = in_keys.groupBy("_gram").agg(F.countDistinct("_key").alias("_keys"))
+    rarest = in_keys.join(held, "_gram").groupBy("_key").agg(F.min(F.struct("_keys", "_gram"))["_gram"].alias("_gram"))
+    index = keys.join(rarest, "_key").select("_gram", "_key", "key", "value")
+
+    lengths = [r[0] for r in keys.select("_n").distinct().collect()]  # at most gram + 1 numbers
+    distinct = paths.select("server_path").distinct().withColumn("_path", F.lower("server_path"))
+    every = F.flatten(F.array(*[_grams(F.col("_path"), n) for n in sorted(lengths)])) if lengths else F.expr("cast(array() as array<string>)")
+    met = distinct.select("server_path", "_path", F.explode(every).alias("_gram")).join(index, "_gram").where(F.col("_path").contains(F.col("_key")))
+    found = met.groupBy("server_path").agg(F.max_by("value", F.struct(F.length("key"), "key")).alias("component"))
     return paths.join(found, "server_path", "left")
 
 

@@ -39,10 +39,10 @@ def artifacts(items: DataFrame, sets: DataFrame, alias: DataFrame | None = None,
     )
 
 
-def latest_paths(items: DataFrame, sets: DataFrame) -> DataFrame:
-    """repo_id, file_id, server_path: the path of each file's latest item, over all changesets."""
-    rows = items.join(sets.select(*CHANGESET, "date"), CHANGESET)
-    return rows.groupBy(*FILE).agg(F.max_by("server_path", F.struct("date", "changeset_id", "item_idx")).alias("server_path"))
+def latest_paths(items: DataFrame, sets: DataFrame, by: str = "date") -> DataFrame:
+    """repo_id, file_id, server_path: the path of each file's latest item, over all changesets, which are in the order of ``by``, then the id."""
+    rows = items.join(sets.select(*CHANGESET, by), CHANGESET)
+    return rows.groupBy(*FILE).agg(F.max_by("server_path", F.struct(by, "changeset_id", "item_idx")).alias("server_path"))
 
 
 def with_lines(files: DataFrame, loc: DataFrame) -> DataFrame:

@@ -11,10 +11,18 @@ NOT_CLASSIFIED = "NOT_CLASSIFIED"
 
 
 def with_team(sets: DataFrame, teams: DataFrame) -> DataFrame:
-    """Adds ``team``: the committer's team on the day (developer, team, valid_from, valid_to; null ends are open), or NOT_CLASSIFIED."""
-    t = teams.select(F.col("developer").alias("_dev"), F.col("team").alias("_team"), "valid_from", "valid_to")
-    at = (F.col("committer") == F.col("_dev")) & (F.col("valid_from").isNull() | (F.col("date") >= F.col("valid_from"))) & (F.col("valid_to").isNull() | (F.col("date") < F.col("valid_to")))
-    return sets.join(t, at, "left").withColumn("team", F.coalesce("_team", F.lit(NOT_CLASSIFIED))).drop("_dev", "_team", "valid_from", "valid_to")
+    """Adds ``team``: the committer's team on the day (developer, team, valid_from, valid_to; null ends are open), or NOT_CLASSIFIED.
+
+    One row a changeset: of intervals that overlap the one that began last counts, of those that began together the smaller team's. A
+    developer's intervals, as many as the changes of team of one person, come as one array, so changesets meet by equality of the developer
+    alone: one who made a third of them is split like any hot key of a join.
+    """
+    spell = F.struct(F.col("valid_from").cast("timestamp").alias("begins"), F.col("team").alias("name"), F.col("valid_to").cast("timestamp").alias("ends"))
+    spells = teams.where("developer is not null").groupBy(F.col("developer").alias("committer")).agg(F.collect_set(spell).alias("_spells"))
+    at = F.filter("_spells", lambda s: (s["begins"].isNull() | (F.col("date") >= s["begins"])) & (s["ends"].isNull() | (F.col("date") < s["ends"])))
+    last = F.array_max(F.transform(at, lambda s: s["begins"]))
+    names = F.transform(F.filter(at, lambda s: s["begins"].eqNullSafe(last)), lambda s: s["name"])
+    return sets.join(spells, "committer", "left").withColumn("team", F.coalesce(F.array_min(names), F.lit(NOT_CLASSIFIED))).select(*[c for c in sets.columns if c != "team"], "team")
 
 
 def commits_per_team(items: DataFrame, sets: DataFrame) -> DataFrame:

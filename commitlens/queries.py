@@ -22,7 +22,7 @@ from .operators import summary as S
 from .operators import teams as T
 from .operators import tree
 from .plans import analyses as A
-from .plans.sync import sync_git
+from .plans.sync import sync_git, sync_svn
 from .plans.testdata import Tables, with_views
 from .schemas import DELETE, EDIT, RENAME
 from .sources import files, logs
@@ -223,7 +223,7 @@ def e15_neighbourhood(t: Tables) -> DataFrame:
 register_sql("e15_neighbourhood", COUPLED.format(key="folder_id", where=""), "select * from coupled where couplings >= 1 and degree >= 0 and 5 in (item1, item2)", "file", "change_item")
 
 
-@query("select path as path, doc_id as revision, len(list_filter(string_split(c, chr(10)), lambda x: regexp_full_match(x, '\\s*')))::int as blanks, 0 as comments, len(list_filter(string_split(c, chr(10)), lambda x: not regexp_full_match(x, '\\s*')))::int as code, min_ as space_min, max_ as space_max, round(mean_, 6) as space_mean, round(std_, 6) as space_stddev, sum_ as space_total from (select source as path, doc_id, regexp_replace(text, '\\r\\n?', chr(10), 'g') as c from documents) d left join (select doc_id as k, min(v) as min_, max(v) as max_, avg(v) as mean_, stddev_pop(v) as std_, sum(v)::bigint as sum_ from (select doc_id, (length(lead_) - length(replace(lead_, chr(9), ''))) + ((length(replace(lead_, chr(9), ''))) // 4) as v from (select doc_id, regexp_extract(line, '^[ \\t]*') as lead_, line from (select doc_id, unnest(string_split(regexp_replace(text, '\\r\\n?', chr(10), 'g'), chr(10))) as line from documents)) where not regexp_full_match(line, '\\s*')) group by doc_id) on k = doc_id")
+@query("select path as path, doc_id as revision, case when text <> '' then len(list_filter(string_split(c, chr(10)), lambda x: regexp_full_match(x, '\\s*'))) else 0 end::int as blanks, 0 as comments, len(list_filter(string_split(c, chr(10)), lambda x: not regexp_full_match(x, '\\s*')))::int as code, min_ as space_min, max_ as space_max, round(mean_, 6) as space_mean, round(std_, 6) as space_stddev, sum_ as space_total from (select source as path, doc_id, text, regexp_replace(regexp_replace(text, '\\r\\n?', chr(10), 'g'), '\\n$', '') as c from documents) d left join (select doc_id as k, min(v) as min_, max(v) as max_, avg(v) as mean_, stddev_pop(v) as std_, sum(v)::bigint as sum_ from (select doc_id, (length(lead_) - length(replace(lead_, chr(9), ''))) + ((length(replace(lead_, chr(9), ''))) // 4) as v from (select doc_id, regexp_extract(line, '^[ \\t]*') as lead_, line from (select doc_id, unnest(string_split(regexp_replace(regexp_replace(text, '\\r\\n?', chr(10), 'g'), '\\n$', ''), chr(10))) as line from documents)) where not regexp_full_match(line, '\\s*')) group by doc_id) on k = doc_id")
 def e8_trend(t: Tables) -> DataFrame:
     revisions = t.base("documents").select(F.col("source").alias("path"), F.col("doc_id").alias("revision"), F.col("text").alias("content"))
     return rounded(A.trend(revisions, F.lit(None).cast("string")), "space_mean", "space_stddev")
@@ -712,8 +712,8 @@ def small(t: Tables) -> tuple[DataFrame, DataFrame]:
     return t.change_set, items
 
 
-def _git_dump(t: Tables, path: str) -> None:
-    s, items = small(t)
+def _git_dump(t: Tables, path: str, s: DataFrame | None = None, items: DataFrame | None = None) -> None:
+    s, items = small(t) if s is None or items is None else (s, items)
     status = F.when(F.col("kind") == RENAME, F.concat_ws("\t", F.lit("R100"), "from_server_path", "server_path")).otherwise(F.concat_ws("\t", F.element_at(F.create_map(F.lit(2), F.lit("A"), F.lit(4), F.lit("M"), F.lit(32), F.lit("D")), F.col("kind")), "server_path"))
     lines = items.groupBy("changeset_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("item_idx", status.alias("line")))), lambda x: x["line"]), "\n").alias("lines"))
     parents = t.commit_edge.groupBy(F.col("child").alias("changeset_id")).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("parent_idx", "parent"))), lambda x: x["parent"].cast("string")), " ").alias("parents"))
@@ -748,27 +748,22 @@ def s1_git_log_edges(t: Tables) -> DataFrame:
 
 @query(ITEMS, "file", "change_item")
 def s3_svn_log(t: Tables) -> DataFrame:
-    s, items = small(t)
-    action = F.element_at(F.create_map(F.lit(2), F.lit("A"), F.lit(4), F.lit("M"), F.lit(32), F.lit("D"), F.lit(16), F.lit("R")), F.col("kind"))
-    source = F.when(F.col("from_server_path").isNotNull(), F.concat(F.lit(' copyfrom-path="'), "from_server_path", F.lit('" copyfrom-rev="1"'))).otherwise("")
-    entry = F.concat(F.lit('<path kind="file" action="'), action, F.lit('"'), source, F.lit(">"), "server_path", F.lit("</path>"))
-    paths = items.groupBy("changeset_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("item_idx", entry.alias("x")))), lambda x: x["x"]), "").alias("paths"))
-    rows = s.join(paths, "changeset_id").select("changeset_id", F.concat(F.lit('<logentry revision="'), F.col("changeset_id").cast("string"), F.lit('"><author>'), "committer", F.lit("</author><date>"), F.date_format("date", "yyyy-MM-dd'T'HH:mm:ss'Z'"), F.lit("</date><paths>"), "paths", F.lit("</paths><msg>"), "comment", F.lit("</msg></logentry>")).alias("value"))
-    path = _out(t, "svnlog")
-    _documents(rows, "log", F.expr(f"changeset_id div {PER_DOCUMENT}")).write.partitionBy("file").text(path)
-    return logs.svn_log(t.spark, path, "main")[1].drop("repo_id")
+    return logs.svn_log(t.spark, _svn_dump(t), "main")[1].drop("repo_id")
 
 
-@query("select changeset_id::varchar as changeset_id, (item_idx - 1)::int as item_idx, file_id::varchar as file_id, kind, server_path from change_item", "file", "change_item")
+@query("select changeset_id::varchar as changeset_id, (item_idx - 1)::int as item_idx, file_id::varchar as file_id, kind, server_path, cs_ord from change_item join (select changeset_id, row_number() over (order by changeset_id) - 1 as cs_ord from change_set) using (changeset_id)", "file", "change_set", "change_item")
 def s4_history_json(t: Tables) -> DataFrame:
+    """Many documents, the newest first, with the order of all changesets."""
     s, items = small(t)
     item = F.struct(F.col("file_id").cast("string").alias("Id"), F.col("kind").alias("Kind"), F.col("server_path").alias("ServerPath"))
     lists = items.groupBy("changeset_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("item_idx", item.alias("i")))), lambda x: x["i"]).alias("Items"))
     one = F.struct(F.col("changeset_id").cast("string").alias("Id"), F.col("committer").alias("Committer"), F.date_format("date", "yyyy-MM-dd'T'HH:mm:ss'Z'").alias("Date"), F.col("comment").alias("Comment"), "Items")
-    docs = s.join(lists, "changeset_id").groupBy(F.expr(f"changeset_id div {PER_DOCUMENT}").alias("file")).agg(F.collect_list(one).alias("ChangeSets"))
+    newest_first = F.sort_array(F.collect_list(F.struct((-F.col("changeset_id")).alias("n"), one.alias("one"))))
+    docs = s.join(lists, "changeset_id", "left").groupBy(F.expr(f"changeset_id div {PER_DOCUMENT}").alias("file")).agg(F.transform(newest_first, lambda x: x["one"]).alias("ChangeSets"))
     path = _out(t, "history")
     docs.write.partitionBy("file").json(path)
-    return files.history_json(t.spark, path, "main")[1].select("changeset_id", "item_idx", "file_id", "kind", "server_path")
+    found, items = files.history_json(t.spark, path, "main", -F.regexp_extract("file", "file=([0-9]+)", 1).cast("long"))
+    return items.join(found.select("changeset_id", "cs_ord"), "changeset_id").select("changeset_id", "item_idx", "file_id", "kind", "server_path", "cs_ord")
 
 
 @query("select path_key, developer, lines from contribution", "contribution")
@@ -868,18 +863,25 @@ def s11_file_revisions(t: Tables) -> DataFrame:
 
 
 #: Texts with block comments over several lines, as both engines make them.
-COMMENTED = "replace(replace(text, '. ', '.\n/* '), ', ', ' */\n')"
+COMMENTED = "replace(replace(text, '. ', '. // \n/* '), ', ', ' */\n')"
+
+
+# C#, a whole text at once: comments become one mark a line, strings one letter. Without verbatim strings, which the texts do not have.
+LEXED = r"""with x as (select doc_id, regexp_replace(regexp_replace({text}, '\r\n?', chr(10), 'g'), '\n$', '') as x from documents where text <> ''),
+  part as (select doc_id, x, regexp_extract_all(x, '{p}') as toks, string_split_regex(x, '{p}') as gaps from x),
+  marked as (select doc_id, x, array_to_string(list_transform(range(1, len(gaps) + 1), lambda i: concat(gaps[i],
+    case when starts_with(toks[i], '/') then regexp_replace(toks[i], '[^\n]+', chr(1), 'g') when toks[i] is null then '' else '"' end)), '') as m from part),
+  line as (select doc_id, unnest(string_split(x, chr(10))) as line, unnest(string_split(m, chr(10))) as mark from marked),
+  kind as (select doc_id, case when regexp_matches(line, '^[ \t\n\v\f\r]*$') then 'b' when regexp_matches(replace(mark, chr(1), ''), '^[ \t\n\v\f\r]*$') then 'c' else '.' end as kind from line)
+  select d.doc_id, count(*) filter (where kind = 'b')::int as blanks, count(*) filter (where kind = 'c')::int as comments, count(*) filter (where kind = '.')::int as code
+  from documents d left join kind k on k.doc_id = d.doc_id group by d.doc_id""".replace(
+    "{p}", r'/\*(?:[^*]|\*+[^*/])*\*+/|/\*[\s\S]*|"(?:\\.|[^"\\\n])*"|''(?:\\[^''\n]+|[^''\\\n])''|//[^\n]*'
+)
 
 
-@query(
-    f"""select doc_id, sum(blank)::int as blanks, sum(comment)::int as comments, sum(1 - blank - comment)::int as code from (
-      select doc_id, blank, case when blank = 0 and (above > 0 or starts_with(ltrim(line), '//') or starts_with(ltrim(line), '/*')) then 1 else 0 end as comment from (
-        select doc_id, line, regexp_matches(line, '^[ \t\n\v\f\r]*$')::int as blank, coalesce(sum(step) over (partition by doc_id order by i rows between unbounded preceding and 1 preceding), 0) as above from (
-          select doc_id, i, line, (length(line) - length(replace(line, '/*', ''))) // 2 - (length(line) - length(replace(line, '*/', ''))) // 2 as step from (
-            select doc_id, unnest(range(len(x))) as i, unnest(x) as line from (select doc_id, string_split(regexp_replace({COMMENTED}, '\r\n?', chr(10), 'g'), chr(10)) as x from documents))))) group by 1"""
-)
+@query(LEXED.replace("{text}", COMMENTED))
 def m1_line_counts(t: Tables) -> DataFrame:
-    """Blank, comment and code lines of texts taken as C#."""
+    """Blank, comment and code lines of texts taken as C#, with comments over several lines and in the middle of them."""
     docs = t.base("documents").select("doc_id", F.expr(COMMENTED).alias("content"))
     return linemetrics.count_lines(docs, ["doc_id"], F.lit("C#"))
 
@@ -944,10 +946,122 @@ def e18_sync(t: Tables) -> DataFrame:
 
 
 DUMPED = """, moved as (select changeset_id::varchar as changeset_id, (item_idx - 1)::int as item_idx, case when kind = 16 and from_server_path is null then 4 else kind end as kind, server_path, from_server_path from change_item)"""
-ORACLES["e18_sync"] = (
-    "with recursive " + with_views("", "file", "change_set", "change_item").rstrip()[5:] + DUMPED + RULES
-    + ", dated as (select three.*, epoch(s.date)::bigint as ord from three join change_set s on s.changeset_id::varchar = three.changeset_id)" + lives("dated")
+ORDERED = """, down as (select o_orderkey as node, 0 as depth from orders where o_orderkey not in (select child from commit_edge) union select e.child, d.depth + 1 from down d join commit_edge e on e.parent = d.node),
+  level as (select node, max(depth) as level from down group by node),
+  ordered as (select changeset_id::varchar as changeset_id, row_number() over (order by level, date, changeset_id::varchar) - 1 as ord from change_set join level on node = changeset_id)"""
+SYNCED = DUMPED + RULES + ORDERED + ", dated as (select three.*, ord from three join ordered using (changeset_id))" + lives("dated")
+
+
+def _recursive(select: str) -> str:
+    return "with recursive " + with_views("", "file", "change_set", "change_item", "commit_edge").rstrip()[5:] + select
+
+
+ORACLES["e18_sync"] = _recursive(
+    SYNCED
     + """, latest as (select file_id, arg_max(server_path, (ord, changeset_id, item_idx)) as server_path from known group by file_id)
     select changeset_id, item_idx, kind, server_path, file_id from known
     where kind <> 32 and file_id in (select file_id from latest where server_path in (select server_path from file where code > 10))"""
+)
+
+
+@query()
+def g4_topological_order(t: Tables) -> DataFrame:
+    """Numbers of changesets whose dates are in no order."""
+    return G.topological_order(t.change_set.select("repo_id", F.col("changeset_id").cast("string").alias("changeset_id"), "date"), t.commit_edge.select("repo_id", F.col("child").cast("string").alias("child"), F.col("parent").cast("string").alias("parent"))).drop("repo_id")
+
+
+ORACLES["g4_topological_order"] = _recursive(ORDERED + " select changeset_id, ord as cs_ord from ordered")
+
+
+@query()
+def e18_sync_repositories(t: Tables) -> DataFrame:
+    """Two repositories in one place, the second without renames and so without warnings; the first is rebuilt once more after it."""
+    first, second, out = _out(t, "gitlog"), _out(t, "gitlog"), _out(t, "sync")
+    _git_dump(t, first)
+    edits = t.change_item.where("kind = 4 and changeset_id % 3 = 0").withColumn("from_server_path", F.lit(None).cast("string"))
+    _git_dump(t, second, t.change_set.where("changeset_id % 3 = 0"), edits)
+    for path, name in ((first, "main"), (second, "007"), (first, "main")):
+        tables = sync_git(t.spark, path, name, out, work_item_pattern=TICKET)
+    both = {name: files.read_table(t.spark, f"{out}/{name}", df.schema) for name, df in tables.items()}
+    items = both["change_item"].groupBy("repo_id").agg(F.count(F.lit(1)).alias("items"), F.countDistinct("file_id").alias("files"))
+    n = lambda name: both[name].groupBy("repo_id").agg(F.count(F.lit(1)).alias(name))
+    out_ = items.join(n("change_set"), "repo_id").join(n("commit_edge"), "repo_id", "left").join(n("identity_warning"), "repo_id", "left")
+    return out_.na.fill(0, ["commit_edge", "identity_warning"])
+
+
+ORACLES["e18_sync_repositories"] = _recursive(
+    SYNCED
+    + """ select 'main' as repo_id, count(*) as items, count(distinct file_id) as files, (select count(*) from change_set) as change_set,
+      (select count(*) from commit_edge) as commit_edge, count(*) filter (where stopped) as identity_warning from known
+    union all select '007', count(*), count(distinct server_path), (select count(*) from change_set where changeset_id % 3 = 0),
+      (select count(*) from commit_edge where child % 3 = 0), 0 from change_item where kind = 4 and changeset_id % 3 = 0"""
+)
+
+
+def _svn_dump(t: Tables) -> str:
+    s, items = small(t)
+    action = F.element_at(F.create_map(F.lit(2), F.lit("A"), F.lit(4), F.lit("M"), F.lit(32), F.lit("D"), F.lit(16), F.lit("R")), F.col("kind"))
+    source = F.when(F.col("from_server_path").isNotNull(), F.concat(F.lit(' copyfrom-path="'), "from_server_path", F.lit('" copyfrom-rev="1"'))).otherwise("")
+    entry = F.concat(F.lit('<path kind="file" action="'), action, F.lit('"'), source, F.lit(">"), "server_path", F.lit("</path>"))
+    paths = items.groupBy("changeset_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("item_idx", entry.alias("x")))), lambda x: x["x"]), "").alias("paths"))
+    rows = s.join(paths, "changeset_id").select("changeset_id", F.concat(F.lit('<logentry revision="'), F.col("changeset_id").cast("string"), F.lit('"><author>'), "committer", F.lit("</author><date>"), F.date_format("date", "yyyy-MM-dd'T'HH:mm:ss'Z'"), F.lit("</date><paths>"), "paths", F.lit("</paths><msg>"), "comment", F.lit("</msg></logentry>")).alias("value"))
+    path = _out(t, "svnlog")
+    _documents(rows, "log", F.expr(f"changeset_id div {PER_DOCUMENT}")).write.partitionBy("file").text(path)
+    return path
+
+
+@query()
+def e18_sync_svn(t: Tables) -> DataFrame:
+    """From an XML log, with work and line counts: what the three tables hold for each file."""
+    blame = t.base("lineitem").join(t.file, F.col("l_partkey") == F.col("file_id")).join(t.base("supplier"), F.col("l_suppkey") == F.col("s_suppkey"))
+    blame = blame.select("server_path", F.concat(F.hex("l_orderkey"), F.lit("\t(  "), "s_name", F.lit("\t2020-01-01 10:00:00 +0100\t1)int x;")).alias("line"))
+    tables = sync_svn(t.spark, _svn_dump(t), "main", _out(t, "sync"), t.file.where("code > 10"), TICKET, blame, t.loc)
+    items = tables["change_item"].groupBy(F.lower("server_path").alias("path_key")).agg(F.count(F.lit(1)).alias("items"), F.countDistinct("file_id").alias("ids"))
+    work = tables["contribution"].groupBy("path_key").agg(F.sum("lines").alias("lines"), F.count(F.lit(1)).alias("developers"))
+    return items.join(work, "path_key", "left").join(tables["loc_metric"].select("path_key", "code"), "path_key", "left")
+
+
+ORACLES["e18_sync_svn"] = _recursive(
+    DUMPED + RULES + ", dated as (select *, changeset_id::bigint as ord from three)" + lives("dated")
+    + """, item as (select lower(server_path) as path_key, count(*) as items, count(distinct file_id) as ids from known where file_id not in (select file_id from known where kind = 32) group by 1),
+    work as (select lower(server_path) as path_key, count(*) as lines, count(distinct s_name) as developers from lineitem join file on l_partkey = file_id join supplier on l_suppkey = s_suppkey where code > 10 group by 1)
+    select item.*, lines, developers, l.code from item left join work using (path_key) left join (select lower(server_path) as path_key, code from file where file_id % 10 <> 3) l using (path_key)"""
 )
+
+
+@query("select changeset_id::varchar as changeset_id, regexp_extract(server_path, '[^/]+$') as file_id, (row_number() over (partition by changeset_id order by regexp_extract(server_path, '[^/]+$'), item_idx) - 1)::int as item_idx, case when kind = 16 and from_server_path is null then 4 else kind end as kind, server_path, from_server_path from change_item", "file", "change_item")
+def s2_file_logs(t: Tables) -> DataFrame:
+    """One log per file, put together again."""
+    s, items = small(t)
+    status = F.when(F.col("kind") == RENAME, F.concat_ws("\t", F.lit("R100"), "from_server_path", "server_path")).otherwise(F.concat_ws("\t", F.element_at(F.create_map(F.lit(2), F.lit("A"), F.lit(4), F.lit("M"), F.lit(32), F.lit("D")), F.col("kind")), "server_path"))
+    own = items.withColumn("name", X.basename(F.col("server_path"))).groupBy("changeset_id", "name").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("item_idx", status.alias("line")))), lambda x: x["line"]), "\r\n").alias("lines"))
+    text = F.concat_ws("\r\n", F.lit("START_HEADER"), F.col("changeset_id").cast("string"), "committer", F.concat(F.date_format("date", "yyyy-MM-dd'T'HH:mm:ss"), F.lit("+00:00")), F.lit(""), "comment", F.lit("END_HEADER"), "lines")
+    each = own.join(s, "changeset_id").groupBy("name").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct((-F.col("changeset_id")).alias("n"), text.alias("text")))), lambda x: x["text"]), "\r\n\r\n").alias("value"))
+    path = _out(t, "filelogs")
+    each.write.partitionBy("name").text(path)
+    return logs.git_file_logs(t.spark, path, "main", TICKET, F.regexp_extract("file", "name=([^/]+)", 1))[1].drop("repo_id")
+
+
+@query("select changeset_id, coalesce(arg_min(x.team, (-epoch(x.valid_from), x.team)), 'NOT_CLASSIFIED') as team from change_set s left join (select developer, team, valid_from, valid_to from team union all select developer, concat('guest of ', team), timestamp '1996-01-01 00:00:00', timestamp '1998-01-01 00:00:00' from team where team <> 'ASIA') x on x.developer = s.committer and s.date >= x.valid_from and (x.valid_to is null or s.date < x.valid_to) group by changeset_id", "change_set", "team")
+def p13_team_at_date(t: Tables) -> DataFrame:
+    """Intervals that overlap: one team a changeset."""
+    guests = t.team.where("team <> 'ASIA'").select("developer", F.concat(F.lit("guest of "), "team").alias("team"), F.expr("timestamp '1996-01-01 00:00:00' as valid_from"), F.expr("timestamp '1998-01-01 00:00:00' as valid_to"))
+    return T.with_team(t.change_set, t.team.unionByName(guests)).select("changeset_id", "team")
+
+
+@query("select file_id, count(*) as commits, count(distinct nullif(changeset_id % 250, 0)) as work_items from change_item where changeset_id % 250 < 200 and changeset_id in (select changeset_id from change_set) group by file_id having arg_max(kind, (changeset_id, item_idx)) <> 32", "file", "change_set", "change_item")
+def f12_monster_merges(t: Tables) -> DataFrame:
+    """Changesets with as many work items as their id says, up to 249; those with 200 and more do not count."""
+    many = t.change_set.withColumn("date", F.expr("timestamp '2000-01-01 00:00:00' + make_interval(0, 0, 0, 0, 0, 0, changeset_id)"))
+    many = many.withColumn("comment", F.expr("array_join(array_repeat(concat('PROJ-', changeset_id % 250), cast(changeset_id % 250 as int)), ' ')")).withColumn("work_items", X.work_items(F.col("comment"), TICKET))
+    found = S.artifacts(t.change_item, many.select("repo_id", "changeset_id", "committer", "date", "comment", "work_items"))
+    return found.select("file_id", "commits", "work_items")
+
+
+@query()
+def k5_named_export(t: Tables) -> DataFrame:
+    path = files.export(A.summary(t.change_item, sets(t), t.loc, as_of()).drop("repo_id"), _out(t, "exports"), "summary", "2003-01-01")
+    return t.spark.read.option("header", True).csv(path).select("server_path", "commits", "hotspot")
+
+
+ORACLES["k5_named_export"] = ORACLES["k4_csv_export"]

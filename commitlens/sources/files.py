@@ -5,7 +5,9 @@ from __future__ import annotations
 import re
 
 from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from ..functions.predicates import has_extension, is_kind
 from ..functions.scalars import LANGUAGES, path_key
@@ -14,10 +16,20 @@ from ..schemas import DELETE
 HISTORY = "ChangeSets array<struct<Id:string,Committer:string,Date:timestamp,Comment:string,Items:array<struct<Id:string,Kind:int,ServerPath:string,FromServerPath:string,LocalPath:string>>,WorkItems:array<struct<Id:string,Title:string,WorkItemTypeName:string>>>>"
 
 
-def history_json(spark: SparkSession, path: str, repo_id: str) -> tuple[DataFrame, DataFrame]:
-    """(change_set, change_item) of cached histories, newest changeset first."""
-    sets = spark.read.schema(HISTORY).option("multiLine", True).json(path).select(F.posexplode("ChangeSets").alias("pos", "c"))
-    out = sets.select(F.lit(repo_id).alias("repo_id"), F.col("c.Id").alias("changeset_id"), F.col("c.Committer").alias("committer"), F.col("c.Date").alias("date"), F.col("c.Comment").alias("comment"), F.transform("c.WorkItems", lambda w: w["Id"]).alias("work_items"), (-F.col("pos")).cast("long").alias("cs_ord"))
+def history_json(spark: SparkSession, path: str, repo_id: str, rank: Column | None = None) -> tuple[DataFrame, DataFrame]:
+    """(change_set, change_item) of cached histories, newest changeset first.
+
+    A history may be split over documents of one or several files: their order, newest first too, is that of ``rank``, by default the
+    file's path. A changeset's number counts those of all later documents and its place in its own, so each number is given once and 0 is the oldest.
+    """
+    docs = spark.read.schema(HISTORY).option("multiLine", True).option("recursiveFileLookup", True).json(path)
+    docs = docs.select("*", F.col("_metadata.file_path").alias("file")).select(F.col("file"), (F.col("file") if rank is None else rank).alias("rank"), F.coalesce("ChangeSets", F.expr("array()")).alias("sets"))
+    sizes = docs.groupBy("rank", "file").agg(F.sum(F.size("sets").cast("long")).alias("n"))  # one row a document
+    after = W.orderBy("rank", "file")
+    whole = W.orderBy(F.lit(0)).rowsBetween(W.unboundedPreceding, W.unboundedFollowing)
+    last = sizes.select("file", (F.sum("n").over(whole) - 1 - F.coalesce(F.sum("n").over(after.rowsBetween(W.unboundedPreceding, -1)), F.lit(0))).alias("last"))
+    sets = docs.select("file", F.posexplode("sets").alias("pos", "c")).join(last, "file").withColumn("cs_ord", F.col("last") - F.col("pos"))
+    out = sets.select(F.lit(repo_id).alias("repo_id"), F.col("c.Id").alias("changeset_id"), F.col("c.Committer").alias("committer"), F.col("c.Date").alias("date"), F.col("c.Comment").alias("comment"), F.transform("c.WorkItems", lambda w: w["Id"]).alias("work_items"), "cs_ord")
     items = sets.select(F.lit(repo_id).alias("repo_id"), F.col("c.Id").alias("changeset_id"), F.posexplode("c.Items").alias("item_idx", "i"))
     return out, items.select("repo_id", "changeset_id", "item_idx", F.col("i.Id").alias("file_id"), F.col("i.Kind").alias("kind"), F.col("i.ServerPath").alias("server_path"), F.col("i.FromServerPath").alias("from_server_path"))
 
@@ -74,9 +86,31 @@ def source_tree(spark: SparkSession, root: str, extensions: list[str] | None = N
     return (df if name is None else df.withColumn("path", name)).where(has_extension(F.col("path"), extensions))
 
 
-def write_table(df: DataFrame, path: str) -> None:
-    """Replaces a canonical table; repositories are partitions, so one of them can be read alone."""
-    df.write.mode("overwrite").partitionBy("repo_id").parquet(path)
+#: Characters that Spark writes as %XX in the name of a partition's folder.
+ESCAPED = "\"#%'*/:=?\\{[]^\x7f" + "".join(map(chr, range(1, 32)))
+
+
+def _partition(path: str, repo_id: str) -> str:
+    return f"{path.rstrip('/')}/repo_id=" + "".join(f"%{ord(c):02X}" if c in ESCAPED else c for c in repo_id)
+
+
+def write_table(df: DataFrame, path: str, repo_id: str | None = None) -> None:
+    """Replaces the rows of the repositories in ``df``, or of ``repo_id``, in a canonical table; other repositories stay.
+
+    Repositories are partitions. Rows are staged and take the old partition's place when all are written. A repository that has no rows
+    any more keeps an empty file with the table's schema.
+    """
+    if repo_id is not None:
+        df = df.where(F.col("repo_id") == repo_id)
+    df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("repo_id").parquet(path)
+    if repo_id is not None and not df.limit(1).count():
+        df.limit(0).drop("repo_id").write.mode("overwrite").parquet(_partition(path, repo_id))
+
+
+def read_table(spark: SparkSession, path: str, schema: StructType | str, repo_id: str | None = None) -> DataFrame:
+    """A canonical table with the given schema, which an empty one has, too; repository names stay text."""
+    df = spark.read.schema(schema).parquet(path)
+    return df if repo_id is None else df.where(F.col("repo_id") == repo_id)
 
 
 def csv_ready(df: DataFrame, digits: int = 3) -> DataFrame:
@@ -88,6 +122,19 @@ def write_csv(df: DataFrame, path: str, header: bool = True, digits: int = 3) ->
     csv_ready(df, digits).write.mode("overwrite").option("header", header).csv(path)
 
 
+#: Names of the exports.
+EXPORTS = {"couplings": "change_couplings.csv", "component_couplings": "classified_change_couplings.csv", "comments": "comments.csv", "summary": "summary-{date}.csv"}
+
+
+def export(df: DataFrame, folder: str, kind: str, date: str = "") -> str:
+    """Writes one of the named exports below the folder, the summary with its date (yyyy-MM-dd) in the name, and returns where."""
+    if kind not in EXPORTS or (kind == "summary" and not re.fullmatch(r"\d{4}-\d{2}-\d{2}", date)):
+        raise ValueError(f"no export {kind!r} of date {date!r}")
+    path = f"{folder.rstrip('/')}/{EXPORTS[kind].format(date=date)}"
+    write_csv(df, path)
+    return path
+
+
 def file_revisions(spark: SparkSession, path: str, change_item: DataFrame, change_set: DataFrame, revision: Column | None = None, name: Column | None = None) -> DataFrame:
     """(repo_id, path, revision, date, content): the exported revisions of files that are not deletes, for the trend.
 
