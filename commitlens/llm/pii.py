@@ -13,8 +13,10 @@ from ``min_support`` common documents on: of an entity found in fewer, each word
 fewer documents have no terms, and documents without the entity keep theirs.
 
 Counts are taken over all documents by aggregations that combine before they shuffle; a hot entity or term is one row of a
-partial sum per task. Pairs are formed only where the counts of entity and term alone do not yet rule a disclosure out: PMI is at
-most the term's information content. Joins are by term, by entity and by document; nothing is collected.
+partial sum per task. What a pair discloses follows from the sets of documents that hold each, so entities of one set are one group, told by their
+number and 128 bits of hashes of the documents, and so are terms: a directory that stands in four documents is one group of
+entities and one of terms, however long. Pairs of groups are formed only where the counts of both alone do not yet rule a
+disclosure out: PMI is at most the term's information content. Joins are by term, by group and by document; nothing is collected.
 
 Defined results: null texts are empty; a null id is kept and never joins another; rows that repeat an id with another text are
 told apart; repeated rows count as one document and get the same spans; an empty table gives no rows.
@@ -23,6 +25,7 @@ told apart; repeated rows count as one document and get the same spans; an empty
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .common import Scratch
@@ -39,6 +42,8 @@ PATTERNS = {
 }
 #: Cheap tests that every text with a match passes.
 NEEDS = {"email": "instr(text, '@') > 0", "ip": r"instr(text, '.') > 0 and text rlike '[0-9]\\.[0-9]'", "card": r"text rlike '[0-9][ -]?[0-9]'", "phone": "instr(text, '+') > 0"}
+#: A group of entities, or of terms, that the same documents hold: how many, and two sums of the documents' hashes.
+ENTITY, TERMS = ["n_entity", "e1", "e2"], ["n_term", "t1", "t2"]
 TERM = r"(?<!\p{L})\p{L}{4,}+"
 WORD, WORDS = "named_struct('start', s.b, 'end', s.e, 'value', s.m)", "array<struct<start:int,end:int,value:string>>"
 SPAN = "array<struct<start:int,rank:int,end:int,value:string>>"
@@ -132,31 +137,40 @@ def find(df: DataFrame, min_support: int = 3, generalise_at: float = 0.7, remove
 
     holding = base.where("held is not null").dropDuplicates(once).select(doc, "spans", "held")
     entities = scratch.save(holding.select("doc", F.explode("spans").alias("x")).select("doc", "x.rank", F.lower("x.value").alias("value")).distinct(), "entities")
-    with_entity = entities.groupBy("rank", "value").agg(F.count(F.lit(1)).alias("n_entity")).where(F.col("n_entity").between(min_support, n - 1))
-    entities = scratch.save(entities.join(with_entity, ["rank", "value"]), "frequent")
-    with_term = docs.dropDuplicates(once).select(F.explode(F.expr(terms_of("text"))).alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("n_term")).where(F.col("n_term") >= min_support)
+    seen_in = lambda c, name: [F.bit_xor(F.xxhash64(c, F.lit(seed))).alias(f"{name}{seed}") for seed in (1, 2)]
+    with_entity = entities.groupBy("rank", "value").agg(F.count(F.lit(1)).alias("n_entity"), *seen_in("doc", "e")).where(F.col("n_entity").between(min_support, n - 1))
+    groups = scratch.save(entities.join(with_entity, ["rank", "value"]).select("doc", *ENTITY).distinct(), "groups")
+    with_term = docs.dropDuplicates(once).select(doc, F.explode(F.expr(terms_of("text"))).alias("term")).groupBy("term")
+    with_term = with_term.agg(F.count(F.lit(1)).alias("n_term"), *seen_in("doc", "t")).where(F.col("n_term") >= min_support)
 
     # distinct pairs of each document, but for those whose own counts rule them out (with room for rounding)
     open_to = lambda n_entity: log_n - F.ln("n_term") >= generalise_at * (log_n - F.ln(n_entity)) - 1e-9
-    most = entities.groupBy("doc").agg(F.max("n_entity").alias("most"))
+    most = groups.groupBy("doc").agg(F.max("n_entity").alias("most"))
     words = holding.join(most, "doc").select("doc", "most", F.explode(F.expr(terms_of("held"))).alias("term"))
-    words = words.join(with_term, "term").where(open_to("most")).drop("most")
-    pairs = scratch.save(words.join(entities, "doc").where(open_to("n_entity")).select("doc", "rank", "value", "term", "n_entity", "n_term"), "pairs")
+    words = scratch.save(words.join(with_term, "term").where(open_to("most")).select("doc", "term", *TERMS), "words")
+    pairs = scratch.save(words.select("doc", *TERMS).distinct().join(groups, "doc").where(open_to("n_entity")), "pairs")
 
-    together = pairs.groupBy("rank", "value", "term", "n_entity", "n_term").agg(F.count(F.lit(1)).alias("n_both")).where(F.col("n_both") >= min_support)
+    together = pairs.groupBy(*ENTITY, *TERMS).agg(F.count(F.lit(1)).alias("n_both")).where(F.col("n_both") >= min_support)
     pmi = F.ln(F.col("n_both") * F.lit(float(max(n, 1))) / (F.col("n_entity") * F.col("n_term")))
     content = F.ln(F.lit(float(max(n, 1))) / F.col("n_entity"))
     telling = (
         together.withColumn("disclosure", pmi / content)
         .where(F.col("disclosure") >= generalise_at)
-        .select("rank", "value", "term", F.when(F.col("disclosure") >= remove_at, len(KINDS)).otherwise(len(KINDS) + 1).alias("action"))
+        .select(*ENTITY, *TERMS, F.when(F.col("disclosure") >= remove_at, len(KINDS)).otherwise(len(KINDS) + 1).alias("action"))
     )
+    told = pairs.join(scratch.save(telling, "telling"), [*ENTITY, *TERMS]).groupBy("doc", *TERMS).agg(F.min("action").alias("action"))
+    marks = scratch.save(words.join(told, ["doc", *TERMS]).select("doc", "term", "action"), "marks")
     # all places of the telling terms in the documents that hold the entity, outside base spans
-    marks = scratch.save(pairs.join(scratch.save(telling, "telling"), ["rank", "value", "term"]).groupBy("doc", "term").agg(F.min("action").alias("action")), "marks")
-    found = holding.join(marks.select("doc").distinct(), "doc").select("doc", "spans", F.explode(F.expr(placed("held", TERM, WORD, WORDS))).alias("w"))
-    found = found.select("doc", "spans", "w.start", "w.end", F.lower("w.value").alias("term")).join(marks, ["doc", "term"])
-    outside = found.where(~F.exists("spans", lambda s: (s["start"] < F.col("end")) & (F.col("start") < s["end"])))
-    extra = outside.groupBy("doc").agg(F.collect_list(F.struct("start", F.col("action").cast("int").alias("rank"), "end")).alias("extra"))  # bounded by the text's length
+    marked = holding.join(marks.select("doc").distinct(), "doc")
+    found = marked.select("doc", F.explode(F.expr(placed("held", TERM, WORD, WORDS))).alias("w"))
+    found = found.select("doc", "w.start", "w.end", F.lower("w.value").alias("term")).join(marks, ["doc", "term"]).select("doc", "start", "end", F.col("action").cast("int").alias("action"))
+    spans = marked.select("doc", F.explode("spans").alias("s")).select("doc", "s.start", "s.end", F.lit(None).cast("int").alias("action"))
+    # a word is outside if all spans that begin no later have ended, and none begins before its end
+    no_span, upto = F.col("action").isNotNull(), (W.unboundedPreceding, W.currentRow)
+    ended = F.max(F.when(~no_span, F.col("end"))).over(W.partitionBy("doc").orderBy("start", no_span).rowsBetween(*upto))
+    begins = F.min(F.when(~no_span, F.col("start"))).over(W.partitionBy("doc").orderBy(F.desc("start"), no_span).rowsBetween(*upto))
+    outside = found.union(spans).select("*", ended.alias("ended"), begins.alias("begins")).where(no_span & (F.coalesce("ended", F.lit(0)) <= F.col("start")) & (F.coalesce("begins", F.col("end")) >= F.col("end")))
+    extra = outside.groupBy("doc").agg(F.collect_list(F.struct("start", F.col("action").alias("rank"), "end")).alias("extra"))  # bounded by the text's length
     extra = extra.select(F.col("doc.doc_id").alias("id"), F.col("doc.text_key").alias("key"), "extra")
     plain = F.expr("transform(spans, s -> named_struct('start', s.start, 'rank', s.rank, 'end', s.end))")
     both = base.drop("held").join(scratch.save(extra, "extra").hint("merge"), F.col("doc_id").eqNullSafe(F.col("id")) & (F.col("text_key") == F.col("key")), "left")
@@ -177,13 +191,15 @@ def sanitise(df: DataFrame, found: DataFrame, id_col: str = "doc_id", text_col:
 
     A span within the one before it goes with it; one that ends later is cut on to its own end.
     """
-    marks = found.where("size(spans) > 0").select(F.col("doc_id").alias("_id"), F.col("text_key").alias("_key"), F.col("spans").alias("_spans")).dropDuplicates(["_id", "_key"])
+    marks = found.where("size(spans) > 0").select(F.col("doc_id").alias("id"), F.col("text_key").alias("key"), F.col("spans").alias("_spans")).dropDuplicates(["id", "key"])
     names = ", ".join(f"'{x}'" for x in [*(f"[{k.upper()}]" for k in KINDS), "", "[WORD]"])
-    rows = df.join(marks, F.col(id_col).cast("long").eqNullSafe(F.col("_id")) & (F.xxhash64(F.coalesce(F.col(text_col).cast("string"), F.lit(""))) == F.col("_key")), "left")
+    # the row's own columns, of whatever names, travel as one
+    rows = df.select(F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("row"), F.col(id_col).cast("long").alias("row_id"), F.col(text_col).alias("text"))
+    rows = rows.join(marks, F.col("row_id").eqNullSafe(F.col("id")) & (F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit(""))) == F.col("key")), "left")
     part = let("k", "acc.at", f"if(x.start > k, {between('_pieces', 'k', 'x.start')}, '')")
     out = f"if(x.end <= acc.at, cast(array() as array<string>), array({part}, element_at(array({names}), x.rank + 1)))"
     cut = running("_spans", "0", "greatest(acc.at, x.end)", "greatest(acc.at, array_max(transform(b, x -> x.end)))", out, "array<string>")
-    last = let("k", "array_max(transform(_spans, x -> x.end))", f"if(k < length(`{text_col}`), {between('_pieces', 'k', f'length(`{text_col}`)')}, '')")
-    rows = rows.withColumn("_pieces", F.when(F.size("_spans") > 0, F.regexp_extract_all(F.col(text_col), F.lit(f"(?s).{{1,{PIECE}}}"), F.lit(0))))
-    new = F.expr(f"concat(array_join({cut}, ''), {last})")
-    return rows.withColumn(text_col, F.when(F.col("_spans").isNull(), F.col(text_col)).otherwise(new)).select(*df.columns)
+    last = let("k", "array_max(transform(_spans, x -> x.end))", f"if(k < length(text), {between('_pieces', 'k', 'length(text)')}, '')")
+    rows = rows.withColumn("_pieces", F.when(F.size("_spans") > 0, F.regexp_extract_all(F.col("text"), F.lit(f"(?s).{{1,{PIECE}}}"), F.lit(0))))
+    new = F.when(F.col("_spans").isNull(), F.col("text")).otherwise(F.expr(f"concat(array_join({cut}, ''), {last})"))
+    return rows.select(*[(new if c == text_col else F.col("row")[c]).alias(c) for c in df.columns])

@@ -90,3 +90,36 @@ def base_pii(text):
             if good:
                 spans.append((m.start(), rank, m.end()))
     return sorted(spans)
+
+
+def telling_terms(docs, min_support=3, generalise_at=0.7, remove_at=0.9):
+    """doc -> all (start, rank, end), base spans and telling terms, by counting every pair; docs: (doc_id, text) of distinct rows."""
+    import math
+    from collections import Counter, defaultdict
+
+    import regex
+
+    term = regex.compile(r"(?<!\p{L})\p{L}{4,}+")
+    docs = [(d, t or "") for d, t in docs]
+    base = {d: base_pii(t) for d, t in docs}
+    text, n = dict(docs), len(docs)
+    entities = {d: {(rank, text[d][s:e].lower()) for s, rank, e in spans} for d, spans in base.items()}
+    terms = {d: {m.lower() for m in term.findall(t)} for d, t in docs}
+    n_entity, n_term = Counter(x for v in entities.values() for x in v), Counter(x for v in terms.values() for x in v)
+    both = Counter((e, t) for d in text for e in entities[d] for t in terms[d])
+    action = defaultdict(lambda: 9)
+    for (e, t), k in both.items():
+        if k >= min_support and n_entity[e] < n:
+            x = math.log(k * n / (n_entity[e] * n_term[t])) / math.log(n / n_entity[e])
+            if x >= generalise_at:
+                action[e, t] = 4 if x >= remove_at else 5
+    out = {}
+    for d, t in docs:
+        spans = set(base[d])
+        for m in term.finditer(t):
+            if not any(s < m.end() and m.start() < e for s, _, e in base[d]):
+                best = min((action[e, m[0].lower()] for e in entities[d] if (e, m[0].lower()) in action), default=9)
+                if best < 9:
+                    spans.add((m.start(), best, m.end()))
+        out[d] = sorted(spans)
+    return out
