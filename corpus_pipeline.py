@@ -20,10 +20,19 @@ def _with_text(docs: DataFrame, texts: DataFrame) -> DataFrame:
     return texts.withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
 
 
+def _unused(docs: DataFrame, name: str) -> str:
+    """The name, longer until no column has it."""
+    taken = {c.lower() for c in docs.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier rejects go."""
     model = toxicity.train(docs, ship(spark).read.parquet(f"{sf_dir}/labels.parquet"))
-    return toxicity.scores(docs, model, "_score", "_predicted").where("_predicted = 0").select(*docs.columns)
+    score, predicted = _unused(docs, "score"), _unused(docs, "predicted")
+    return toxicity.scores(docs, model, score, predicted).where(F.col(predicted) == 0).select(*docs.columns)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -34,10 +43,11 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     ship(spark)
     linked = jaccard_join.link(docs, words=5, num=80, den=100)
     gone = linked.where("component_id < doc_id or (doc_id is null and component_id is not null)")
-    gone = saved(gone.select(F.col("doc_id").alias("_id"), F.col("text_key").alias("_gone_key")).distinct(), "duplicates").hint("merge")
-    rows = docs.withColumn("_text_key", text_key()).withColumn("_size", F.octet_length("text")).withColumn("_crc", F.crc32(F.col("text").cast("binary")))
-    rest = rows.join(gone, F.col("doc_id").cast("long").eqNullSafe(F.col("_id")) & (F.col("_text_key") == F.col("_gone_key")), "left_anti")
-    return rest.dropDuplicates(["doc_id", "_text_key", "_size", "_crc"]).select(*docs.columns)
+    gone = saved(gone.select(F.col("doc_id").alias("gone_id"), F.col("text_key").alias("gone_key")).distinct(), "duplicates").hint("merge")
+    # the row's own columns, of whatever names, travel as one
+    rows = docs.select(F.struct(*docs.columns).alias("row"), F.col("doc_id").cast("long").alias("id"), text_key().alias("key"), F.octet_length("text").alias("size"), F.crc32(F.col("text").cast("binary")).alias("crc"))
+    rest = rows.join(gone, F.col("id").eqNullSafe(F.col("gone_id")) & (F.col("key") == F.col("gone_key")), "left_anti")
+    return rest.dropDuplicates(["id", "key", "size", "crc"]).select("row.*")
 
 
 def remove_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
