@@ -751,7 +751,7 @@ def s3_svn_log(t: Tables) -> DataFrame:
     return logs.svn_log(t.spark, _svn_dump(t), "main")[1].drop("repo_id")
 
 
-@query("select changeset_id::varchar as changeset_id, (item_idx - 1)::int as item_idx, file_id::varchar as file_id, kind, server_path, cs_ord from change_item join (select changeset_id, row_number() over (order by changeset_id) - 1 as cs_ord from change_set) using (changeset_id)", "file", "change_set", "change_item")
+@query("select changeset_id::varchar as changeset_id, (item_idx - 1)::int as item_idx, file_id::varchar as file_id, kind, server_path, cs_ord from change_item join (select changeset_id, row_number() over (order by changeset_id) - 1 as cs_ord from change_set where changeset_id in (select changeset_id from change_item)) using (changeset_id)", "file", "change_set", "change_item")
 def s4_history_json(t: Tables) -> DataFrame:
     """Many documents, the newest first, with the order of all changesets."""
     s, items = small(t)
@@ -759,7 +759,7 @@ def s4_history_json(t: Tables) -> DataFrame:
     lists = items.groupBy("changeset_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("item_idx", item.alias("i")))), lambda x: x["i"]).alias("Items"))
     one = F.struct(F.col("changeset_id").cast("string").alias("Id"), F.col("committer").alias("Committer"), F.date_format("date", "yyyy-MM-dd'T'HH:mm:ss'Z'").alias("Date"), F.col("comment").alias("Comment"), "Items")
     newest_first = F.sort_array(F.collect_list(F.struct((-F.col("changeset_id")).alias("n"), one.alias("one"))))
-    docs = s.join(lists, "changeset_id", "left").groupBy(F.expr(f"changeset_id div {PER_DOCUMENT}").alias("file")).agg(F.transform(newest_first, lambda x: x["one"]).alias("ChangeSets"))
+    docs = s.join(lists, "changeset_id").groupBy(F.expr(f"changeset_id div {PER_DOCUMENT}").alias("file")).agg(F.transform(newest_first, lambda x: x["one"]).alias("ChangeSets"))
     path = _out(t, "history")
     docs.write.partitionBy("file").json(path)
     found, items = files.history_json(t.spark, path, "main", -F.regexp_extract("file", "file=([0-9]+)", 1).cast("long"))

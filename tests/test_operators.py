@@ -168,7 +168,7 @@ def test_lines(spark):
     code = "// c\nint a; /* open\n still\n*/ int b;\n\n\tx\n"
     df = spark.createDataFrame([("f", code)], "path string, content string")
     row = linemetrics.count_lines(df, ["path"], F.lit("C#")).collect()[0]
-    assert (row["blanks"], row["comments"], row["code"]) == (2, 3, 2)
+    assert (row["blanks"], row["comments"], row["code"]) == (1, 2, 3)
     space = linemetrics.inverted_space(df, ["path"]).collect()[0]
     assert (space["space_min"], space["space_max"], space["space_total"]) == (0, 1, 1)
     empty = linemetrics.inverted_space(spark.createDataFrame([("f", "")], "path string, content string"), ["path"]).collect()[0]
