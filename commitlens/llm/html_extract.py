@@ -4,8 +4,10 @@ Each page is read into its text nodes, each with the path of tags from the root
 path and set in ratio to the path's number of nodes; the ratios are smoothed over the page in reading order, fused with the raw ones
 and cut at a threshold taken from the page itself. The nodes that remain point to the smallest container that holds them all. Of its blocks
 those stay that tags and roles do not name as menus, headers, footers, sidebars, notices, adverts, forms or reader comments. Classes and ids
-are one feature beside the ratios: a name made of nothing but such words counts as a tag does; a name that only holds one makes a block
-doubtful, which goes if it is mostly links and its path stays below the threshold. So does, outside an article element, a block made of links.
+are one feature beside the ratios: outside of an article element a name made of nothing but such words counts as a tag does; inside of one
+such names as authors give to sections, too ("related", "discussion"), leave the block to its path's ratio. A name that only holds such a
+word makes a block doubtful, which goes if it is mostly links and its path stays below the threshold. So does, outside an
+article element, a block made of links.
 
 One page is worked on at a time inside an Arrow batch; pages never meet, so there is no shuffle. Paths are numbers (of the parent's path and
 the tag), and elements are walked once, so time and memory are linear in the page, also when it nests deeply.
@@ -53,6 +55,8 @@ BOILERPLATE_NAMES = frozenset(
     "subscribe subscription newsletter signup login share sharing social related recommended recommendations comment comments commentlist disqus reply replies "
     "respond discussion form search widget toolbar pagination pager skip".split()
 )
+#: Those that authors give to parts of their articles, too: there, the path's ratio decides. A single paragraph may also be a "comment".
+AUTHOR_NAMES = frozenset("discussion related recommended recommendations search notice notices alert form social share sharing promotion".split())
 #: Words that say nothing about a part but its form or place.
 NEUTRAL_NAMES = frozenset(
     "area articles bar block bottom box button buttons col column container content entries entry field fields global group header holder icon inner items item "
@@ -79,12 +83,12 @@ SCOPE = frozenset("article main section div table ul ol dl body html nav aside h
 
 
 class Element:
-    __slots__ = ("boilerplate", "depth", "doubtful", "in_article", "link", "parent", "path", "tag")
+    __slots__ = ("boilerplate", "depth", "doubtful", "in_article", "link", "named", "parent", "path", "tag")
 
     def __init__(self, tag: str, attrs: str, parent: Element | None, paths: dict[tuple[int, str], int]):
         self.tag, self.parent = tag, parent
         names: set[str] = set()
-        hidden, role, label, only, some = False, "", tag, False, False
+        hidden, role, label, only, some, plain = False, "", tag, False, False, False
         if attrs and not attrs.isspace():
             for name, a, b, c in ATTRIBUTE.findall(attrs):
                 name, value = name.lower(), a or b or c
@@ -95,6 +99,7 @@ class Element:
                         if not parts.isdisjoint(BOILERPLATE_NAMES):
                             rest = {x for x in parts - BOILERPLATE_NAMES - NEUTRAL_NAMES if not x.isdigit()}
                             only, some = only or not rest, some or bool(rest)
+                            plain = plain or (not rest and not (parts & BOILERPLATE_NAMES) <= (AUTHOR_NAMES | {"comment"} if tag == "p" else AUTHOR_NAMES))
                     if name == "class" and value:
                         label = f"{tag}.{' '.join(sorted(value.split()))}"
                 elif name == "role":
@@ -106,17 +111,20 @@ class Element:
         self.link = tag == "a" or (parent.link if parent and tag not in BLOCK else False)
         self.in_article = (parent.in_article if parent else False) or tag in ARTICLE_NAMES or role in ("main", "article")
         whole = tag in ("html", "body") or tag in ARTICLE_NAMES  # their class names speak of the page's kind
+        within = bool(parent and parent.in_article)
+        decides = only and not whole and (not within or plain)
         self.boilerplate = (
             (parent.boilerplate if parent else False)
             or hidden
-            or tag in BOILERPLATE_TAGS
+            or (tag in BOILERPLATE_TAGS and not (within and tag == "label"))
             or role in BOILERPLATE_ROLES
-            or (tag == "header" and not (parent and parent.in_article))
-            or (not whole and only)
+            or (tag == "header" and not within)
+            or decides
             or (tag == "article" and not names.isdisjoint({"comment", "comments", "reply", "ad", "advert", "advertisement"}))
             or (not whole and {"site", "header"} <= names or {"page", "header"} <= names)
         )
         self.doubtful = (parent.doubtful if parent else False) or (not whole and some)
+        self.named = (parent.named if parent else False) or (only and not whole and within)
 
 
 def text_nodes(page: str) -> list[tuple[Element, str, int]]:
@@ -125,14 +133,31 @@ def text_nodes(page: str) -> list[tuple[Element, str, int]]:
     root = Element("html", "", None, paths)
     top, nodes, block, at = root, [], 0, 0
     open_ = Counter({"html": 1})  # elements by tag between the root and the top
+    # of these, by tag, those since the last element past which an end tag, or a start tag that closes others, does not reach
+    near: dict[str, list[Counter]] = {"end": [Counter()], "start": [Counter()]}
+    walls = {"end": SCOPE, "start": SCOPE - CLOSED_BY.keys()}
 
-    def leave(e: Element | None) -> Element:
+    def enter(e: Element) -> None:
+        nonlocal top
+        top = e
+        open_[e.tag] += 1
+        for kind, wall in walls.items():
+            if e.tag in wall:
+                near[kind].append(Counter())
+            else:
+                near[kind][-1][e.tag] += 1
+
+    def leave(e: Element | None) -> None:
         """Closes elements down to ``e``."""
         nonlocal top
         while top is not e and top.parent is not None:
             open_[top.tag] -= 1
+            for kind, wall in walls.items():
+                if top.tag in wall:
+                    near[kind].pop()
+                else:
+                    near[kind][-1][top.tag] -= 1
             top = top.parent
-        return top
 
     find = TOKEN.search
     while True:
@@ -148,11 +173,8 @@ def text_nodes(page: str) -> list[tuple[Element, str, int]]:
             continue
         tag = tag.lower()
         if m["end"]:
-            e = top if open_[tag] > 0 else None
+            e = top if (open_ if tag in SCOPE else near["end"][-1])[tag] > 0 else None  # a stray end tag does not leave its container
             while e is not None and e.tag != tag:
-                if e.tag in SCOPE and tag not in SCOPE:
-                    e = None  # a stray end tag does not leave its container
-                    break
                 e = e.parent
             if e is not None and e.parent is not None:
                 leave(e.parent)
@@ -168,13 +190,11 @@ def text_nodes(page: str) -> list[tuple[Element, str, int]]:
             block += 1
         if tag in VOID:
             continue
-        e = top if any(open_[x] > 0 for x in CLOSES.get(tag, ())) else None
+        e = top if any(near["start"][-1][x] > 0 for x in CLOSES.get(tag, ())) else None
         while e is not None:
             if tag in CLOSED_BY.get(e.tag, ()):
                 leave(e.parent or root)
                 break
-            if e.tag in SCOPE and e.tag not in CLOSED_BY:
-                break
             e = e.parent
         attrs = m["attrs"]
         if attrs.endswith("/") and tag in ("svg", "math"):
@@ -183,8 +203,7 @@ def text_nodes(page: str) -> list[tuple[Element, str, int]]:
             end = re.compile(rf"</{re.escape(tag)}(?=[\s/>])[^>]*>?|\Z", re.I).search(page, at)
             at = end.end()
             continue
-        top = Element(tag, attrs, top, paths)
-        open_[tag] += 1
+        enter(Element(tag, attrs, top, paths))
 
 
 def path_scores(nodes: list[tuple[Element, str]]) -> np.ndarray:
@@ -247,6 +266,7 @@ def main_text(page: str | None) -> str:
     blocks: dict[int, list[str]] = {}
     linked: Counter = Counter()
     doubtful: set[int] = set()
+    named: set[int] = set()
     strong: set[int] = set()
     for e, text, block in nodes:
         if not inside(e):
@@ -257,13 +277,15 @@ def main_text(page: str | None) -> str:
             linked[block] += len(text.strip())
         if e.doubtful:
             doubtful.add(block)
+        if e.named:
+            named.add(block)
         if best.get(e.path, 0.0) >= threshold and text.strip():
             strong.add(block)
     out = []
     for block, texts in blocks.items():
         line = " ".join("".join(texts).split())
         most = 0.5 if block in doubtful else 2 if root.in_article else 0.9
-        if line and (block in strong or linked[block] < most * len(line)):
+        if line and (block in strong or (block not in named and linked[block] < most * len(line))):
             out.append(line)
     return "\n".join(out)
 
