@@ -59,12 +59,17 @@ def saved(df: DataFrame, name: str) -> DataFrame:
 
 
 def bucketed(df: DataFrame, key: str, name: str) -> DataFrame:
-    """As ``saved``, bucketed by ``key`` into as many buckets as shuffle partitions: a join by the key does not shuffle these rows again."""
+    """As ``saved``, bucketed by ``key`` into as many buckets as shuffle partitions: a join by the key does not shuffle these rows again.
+
+    Only a table can be bucketed; its entry leaves the catalog at once, as the rows that are read back know its files.
+    """
     spark = df.sparkSession
     path = new_path(spark, name)
     table = path.rsplit("/", 1)[-1].replace("-", "_")
     df.write.bucketBy(partitions(spark), key).option("path", path).saveAsTable(table)
-    return spark.table(table)
+    out = spark.table(table)
+    spark.sql(f"drop table `{table}`")  # of an outside folder, which stays
+    return out
 
 
 def partitions(spark: SparkSession) -> int:

@@ -81,3 +81,10 @@ def test_run_from_end_to_end(spark, odd_rows, tmp_path):
     assert len({d for d, *_ in plain} & {d for d, *_ in got}) > 0.9 * len(plain)
     spark.read.parquet(f"{SF}/documents.parquet").where("false").write.mode("overwrite").parquet(str(tmp_path / "documents.parquet"))
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
+
+
+def test_no_tables_stay_in_the_catalog(spark):
+    from commitlens.llm.queries import QUERIES
+
+    assert QUERIES["op8_byte_bpe"](spark, SF).where("n_tokens > 0").count() > 0
+    assert spark.catalog.listTables() == []
