@@ -25,7 +25,8 @@ from .plans import analyses as A
 from .plans.sync import sync_git, sync_svn
 from .plans.testdata import Tables, with_views
 from .schemas import DELETE, EDIT, RENAME
-from .sources import files, logs
+from .ship import ship
+from .sources import files, logs, plugin
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -746,6 +747,15 @@ def s1_git_log_edges(t: Tables) -> DataFrame:
     return _git(t)[2].drop("repo_id")
 
 
+@query(ITEMS, "file", "change_item")
+def u5_commit_log_source(t: Tables) -> DataFrame:
+    """The dump as a format of the reader, in small ranges of bytes."""
+    path = _out(t, "gitlog")
+    _git_dump(t, path)
+    ship(t.spark).dataSource.register(plugin.CommitLogSource)
+    return t.spark.read.format("commitlog").options(table="change_item", repo_id="main", range_bytes=100_000).load(path).drop("repo_id")
+
+
 @query(ITEMS, "file", "change_item")
 def s3_svn_log(t: Tables) -> DataFrame:
     return logs.svn_log(t.spark, _svn_dump(t), "main")[1].drop("repo_id")

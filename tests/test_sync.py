@@ -124,3 +124,39 @@ def test_named_exports(spark, tmp_path):
     assert path.endswith("summary-2020-02-03.csv") and spark.read.option("header", True).csv(path).first()["value"] == "1.500"
     with pytest.raises(ValueError):
         files.export(df, str(tmp_path), "summary")
+
+
+@pytest.mark.parametrize("end", ["\n", "\r\n"])
+@pytest.mark.parametrize("size", [7, 60, 1 << 20])
+def test_log_as_a_format(spark, tmp_path, monkeypatch, end, size):
+    from commitlens.sources import plugin
+
+    log = dump(tmp_path / "dumps" / "one.log", commit("c3", "2020-01-03", "c2 c1", "M\ta.cs", "R100\ta.cs\tb.cs", end=end), commit("c2", "2020-01-02", "c1", "D\tx y.cs", subject="a START_HEADER in the subject", end=end), end=end)
+    dump(tmp_path / "dumps" / "sub" / "two.log", commit("c1", "2020-01-01", "", 'A\t"\\303\\251.cs"', 'A\t"bad\\377.cs"', "X\tq", end=end), end=end)
+    spark.dataSource.register(plugin.CommitLogSource)
+    folder = log.rsplit("/", 1)[0]
+    wanted = dict(zip(("change_set", "change_item", "commit_edge"), logs.git_log(spark, folder, "r"), strict=True))
+    for table, want in wanted.items():
+        got = spark.read.format("commitlog").options(table=table, repo_id="r", range_bytes=size).load(folder)
+        assert sorted(map(str, got.collect())) == sorted(map(str, want.select(*got.columns).collect())), table
+
+
+def test_records_over_small_reads(monkeypatch):
+    import io
+
+    from commitlens.sources import plugin
+
+    text = "".join(f"START_HEADER\nid{k}\n{'x' * (k % 7)}\n" for k in range(50)).encode()
+    for read in (1, 3, 20, 1000):
+        monkeypatch.setattr(plugin, "READ_BYTES", read)
+        for size in (1, 13, 100, 5000):
+            got = [r.split("\n")[0] for at in range(0, len(text), size) for r in plugin.records(io.BytesIO(text), at, min(len(text), at + size))]
+            assert got == [f"id{k}" for k in range(50)], (read, size)
+
+
+def test_providers_by_name(spark):
+    from commitlens.sources import plugin
+
+    assert plugin.provider("commitlens.plans.sync:sync_git") is sync.sync_git
+    with pytest.raises(ValueError):
+        plugin.provider("commitlens.plans.sync:nothing")
