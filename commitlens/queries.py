@@ -850,21 +850,21 @@ def s15_summary_csv(t: Tables) -> DataFrame:
 register_sql("s15_summary_csv", PLAIN, "select server_path as local_path, round(hotspot, 6) as hotspot from hot where code >= 1 and commits >= 3", "file", "change_set", "change_item", "loc")
 
 
-@query("select doc_id, text as content from documents where doc_id % 2 = 0 and length(trim(text)) > 0")
+@query("select doc_id, coalesce(text, '') as content from documents where doc_id % 2 = 0")
 def s12_source_tree(t: Tables) -> DataFrame:
     """Files of one directory per document; only those with the extension come back."""
     path = _out(t, "tree")
-    docs = t.base("documents").where("length(trim(text)) > 0").select("text", F.concat("doc_id", F.when(F.col("doc_id") % 2 == 0, F.lit(".cs")).otherwise(F.lit(".bin"))).alias("name"))
+    docs = t.base("documents").select(F.coalesce("text", F.lit("")).alias("text"), F.concat("doc_id", F.when(F.col("doc_id") % 2 == 0, F.lit(".cs")).otherwise(F.lit(".bin"))).alias("name"))
     docs.write.partitionBy("name").option("lineSep", "\u0000").text(path)
     found = files.source_tree(t.spark, path, extensions=None, name=F.regexp_extract("path", r"name=([^/]+)", 1))
     return found.select(F.regexp_extract("path", "^[0-9]+", 0).cast("long").alias("doc_id"), F.regexp_replace("content", "\u0000$", "").alias("content"))
 
 
-@query("select concat('f', doc_id % 3, '.cs') as path, doc_id::varchar as revision, text as content from documents where doc_id % 4 <> 0 and length(trim(text)) > 0 and doc_id in (select o_orderkey from orders)")
+@query("select concat('f', doc_id % 3, '.cs') as path, doc_id::varchar as revision, coalesce(text, '') as content from documents where doc_id % 4 <> 0 and doc_id in (select o_orderkey from orders)")
 def s11_file_revisions(t: Tables) -> DataFrame:
     """Exported revisions of a few files, read back without those that are deletes."""
     path = _out(t, "revisions")
-    docs = t.base("documents").where("length(trim(text)) > 0").select("doc_id", "text", F.concat(F.lit("f"), (F.col("doc_id") % 3).cast("string"), F.lit(".cs")).alias("name"))
+    docs = t.base("documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text"), F.concat(F.lit("f"), (F.col("doc_id") % 3).cast("string"), F.lit(".cs")).alias("name"))
     docs.select("text", F.col("doc_id").alias("revision"), "name").write.partitionBy("revision", "name").option("lineSep", "\u0000").text(path)
     items = docs.select(F.lit("main").alias("repo_id"), F.col("doc_id").alias("changeset_id"), F.when(F.col("doc_id") % 4 == 0, DELETE).otherwise(EDIT).alias("kind"), F.col("name").alias("server_path"))
     dates = t.base("orders").select(F.lit("main").alias("repo_id"), F.col("o_orderkey").alias("changeset_id"), F.col("o_orderdate").alias("date"))
