@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..checkpoint import cut
 from ..functions.predicates import is_kind
 from ..functions.scalars import min_max_normal
 from ..schemas import DELETE, MAX_WORK_ITEMS_PER_CHANGESET
@@ -24,19 +25,19 @@ def with_alias(df: DataFrame, alias: DataFrame | None, column: str) -> DataFrame
 def artifacts(items: DataFrame, sets: DataFrame, alias: DataFrame | None = None, max_work_items: int = MAX_WORK_ITEMS_PER_CHANGESET) -> DataFrame:
     """One row per file id: commits, distinct committers and work items, and the path, date and revision of its latest item.
 
-    Ids whose latest item is a delete are dropped. Filters on paths come after this step, as they look at the latest path only. One
-    shuffle on the changeset and one on the file; counts and the latest item are combined before the second.
+    Ids whose latest item is a delete are dropped. Filters on paths come after this step, as they look at the latest path only. Items meet their
+    changeset once and become a row for the committer, which carries the item, and one for each work item. These are combined by file and name, then
+    by file, both times before the shuffle, so no task holds the names of a file.
     """
     sets = with_alias(sets.where(F.size("work_items") < max_work_items), alias, "committer").select(*CHANGESET, "date", "committer", "work_items")
-    rows = items.join(sets, CHANGESET).select(*FILE, "changeset_id", "item_idx", "date", "committer", "work_items", "server_path", "kind")
-    latest = F.max_by(F.struct("server_path", "kind", "date", "changeset_id"), F.struct("date", "changeset_id", "item_idx"))
-    out = rows.groupBy(*FILE).agg(F.count(F.lit(1)).alias("commits"), F.countDistinct("committer").alias("committers"), latest.alias("latest"))
-    tickets = rows.select(*FILE, F.explode("work_items").alias("w")).groupBy(*FILE).agg(F.countDistinct("w").alias("work_items"))
-    return (
-        out.where(~is_kind(F.col("latest.kind"), DELETE))
-        .join(tickets, FILE, "left")
-        .select(*FILE, "commits", "committers", F.coalesce("work_items", F.lit(0)).alias("work_items"), F.col("latest.server_path").alias("server_path"), F.col("latest.date").alias("date"), F.col("latest.changeset_id").alias("revision"), F.lower("latest.server_path").alias("path_key"))
-    )
+    committer = F.array(F.struct(F.lit(False).alias("is_work_item"), F.col("committer").alias("name")))
+    names = F.concat(committer, F.transform("work_items", lambda w: F.struct(F.lit(True).alias("is_work_item"), w.alias("name"))))
+    rows = items.join(sets, CHANGESET).select(*FILE, F.struct("date", "changeset_id", "item_idx", "server_path", "kind").alias("item"), F.explode(names).alias("of")).select(*FILE, "of.*", F.when(~F.col("of.is_work_item"), F.col("item")).alias("item"))
+    by_name = rows.groupBy(*FILE, "is_work_item", "name").agg(F.count("item").alias("n"), F.max("item").alias("latest"))
+    distinct = [F.count_if(which & F.col("name").isNotNull()).alias(c) for c, which in (("committers", ~F.col("is_work_item")), ("work_items", F.col("is_work_item")))]
+    out = by_name.groupBy(*FILE).agg(F.sum("n").alias("commits"), *distinct, F.max("latest").alias("latest"))
+    path = F.col("latest.server_path")
+    return out.where(~is_kind(F.col("latest.kind"), DELETE)).select(*FILE, "commits", "committers", "work_items", path.alias("server_path"), F.col("latest.date").alias("date"), F.col("latest.changeset_id").alias("revision"), F.lower(path).alias("path_key"))
 
 
 def latest_paths(items: DataFrame, sets: DataFrame, by: str = "date") -> DataFrame:
@@ -51,7 +52,11 @@ def with_lines(files: DataFrame, loc: DataFrame) -> DataFrame:
 
 
 def with_hotspot(files: DataFrame) -> DataFrame:
-    """Adds ``hotspot``: normalised commits times normalised lines of code, over all files of the repository."""
+    """Adds ``hotspot``: normalised commits times normalised lines of code, over all files of the repository.
+
+    The files, far fewer than their items, are written once: the ranges and the rows both read them.
+    """
+    files = cut(files)
     ranges = files.groupBy("repo_id").agg(*[f(c).alias(f"_{n}_{c}") for c in ("commits", "code") for n, f in (("lo", F.min), ("hi", F.max))])
     product: Column = min_max_normal(F.col("commits"), F.col("_lo_commits"), F.col("_hi_commits")) * min_max_normal(F.col("code"), F.col("_lo_code"), F.col("_hi_code"))
     return files.join(ranges, "repo_id").withColumn("hotspot", product).drop("_lo_commits", "_hi_commits", "_lo_code", "_hi_code")
