@@ -418,15 +418,16 @@ def x6_drop_empty(t: Tables) -> DataFrame:
 
 
 def moved(t: Tables) -> DataFrame:
-    """Items on few folder paths, so that the rules of one changeset meet."""
-    path = F.concat(F.lit("d/"), (F.col("file_id") % 7).cast("string"))
-    source = F.when(F.col("kind").isin(2, 16) & (F.col("file_id") % 3 < 2), F.concat(F.lit("d/"), ((F.col("file_id") + F.col("item_idx")) % 7).cast("string")))
+    """Items on few paths of a folder, so that the rules of one changeset meet; a folder for 1,000 ids of changesets, so paths grow with the history."""
+    folder = F.concat(F.lit("d"), F.expr("changeset_id div 1000").cast("string"), F.lit("/"))
+    path = F.concat(folder, (F.col("file_id") % 7).cast("string"))
+    source = F.when(F.col("kind").isin(2, 16) & (F.col("file_id") % 3 < 2), F.concat(folder, ((F.col("file_id") + F.col("item_idx")) % 7).cast("string")))
     kind = F.when((F.col("kind") == RENAME) & source.isNull(), EDIT).otherwise(F.col("kind"))
     return t.change_item.select("repo_id", "changeset_id", "item_idx", kind.alias("kind"), path.alias("server_path"), source.alias("from_server_path"))
 
 
-MOVED = """, moved as (select changeset_id, item_idx, case when kind = 16 and file_id % 3 = 2 then 4 else kind end as kind, concat('d/', cast(file_id % 7 as string)) as server_path,
-    case when kind in (2, 16) and file_id % 3 < 2 then concat('d/', cast((file_id + item_idx) % 7 as string)) end as from_server_path from change_item)"""
+MOVED = """, moved as (select changeset_id, item_idx, case when kind = 16 and file_id % 3 = 2 then 4 else kind end as kind, concat('d', cast(changeset_id // 1000 as string), '/', cast(file_id % 7 as string)) as server_path,
+    case when kind in (2, 16) and file_id % 3 < 2 then concat('d', cast(changeset_id // 1000 as string), '/', cast((file_id + item_idx) % 7 as string)) end as from_server_path from change_item)"""
 RULES = """, edited as (select distinct changeset_id, server_path from moved where kind = 4),
   one as (select m.* replace (case when kind = 16 and e.server_path is not null then 2 else kind end as kind) from moved m left join edited e on e.changeset_id = m.changeset_id and e.server_path = m.from_server_path),
   two as (select * replace (case when from_server_path is not null and kind in (2, 16) and count(*) filter (where from_server_path is not null and kind in (2, 16)) over (partition by changeset_id, from_server_path) > 1 then 2 else kind end as kind) from one),
