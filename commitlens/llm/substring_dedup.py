@@ -92,8 +92,9 @@ ROW = pa.schema([("bucket", pa.int32()), ("doc_id", pa.binary()), ("text_key", p
 MARKED = pa.schema([("grp", pa.int32()), ("doc_id", pa.binary()), ("text_key", pa.binary()), ("count", pa.binary()), ("place", pa.binary())])
 
 
-def groups_of(ids: np.ndarray, groups: int) -> np.ndarray:
-    return (mix(ids.astype(np.uint64)) % np.uint64(groups)).astype(np.int64)
+def groups_of(ids: np.ndarray, keys: np.ndarray, groups: int) -> np.ndarray:
+    """Each document's group, by its id; documents without one, which can be many, are dealt by their text's key."""
+    return (mix(np.where(ids == LAST_ID, keys, ids).astype(np.uint64)) % np.uint64(groups)).astype(np.int64)
 
 
 def _scan(width: int, buckets: int):
@@ -112,7 +113,7 @@ def _scan(width: int, buckets: int):
                     continue
                 first, second = window_hashes(word_hashes(part, starts, ends), at, width)
                 here = earlier_here(first, second, ids[i:j][text])
-                bucket = np.where(here, buckets + groups_of(ids[i:j], buckets)[text], (second % np.uint64(buckets)).astype(np.int64))
+                bucket = np.where(here, buckets + groups_of(ids[i:j], keys[i:j], buckets)[text], (second % np.uint64(buckets)).astype(np.int64))
                 order = np.argsort(bucket, kind="stable")
                 cuts = np.flatnonzero(np.concatenate(([True], np.diff(bucket[order]) != 0, [True])))
                 place = at - word_at[text]  # the window's first word within its document
@@ -141,7 +142,7 @@ def _count(buckets: int):
         marked = order[ids[doc[order]] > np.repeat(least, np.diff(np.append(edge, len(order))))]
         if not len(marked):
             return MARKED.empty_table()
-        doc, at, grp = doc[marked], at[marked], groups_of(ids, buckets)
+        doc, at, grp = doc[marked], at[marked], groups_of(ids, keys, buckets)
         order = np.lexsort((at, doc, grp[doc]))
         doc, at = doc[order], at[order]
         cuts = np.flatnonzero(np.concatenate(([True], np.diff(grp[doc]) != 0)))

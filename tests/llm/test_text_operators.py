@@ -75,6 +75,18 @@ def test_substring_dedup_of_a_passage_in_most_documents(spark):
     assert got == brute.repeats(rows)
 
 
+def test_substring_dedup_of_many_rows_without_id(spark):
+    """Rows without an id are dealt over the groups by their texts and still come after every id; equal ones never before one another."""
+    rng = random.Random(11)
+    passage = text(rng, 60)
+    rows = [(4, passage)] + [(None, f"{text(rng, 5)} {passage} own{k}") for k in range(40)] * 2
+    got = sorted((r["doc_id"] or -1, r["n_words"], r["n_removed"]) for r in substring_dedup.remove_repeats(spark.createDataFrame(rows, EMPTY).repartition(6), 50).collect())
+    assert got == sorted([(4, len(passage.split()), 0)] + [(-1, len(t.split()), len(passage.split())) for _, t in rows[1:]])
+    keys = np.arange(1000, dtype=np.int64)
+    assert len(set(substring_dedup.groups_of(np.full(1000, substring_dedup.LAST_ID), keys, 16).tolist())) == 16
+    assert len(set(substring_dedup.groups_of(np.full(1000, 3), keys, 16).tolist())) == 1
+
+
 def test_substring_dedup_null_and_repeated_ids(spark):
     t = " ".join(map(str, range(60)))
     df = spark.createDataFrame([(None, t), (5, t), (5, t), (7, t), (7, "else")], EMPTY)
