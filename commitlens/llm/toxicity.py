@@ -35,6 +35,8 @@ STEP = 2048
 STEP_BYTES = 1 << 20
 NGRAMS = (3, 4, 5, 6)
 BORDER = 0x20
+#: Types and shapes of the arrays of a flat model: vectors, classes, bias.
+FLAT = (np.float32, BUCKETS, 1), (np.float32, 1, 2), (np.float64, 2)
 
 
 @dataclass
@@ -138,6 +140,11 @@ class Model:
         """The softmax of two classes depends on their difference only, which is linear in the vectors."""
         return (self.vectors @ (self.classes[:, 1] - self.classes[:, 0])).astype(np.float32), float(self.bias[1] - self.bias[0])
 
+    def flat(self) -> Model:
+        """A model of one dimension that gives the same scores: a value for each n-gram, DIMENSIONS times smaller."""
+        value, bias = self.collapsed()
+        return Model(value[:, None], np.array([[0, 1]], np.float32), np.array([0, bias]))
+
 
 def surplus(w: Words, label: np.ndarray) -> np.ndarray:
     """For each n-gram bucket: by how many standard errors it is found in more (or fewer) texts of label 1 than its frequency would have."""
@@ -224,17 +231,16 @@ def train(docs: DataFrame, labels: DataFrame, per_class: int = 1500, id_col: str
     if len(classes) < 2:
         return None
     sample = rows.where(F.col("doc_id").isin(fits)).select("doc_id", "text", "toxic").coalesce(1).sortWithinPartitions("doc_id")
-    vectors, weights, bias = sample.mapInArrow(_learn, "vectors binary, classes binary, bias binary").first()
-    array = lambda b, *shape: np.frombuffer(b, np.float64).reshape(shape)
-    return Model(array(vectors, BUCKETS, DIMENSIONS), array(weights, DIMENSIONS, 2), array(bias, 2))
+    parts = sample.mapInArrow(_learn, "vectors binary, classes binary, bias binary").first()
+    return Model(*(np.frombuffer(part, t).reshape(shape) for part, (t, *shape) in zip(parts, FLAT, strict=True)))
 
 
 def _learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """One task fits the model on the bounded sample, so the driver holds the finished model only."""
+    """One task fits the model on the bounded sample; only what scoring needs of it goes to the driver, half a megabyte."""
     sample = pa.Table.from_batches(batches)
     label = sample.column("toxic").to_numpy().astype(np.int64)
     raw, offsets = text_bytes(sample.column("text"))
-    m = fit(together(read_words(raw[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i]) for i, j in spans_of_bytes(offsets, STEP_BYTES)), label)
+    m = fit(together(read_words(raw[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i]) for i, j in spans_of_bytes(offsets, STEP_BYTES)), label).flat()
     yield record(["vectors", "classes", "bias"], [pa.array([a.tobytes()], pa.binary()) for a in (m.vectors, m.classes, m.bias)])
 
 
