@@ -199,3 +199,28 @@ def test_written_histories_hold_a_bounded_number_of_changesets(spark, monkeypatc
     held = [r["value"].count(mark) for r in spark.read.text(paths[0], wholetext=True).collect()]
     written = spark.read.parquet("/root/testdata/sf0.01/lineitem.parquet").select("l_orderkey").distinct().count()
     assert sum(held) == written and max(held) <= 1000
+
+
+@pytest.mark.parametrize("crowd", [1, 4, 1000])
+def test_paths_of_many_events_are_counted_in_blocks(spark, crowd):
+    """Few paths in many changesets, so lifetimes go on over the blocks of a path."""
+    rng = random.Random(9)
+    script = []
+    for _ in range(60):
+        paths = rng.sample("abcd", rng.randint(1, 3))
+        change = lambda p: (RENAME, p, rng.choice([x for x in "abcd" if x != p])) if rng.random() < 0.25 else (rng.choice([ADD, EDIT, EDIT, EDIT, DELETE]), p, None)
+        script.append([change(p) for p in paths])
+    expected = replay(script)
+    items, sets = history(spark, script)
+    got = {(int(r["changeset_id"]), r["server_path"], r["kind"]): r["file_id"] for r in identity.with_identity(items, sets, crowd)[0].collect()}
+    assert set(got) == {e[:3] for e in expected}
+    pairs = {(got[e[:3]], e[3]) for e in expected}
+    assert len(pairs) == len({a for a, _ in pairs}) == len({b for _, b in pairs})
+
+
+def test_identity_queries_share_seven_paths_over_the_whole_history(spark):
+    from commitlens.queries import ORACLES, QUERIES
+
+    rows = QUERIES["i4_identity"](spark, "/root/testdata/sf0.001").select("server_path").distinct().collect()
+    assert {r["server_path"] for r in rows} == {f"d/{k}" for k in range(7)}
+    assert all("// 1000" not in ORACLES[q] for q in ("i4_identity", "k9_warnings", "a18_resets"))
