@@ -5,12 +5,15 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..checkpoint import cut
 from ..functions.scalars import basename, coupling_degree
 from ..schemas import MAX_ITEMS_PER_CHANGESET, MIN_COUPLING_DEGREE, MIN_COUPLINGS
 from .summary import CHANGESET
 
 #: Letters of the substrings under which keys of components are found.
 GRAM = 8
+#: Pairs that one task meets, and so holds at most, to count them.
+PAIRS_PER_TASK = 1_000_000
 
 
 def small_changesets(items: DataFrame, most: int = MAX_ITEMS_PER_CHANGESET) -> DataFrame:
@@ -23,9 +26,11 @@ def pairs(items: DataFrame, key: str, count_first: bool = False) -> DataFrame:
     """item1 < item2, couplings, degree for all keys that share a changeset.
 
     Couplings are common changesets less one, unless ``count_first``. The self-join is on the changeset, so a popular key is spread
-    over its changesets; pairs are counted before they shuffle.
+    over its changesets; pairs are counted before they shuffle, in as many tasks as there are ``PAIRS_PER_TASK``, as a task holds its pairs.
     """
-    seen = items.where(F.col(key).isNotNull()).select(*CHANGESET, F.col(key).alias("item")).distinct()
+    seen = cut(items.where(F.col(key).isNotNull()).select(*CHANGESET, F.col(key).alias("item")).distinct())
+    met = seen.groupBy(*CHANGESET).agg(F.count(F.lit(1)).alias("k")).agg(F.sum(F.expr("k * (k - 1) div 2"))).first()[0] or 0
+    seen = seen.repartition(max(met // PAIRS_PER_TASK + 1, int(seen.sparkSession.conf.get("spark.sql.shuffle.partitions"))), *CHANGESET)
     counts = seen.groupBy("repo_id", "item").agg(F.count(F.lit(1)).alias("n"))
     a, b = seen.select(*CHANGESET, F.col("item").alias("item1")), seen.select(*CHANGESET, F.col("item").alias("item2"))
     both = a.join(b, CHANGESET).where("item1 < item2").groupBy("repo_id", "item1", "item2").agg((F.count(F.lit(1)) - (0 if count_first else 1)).alias("couplings"))

@@ -224,3 +224,14 @@ def test_identity_queries_share_seven_paths_over_the_whole_history(spark):
     rows = QUERIES["i4_identity"](spark, "/root/testdata/sf0.001").select("server_path").distinct().collect()
     assert {r["server_path"] for r in rows} == {f"d/{k}" for k in range(7)}
     assert all("// 1000" not in ORACLES[q] for q in ("i4_identity", "k9_warnings", "a18_resets"))
+
+
+def test_pairs_are_dealt_over_tasks_by_their_number(spark, monkeypatch):
+    rows = [("r", f"c{k // 40}", k % 60) for k in range(4000)]
+    items = spark.createDataFrame(rows, "repo_id string, changeset_id string, file_id int")
+    one = {tuple(r) for r in coupling.pairs(items, "file_id").collect()}
+    monkeypatch.setattr(coupling, "PAIRS_PER_TASK", 2000)
+    many = coupling.pairs(items, "file_id")
+    assert "REPARTITION_BY_NUM" in many._jdf.queryExecution().executedPlan().toString()
+    assert {tuple(r) for r in many.collect()} == one and len(one) > 100
+    assert coupling.pairs(items.where("false"), "file_id").count() == 0
