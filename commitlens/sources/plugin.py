@@ -10,6 +10,7 @@ import importlib
 import re
 from collections.abc import Callable, Iterator
 from datetime import UTC, datetime
+from itertools import islice
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
@@ -27,6 +28,8 @@ TABLES = {
 KINDS = {"A": ADD, "D": DELETE, "DD": DELETE, "M": EDIT, "T": TYPE_CHANGED}
 #: Bytes of a file that one task reads, and of a read.
 RANGE_BYTES, READ_BYTES = 64 << 20, 4 << 20
+#: Bytes of a read beyond the end of the range, and rows of a batch.
+PAST_BYTES, BATCH = 4 << 10, 10_000
 MARK = re.compile(rb"(?<=\n)" + START.encode() + rb"\r?\n")
 OCTAL = re.compile(rb"\\([0-3][0-7]{2})")
 
@@ -43,8 +46,11 @@ def records(file, start: int, end: int) -> Iterator[str]:
     # one byte more, as a marker follows a line end; the first of a file follows none
     file.seek(max(0, start - 1))
     held, base = (b"\n" if start == 0 else b""), (-1 if start == 0 else start - 1)
+    # what is behind the range is read in small steps: mostly the rest of one record
+    size = min(READ_BYTES, max(1, end - start) + PAST_BYTES)
     while True:
-        more = file.read(READ_BYTES)
+        more = file.read(size)
+        size = min(READ_BYTES, max(PAST_BYTES, end - base - len(held)))
         held += more
         marks = [m for m in MARK.finditer(held)]
         for m, after in zip(marks, [*marks[1:], None][: len(marks)], strict=True):
@@ -97,7 +103,8 @@ def rows(record: str, table: str, repo_id: str) -> Iterator[tuple]:
 
 
 class CommitLogReader(DataSourceReader):
-    def __init__(self, options: dict):
+    def __init__(self, options: dict, schema: StructType):
+        self.schema = schema
         self.path, self.table, self.repo_id = options["path"], options.get("table", "change_item"), options.get("repo_id", "")
         self.size = int(options.get("range_bytes", RANGE_BYTES))
 
@@ -110,8 +117,18 @@ class CommitLogReader(DataSourceReader):
         files = [f for f in found if f.is_file and f.size and not f.base_name.startswith(("_", "."))]
         return [Range(f.path, at, min(f.size, at + self.size)) for f in files for at in range(0, f.size, self.size)]
 
-    def read(self, partition: Range) -> Iterator[tuple]:
+    def read(self, partition: Range) -> Iterator:
+        """Arrow batches: a row at a time costs more than its parsing."""
+        import pyarrow as pa
         from pyarrow import fs
+        from pyspark.sql.pandas.types import to_arrow_schema
+
+        schema = to_arrow_schema(self.schema)
+        held = self._rows(partition, fs)
+        while batch := list(islice(held, BATCH)):
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*batch, strict=True), schema.types, strict=True)], schema=schema)
+
+    def _rows(self, partition: Range, fs) -> Iterator[tuple]:
 
         store, _ = fs.FileSystem.from_uri(self.path if "://" in self.path or self.path.startswith("file:") else f"file://{self.path}")
         with store.open_input_file(partition.path) as file:
@@ -133,7 +150,7 @@ class CommitLogSource(DataSource):
         return TABLES[table]
 
     def reader(self, schema: StructType) -> CommitLogReader:
-        return CommitLogReader(self.options)
+        return CommitLogReader(self.options, schema)
 
 
 #: What rebuilds a repository: (spark, repo_id, out, options) -> its tables by name, as ``plans.sync`` gives them.

@@ -160,3 +160,14 @@ def test_providers_by_name(spark):
     assert plugin.provider("commitlens.plans.sync:sync_git") is sync.sync_git
     with pytest.raises(ValueError):
         plugin.provider("commitlens.plans.sync:nothing")
+
+
+def test_a_small_range_reads_little_of_its_file():
+    import io
+
+    from commitlens.sources import plugin
+
+    text = "".join(f"START_HEADER\nid{k}\n{'x' * 50}\n" for k in range(20_000)).encode()
+    file = io.BytesIO(text)
+    assert len(list(plugin.records(file, 100_000, 200_000))) > 1000
+    assert file.tell() < 100_000 + 2 * 100_000
