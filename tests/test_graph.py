@@ -175,3 +175,37 @@ def test_topological_order(spark):
     edges = spark.createDataFrame([("a", "c2", "c1", 0), ("a", "c3", "c2", 0), ("a", "c4", "c2", 0), ("a", "c1", "gone", 0), ("b", "c1", "gone", 0)], "repo_id string, child string, parent string, parent_idx int")
     got = {tuple(r) for r in graph.topological_order(df, edges).select("repo_id", "changeset_id", "cs_ord").collect()}
     assert got == {("a", "c1", 0), ("a", "c2", 1), ("a", "c3", 2), ("a", "c4", 3), ("b", "c0", 0), ("b", "c1", 1)}
+
+
+@pytest.mark.parametrize("ids", [int, str])
+def test_folding_over_several_tasks(spark, monkeypatch, ids):
+    """Each task holds a few nodes, so runs, merges and chains go over the borders of tasks."""
+    monkeypatch.setattr(graph, "FOLD", 12)
+    g = {"a": random_graph(3, 50), "b": {v: [v - 1] if v else [] for v in range(40)}}
+    name = "long" if ids is int else "string"
+    edges = spark.createDataFrame([(r, ids(c), ids(p), i) for r, x in g.items() for c, ps in x.items() for i, p in enumerate(ps)], EDGES.replace("long", name))
+    want = {}
+    for r, x in g.items():
+        for v in x:
+            want[r, ids(v)] = 1 + max(want[r, ids(p)] for p in x[v]) if x[v] else 0
+    every = spark.createDataFrame([(r, ids(v)) for r, x in g.items() for v in x], f"repo_id string, changeset_id {name}")
+    assert {(x["repo_id"], x["node"]): x["level"] for x in graph.levels(every, edges).collect()} == want
+    seeds = spark.createDataFrame([("a", ids(49)), ("b", ids(20))], f"repo_id string, seed {name}")
+    reach = {(r, ids(v)) for r, s in (("a", 49), ("b", 20)) for v in plain_distances(g[r], s)}
+    assert {tuple(x) for x in graph.ancestors(edges, seeds).collect()} == reach
+
+
+def test_runs_side_by_side_are_not_ranked_in_rounds(spark, monkeypatch):
+    """Of a long line dealt to several tasks only what crosses their borders is ranked by jumps."""
+    monkeypatch.setattr(graph, "FOLD", 1000)
+    seen, plain = [], graph._jumped
+    monkeypatch.setattr(graph, "_jumped", lambda links: seen.append(links.count()) or plain(links))
+    links = spark.range(1, 5000).select(F.lit("r").alias("repo_id"), F.col("id").alias("node"), (F.col("id") - 1).alias("to"), F.lit(1).alias("steps"))
+    assert graph.ranked(links).where("to = 0 and steps = node").count() == 4999
+    assert len(seen) == 1 and seen[0] < 20
+
+
+def test_edges_within_a_chain_are_not_crossed(spark):
+    edges = spark.createDataFrame([("r", v, v - 1, 0) for v in range(1, 40)] + [("r", v, v - 3, 1) for v in range(7, 40, 7)], EDGES)
+    nodes, across = graph.chains(edges)
+    assert nodes.select("chain").distinct().count() == 1 and across.count() == 0
