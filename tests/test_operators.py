@@ -235,3 +235,37 @@ def test_pairs_are_dealt_over_tasks_by_their_number(spark, monkeypatch):
     assert "REPARTITION_BY_NUM" in many._jdf.queryExecution().executedPlan().toString()
     assert {tuple(r) for r in many.collect()} == one and len(one) > 100
     assert coupling.pairs(items.where("false"), "file_id").count() == 0
+
+
+@pytest.mark.parametrize("seed", [3, 4])
+def test_ids_of_tracked_and_of_undeleted_files(spark, seed):
+    """As taking all ids first and then asking for their latest paths, or for their deletes."""
+    rng = random.Random(seed)
+    script = []
+    for _ in range(50):
+        paths = rng.sample("abcdefgh", rng.randint(1, 3))
+        change = lambda p: (RENAME, p, rng.choice([x for x in "abcdefgh" if x != p])) if rng.random() < 0.3 else (rng.choice([ADD, EDIT, EDIT, EDIT, DELETE]), p, None)
+        script.append([change(p) for p in paths])
+    items, sets = history(spark, script)
+    every = identity.with_identity(items, sets)[0].cache()
+    rows = lambda df: sorted(str([r[c] for c in every.columns]) for r in df.collect())
+    tracked = spark.createDataFrame([("r", p) for p in "abcx"], "repo_id string, server_path string")
+    alive = summary.existing(summary.latest_paths(every, sets, by="cs_ord"), tracked).select("repo_id", "file_id")
+    want = rows(summary.keep_alive(every, alive))
+    assert want and rows(identity.with_identity(items, sets, tracked=tracked)[0]) == want
+    assert rows(identity.with_identity(items, sets, deleted=False)[0]) == rows(summary.drop_deleted(every))
+
+
+def test_a_written_table_is_computed_once(spark, tmp_path):
+    from commitlens.sources import files
+
+    seen = spark.sparkContext.accumulator(0)
+
+    def count(batches):
+        for b in batches:
+            seen.add(b.num_rows)
+            yield b
+
+    df = spark.createDataFrame([("r", k) for k in range(9)], "repo_id string, k int").mapInArrow(count, "repo_id string, k int")
+    files.write_table(df, str(tmp_path / "t"), "r")
+    assert seen.value == 9 and spark.read.parquet(str(tmp_path / "t")).count() == 9
