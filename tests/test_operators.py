@@ -271,6 +271,16 @@ def test_a_written_table_is_computed_once(spark, tmp_path):
     assert seen.value == 9 and spark.read.parquet(str(tmp_path / "t")).count() == 9
 
 
+def test_work_items_of_a_changeset_count_once_before_they_are_dealt(spark):
+    items = spark.createDataFrame([("r", "c", 0, "f", "p", EDIT)], "repo_id string, changeset_id string, item_idx int, file_id string, server_path string, kind int")
+    sets = spark.createDataFrame([("r", "c", "Ann", "2020-01-01", ["T-1"] * 150 + ["T-2"])], "repo_id string, changeset_id string, committer string, date string, work_items array<string>")
+    found = summary.artifacts(items, sets)
+    assert found.first()["work_items"] == 2
+    made = sets.withColumn("work_items", F.expr("transform(work_items, x -> upper(x))"))
+    assert "upper" not in summary.artifacts(items, made)._jdf.queryExecution().optimizedPlan().toString()
+    assert summary.artifacts(items, sets, max_work_items=151).count() == 0
+
+
 @pytest.mark.parametrize("name", ["s3_svn_log", "s4_history_json", "s1_git_log_items"])
 def test_dumps_are_written_compressed(spark, monkeypatch, name):
     from commitlens import queries
