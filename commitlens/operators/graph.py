@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..checkpoint import cut
+from ..checkpoint import cut, large
 from ..functions.scalars import kind_of_tree_diff
 from ..ship import ship
 from .fold import fold
@@ -25,7 +25,7 @@ def edges_of(commits: DataFrame) -> DataFrame:
 
 def roots(commits: DataFrame, edges: DataFrame) -> DataFrame:
     """Commits without parents."""
-    return commits.join(edges.select("repo_id", F.col("child").alias("changeset_id")), ["repo_id", "changeset_id"], "left_anti")
+    return commits.join(large(edges.select("repo_id", F.col("child").alias("changeset_id"))), ["repo_id", "changeset_id"], "left_anti")
 
 
 def _folded(arcs: DataFrame, sources: DataFrame, longest: bool) -> tuple[DataFrame, DataFrame]:
@@ -45,9 +45,9 @@ def _folded(arcs: DataFrame, sources: DataFrame, longest: bool) -> tuple[DataFra
     if tasks == 1:
         return own.where("not hung").select("repo_id", "node", "prev", "steps"), own.where("hung").select("repo_id", "node", F.col("prev").alias("to"), "steps")
     away = own.where("open")
-    met = own.where("hung").join(away.select("repo_id", F.col("prev").alias("node")).distinct(), ["repo_id", "node"], "left_semi")
+    met = own.where("hung").join(large(away.select("repo_id", F.col("prev").alias("node")).distinct()), ["repo_id", "node"], "left_semi")
     ends = _jumped(met.select("repo_id", "node", F.col("prev").alias("to"), "steps")).select("repo_id", F.col("node").alias("prev"), "to", F.col("steps").alias("_steps"))
-    away = cut(away.join(ends, ["repo_id", "prev"], "left").select("repo_id", "node", F.coalesce("to", "prev").alias("prev"), (F.col("steps") + F.coalesce("_steps", F.lit(0))).alias("steps"), "hung"))
+    away = cut(away.join(large(ends), ["repo_id", "prev"], "left").select("repo_id", "node", F.coalesce("to", "prev").alias("prev"), (F.col("steps") + F.coalesce("_steps", F.lit(0))).alias("steps"), "hung"))
     rows = own.where("not open").select(*away.columns).union(away)
     return rows.where("not hung").drop("hung"), rows.where("hung").select("repo_id", "node", F.col("prev").alias("to"), "steps")
 
@@ -67,7 +67,7 @@ def _jumped(links: DataFrame) -> DataFrame:
     def jump(at: DataFrame) -> DataFrame:
         on = at.select("repo_id", F.col("node").alias("to"), F.col("to").alias("_to"), F.col("steps").alias("_steps"))
         to, steps = F.coalesce("_to", "to").alias("to"), (F.col("steps") + F.coalesce("_steps", F.lit(0))).alias("steps")
-        return at.join(on, ["repo_id", "to"], "left").select("repo_id", "node", to, steps, F.col("_to").isNotNull().alias("moved"))
+        return at.join(large(on), ["repo_id", "to"], "left").select("repo_id", "node", to, steps, F.col("_to").isNotNull().alias("moved"))
 
     at, span = cut(links.select("repo_id", "node", "to", "steps")), 1
     n = at.count()
@@ -93,15 +93,15 @@ def _contracted(arcs: DataFrame, sources: DataFrame, longest: bool) -> tuple[Dat
     arcs = cut(arcs.groupBy("repo_id", "node", "prev").agg(best("steps").alias("steps")))
     while True:
         single = arcs.groupBy("repo_id", "node").agg(F.count(F.lit(1)).alias("k"), F.min("prev").alias("to"), F.min("steps").alias("steps"))
-        single = single.join(sources.select("repo_id", "node"), ["repo_id", "node"], "left_anti")
+        single = single.join(large(sources.select("repo_id", "node")), ["repo_id", "node"], "left_anti")
         found, n = single.agg(F.count_if(F.col("k") == 1), F.count(F.lit(1))).first()
         if not found or 20 * found < n:
             return arcs, hung
         ends = _jumped(single.where("k = 1").select("repo_id", "node", "to", "steps"))
         hung.append(ends)
-        rest = arcs.join(ends.select("repo_id", "node"), ["repo_id", "node"], "left_anti")
+        rest = arcs.join(large(ends.select("repo_id", "node")), ["repo_id", "node"], "left_anti")
         on = ends.select("repo_id", F.col("node").alias("prev"), "to", F.col("steps").alias("_steps"))
-        rest = rest.join(on, ["repo_id", "prev"], "left").select("repo_id", "node", F.coalesce("to", "prev").alias("prev"), (F.col("steps") + F.coalesce("_steps", F.lit(0))).alias("steps"))
+        rest = rest.join(large(on), ["repo_id", "prev"], "left").select("repo_id", "node", F.coalesce("to", "prev").alias("prev"), (F.col("steps") + F.coalesce("_steps", F.lit(0))).alias("steps"))
         arcs = cut(rest.groupBy("repo_id", "node", "prev").agg(best("steps").alias("steps")))
 
 
@@ -112,7 +112,7 @@ def _jumps(arcs: DataFrame, longest: bool, most: int) -> DataFrame:
     while n:
         first = arcs.select("repo_id", "node", F.col("prev").alias("middle"), F.col("steps").alias("steps1"))
         second = arcs.select("repo_id", F.col("node").alias("middle"), "prev", F.col("steps").alias("steps2"))
-        far = first.join(second, ["repo_id", "middle"]).select("repo_id", "node", "prev", (F.col("steps1") + F.col("steps2")).alias("steps"))
+        far = first.join(large(second), ["repo_id", "middle"]).select("repo_id", "node", "prev", (F.col("steps1") + F.col("steps2")).alias("steps"))
         new = cut(arcs.union(far).groupBy("repo_id", "node", "prev").agg(best("steps").alias("steps")))
         grown = new.count()
         if grown > most:
@@ -134,9 +134,9 @@ def _walk(jumps: DataFrame, known: DataFrame, key: list[str], longest: bool, rou
     known = cut(known)
     front = known
     while True:
-        step = front.join(on, ["repo_id", "node"]).withColumn("node", F.col("next")).withColumn("depth", F.col("depth") + F.col("steps"))
+        step = front.join(large(on), ["repo_id", "node"]).withColumn("node", F.col("next")).withColumn("depth", F.col("depth") + F.col("steps"))
         new = step.groupBy(*key).agg(best("depth").alias("depth"))
-        front = cut(new.join(known.withColumnRenamed("depth", "old"), key, "left").where(f"old is null or {better}").select(*key, "depth"))
+        front = cut(new.join(large(known.withColumnRenamed("depth", "old")), key, "left").where(f"old is null or {better}").select(*key, "depth"))
         if not front.limit(1).count():
             return known
         if rounds < 0:
@@ -154,7 +154,7 @@ def _best_ways(arcs: DataFrame, start: DataFrame, key: list[str], longest: bool)
     n = core.select("repo_id", "node").distinct().count()
     known = _walk(_jumps(core, longest, max(1 << 16, arcs.count())), start.select(*key, "depth"), key, longest, n)
     for ends in reversed(hung):
-        add = ends.join(known.withColumnRenamed("node", "to"), ["repo_id", "to"]).withColumn("depth", F.col("depth") + F.col("steps"))
+        add = ends.join(large(known.withColumnRenamed("node", "to")), ["repo_id", "to"]).withColumn("depth", F.col("depth") + F.col("steps"))
         known = cut(known.union(add.select(*key, "depth")))
     return known
 
@@ -179,16 +179,16 @@ def chains(edges: DataFrame) -> tuple[DataFrame, DataFrame]:
     the chain's oldest node, at 0. What a node leads back to is, of each chain, all up to one place.
     """
     first = cut(edges.groupBy("repo_id", F.col("child").alias("node")).agg(F.min_by("parent", F.struct("parent_idx", "parent")).alias("to")))
-    tips = first.select("repo_id", "node").join(first.select("repo_id", F.col("to").alias("node")), ["repo_id", "node"], "left_anti")
+    tips = first.select("repo_id", "node").join(large(first.select("repo_id", F.col("to").alias("node"))), ["repo_id", "node"], "left_anti")
     line = _best_ways(first.select("repo_id", F.col("to").alias("node"), F.col("node").alias("prev")), tips.withColumn("depth", F.lit(0)), ["repo_id", "node"], True)
-    ahead = first.join(line, ["repo_id", "node"]).groupBy("repo_id", "to").agg(F.min_by("node", F.struct(-F.col("depth"), "node")).alias("node"))
+    ahead = first.join(large(line), ["repo_id", "node"]).groupBy("repo_id", "to").agg(F.min_by("node", F.struct(-F.col("depth"), "node")).alias("node"))
     links = cut(ahead.select("repo_id", "node", "to", F.lit(1).alias("steps")))
     ends = ranked(links)
     nodes = edges.select("repo_id", F.explode(F.array("child", "parent")).alias("node")).distinct()
-    nodes = nodes.join(ends, ["repo_id", "node"], "left").select("repo_id", "node", F.coalesce("to", "node").alias("chain"), F.coalesce("steps", F.lit(0)).alias("place"))
+    nodes = nodes.join(large(ends), ["repo_id", "node"], "left").select("repo_id", "node", F.coalesce("to", "node").alias("chain"), F.coalesce("steps", F.lit(0)).alias("place"))
     nodes = cut(nodes)
-    across = edges.select("repo_id", F.col("child").alias("node"), F.col("parent").alias("to")).join(links, ["repo_id", "node", "to"], "left_anti").distinct()
-    across = across.join(nodes, ["repo_id", "node"]).join(nodes.select("repo_id", F.col("node").alias("to"), F.col("chain").alias("to_chain"), F.col("place").alias("to_place")), ["repo_id", "to"])
+    across = edges.select("repo_id", F.col("child").alias("node"), F.col("parent").alias("to")).join(large(links), ["repo_id", "node", "to"], "left_anti").distinct()
+    across = across.join(large(nodes), ["repo_id", "node"]).join(large(nodes.select("repo_id", F.col("node").alias("to"), F.col("chain").alias("to_chain"), F.col("place").alias("to_place"))), ["repo_id", "to"])
     # an edge back to its own chain leads to nothing new
     return nodes, cut(across.where("chain <> to_chain").select("repo_id", "chain", "place", "to_chain", "to_place"))
 
@@ -203,9 +203,9 @@ def covered(across: DataFrame, start: DataFrame, key: list[str]) -> DataFrame:
     known = cut(start.groupBy(*at).agg(F.max("upto").alias("upto")))
     front = known.withColumn("old", F.lit(-1))
     while True:
-        on = front.join(across, ["repo_id", "chain"]).where("place > old and place <= upto")
+        on = front.join(large(across), ["repo_id", "chain"]).where("place > old and place <= upto")
         new = on.groupBy("repo_id", *key, F.col("to_chain").alias("chain")).agg(F.max("to_place").alias("upto"))
-        front = new.join(known.withColumnRenamed("upto", "old"), at, "left").withColumn("old", F.coalesce("old", F.lit(-1))).where("upto > old")
+        front = new.join(large(known.withColumnRenamed("upto", "old")), at, "left").withColumn("old", F.coalesce("old", F.lit(-1))).where("upto > old")
         front = cut(front.select(*at, "upto", "old"))
         if not front.limit(1).count():
             return known
@@ -216,8 +216,8 @@ def ancestors(edges: DataFrame, seeds: DataFrame) -> DataFrame:
     """(repo_id, node): everything that leads to the seeds, with them."""
     nodes, across = chains(edges)
     start = seeds.select("repo_id", F.col("seed").alias("node")).distinct()
-    upto = covered(across, start.join(nodes, ["repo_id", "node"]).select("repo_id", "chain", F.col("place").alias("upto")), [])
-    return nodes.join(upto, ["repo_id", "chain"]).where("place <= upto").select("repo_id", "node").union(start).distinct()
+    upto = covered(across, start.join(large(nodes), ["repo_id", "node"]).select("repo_id", "chain", F.col("place").alias("upto")), [])
+    return nodes.join(large(upto), ["repo_id", "chain"]).where("place <= upto").select("repo_id", "node").union(start).distinct()
 
 
 def _from_roots(commits: DataFrame, edges: DataFrame, longest: bool) -> DataFrame:
@@ -242,8 +242,8 @@ def topological_order(sets: DataFrame, edges: DataFrame) -> DataFrame:
     within the level, so no task sorts a whole history.
     """
     ids = sets.select("repo_id", F.col("changeset_id").alias("parent"))
-    edges = cut(edges.select("repo_id", "child", "parent").distinct().join(ids, ["repo_id", "parent"], "left_semi"))
-    rows = sets.select("repo_id", "changeset_id", "date").join(levels(sets, edges).withColumnRenamed("node", "changeset_id"), ["repo_id", "changeset_id"])
+    edges = cut(edges.select("repo_id", "child", "parent").distinct().join(large(ids), ["repo_id", "parent"], "left_semi"))
+    rows = sets.select("repo_id", "changeset_id", "date").join(large(levels(sets, edges).withColumnRenamed("node", "changeset_id")), ["repo_id", "changeset_id"])
     rows = cut(rows)
     sizes = rows.groupBy("repo_id", "level").agg(F.count(F.lit(1)).alias("n"))
     earlier = F.coalesce(F.sum("n").over(W.partitionBy("repo_id").orderBy("level").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
@@ -264,10 +264,10 @@ def common_ancestors(edges: DataFrame, pairs: DataFrame) -> DataFrame:
     ends = pairs.select("repo_id", F.explode(F.array("a", "b")).alias("node")).distinct()
     forks = one.groupBy("repo_id", F.col("parent").alias("node")).agg(F.count(F.lit(1)).alias("k")).where("k > 1").select("repo_id", "node")
     single = one.groupBy("repo_id", F.col("child").alias("node")).agg(F.count(F.lit(1)).alias("k"), F.min("parent").alias("to")).where("k = 1")
-    inner = single.join(forks.union(ends), ["repo_id", "node"], "left_anti").select("repo_id", "node", "to", F.lit(1).alias("steps"))
+    inner = single.join(large(forks.union(ends)), ["repo_id", "node"], "left_anti").select("repo_id", "node", "to", F.lit(1).alias("steps"))
     runs = ranked(inner)
     over = runs.select("repo_id", F.col("node").alias("parent"), "to", "steps")
-    arcs = one.join(runs.select("repo_id", F.col("node").alias("child")), ["repo_id", "child"], "left_anti").join(over, ["repo_id", "parent"], "left")
+    arcs = one.join(large(runs.select("repo_id", F.col("node").alias("child"))), ["repo_id", "child"], "left_anti").join(large(over), ["repo_id", "parent"], "left")
     arcs = cut(arcs.groupBy("repo_id", F.col("child").alias("node"), F.coalesce("to", "parent").alias("next")).agg((F.min(F.coalesce("steps", F.lit(0))) + 1).alias("steps")))
 
     pair, key = ["repo_id", "a", "b"], ["repo_id", "a", "b", "side", "node"]
@@ -277,9 +277,9 @@ def common_ancestors(edges: DataFrame, pairs: DataFrame) -> DataFrame:
     while True:
         met = known.groupBy(*pair, "node").agg(F.count(F.lit(1)).alias("k"), F.sum("depth").alias("sum")).where("k = 2")
         best = cut(met.groupBy(*pair).agg(F.min(F.struct("sum", "node")).alias("best")))
-        step = front.join(arcs, ["repo_id", "node"]).withColumn("node", F.col("next")).withColumn("depth", F.col("depth") + F.col("steps"))
-        new = step.groupBy(*key).agg(F.min("depth").alias("depth")).join(best, pair, "left").where("best is null or depth <= best.sum").drop("best")
-        front = cut(new.join(known.withColumnRenamed("depth", "old"), key, "left").where("old is null or depth < old").select(*key, "depth"))
+        step = front.join(large(arcs), ["repo_id", "node"]).withColumn("node", F.col("next")).withColumn("depth", F.col("depth") + F.col("steps"))
+        new = step.groupBy(*key).agg(F.min("depth").alias("depth")).join(large(best), pair, "left").where("best is null or depth <= best.sum").drop("best")
+        front = cut(new.join(large(known.withColumnRenamed("depth", "old")), key, "left").where("old is null or depth < old").select(*key, "depth"))
         if not front.limit(1).count():
             return best.select(*pair, F.col("best.node").alias("ancestor"))
         known = cut(known.union(front).groupBy(*key).agg(F.min("depth").alias("depth")))
