@@ -209,3 +209,19 @@ def test_edges_within_a_chain_are_not_crossed(spark):
     edges = spark.createDataFrame([("r", v, v - 1, 0) for v in range(1, 40)] + [("r", v, v - 3, 1) for v in range(7, 40, 7)], EDGES)
     nodes, across = graph.chains(edges)
     assert nodes.select("chain").distinct().count() == 1 and across.count() == 0
+
+
+def test_nothing_passes_through_the_driver(spark, graphs, edges, monkeypatch):
+    """Written tables are compressed far more than Spark reckons, so a broadcast of one may be as large as the history."""
+    plain, plans = graph.cut, []
+
+    def cut(df):
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return plain(df)
+
+    monkeypatch.setattr(graph, "cut", cut)
+    seeds = spark.createDataFrame([(r, s) for r, g in graphs.items() for s in list(g)[-1::-9]], "repo_id string, seed long")
+    cut(graph.ancestors(edges, seeds))
+    items = edges.select("repo_id", F.col("child").alias("changeset_id"), F.lit("x").alias("file_id"))
+    cut(identity.without_shared_history(items, items.where("changeset_id % 7 = 0"), edges))
+    assert len(plans) > 20 and any("SortMergeJoin" in p for p in plans) and not any("Broadcast" in p for p in plans)
