@@ -28,17 +28,33 @@ TABLES = {
 KINDS = {"A": ADD, "D": DELETE, "DD": DELETE, "M": EDIT, "T": TYPE_CHANGED}
 #: Bytes of a file that one task reads, and of a read.
 RANGE_BYTES, READ_BYTES = 64 << 20, 4 << 20
+#: Several ranges are one task as long as they come to no more than so many bytes, nor to more than one in so many of the dump.
+TASK_BYTES, TASKS = 16 << 20, 256
 #: Bytes of a read beyond the end of the range, and rows of a batch.
 PAST_BYTES, BATCH = 4 << 10, 10_000
 MARK = re.compile(rb"(?<=\n)" + START.encode() + rb"\r?\n")
 OCTAL = re.compile(rb"\\([0-3][0-7]{2})")
 
 
-class Range(InputPartition):
-    """The records of a file that start in [start, end)."""
+class Ranges(InputPartition):
+    """The records that start in any of the ranges (path, start, end) of a task."""
 
-    def __init__(self, path: str, start: int, end: int):
-        self.path, self.start, self.end = path, start, end
+    def __init__(self, ranges: list[tuple[str, int, int]]):
+        self.ranges = ranges
+
+
+def dealt(ranges: list[tuple[str, int, int]]) -> list[Ranges]:
+    """Ranges as tasks, which grow with the dump's bytes and not with its ranges: each task costs the driver memory, and a hundred thousand of them more than it may hold."""
+    most = min(TASK_BYTES, sum(end - start for _, start, end in ranges) // TASKS)
+    tasks: list[list[tuple[str, int, int]]] = []
+    held = 0
+    for path, start, end in ranges:
+        if not tasks or held + end - start > most:
+            tasks.append([])
+            held = 0
+        tasks[-1].append((path, start, end))
+        held += end - start
+    return [Ranges(t) for t in tasks]
 
 
 def records(file, start: int, end: int) -> Iterator[str]:
@@ -108,16 +124,16 @@ class CommitLogReader(DataSourceReader):
         self.path, self.table, self.repo_id = options["path"], options.get("table", "change_item"), options.get("repo_id", "")
         self.size = int(options.get("range_bytes", RANGE_BYTES))
 
-    def partitions(self) -> list[Range]:
+    def partitions(self) -> list[Ranges]:
         from pyarrow import fs
 
         store, root = fs.FileSystem.from_uri(self.path if "://" in self.path or self.path.startswith("file:") else f"file://{self.path}")
         info = store.get_file_info(root)
         found = [info] if info.is_file else store.get_file_info(fs.FileSelector(root, recursive=True))
         files = [f for f in found if f.is_file and f.size and not f.base_name.startswith(("_", "."))]
-        return [Range(f.path, at, min(f.size, at + self.size)) for f in files for at in range(0, f.size, self.size)]
+        return dealt([(f.path, at, min(f.size, at + self.size)) for f in files for at in range(0, f.size, self.size)])
 
-    def read(self, partition: Range) -> Iterator:
+    def read(self, partition: Ranges) -> Iterator:
         """Arrow batches: a row at a time costs more than its parsing."""
         import pyarrow as pa
         from pyarrow import fs
@@ -128,12 +144,12 @@ class CommitLogReader(DataSourceReader):
         while batch := list(islice(held, BATCH)):
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*batch, strict=True), schema.types, strict=True)], schema=schema)
 
-    def _rows(self, partition: Range, fs) -> Iterator[tuple]:
-
+    def _rows(self, partition: Ranges, fs) -> Iterator[tuple]:
         store, _ = fs.FileSystem.from_uri(self.path if "://" in self.path or self.path.startswith("file:") else f"file://{self.path}")
-        with store.open_input_file(partition.path) as file:
-            for record in records(file, partition.start, partition.end):
-                yield from rows(record, self.table, self.repo_id)
+        for path, start, end in partition.ranges:
+            with store.open_input_file(path) as file:
+                for record in records(file, start, end):
+                    yield from rows(record, self.table, self.repo_id)
 
 
 class CommitLogSource(DataSource):

@@ -171,3 +171,30 @@ def test_a_small_range_reads_little_of_its_file():
     file = io.BytesIO(text)
     assert len(list(plugin.records(file, 100_000, 200_000))) > 1000
     assert file.tell() < 100_000 + 2 * 100_000
+
+
+def test_tasks_of_a_dump_grow_with_its_bytes(tmp_path):
+    from commitlens.sources import plugin
+
+    big = tmp_path / "big.log"
+    with big.open("wb") as f:
+        f.truncate(16 << 30)  # takes no room
+    reader = plugin.CommitLogReader({"path": str(big), "range_bytes": "100000"}, None)
+    tasks = reader.partitions()
+    ranges = [r for t in tasks for r in t.ranges]
+    assert len(tasks) <= 1100 and ranges[0][1] == 0 and ranges[-1][2] == 16 << 30
+    assert all(a[2] == b[1] for a, b in zip(ranges, ranges[1:], strict=False)) and all(e - s <= 100_000 for _, s, e in ranges)
+    assert all(len(t.ranges) == 1 for t in plugin.dealt([("a", k * 10, k * 10 + 10) for k in range(200)]))
+
+
+def test_ranges_of_a_task(spark, tmp_path):
+    from commitlens.sources import plugin
+
+    for k in range(3):
+        text = "\n".join(f"START_HEADER\nc{k}_{i}\na\n2020-01-01T00:00:00+00:00\n\nx\nEND_HEADER\n\nM\tf{i}" for i in range(400))
+        (tmp_path / f"{k}.log").write_text(text)
+    reader = plugin.CommitLogReader({"path": str(tmp_path), "range_bytes": "30", "repo_id": "r"}, None)
+    assert max(len(t.ranges) for t in reader.partitions()) > 5
+    spark.dataSource.register(plugin.CommitLogSource)
+    got = spark.read.format("commitlog").options(repo_id="r", range_bytes=30).load(str(tmp_path)).select("changeset_id", "server_path").collect()
+    assert sorted(map(tuple, got)) == sorted((f"c{k}_{i}", f"f{i}") for k in range(3) for i in range(400))
