@@ -1,5 +1,6 @@
 """Trees, revisions and file logs with more files than directories should hold."""
 
+import pytest
 from pyspark.sql import functions as F
 from test_sync import commit
 
@@ -44,3 +45,23 @@ def test_queries_do_not_write_a_file_a_row(spark, monkeypatch, tmp_path):
         QUERIES[name](spark, "/root/testdata/sf0.001").count()
     assert len(made) == 6
     assert sum(1 for p in tmp_path.rglob("part-*")) < 100
+
+
+def test_packed_by_a_column(spark, tmp_path):
+    rows = spark.createDataFrame([("a", "1", True), ("b", "2", False), ("c", "3", False)], "path string, content string, loose boolean")
+    for name, df in (("all", rows), ("none", rows.where("false")), ("one", rows.where("loose"))):
+        files.write_packed(df, str(tmp_path / name), "loose")
+        for side in (True, False):
+            got = files.packed_files(spark, f"{tmp_path}/{name}/loose={str(side).lower()}")
+            assert {tuple(r) for r in got.collect()} == {(r["path"], r["content"]) for r in df.collect() if r["loose"] == side}
+
+
+def test_file_logs_are_dealt_and_written_once(spark, monkeypatch):
+    """The logs of files are packed where they are computed, and items are shuffled by changeset once before."""
+    from commitlens import queries
+
+    plans, plain = [], files.write_packed
+    monkeypatch.setattr(queries, "cut", lambda df: pytest.fail("written once more"))
+    monkeypatch.setattr(files, "write_packed", lambda df, *args: plans.append(df._jdf.queryExecution().sparkPlan().toString()) or plain(df, *args))
+    QUERIES["s2_file_logs"](spark, "/root/testdata/sf0.001").count()
+    assert len(plans) == 1 and plans[0].count("Exchange hashpartitioning(changeset_id") == 1
