@@ -290,3 +290,23 @@ def test_dumps_are_written_compressed(spark, monkeypatch, name):
     found = queries.QUERIES[name](spark, "/root/testdata/sf0.001")
     assert all(r[0].endswith(".gz") for r in spark.read.option("recursiveFileLookup", True).text(paths[0]).select("_metadata.file_path").distinct().collect())
     assert found._jdf.queryExecution().optimizedPlan().toString().count("Join ") == (1 if name == "s4_history_json" else 0)
+
+
+def test_a_summary_shuffles_names_without_paths(spark, monkeypatch):
+    """Committers and work items of a file meet apart from its paths, contributions once by path, and files are written before their ranges."""
+    from commitlens.plans import analyses
+
+    sets = spark.createDataFrame([("r", k, None if k == 3 else f"c{k % 2}", None if k == 4 else ["w", "w", None, f"w{k}"]) for k in range(6)], "repo_id string, changeset_id long, committer string, work_items array<string>").selectExpr("*", "timestamp '2000-01-01 00:00:00' as date")
+    items = spark.createDataFrame([("r", k, k % 3, f, 4, f"p{f}_{k}") for k in range(6) for f in (1, 2) if f == 1 or k == 3], "repo_id string, changeset_id long, item_idx int, file_id long, kind int, server_path string")
+    found = {r["file_id"]: (r["commits"], r["committers"], r["work_items"], r["server_path"]) for r in summary.artifacts(items, sets.where("work_items is not null")).collect()}
+    assert found == {1: (5, 2, 6, "p1_5"), 2: (1, 0, 2, "p2_3")}
+
+    plan = lambda df: df._jdf.queryExecution().executedPlan().toString()
+    work = spark.createDataFrame([("r", "p", "d", 1)], "repo_id string, path_key string, developer string, lines long")
+    assert plan(knowledge.ownership(knowledge.by_alias(work, None))).count("Exchange hashpartitioning") == 1
+    assert not [line for line in plan(summary.artifacts(items, sets)).split("\n") if "Aggregate(" in line and "server_path" in line and "committer" in line]
+    written, plain = [], summary.cut
+    monkeypatch.setattr(analyses, "cut", lambda df: written.append(df) or plain(df))
+    loc = spark.createDataFrame([("r", "p1_5", 3)], "repo_id string, path_key string, code int")
+    out = analyses.summary(items, sets, loc, F.expr("timestamp '2001-01-01 00:00:00'"), work)
+    assert len(written) == 1 and "LocalTableScan" not in plan(out.select("hotspot")) and out.count() == 2
