@@ -198,3 +198,13 @@ def test_ranges_of_a_task(spark, tmp_path):
     spark.dataSource.register(plugin.CommitLogSource)
     got = spark.read.format("commitlog").options(repo_id="r", range_bytes=30).load(str(tmp_path)).select("changeset_id", "server_path").collect()
     assert sorted(map(tuple, got)) == sorted((f"c{k}_{i}", f"f{i}") for k in range(3) for i in range(400))
+
+
+def test_a_sync_reads_its_dump_twice(spark, tmp_path, monkeypatch):
+    """Changesets and graph in one reading, items in the other."""
+    (tmp_path / "log").write_text(commit("b", "2020-01-02", "a", "M\tf") + commit("a", "2020-01-01", "", "A\tf"))
+    plain, scans = sync.cut, []
+    monkeypatch.setattr(sync, "cut", lambda df: scans.append("FileScan text" in df._jdf.queryExecution().executedPlan().toString()) or plain(df))
+    tables = sync.sync_git(spark, str(tmp_path / "log"), "r", str(tmp_path / "out"))
+    assert scans.count(True) == 1
+    assert [tuple(r) for r in tables["commit_edge"].select("child", "parent").collect()] == [("b", "a")]
